@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from tessera.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from tessera.llm.ngram_join import op2_ngram_jaccard_join
+from tessera.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_exact_dedup": OP6_SQL,
+}

@@ -120,18 +120,20 @@ def slice_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
         return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of all texts, and each text's first index among them (one more at the end)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and each text's first index among them (one more at the end).
+    fold maps bytes first; it must keep white space."""
+    data = fold[data]
     starts, ends, first = word_spans(data, offsets)
-    return slice_hash(prefix_hash(LOWER[data]), starts, ends), first
+    return slice_hash(prefix_hash(data), starts, ends), first
 
 
-def words_of_texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def words_of_texts(column: pa.Array, fold: np.ndarray = LOWER) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, hashes, firsts) of whole texts; the pieces of a long text are put together again."""
     data, offsets = text_buffers(column)
     held: list[np.ndarray] = []
     for row, part, bounds, more in pieces(data, offsets):
-        hashes, first = word_hashes(part, bounds)
+        hashes, first = word_hashes(part, bounds, fold)
         if more or held:
             held.append(hashes)
             if more:
