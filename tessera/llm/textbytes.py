@@ -120,20 +120,26 @@ def slice_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
         return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = LOWER, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, and each text's first index among them (one more at the end).
-    fold maps bytes first; it must keep white space."""
+    fold maps bytes first; it must keep white space. With stems, each word is followed by the hashes of
+    its first so many bytes, 0 where it has no more than that."""
     data = fold[data]
     starts, ends, first = word_spans(data, offsets)
-    return slice_hash(prefix_hash(data), starts, ends), first
+    prefix = prefix_hash(data)
+    words = slice_hash(prefix, starts, ends)
+    if stems:
+        short = [np.where(ends - starts > k, slice_hash(prefix, starts, np.minimum(ends, starts + k)) ^ np.uint64(k), np.uint64(0)) for k in stems]
+        words, first = np.stack([words, *short], axis=1).reshape(-1), first * (1 + len(stems))
+    return words, first
 
 
-def words_of_texts(column: pa.Array, fold: np.ndarray = LOWER) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def words_of_texts(column: pa.Array, fold: np.ndarray = LOWER, stems: tuple[int, ...] = ()) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, hashes, firsts) of whole texts; the pieces of a long text are put together again."""
     data, offsets = text_buffers(column)
     held: list[np.ndarray] = []
     for row, part, bounds, more in pieces(data, offsets):
-        hashes, first = word_hashes(part, bounds, fold)
+        hashes, first = word_hashes(part, bounds, fold, stems)
         if more or held:
             held.append(hashes)
             if more:

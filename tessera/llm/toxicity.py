@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words after ASCII punctuation became spaces. The vector space holds the terms that training
+Terms are words, after ASCII punctuation became spaces, and the first 4, 5 and 6 bytes of longer words. The vector space holds the terms that training
 rows of label 1 use significantly more often than those of label 0; document frequencies, hence IDF, come
 from all texts. Examples are the distinct training vectors with their label counts. The index keeps, for
 every term and every block of 64 examples, the largest weight; a query's blocks are read in the order of
@@ -25,21 +25,23 @@ from pyspark.sql import functions as F
 from tessera.llm import common, textbytes
 
 BLOCK = 64
+STEMS = (4, 5, 6)
 PLAIN = textbytes.LOWER.copy()
 PLAIN[[k for k in range(128) if not chr(k).isalnum()]] = 32
 
 
 def _terms(column):
     """(row, hashes of its terms) of each text."""
-    for row, _, words, first in textbytes.words_of_texts(column, PLAIN):
+    for row, _, words, first in textbytes.words_of_texts(column, PLAIN, STEMS):
         for k in range(len(first) - 1):
-            yield row + k, words[first[k] : first[k + 1]]
+            own = words[first[k] : first[k + 1]]
+            yield row + k, own[own != 0]
 
 
 class Index:
     """Distinct example vectors (sorted term numbers, counts) with label counts, searched exactly."""
 
-    def __init__(self, vectors, toxic, total, ids, idf, k: int = 15, prior: float = 0.3):
+    def __init__(self, vectors, toxic, total, ids, idf, k: int = 15, prior: float = 0.2):
         order = sorted(range(len(vectors)), key=lambda v: (min(vectors[v][0], default=-1), vectors[v][0], vectors[v][1]))
         self.idf, self.k, self.prior = idf, k, prior
         self.toxic, self.total, self.ids = (np.array([x[v] for v in order], float) for x in (toxic, total, ids))
@@ -110,7 +112,7 @@ class Index:
                 top = blocks.pop()
                 blocks[-1] = [top[0], blocks[-1][1] + top[1], blocks[-1][2] + top[2]]
         if blocks:
-            self.steps = np.array([b[0] for b in blocks]), np.array([(b[1] + self.base) / (b[2] + 1) for b in blocks])
+            self.steps = np.array([b[0] for b in blocks]), np.array([(b[1] + b[0]) / (b[2] + 1) for b in blocks])
 
     def score(self, vote: float) -> float:
         """The mean of the vote and its calibrated rate, so that scores keep the votes' order inside a step."""
