@@ -71,7 +71,7 @@ def fold_buckets(rows: DataFrame, size: int, chunks: int = 16) -> np.ndarray:
     some = rows.select("chunk", "counts").mapInArrow(add, "chunk int, counts binary")
     whole = some.repartition(chunks, "chunk").mapInArrow(add, "chunk int, counts binary")
     out = np.zeros(size, np.uint32)
-    for k, part in whole.toLocalIterator():
+    for k, part in whole.collect():
         out[k * each : (k + 1) * each] = np.frombuffer(part, np.uint32)
     return out
 
@@ -104,7 +104,7 @@ def hash_filter(ids: DataFrame, bits: int = 23) -> np.ndarray:
 
     marked = ids.mapInArrow(mark, "bits binary")
     out = np.zeros(1 << bits, bool)
-    for (part,) in marked.repartition(8).mapInArrow(join, "bits binary").toLocalIterator():
+    for (part,) in marked.repartition(8).mapInArrow(join, "bits binary").collect():
         out |= np.unpackbits(np.frombuffer(part, np.uint8)).view(bool)
     return out
 

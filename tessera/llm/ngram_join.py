@@ -1,8 +1,10 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
 Each text is its set of distinct word n-grams, hashed. Tokens are ordered by (frequency class, hash): the
-frequency comes from fixed-size counters over all texts, so any two texts sort shared tokens alike and
-rare ones come first. Two sets of similarity t or more share a token among their first
+class comes from counters over all texts, so any two texts sort shared tokens alike and rare ones come
+first. Class 0 holds tokens of a single set (their 32-bit fingerprint occurs once); nothing can meet on
+them, so they fill prefixes without being shuffled. Counters and bitmap have a fixed size: where a corpus
+outgrows them, classes get coarser and more candidates are verified, with the same result. Two sets of similarity t or more share a token among their first
 |x| - ceil(t|x|) + 1 ones; rows meet on those tokens only, pass the length and positional filters, and
 each pair of different sets is then verified once, behind a suffix filter, on the whole sets.
 
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from tessera.llm import common, textbytes
 
 COUNTERS = 1 << 20
+RANGES = 256  # of the 32-bit fingerprints that tell shingles of one set from those of several
+FLUSH = 1 << 22
 _CLASS = "id long, n_shingles long, d1 long, d2 long, chunk int, counts binary"
 
 
@@ -42,9 +46,54 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
     return int(one.view(np.int64)), int(two.view(np.int64))
 
 
-def _order(tokens: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    """Rare-first keys, sorted: six bits of frequency class above 58 bits of the hash."""
-    key = rarity[tokens >> np.uint64(44)].astype(np.uint64) << np.uint64(58) | tokens >> np.uint64(6)
+def fingerprint_rows(tokens: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Sorted 32-bit fingerprints by range, as gaps of 16 bits (65535: go on by that much, no fingerprint)."""
+    prints = np.sort((tokens >> np.uint64(32)).astype(np.uint32)).astype(np.int64)
+    bounds = np.searchsorted(prints, np.arange(RANGES + 1) << 24)
+    ranges, parts = [], []
+    for k in range(RANGES):
+        gaps = np.diff(prints[bounds[k] : bounds[k + 1]], prepend=k << 24)
+        if len(gaps):
+            jumps = gaps // 65535
+            out = np.full(len(gaps) + int(jumps.sum()), 65535, np.uint16)
+            out[np.cumsum(jumps + 1) - 1] = gaps % 65535
+            ranges.append(k)
+            parts.append(out.tobytes())
+    return ranges, parts
+
+
+def fingerprints(part: np.ndarray) -> np.ndarray:
+    """The low 24 bits of a range's fingerprints, from fingerprint_rows."""
+    at = np.cumsum(part, dtype=np.int64)
+    return at[part != 65535].astype(np.uint32)
+
+
+def _seen_twice(rows: DataFrame) -> np.ndarray:
+    """A fixed-size bitmap, packed: bit fingerprint >> 5 is set when some fingerprint there occurs twice."""
+
+    def meet(batches):
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held.setdefault(k, []).append(fingerprints(np.frombuffer(part.as_buffer(), np.uint16)))
+        for k, parts in held.items():
+            every = np.sort(np.concatenate(parts))
+            bits = np.zeros(1 << 19, bool)
+            bits[every[1:][every[1:] == every[:-1]] >> np.uint32(5)] = True
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["chunk", "bits"])
+
+    out = np.zeros((RANGES, 1 << 16), np.uint8)
+    for k, bits in rows.repartition(RANGES // 4, "chunk").mapInArrow(meet, "chunk int, bits binary").collect():
+        out[k] = np.frombuffer(bits, np.uint8)
+    return out.reshape(-1)
+
+
+def _order(tokens: np.ndarray, rarity: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Rare-first keys, sorted: six bits of frequency class (0: in one set only) above 58 bits of the hash."""
+    classes, twice = rarity
+    bit = (tokens >> np.uint64(37)).astype(np.int64)
+    shared = (twice[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1
+    key = (shared * classes[tokens >> np.uint64(44)]).astype(np.uint64) << np.uint64(58) | tokens >> np.uint64(6)
     key.sort()
     return key
 
@@ -77,29 +126,41 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def classify(batches):
-        counts, held = np.zeros(COUNTERS, np.uint32), []
+        counts, held, waiting = np.zeros(COUNTERS, np.uint32), [], 0
+
+        def flush():
+            tokens = np.concatenate(held)
+            ranges, parts = fingerprint_rows(tokens)
+            none = pa.nulls(len(ranges)).cast(pa.int64())
+            return np.bincount(tokens >> np.uint64(44), minlength=COUNTERS).astype(np.uint32), pa.RecordBatch.from_arrays([none] * 4 + [pa.array([k + COUNTERS for k in ranges], pa.int32()), pa.array(parts, pa.binary())], names=["id", "n_shingles", "d1", "d2", "chunk", "counts"])
+
         for batch in batches:
             size, one, two = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
             for row, tokens in _sets(batch.column(1), n):
                 size[row] = len(tokens)
                 if len(tokens):
                     one[row], two[row] = _digest(tokens)
-                    held.append(tokens >> np.uint64(44))
-                    if sum(map(len, held)) > 1 << 20:
-                        counts += np.bincount(np.concatenate(held), minlength=COUNTERS).astype(np.uint32)
-                        held = []
+                    held.append(tokens)
+                    waiting += len(tokens)
             empty = pa.nulls(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(one), pa.array(two), empty.cast(pa.int32()), empty.cast(pa.binary())], names=["id", "n_shingles", "d1", "d2", "chunk", "counts"])
+            if waiting > FLUSH:
+                more, rows = flush()
+                counts, held, waiting = counts + more, [], 0
+                yield rows
         if held:
-            counts += np.bincount(np.concatenate(held), minlength=COUNTERS).astype(np.uint32)
+            more, rows = flush()
+            counts = counts + more
+            yield rows
         rows = common.bucket_rows(counts)
         none = pa.nulls(rows.num_rows).cast(pa.int64())
         yield pa.RecordBatch.from_arrays([none] * 4 + [rows.column(0), rows.column(1)], names=["id", "n_shingles", "d1", "d2", "chunk", "counts"])
 
     seen = common.keep(texts.mapInArrow(classify, _CLASS))
-    counts = common.fold_buckets(seen.where("chunk is not null"), COUNTERS)
+    counts = common.fold_buckets(seen.where(F.col("chunk") < COUNTERS), COUNTERS)
     base = int(np.median(counts))
-    rarity = np.minimum(63, np.log2(np.maximum(1, counts.astype(np.float64) - 2 * base) + 1) * 2).astype(np.uint8)
+    classes = np.minimum(63, np.log2(np.maximum(1, counts.astype(np.float64) - 2 * base) + 1) * 2).astype(np.uint8)
+    rarity = np.maximum(1, classes), _seen_twice(seen.where(F.col("chunk") >= COUNTERS).select(F.col("chunk") - COUNTERS, "counts").toDF("chunk", "counts"))
     own = seen.where("chunk is null").select("id", "n_shingles", "d1", "d2")
     classes = common.keep(own.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep")))
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
@@ -114,15 +175,18 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
                 if len(done) < 1 << 18:
                     done.add(own)
                 key = _order(tokens, shared.value)
-                out.append((key[: len(key) - math.ceil(percent * len(key) / 100) + 1].copy(), own[0], len(key)))
+                own_prefix = key[: len(key) - math.ceil(percent * len(key) / 100) + 1]
+                alone = int(np.searchsorted(own_prefix, np.uint64(1) << np.uint64(58)))
+                if alone < len(own_prefix):
+                    out.append((own_prefix[alone:].copy(), own[0], len(key), alone))
             if out:
-                each = [len(k) for k, _, _ in out]
+                each = [len(k) for k, _, _, _ in out]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([k for k, _, _ in out]).view(np.int64)),
-                        pa.array(np.repeat(np.array([d for _, d, _ in out], np.int64), each)),
-                        pa.array(np.repeat(np.array([s for _, _, s in out], np.int32), each)),
-                        pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in each])),
+                        pa.array(np.concatenate([k for k, _, _, _ in out]).view(np.int64)),
+                        pa.array(np.repeat(np.array([d for _, d, _, _ in out], np.int64), each)),
+                        pa.array(np.repeat(np.array([s for _, _, s, _ in out], np.int32), each)),
+                        pa.array(np.concatenate([np.arange(at, at + k, dtype=np.int32) for k, (_, _, _, at) in zip(each, out)])),
                     ],
                     names=["token", "d1", "n", "pos"],
                 )
