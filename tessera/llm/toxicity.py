@@ -1,12 +1,12 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words, after ASCII punctuation became spaces, and the first 4, 5 and 6 bytes of longer words. The vector space holds the terms that training
-rows of label 1 use significantly more often than those of label 0; document frequencies, hence IDF, come
-from all texts. Examples are the distinct training vectors with their label counts. The index keeps, for
-every term and every block of 64 examples, the largest weight; a query's blocks are read in the order of
-their upper bounds until the next bound cannot reach the k-th best cosine, so the neighbours are exact.
-Votes weigh cosine squared, with a small vote of the base rate; a monotone fit to the examples' own
-leave-one-out votes turns them into scores.
+rows of label 1 use significantly more often than all texts do; document frequencies, hence IDF, come from
+all texts. Examples are the distinct training vectors with their label counts. The index keeps, for
+every term and every block of 64 examples, the largest weight. A query reads the blocks of the highest
+upper bounds first, then every block whose bound reaches the k-th best cosine: the neighbours are exact.
+Votes weigh cosine squared, with a small vote of the base rate; a monotone fit to the leave-one-out votes
+of up to 2000 examples, evenly taken, turns them into scores.
 
 Learning is bounded by parameters: a candidate term needs a share of the label-1 rows (so there are at
 most the mean number of distinct terms / share of them), and at most max_examples distinct vectors, taken
@@ -26,6 +26,8 @@ from tessera.llm import common, textbytes
 
 BLOCK = 64
 STEMS = (4, 5, 6)
+FIRST_BLOCKS = 16
+CALIBRATE = 2000
 PLAIN = textbytes.LOWER.copy()
 PLAIN[[k for k in range(128) if not chr(k).isalnum()]] = 32
 
@@ -52,11 +54,10 @@ class Index:
             for term, weight in zip(vectors[v][0], self.weights(*vectors[v])):
                 postings.setdefault(term, []).append((at, weight))
         self.postings = {t: (np.array([a for a, _ in p]), np.array([w for _, w in p])) for t, p in postings.items()}
-        self.starts = {t: np.searchsorted(a, np.arange(self.blocks + 1) * BLOCK) for t, (a, _) in self.postings.items()}
         self.highest = {t: self._block_maxima(a, w) for t, (a, w) in self.postings.items()}
         self.steps: tuple[np.ndarray, np.ndarray] | None = None
-        raw = np.array([self.vote(vectors[v], at)[0] for at, v in enumerate(order)])
-        self._calibrate(raw)
+        step = max(1, len(order) // CALIBRATE)
+        self._calibrate(np.arange(0, len(order), step), np.array([self.vote(vectors[v], at)[0] for at, v in enumerate(order) if at % step == 0]))
 
     def _block_maxima(self, at, weight):
         out = np.zeros(self.blocks)
@@ -74,24 +75,32 @@ class Index:
             return np.zeros(0, int), np.zeros(0)
         bound = sum(w * self.highest[t] for t, w in asked)
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best_at, best = np.zeros(0, int), np.zeros(0)
-        for b in order:
-            if len(best) == self.k and bound[b] < best[-1] - 1e-12:
-                break
-            sums = np.zeros(BLOCK)
-            for t, w in asked:
-                lo, hi = self.starts[t][b], self.starts[t][b + 1]
-                if hi > lo:
-                    at, weight = self.postings[t]
-                    sums[at[lo:hi] - b * BLOCK] += w * weight[lo:hi]
-            if 0 <= without - b * BLOCK < BLOCK:
-                sums[without - b * BLOCK] = 0
-            hit = np.flatnonzero(sums)
-            at, cosine = np.concatenate([best_at, hit + b * BLOCK]), np.round(np.concatenate([best, sums[hit]]), 12)
-            top = np.lexsort((at, -cosine))[: self.k]
-            best_at, best = at[top], cosine[top]
-        return best_at, best
+        first = order[:FIRST_BLOCKS]
+        sums = self._sums(asked, first, without)
+        least = np.partition(sums, -self.k)[-self.k] if len(sums) >= self.k else 0.0
+        more = order[FIRST_BLOCKS:]
+        more = more[(bound[more] >= least - 1e-9) & (bound[more] > 0)]
+        if len(more):
+            sums += self._sums(asked, more, without)
+        sums = np.round(sums, 12)
+        hit = np.flatnonzero(sums >= max(np.partition(sums, -self.k)[-self.k] if len(sums) >= self.k else 0.0, 1e-12))
+        top = hit[np.lexsort((hit, -sums[hit]))[: self.k]]
+        return top, sums[top]
+
+    def _sums(self, asked, blocks, without: int) -> np.ndarray:
+        """Cosines with the examples of some blocks, 0 elsewhere."""
+        wanted = np.zeros(self.blocks, bool)
+        wanted[blocks] = True
+        at, weight = [], []
+        for t, w in asked:
+            own, values = self.postings[t]
+            use = wanted[own // BLOCK]
+            at.append(own[use])
+            weight.append(values[use] * w)
+        out = np.bincount(np.concatenate(at), np.concatenate(weight), minlength=len(self.ids))
+        if without >= 0:
+            out[without] = 0
+        return out
 
     def vote(self, vector, own: int = -1) -> tuple[float, int, float]:
         """(vote, nearest example's id, its cosine). own: an example that leaves one of its rows out."""
@@ -104,10 +113,10 @@ class Index:
         vote = float((weight * toxic).sum() + self.prior * self.base) / float((weight * total).sum() + self.prior)
         return vote, int(self.ids[at[0]]) if len(at) else -1, float(cosine[0]) if len(at) else 0.0
 
-    def _calibrate(self, raw: np.ndarray) -> None:
+    def _calibrate(self, examples: np.ndarray, raw: np.ndarray) -> None:
         blocks: list[list[float]] = []  # pool adjacent violators: [highest vote, toxic, total]
         for v in np.argsort(raw, kind="stable"):
-            blocks.append([raw[v], self.toxic[v], self.total[v]])
+            blocks.append([raw[v], self.toxic[examples[v]], self.total[examples[v]]])
             while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
                 top = blocks.pop()
                 blocks[-1] = [top[0], blocks[-1][1] + top[1], blocks[-1][2] + top[2]]
@@ -122,7 +131,7 @@ class Index:
         return float(np.clip(0.1 * vote + 0.9 * rate[min(int(np.searchsorted(high, vote - 1e-12)), len(rate) - 1)], 0, 1))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, share: float = 0.002, least: int = 3, z: float = 5.0, max_examples: int = 20_000, threshold: float = 0.7) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, share: float = 0.002, least: int = 3, z: float = 5.0, max_examples: int = 8_000, threshold: float = 0.7) -> DataFrame:
     """One row per row of docs: id_col, held_out, score, predicted, nearest_id, nearest_cosine.
 
     Labels of rows whose crc32(id as text) mod folds is held are never read; several labels of one id
@@ -147,49 +156,49 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     n_toxic = train.where("y = 1").count()
     support = max(least, math.ceil(share * n_toxic))
     frequent = toxic_terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
-    candidates = np.array(sorted(r[0] for r in frequent.select("term").toLocalIterator()), np.int64)
+    support_of = {r.term: r.n for r in frequent.collect()}
+    candidates = np.array(sorted(support_of), np.int64)
     sent = spark.sparkContext.broadcast(candidates)
 
+    def known_terms(words: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Places in known of the words that are there, with repeats."""
+        if not len(known):
+            return np.zeros(0, np.int64)
+        words = words.view(np.int64)
+        at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+        return at[known[at] == words]
+
+    def count(batches):
+        total = np.zeros(len(sent.value), np.int64)
+        for batch in batches:
+            for _, words in _terms(batch.column(0)):
+                total[np.unique(known_terms(words, sent.value))] += 1
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["t", "n"])
+
+    rows = texts.count()
+    kept = []
+    if len(candidates):
+        for t, n in texts.select("text").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
+            rate, own = n / rows, support_of[candidates[t]]
+            if own / n_toxic - rate >= z * math.sqrt(rate * (1 - rate) / n_toxic) and own > n_toxic * rate:
+                kept.append((int(candidates[t]), math.log((1 + rows) / (1 + n)) + 1))
+    kept.sort()
+    chosen = spark.sparkContext.broadcast(np.array([t for t, _ in kept], np.int64))
+    idf = np.array([w for _, w in kept])
+
     def vectors(batches):
-        known = sent.value
         for batch in batches:
             terms, counts = [], []
-            ids = batch.column(0)
             for _, words in _terms(batch.column(1)):
-                words = words.view(np.int64)
-                at = np.searchsorted(known, words) if len(known) else np.zeros(0, int)
-                at = at[known[np.minimum(at, len(known) - 1)] == words] if len(known) else at
-                found, n = np.unique(at, return_counts=True)
+                found, n = np.unique(known_terms(words, chosen.value), return_counts=True)
                 terms.append(found.astype(np.int32))
                 counts.append(n.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["id", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["id", "terms", "counts"])
 
     seen = common.keep(texts.mapInArrow(vectors, "id long, terms array<int>, counts array<int>"))
-    taught = common.keep(seen.join(train, "id").select("id", "terms", "counts", "y"))
-    frequency = seen.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    by_label = taught.select(F.explode("terms").alias("t"), "y").groupBy("t").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    rows, total, positive = seen.count(), taught.count(), taught.where("y = 1").count()
-    negative = total - positive
-    kept, idf = [], np.zeros(len(candidates))
-    for r in by_label.join(frequency, "t").toLocalIterator() if total else []:
-        rate = (r.a + r.b) / total
-        gap = r.a / max(positive, 1) - r.b / max(negative, 1)
-        if r.a >= support and gap >= z * math.sqrt(rate * (1 - rate) * (1 / max(positive, 1) + 1 / max(negative, 1))) and gap > 0:
-            kept.append(r.t)
-            idf[r.t] = math.log((1 + rows) / (1 + r.n)) + 1
-    chosen = np.zeros(len(candidates) + 1, bool)
-    chosen[kept] = True
-
-    def narrow(batches):
-        for batch in batches:
-            terms, counts = [], []
-            for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                pairs = [(x, y) for x, y in zip(t, c) if chosen[x]]
-                terms.append([x for x, _ in pairs])
-                counts.append([y for _, y in pairs])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), *batch.columns[3:]], names=batch.schema.names)
-
-    classes = taught.mapInArrow(narrow, "id long, terms array<int>, counts array<int>, y int").groupBy("terms", "counts").agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("total"), F.min("id").alias("id"))
+    taught = seen.join(train, "id").select("id", "terms", "counts", "y")
+    classes = taught.groupBy("terms", "counts").agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("total"), F.min("id").alias("id"))
     examples = classes.orderBy(F.size("terms") > 0, F.xxhash64("terms", "counts"), "terms", "counts").limit(max_examples).collect()
     if examples:
         index = Index([(r.terms, r.counts) for r in examples], [r.toxic for r in examples], [r.total for r in examples], [r.id for r in examples], idf)
@@ -202,11 +211,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         for batch in batches:
             out = []
             for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                key = tuple((x, y) for x, y in zip(t, c) if chosen[x])
+                key = tuple(t), tuple(c)
                 if key not in known:
                     if len(known) > 1 << 17:
                         known.clear()
-                    vote, near, cosine = shared.value.vote(([x for x, _ in key], [y for _, y in key]))
+                    vote, near, cosine = shared.value.vote(key)
                     known[key] = round(shared.value.score(vote), 12), near, cosine
                 out.append(known[key])
             near = [n if n >= 0 else None for _, n, _ in out]
