@@ -3,7 +3,7 @@
 Each text is its set of distinct word n-grams, hashed. Tokens are ordered by (frequency class, hash): the
 class comes from counters over all texts, so any two texts sort shared tokens alike and rare ones come
 first. Class 0 holds tokens of a single set (their 32-bit fingerprint occurs once); nothing can meet on
-them, so they fill prefixes without being shuffled. Counters and bitmap have a fixed size: where a corpus
+them, so they fill prefixes without being shuffled, and the positional filter counts them as lost. Counters and bitmap have a fixed size: where a corpus
 outgrows them, classes get coarser and more candidates are verified, with the same result. Two sets of similarity t or more share a token among their first
 |x| - ceil(t|x|) + 1 ones; rows meet on those tokens only, pass the length and positional filters, and
 each pair of different sets is then verified once, behind a suffix filter, on the whole sets.
@@ -175,10 +175,10 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
                 if len(done) < 1 << 18:
                     done.add(own)
                 key = _order(tokens, shared.value)
-                own_prefix = key[: len(key) - math.ceil(percent * len(key) / 100) + 1]
-                alone = int(np.searchsorted(own_prefix, np.uint64(1) << np.uint64(58)))
-                if alone < len(own_prefix):
-                    out.append((own_prefix[alone:].copy(), own[0], len(key), alone))
+                alone = int(np.searchsorted(key, np.uint64(1) << np.uint64(58)))
+                prefix = key[alone : len(key) - math.ceil(percent * len(key) / 100) + 1]
+                if len(prefix):
+                    out.append((prefix.copy(), own[0], len(key), len(key) - alone))
             if out:
                 each = [len(k) for k, _, _, _ in out]
                 yield pa.RecordBatch.from_arrays(
@@ -186,21 +186,22 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
                         pa.array(np.concatenate([k for k, _, _, _ in out]).view(np.int64)),
                         pa.array(np.repeat(np.array([d for _, d, _, _ in out], np.int64), each)),
                         pa.array(np.repeat(np.array([s for _, _, s, _ in out], np.int32), each)),
-                        pa.array(np.concatenate([np.arange(at, at + k, dtype=np.int32) for k, (_, _, _, at) in zip(each, out)])),
+                        pa.array(np.repeat(np.array([m for _, _, _, m in out], np.int32), each)),
+                        pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in each])),
                     ],
-                    names=["token", "d1", "n", "pos"],
+                    names=["token", "d1", "n", "m", "pos"],
                 )
 
-    rows = common.keep(texts.mapInArrow(prefixes, "token long, d1 long, n int, pos int"))
+    rows = common.keep(texts.mapInArrow(prefixes, "token long, d1 long, n int, m int, pos int"))
     # the least (n, d1, pos) of a token's classes and the largest: they differ when two classes have the token
-    hubs = rows.groupBy("token").agg(F.min(F.struct("n", "d1", "pos")).alias("hub"), F.max(F.struct("n", "d1")).alias("last")).where("hub.n <> last.n or hub.d1 <> last.d1").select("token", "hub")
-    met = common.keep(rows.join(hubs, "token").select("token", "d1", "n", "pos", F.col("hub.d1").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos")).groupBy("token", "d1", "n", "hub", "hub_n").agg(F.min("pos").alias("pos"), F.min("hub_pos").alias("hub_pos")))
+    hubs = rows.groupBy("token").agg(F.min(F.struct("n", "d1", "m", "pos")).alias("hub"), F.max(F.struct("n", "d1")).alias("last")).where("hub.n <> last.n or hub.d1 <> last.d1").select("token", "hub")
+    met = common.keep(rows.join(hubs, "token").groupBy("token", "d1", "n", F.col("hub.d1").alias("hub"), F.col("hub.n").alias("hub_n")).agg(F.max("m").alias("m"), F.max("hub.m").alias("hub_m"), F.min("pos").alias("pos"), F.min("hub.pos").alias("hub_pos")))
 
-    def can_link(n1: str, p1: str, n2: str, p2: str):
-        """Length and positional filters."""
-        return F.expr(f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) and (100 + {percent}) * (least({p1}, {p2}) + least({n1} - {p1}, {n2} - {p2})) >= {percent} * ({n1} + {n2})")
+    def can_link(n1: str, m1: str, p1: str, n2: str, m2: str, p2: str):
+        """Length and positional filters; of n tokens m are in several sets, and only those can be common."""
+        return F.expr(f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) and (100 + {percent}) * (least({p1}, {p2}) + least({m1} - {p1}, {m2} - {p2})) >= {percent} * ({n1} + {n2})")
 
-    star = common.keep(met.where("d1 <> hub").where(can_link("n", "pos", "hub_n", "hub_pos")).select(F.least("d1", "hub").alias("a"), F.greatest("d1", "hub").alias("b")).distinct())
+    star = common.keep(met.where("d1 <> hub").where(can_link("n", "m", "pos", "hub_n", "hub_m", "hub_pos")).select(F.least("d1", "hub").alias("a"), F.greatest("d1", "hub").alias("b")).distinct())
     wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(common.hash_filter(met.select("d1"))))
 
     def collect(batches):
@@ -227,13 +228,13 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
     first = links(star)
     near = common.components(first, one_task)
-    split = met.join(near.withColumnRenamed("node", "d1"), "d1", "left").select("token", "d1", "n", "pos", F.coalesce("component_id", "d1").alias("c"))
+    split = met.join(near.withColumnRenamed("node", "d1"), "d1", "left").select("token", "d1", "n", "m", "pos", F.coalesce("component_id", "d1").alias("c"))
     torn = split.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
     rest = common.keep(split.join(torn, "token", "left_semi").withColumn("band", F.expr(f"cast(floor(ln(n) / ln({100 / percent})) as int)")))
     # a partner has as many tokens or more, up to n * 100 / percent: it is in the same band, or in one of the next two at an edge
-    left = rest.select("token", "d1", "n", "pos", "c", F.explode(F.array([F.col("band") + k for k in range(3)])).alias("band"))
-    right = rest.select("token", F.col("d1").alias("d2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("c").alias("c2"), "band")
-    pairs = left.join(right, (left["token"] == right["token"]) & (left["band"] == right["band"]) & F.expr("c <> c2 and (n < n2 or n = n2 and d1 < d2)") & can_link("n", "pos", "n2", "pos2"))
+    left = rest.select("token", "d1", "n", "m", "pos", "c", F.explode(F.array([F.col("band") + k for k in range(3)])).alias("band"))
+    right = rest.select("token", F.col("d1").alias("d2"), F.col("n").alias("n2"), F.col("m").alias("m2"), F.col("pos").alias("pos2"), F.col("c").alias("c2"), "band")
+    pairs = left.join(right, (left["token"] == right["token"]) & (left["band"] == right["band"]) & F.expr("c <> c2 and (n < n2 or n = n2 and d1 < d2)") & can_link("n", "m", "pos", "n2", "m2", "pos2"))
     pairs = pairs.select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     every = first.union(links(pairs))
 
