@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words, after ASCII punctuation became spaces, and the first 4, 5 and 6 bytes of longer words. The vector space holds the terms that training
-rows of label 1 use significantly more often than all texts do; document frequencies, hence IDF, come from
+rows of label 1 use significantly more often than all texts do, so much that at least half of the texts with
+the term should have label 1; document frequencies, hence IDF, come from
 all texts. Examples are the distinct training vectors with their label counts. The index keeps, for
 every term and every block of 64 examples, the largest weight. A query reads the blocks of the highest
 upper bounds first, then every block whose bound reaches the k-th best cosine: the neighbours are exact.
@@ -131,7 +132,7 @@ class Index:
         return float(np.clip(0.1 * vote + 0.9 * rate[min(int(np.searchsorted(high, vote - 1e-12)), len(rate) - 1)], 0, 1))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, share: float = 0.002, least: int = 3, z: float = 5.0, max_examples: int = 8_000, threshold: float = 0.7) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, share: float = 0.002, least: int = 3, z: float = 5.0, precision: float = 0.5, max_examples: int = 8_000, threshold: float = 0.7) -> DataFrame:
     """One row per row of docs: id_col, held_out, score, predicted, nearest_id, nearest_cosine.
 
     Labels of rows whose crc32(id as text) mod folds is held are never read; several labels of one id
@@ -177,11 +178,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["t", "n"])
 
     rows = texts.count()
+    share_toxic = n_toxic / max(1, train.count())
     kept = []
     if len(candidates):
         for t, n in texts.select("text").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
             rate, own = n / rows, support_of[candidates[t]]
-            if own / n_toxic - rate >= z * math.sqrt(rate * (1 - rate) / n_toxic) and own > n_toxic * rate:
+            likely = own / n_toxic * share_toxic / rate  # of the texts with the term, how many have label 1
+            if own / n_toxic - rate >= z * math.sqrt(rate * (1 - rate) / n_toxic) and likely >= precision:
                 kept.append((int(candidates[t]), math.log((1 + rows) / (1 + n)) + 1))
     kept.sort()
     chosen = spark.sparkContext.broadcast(np.array([t for t, _ in kept], np.int64))
@@ -197,6 +200,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["id", "terms", "counts"])
 
     seen = common.keep(texts.mapInArrow(vectors, "id long, terms array<int>, counts array<int>"))
+    dealt = seen.repartition(max(8, spark.sparkContext.defaultParallelism * 4))
     taught = seen.join(train, "id").select("id", "terms", "counts", "y")
     classes = taught.groupBy("terms", "counts").agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("total"), F.min("id").alias("id"))
     examples = classes.orderBy(F.size("terms") > 0, F.xxhash64("terms", "counts"), "terms", "counts").limit(max_examples).collect()
@@ -221,7 +225,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             near = [n if n >= 0 else None for _, n, _ in out]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _, _ in out], pa.float64()), pa.array(near, pa.int64()), pa.array([c if n is not None else None for (_, _, c), n in zip(out, near)], pa.float64())], names=["id", "score", "nearest_id", "nearest_cosine"])
 
-    scored = seen.mapInArrow(score, "id long, score double, nearest_id long, nearest_cosine double")
+    scored = dealt.mapInArrow(score, "id long, score double, nearest_id long, nearest_cosine double")
     return scored.select(F.col("id").alias(id_col), fold("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "nearest_id", "nearest_cosine")
 
 
