@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from tessera.llm.language_id import op5_language_id
 from tessera.llm.mixing import OP7_SQL, op7_mixing
 from tessera.llm.ngram_join import op2_ngram_jaccard_join
 from tessera.llm.sentencepieces import op4_sentencepiece
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_url_filter": op3_url_filter,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
     "op10_toxicity": op10_toxicity,
