@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.epsilon_join import OP1_SQL, op1_epsilon_join
 from tessera.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from tessera.llm.language_id import op5_language_id
 from tessera.llm.mixing import OP7_SQL, op7_mixing
@@ -11,6 +12,7 @@ from tessera.llm.toxicity import op10_toxicity
 from tessera.llm.url_filter import OP3_SQL, op3_url_filter
 
 QUERIES = {
+    "op1_epsilon_join": op1_epsilon_join,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_url_filter": op3_url_filter,
     "op4_sentencepiece": op4_sentencepiece,
@@ -21,6 +23,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_epsilon_join": OP1_SQL,
     "op3_url_filter": OP3_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op7_mixing": OP7_SQL,
