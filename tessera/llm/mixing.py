@@ -43,19 +43,20 @@ def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-10, sweeps: int = 8, rounds: int = 40) -> DataFrame:
     """cells (the dimensions, tokens > 0) with mass: shares that sum to 1 and fit all targets (value, share).
 
+    The cells, one row per combination of values, are raked in one partition, so that no sweep shuffles.
     A value without a target gets no mass. Targets that the cells cannot meet end after sweeps * rounds
     sweeps, with the last dimension's target met exactly."""
     spread = cells
     for d, target in targets.items():
         wanted = target.select(F.col(target.columns[0]).alias(d), F.col("share").cast("double").alias(f"{d}_share"))
         spread = spread.join(wanted, d, "left").fillna(0.0, [f"{d}_share"])
-    fitted = common.keep(spread.withColumn("mass", F.col("tokens").cast("double") / F.sum("tokens").over(Window.partitionBy())).coalesce(1))
+    fitted = common.keep(spread.withColumn("mass", F.col("tokens").cast("double") / F.sum("tokens").over(Window.partitionBy())).coalesce(1)).coalesce(1)
     for _ in range(rounds):
         for _ in range(sweeps):
             for d in targets:
                 total = F.sum("mass").over(Window.partitionBy(d))
                 fitted = fitted.withColumn("mass", F.when(total > 0, F.col("mass") * F.col(f"{d}_share") / total).otherwise(0.0))
-        fitted = common.keep(fitted.coalesce(1))
+        fitted = common.keep(fitted).coalesce(1)
         off = fitted
         for d in targets:
             off = off.withColumn(f"{d}_gap", F.abs(F.sum("mass").over(Window.partitionBy(d)) - F.col(f"{d}_share")))
