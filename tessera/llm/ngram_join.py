@@ -68,7 +68,7 @@ def fingerprints(part: np.ndarray) -> np.ndarray:
     return at[part != 65535].astype(np.uint32)
 
 
-def _seen_twice(rows: DataFrame) -> np.ndarray:
+def seen_twice(rows: DataFrame) -> np.ndarray:
     """A fixed-size bitmap, packed: bit fingerprint >> 5 is set when some fingerprint there occurs twice."""
 
     def meet(batches):
@@ -160,7 +160,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     counts = common.fold_buckets(seen.where(F.col("chunk") < COUNTERS), COUNTERS)
     base = int(np.median(counts))
     classes = np.minimum(63, np.log2(np.maximum(1, counts.astype(np.float64) - 2 * base) + 1) * 2).astype(np.uint8)
-    rarity = np.maximum(1, classes), _seen_twice(seen.where(F.col("chunk") >= COUNTERS).select(F.col("chunk") - COUNTERS, "counts").toDF("chunk", "counts"))
+    rarity = np.maximum(1, classes), seen_twice(seen.where(F.col("chunk") >= COUNTERS).select(F.col("chunk") - COUNTERS, "counts").toDF("chunk", "counts"))
     own = seen.where("chunk is null").select("id", "n_shingles", "d1", "d2")
     classes = common.keep(own.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep")))
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
