@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from tessera.llm import textbytes
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 WORDS_KEPT = 1 << 18
+PAIRS_KEPT = 1 << 18
+DECODE_IDS = 1 << 18
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -87,8 +90,10 @@ class Pieces:
         self.unknown = next(k for k, kind in enumerate(kinds) if kind == UNKNOWN)
         self.has_bytes = BYTE in kinds
         self.longest = max(map(len, self.id_of), default=1)
+        self.tails = {p[k:] for p in self.id_of for k in range(len(p))}
         self.lowest = min((scores[k] for k in usable), default=0.0) - 10.0
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.edges: dict[tuple[str, bool], list[tuple[str, float]] | None] = {}
         raw = [p.replace(MARK, " ").encode() for p in self.pieces]
         for k, kind in enumerate(kinds):
             raw[k] = bytes([int(self.pieces[k][3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else raw[k]
@@ -108,8 +113,9 @@ class Pieces:
                 out.append(self.unknown)
         return out
 
-    def merge(self, text: str) -> list[str]:
-        """BPE by its definition: join the neighbours whose piece scores highest, the leftmost of equals."""
+    def merge(self, text: str, steps: list | None = None) -> list[str]:
+        """BPE by its definition: join the neighbours whose piece scores highest, the leftmost of equals.
+        steps gets the pairs in the order in which they are joined."""
         parts = list(text)
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap: list[tuple[float, int, str]] = []
@@ -125,6 +131,8 @@ class Pieces:
             right = after[left]
             if not parts[left] or right >= len(parts) or parts[left] + parts[right] != both:
                 continue
+            if steps is not None:
+                steps.append((parts[left], parts[right]))
             parts[left], parts[right] = both, ""
             after[left] = after[right]
             if after[left] < len(parts):
@@ -133,12 +141,56 @@ class Pieces:
             offer(left, after[left])
         return [p for p in parts if p]
 
+    def _edge(self, piece: str, right: bool) -> list[tuple[str, float]] | None:
+        """What stands at one edge while piece is merged, from a character to piece, with the scores at
+        which each appears. None where the piece is not its own encoding or a part scores less than it."""
+        known = self.edges.get((piece, right), False)
+        if known is not False:
+            return known
+        out = None
+        if len(piece) == 1:
+            out = [(piece, np.inf)]
+        else:
+            steps: list[tuple[str, str]] = []
+            if self.merge(piece, steps) == [piece]:
+                score = [self.score[self.id_of[a + b]] for a, b in steps]
+                inner = self._edge(steps[-1][right], right)
+                if inner is not None and all(x >= y for x, y in zip(score, score[1:])):
+                    out = [*inner, (piece, score[-1])]
+        self.edges[piece, right] = out
+        return out
+
     def _fits(self, left: str, right: str) -> bool:
+        """Whether the encoding of left + right is those two pieces. Their own merges run in the order of
+        scores; the pair is broken when, before one of them, what stands left and right of the border joins."""
         known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) > 1 << 20:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merge(left + right) == ([left, right] if left else [right])
+        if known is not None:
+            return known
+        if len(self.pairs) > PAIRS_KEPT:
+            self.pairs.clear()
+        a = self._edge(left, True) if left else None
+        b = self._edge(right, False)
+        if not left:
+            known = self.merge(right) == [right] if b is None else True
+        elif a is None or b is None:
+            known = self.merge(left + right) == [left, right]
+        else:
+            i = j = 0
+            while True:
+                own = a[i + 1][1] if i + 1 < len(a) else -np.inf
+                other = b[j + 1][1] if j + 1 < len(b) else -np.inf
+                k = self.id_of.get(a[i][0] + b[j][0])
+                if k is not None and self.score[k] > own and self.score[k] >= other:
+                    known = False
+                    break
+                if own == other == -np.inf:
+                    known = True
+                    break
+                if own >= other:
+                    i += 1
+                else:
+                    j += 1
+        self.pairs[left, right] = known
         return known
 
     def encode_sorted(self, words: list[str]) -> list[list[int]]:
@@ -147,7 +199,7 @@ class Pieces:
         last: list[str] = [""]  # last[i]: the piece that ends the encoding of the first i characters
         total: list[float] = [0.0]
         previous = ""
-        id_of, longest = self.id_of, self.longest
+        id_of, longest, pairs, tails = self.id_of, self.longest, self.pairs, self.tails
         for word in words:
             shared, most = 0, min(len(word), len(previous))
             while shared < most and word[shared] == previous[shared]:
@@ -155,13 +207,18 @@ class Pieces:
             del last[shared + 1 :], total[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 if self.bpe:
-                    found = None
-                    for start in range(max(0, end - longest), end):
+                    start, found = end, word[end - 1]
+                    while start:
+                        start -= 1
                         piece = word[start:end]
-                        if (piece in id_of or start == end - 1) and self._fits(last[start], piece):
-                            found = piece
+                        if piece in id_of or start == end - 1:
+                            fits = pairs.get((last[start], piece))
+                            if self._fits(last[start], piece) if fits is None else fits:
+                                found = piece
+                                break
+                        if piece not in tails:
                             break
-                    last.append(found or word[end - 1])
+                    last.append(found)
                 else:
                     best, found = -np.inf, word[end - 1]
                     for start in range(max(0, end - longest), end):
@@ -223,7 +280,7 @@ class Encoder:
 
     def _forget(self):
         self.place: dict[int, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.ids: list[bytes] = []
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, each text's first index among them, one more at the end)."""
@@ -270,11 +327,11 @@ class Encoder:
                 found[k] = self.pieces.ids(self.pieces.merge(words[k])) if self.pieces.bpe else self.pieces.encode_sorted([words[k]])[0]
         for k, ids in zip(new, found):
             self.place[values[k]] = len(self.ids)
-            self.ids.append(np.array(ids, np.int32))
+            self.ids.append(array("i", ids).tobytes())
         own = [self.ids[self.place[key]] for key in values]
-        sizes = np.array([len(x) for x in own])
+        sizes = np.array([len(x) >> 2 for x in own], np.int64)
         begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        flat = np.concatenate(own) if own else np.zeros(0, np.int32)
+        flat = np.frombuffer(b"".join(own), np.int32)
         size = sizes[where]
         to = np.concatenate([[0], np.cumsum(size)])
         ids = flat[np.arange(to[-1]) + np.repeat(begin[where] - to[:-1], size)]
@@ -286,7 +343,7 @@ def _batches(column):
     data, offsets = textbytes.text_buffers(column)
     row = 0
     while row < len(offsets) - 1:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + (8 << 20), "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + (2 << 20), "right")) - 1)
         part = data[offsets[row] : offsets[end]]
         bounds = offsets[row : end + 1] - offsets[row]
         raw = part.tobytes()
@@ -335,7 +392,15 @@ def decode(encoded: DataFrame, model_path: str = MODEL, ids_col: str = "ids", te
             column = pa.concat_arrays([column]).fill_null([]) if column.null_count else column
             first = column.offsets.to_numpy().astype(np.int64)
             ids = column.values.to_numpy(zero_copy_only=False)[first[0] : first[-1]]
-            data, offsets = pieces.decode(ids, first - first[0])
+            first = first - first[0]
+            parts, ends, row = [], [np.zeros(1, np.int64)], 0
+            while row < len(column):
+                end = max(row + 1, int(np.searchsorted(first, first[row] + DECODE_IDS, "right")) - 1)
+                some, bounds = pieces.decode(ids[first[row] : first[end]], first[row : end + 1] - first[row])
+                parts.append(some)
+                ends.append(bounds[1:] + ends[-1][-1])
+                row = end
+            data, offsets = np.concatenate(parts) if parts else np.zeros(0, np.uint8), np.concatenate(ends)
             raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
             try:
                 text = raw.cast(pa.large_string()).cast(pa.string())
