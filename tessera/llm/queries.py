@@ -7,6 +7,7 @@ from tessera.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from tessera.llm.language_id import op5_language_id
 from tessera.llm.mixing import OP7_SQL, op7_mixing
 from tessera.llm.ngram_join import op2_ngram_jaccard_join
+from tessera.llm.pitman_yor import op8_pitman_yor
 from tessera.llm.sentencepieces import op4_sentencepiece
 from tessera.llm.suffix_dedup import op9_suffix_dedup
 from tessera.llm.toxicity import op10_toxicity
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
+    "op8_pitman_yor": op8_pitman_yor,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
 }
