@@ -9,7 +9,7 @@ outgrows them, classes get coarser and more candidates are verified, with the sa
 each pair of different sets is then verified once, behind a suffix filter, on the whole sets.
 
 Equal sets form one class before anything is joined. Within a group that shares a prefix token every
-class is first paired with the group's smallest one; classes that this has linked are one component,
+class is first paired with the group's most central one; classes that this has linked are one component,
 and only pairs between different components are paired afterwards. So a group of n near copies costs
 about n pairs, not n * n, while no component is lost.
 """
@@ -28,6 +28,7 @@ from tessera.llm import common, textbytes
 COUNTERS = 1 << 20
 RANGES = 256  # of the 32-bit fingerprints that tell shingles of one set from those of several
 FLUSH = 1 << 22
+RUN = 8
 _CLASS = "id long, n_shingles long, d1 long, d2 long, chunk int, counts binary"
 
 
@@ -98,6 +99,15 @@ def _order(tokens: np.ndarray, rarity: tuple[np.ndarray, np.ndarray]) -> np.ndar
     return key
 
 
+def _before(prefixes: list[np.ndarray]) -> pa.ListArray:
+    """For each token of each prefix the RUN tokens before it, fewer at the start."""
+    held = np.concatenate([np.minimum(np.arange(len(k)), RUN) for k in prefixes])
+    ends = np.concatenate([[0], np.cumsum(held)])
+    flat = np.concatenate(prefixes).view(np.int64)
+    at = np.arange(ends[-1]) - np.repeat(ends[:-1], held) + np.repeat(np.arange(len(held)) - held, held)
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[at]))
+
+
 def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
     """An upper bound of the overlap of two sorted token arrays: split at y's middle token and its place in x."""
     if depth == 0 or min(len(x), len(y)) < 8:
@@ -123,6 +133,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     with fewer than n words has one shingle, the whole sequence. Repeated rows come back as often as they
     came. A null id is never a component's smallest id unless all its ids are null. Other columns of docs
     are not read, so their names cannot clash."""
+    common.small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def classify(batches):
@@ -188,14 +199,17 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
                         pa.array(np.repeat(np.array([s for _, _, s, _ in out], np.int32), each)),
                         pa.array(np.repeat(np.array([m for _, _, _, m in out], np.int32), each)),
                         pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in each])),
+                        _before([k for k, _, _, _ in out]),
                     ],
-                    names=["token", "d1", "n", "m", "pos"],
+                    names=["token", "d1", "n", "m", "pos", "prev"],
                 )
 
-    rows = common.keep(texts.mapInArrow(prefixes, "token long, d1 long, n int, m int, pos int"))
-    # the least (n, d1, pos) of a token's classes and the largest: they differ when two classes have the token
-    hubs = rows.groupBy("token").agg(F.min(F.struct("n", "d1", "m", "pos")).alias("hub"), F.max(F.struct("n", "d1")).alias("last")).where("hub.n <> last.n or hub.d1 <> last.d1").select("token", "hub")
-    met = common.keep(rows.join(hubs, "token").groupBy("token", "d1", "n", F.col("hub.d1").alias("hub"), F.col("hub.n").alias("hub_n")).agg(F.max("m").alias("m"), F.max("hub.m").alias("hub_m"), F.min("pos").alias("pos"), F.min("hub.pos").alias("hub_pos")))
+    rows = common.keep(texts.mapInArrow(prefixes, "token long, d1 long, n int, m int, pos int, prev array<long>"))
+    # the hub of a token: the class with the fewest tokens of its own is the likeliest to be like the others;
+    # least and largest differ when two classes have the token
+    lost = (F.col("n") - F.col("m")).alias("lost")
+    hubs = rows.groupBy("token").agg(F.min(F.struct(lost, "n", "d1", "m", "pos")).alias("hub"), F.max(F.struct(lost, "n", "d1")).alias("last")).where("hub.lost <> last.lost or hub.n <> last.n or hub.d1 <> last.d1").select("token", "hub")
+    met = common.keep(rows.join(hubs, "token").groupBy("token", "d1", "n", F.col("hub.d1").alias("hub"), F.col("hub.n").alias("hub_n")).agg(F.max("m").alias("m"), F.max("hub.m").alias("hub_m"), F.min("pos").alias("pos"), F.min("hub.pos").alias("hub_pos"), F.first("prev").alias("prev")))
 
     def can_link(n1: str, m1: str, p1: str, n2: str, m2: str, p2: str):
         """Length and positional filters; of n tokens m are in several sets, and only those can be common."""
@@ -228,13 +242,14 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
     first = links(star)
     near = common.components(first, one_task)
-    split = met.join(near.withColumnRenamed("node", "d1"), "d1", "left").select("token", "d1", "n", "m", "pos", F.coalesce("component_id", "d1").alias("c"))
+    split = met.join(near.withColumnRenamed("node", "d1"), "d1", "left").select("token", "d1", "n", "m", "pos", "prev", F.coalesce("component_id", "d1").alias("c"))
     torn = split.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
     rest = common.keep(split.join(torn, "token", "left_semi").withColumn("band", F.expr(f"cast(floor(ln(n) / ln({100 / percent})) as int)")))
+    # two sets that have one of the tokens before in common as well have met there: a pair is made where a common run begins
     # a partner has as many tokens or more, up to n * 100 / percent: it is in the same band, or in one of the next two at an edge
-    left = rest.select("token", "d1", "n", "m", "pos", "c", F.explode(F.array([F.col("band") + k for k in range(3)])).alias("band"))
-    right = rest.select("token", F.col("d1").alias("d2"), F.col("n").alias("n2"), F.col("m").alias("m2"), F.col("pos").alias("pos2"), F.col("c").alias("c2"), "band")
-    pairs = left.join(right, (left["token"] == right["token"]) & (left["band"] == right["band"]) & F.expr("c <> c2 and (n < n2 or n = n2 and d1 < d2)") & can_link("n", "m", "pos", "n2", "m2", "pos2"))
+    left = rest.select("token", "d1", "n", "m", "pos", "prev", "c", F.explode(F.array([F.col("band") + k for k in range(3)])).alias("band"))
+    right = rest.select("token", F.col("d1").alias("d2"), F.col("n").alias("n2"), F.col("m").alias("m2"), F.col("pos").alias("pos2"), F.col("c").alias("c2"), F.col("prev").alias("prev2"), "band")
+    pairs = left.join(right, (left["token"] == right["token"]) & (left["band"] == right["band"]) & F.expr("c <> c2 and (n < n2 or n = n2 and d1 < d2) and not arrays_overlap(prev, prev2)") & can_link("n", "m", "pos", "n2", "m2", "pos2"))
     pairs = pairs.select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     every = first.union(links(pairs))
 
