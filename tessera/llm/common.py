@@ -31,6 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local[app]}"
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Send texts to Python workers in batches of fewer rows than the session's default of 10000: a batch
+    is held whole on both sides. A smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > rows or int(spark.conf.get(name, "10000")) <= 0:
+        spark.conf.set(name, str(rows))
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it from there: cuts the lineage, survives lost executors,
     and gives every later reader the same rows. The files go when the driver ends."""

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import textbytes
+from tessera.llm import common, textbytes
 
 N = 4
 POSITIONS = 1 << 20
@@ -89,6 +89,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     nothing was learnt; texts too short for an n-gram, and ties, take the first language by name. score is
     the winner's share of the corrected counts that the two best languages do not share: 0.5 in a tie."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     crc = F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == held, F.lit(False))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     wanted = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where(~F.coalesce(F.crc32(F.col("id").cast("string")) % folds == held, F.lit(False)) & F.col("lang").isNotNull())

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import textbytes
+from tessera.llm import common, textbytes
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -358,6 +358,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, text_col: str = "text", ids
     """docs with ids_col array<int>: the model's encoding of the whole text; null and empty texts have no
     ids. The model is read on the driver (its size is that of a vocabulary) and broadcast. A column of
     that name in docs is replaced. Rows are encoded where they are: nothing is shuffled."""
+    common.small_batches(docs.sparkSession)
     with open(model_path, "rb") as file:
         model = docs.sparkSession.sparkContext.broadcast(file.read())
     docs = docs.drop(ids_col)
@@ -380,6 +381,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, text_col: str = "text", ids
 
 def decode(encoded: DataFrame, model_path: str = MODEL, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """encoded with text_col string: the text that the ids stand for (bytes that are no UTF-8 become U+FFFD)."""
+    common.small_batches(encoded.sparkSession)
     with open(model_path, "rb") as file:
         model = encoded.sparkSession.sparkContext.broadcast(file.read())
     encoded = encoded.drop(text_col)

@@ -225,6 +225,7 @@ def _bucket(table: pa.Table) -> pa.Table:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_key, start, n): runs of n starts of strings, in bytes, that also start in a smaller id."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
 
     def anchors(batches):

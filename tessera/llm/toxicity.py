@@ -140,6 +140,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Null, empty and termless texts score as the training rows without terms do. nearest_id and
     nearest_cosine are the evidence: the closest example, null when no example shares a term."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     fold = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")) % folds == held, F.lit(False))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     train = common.keep(labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").where(~fold("id")).groupBy("id").agg(F.max("y").alias("y")))
@@ -217,7 +218,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 key = tuple(t), tuple(c)
                 if key not in known:
-                    if len(known) > 1 << 17:
+                    if len(known) > 1 << 15:
                         known.clear()
                     vote, near, cosine = shared.value.vote(key)
                     known[key] = round(shared.value.score(vote), 12), near, cosine
