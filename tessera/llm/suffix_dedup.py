@@ -81,7 +81,7 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     if len(cuts) and cuts.max() > 1:
         inner = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
         starts, count = np.repeat(starts, cuts) + inner * SPAN, np.minimum(np.repeat(count, cuts) - inner * SPAN, SPAN)
-    return least[starts], starts, count
+    return textbytes.mix(least[starts]), starts, count  # minima crowd at low values: spread them
 
 
 def _take(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
