@@ -39,12 +39,12 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(name, str(rows))
 
 
-def keep(df: DataFrame) -> DataFrame:
+def keep(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it from there: cuts the lineage, survives lost executors,
     and gives every later reader the same rows. The files go when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

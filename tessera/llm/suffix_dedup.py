@@ -32,6 +32,7 @@ END = 0xFF  # no byte of UTF-8
 SHARD_BYTES = 1 << 20
 BUCKET_BYTES = 4 << 20
 HEAVY = 200_000  # distinct segments of one anchor that stay together
+FEW_COPIES = 500_000  # 24 bytes each: so many whole copies at most are broadcast
 
 
 def _chunks(data: np.ndarray, offsets: np.ndarray, limit: int = textbytes.PIECE):
@@ -222,18 +223,36 @@ def _bucket(table: pa.Table) -> pa.Table:
     return pa.table({"k1": table["k1"].take(take), "k2": table["k2"].take(take), "start": pa.array((at - begin + table["start"].to_numpy()[text[at]]).astype(np.int32)), "n": pa.array(np.diff(np.append(at, len(flat))).astype(np.int32)), "first": pa.array(flat[at])})
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_key, start, n): runs of n starts of strings, in bytes, that also start in a smaller id."""
-    spark = docs.sparkSession
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, k, k2): the keys tell texts apart, together with their length."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("k"), F.xxhash64(F.lit(1), text, F.octet_length(text)).alias("k2"))
+
+
+def whole_copies(texts: DataFrame) -> DataFrame:
+    """(k, k2, first): texts of LENGTH bytes or more that several ids have, and the smallest of those."""
+    same = texts.where(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH)).groupBy("k", "k2").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    return common.keep(same.where("first <> last").select("k", "k2", "first"))
+
+
+def repeated_spans(texts: DataFrame) -> DataFrame:
+    """(id, k, start, n): runs of n starts of strings, in bytes, that also start in a smaller id of texts."""
+    spark = texts.sparkSession
     common.small_batches(spark)
-    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    texts = texts.where(F.col("id").isNotNull()).select("id", "k", "text")
 
     def anchors(batches):
         held, waiting = [], 0
         for batch in batches:
             data, offsets = textbytes.text_buffers(batch.column(0))
             for _, _, part, bounds in _chunks(data, offsets):
-                held.append(segments(part, bounds)[0])
+                anchor, start, _ = segments(part, bounds)
+                text = np.searchsorted(bounds, start, "right")
+                own = np.lexsort((anchor, text))  # once a text: what one text repeats is nothing to others
+                anchor, text = anchor[own], text[own]
+                once = np.ones(len(anchor), bool)
+                once[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+                held.append(anchor[once])
                 waiting += len(held[-1])
             if waiting > ngram_join.FLUSH:
                 ranges, parts = ngram_join.fingerprint_rows(np.concatenate(held))
@@ -255,26 +274,25 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if not len(anchor):
                     continue
                 raw, to = _take(part, start, count + LENGTH - 1)
-                prefix = textbytes.prefix_hash(raw)
-                k1 = textbytes.slice_hash(prefix, to[:-1], to[1:])
-                k2 = textbytes.mix(anchor ^ textbytes.mix(k1 + np.uint64(1)))
+                key = textbytes.slice_hash(textbytes.prefix_hash(raw), to[:-1], to[1:])
                 text = np.searchsorted(bounds, start, "right") - 1
                 own = pa.array(row + text)
                 segment = pa.BinaryArray.from_buffers(pa.binary(), len(anchor), [None, pa.py_buffer(to.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array((base + start - bounds[text]).astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), segment], names=["id", "text_key", "at", "anchor", "k1", "k2", "segment"])
-
-    cuts = common.keep(texts.mapInArrow(cut, "id long, text_key long, at int, anchor long, k1 long, k2 long, segment binary"))
-    distinct = cuts.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("anchor").alias("anchor"), F.first("segment").alias("segment"))
-    distinct = common.keep(distinct)
-    heavy = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("low"), F.max("last").alias("high")).where("low <> high")
-    joint = distinct.join(heavy.select("anchor", "c"), "anchor")
-    whole = joint.where(F.col("c") <= HEAVY).select("k1", "k2", F.lit(0).alias("start"), "id", "segment", F.col("anchor").alias("place"))
-    single = joint.where(F.col("c") > HEAVY).withColumn("start", F.explode(F.sequence(F.lit(0), F.length("segment") - LENGTH))).withColumn("segment", F.expr(f"substring(segment, start + 1, {LENGTH})"))
-    together = common.keep(whole.union(single.select("k1", "k2", "start", "id", "segment", F.xxhash64("segment").alias("place"))))
-    size = together.agg(F.sum(F.length("segment"))).first()[0] or 0
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array((base + start - bounds[text]).astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(key.view(np.int64)), segment], names=["id", "k", "at", "k1", "k2", "segment"])
+
+    # k1 is the anchor, k2 the segment's own hash: together 128 bits
+    cuts = common.keep(texts.mapInArrow(cut, "id long, k long, at int, k1 long, k2 long, segment binary"), "zstd")
+    shared = cuts.groupBy("k1").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("k1")
+    joint = common.keep(cuts.select("id", "k1", "k2", "segment").join(shared, "k1", "left_semi").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("segment").alias("segment")), "zstd")
+    heavy = joint.groupBy("k1").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HEAVY).select("k1", F.lit(True).alias("heavy"))
+    told = joint.join(heavy, "k1", "left")
+    whole = told.where("heavy is null").select("k1", "k2", F.lit(0).alias("start"), "id", "segment", F.col("k1").alias("place"))
+    single = told.where("heavy").withColumn("start", F.explode(F.sequence(F.lit(0), F.length("segment") - LENGTH))).withColumn("segment", F.expr(f"substring(segment, start + 1, {LENGTH})"))
+    together = whole.union(single.select("k1", "k2", "start", "id", "segment", F.xxhash64("segment").alias("place")))
+    size = joint.agg(F.sum(F.length("segment"))).first()[0] or 0
     buckets = 1 + size // BUCKET_BYTES
     first = together.withColumn("bucket", F.pmod(F.xxhash64("place"), F.lit(buckets))).drop("place").groupBy("bucket").applyInArrow(_bucket, "k1 long, k2 long, start int, n int, first long")
-    return cuts.select("id", "text_key", "at", "k1", "k2").join(first, ["k1", "k2"]).where("first < id").select("id", "text_key", (F.col("at") + F.col("start")).alias("start"), "n")
+    return cuts.select("id", "k", "at", "k1", "k2").join(first, ["k1", "k2"]).where("first < id").select("id", "k", (F.col("at") + F.col("start")).alias("start"), "n")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,17 +301,39 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Each byte covered by a string of 50 bytes that also starts in a row with a smaller id goes; strings are
     judged on the input. Null texts are empty. Rows with a null id take no part and keep their text. Rows
     that repeat an id lose the same bytes for the same text, and nothing to each other. Texts under 50
-    bytes are whole. Other columns are not read."""
-    spans = common.keep(repeated_spans(docs, id_col, text_col))
-    spans = spans.groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    bytes are whole. Other columns are not read. A text that a smaller id has as a whole goes as a whole,
+    before any string is looked for; the smallest id speaks for all."""
+    texts = _keyed(docs, id_col, text_col)
+    copies = whole_copies(texts)
+    few = copies.count() <= FEW_COPIES
+    marked = texts.join(F.broadcast(copies) if few else copies, ["k", "k2"], "left").withColumn("copy", F.coalesce(F.col("first") < F.col("id"), F.lit(False)))
+    spans = common.keep(repeated_spans(marked.where("not copy")), "zstd")
+    spans = common.keep(spans.groupBy("id", "k").agg(F.collect_list(F.struct("start", "n")).alias("spans")))
+    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(common.hash_filter(spans.select(F.xxhash64("id", "k")))))
+    schema = "id long, k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+
+    def part(flagged: bool):
+        """Rows that may have spans, with their bytes in kept and no digest; or the others, which are done."""
+
+        def run(batches):
+            marks = np.unpackbits(wanted.value).view(bool)
+            for batch in batches:
+                hits = marks[batch.column(4).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(41)] & ~batch.column(3).to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array(hits if flagged else ~hits))
+                data, offsets = textbytes.text_buffers(batch.column(2))
+                sizes = np.diff(offsets)
+                copy = batch.column(3).to_numpy(zero_copy_only=False)
+                kept = [b"" if c else data[a:b].tobytes() for a, b, c in zip(offsets[:-1], offsets[1:], copy)]
+                digest = [None if flagged else hashlib.sha256(x).hexdigest() for x in kept]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(np.where(copy, sizes, 0)), pa.array(copy.astype(np.int64)), pa.array(digest, pa.string()), pa.array(kept, pa.binary())], names=[c.split()[0] for c in schema.split(", ")])
+
+        return marked.select("id", "k", "text", "copy", F.xxhash64("id", "k").alias("h")).mapInArrow(run, schema)
 
     def drop(batches):
         for batch in batches:
-            data, offsets = textbytes.text_buffers(batch.column(1))
-            n_bytes, n_removed, n_spans, digests, kept = [], [], [], [], []
-            for k, spans in enumerate(batch.column(2).to_pylist()):
-                own = data[offsets[k] : offsets[k + 1]]
+            columns = {name: [] for name in ("n_removed", "n_spans", "kept_sha256", "kept")}
+            for own, spans in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist()):
+                own = np.frombuffer(own, np.uint8)
                 edges = np.zeros(len(own) + 1, np.int32)
                 if spans:
                     start = np.array([s["start"] for s in spans])
@@ -301,15 +341,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     np.add.at(edges, start + np.array([s["n"] for s in spans]) + LENGTH - 1, -1)
                 gone = np.cumsum(edges)[:-1] > 0
                 left = own[~gone].tobytes()
-                n_bytes.append(len(own))
-                n_removed.append(int(gone.sum()))
-                n_spans.append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(own) else 0)
-                digests.append(hashlib.sha256(left).hexdigest())
-                kept.append(left)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    joined = texts.join(spans, ["id", "text_key"], "left").select("id", "text", "spans")
-    return joined.mapInArrow(drop, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
+                columns["n_removed"].append(int(gone.sum()))
+                columns["n_spans"].append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(own) else 0)
+                columns["kept_sha256"].append(hashlib.sha256(left).hexdigest())
+                columns["kept"].append(left)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(columns["n_removed"], pa.int64()), pa.array(columns["n_spans"], pa.int64()), pa.array(columns["kept_sha256"], pa.string()), pa.array(columns["kept"], pa.binary())], names=batch.schema.names[:7])
+
+    done, open_ = part(False), part(True)
+    open_ = open_.join(spans, ["id", "k"], "left").select(*done.columns, "spans").mapInArrow(drop, schema)
+    return done.union(open_).drop("k").withColumnRenamed("id", id_col)
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
