@@ -26,7 +26,7 @@ from tessera.llm import common, textbytes
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-WORDS_KEPT = 1 << 18
+WORDS_KEPT = 1 << 19
 PAIRS_KEPT = 1 << 18
 DECODE_IDS = 1 << 18
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -90,7 +90,8 @@ class Pieces:
         self.unknown = next(k for k, kind in enumerate(kinds) if kind == UNKNOWN)
         self.has_bytes = BYTE in kinds
         self.longest = max(map(len, self.id_of), default=1)
-        self.tails = {p[k:] for p in self.id_of for k in range(len(p))}
+        # True for pieces, False for what only ends one: how far back a piece that ends here can begin
+        self.tails = {p[k:]: False for p in self.id_of for k in range(1, len(p))} | dict.fromkeys(self.id_of, True)
         self.lowest = min((scores[k] for k in usable), default=0.0) - 10.0
         self.pairs: dict[tuple[str, str], bool] = {}
         self.edges: dict[tuple[str, bool], list[tuple[str, float]] | None] = {}
@@ -199,7 +200,7 @@ class Pieces:
         last: list[str] = [""]  # last[i]: the piece that ends the encoding of the first i characters
         total: list[float] = [0.0]
         previous = ""
-        id_of, longest, pairs, tails = self.id_of, self.longest, self.pairs, self.tails
+        id_of, longest, pairs, tails = self.id_of, self.longest, self.pairs.get, self.tails.get
         for word in words:
             shared, most = 0, min(len(word), len(previous))
             while shared < most and word[shared] == previous[shared]:
@@ -207,17 +208,21 @@ class Pieces:
             del last[shared + 1 :], total[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 if self.bpe:
-                    start, found = end, word[end - 1]
-                    while start:
-                        start -= 1
-                        piece = word[start:end]
-                        if piece in id_of or start == end - 1:
-                            fits = pairs.get((last[start], piece))
+                    start = end - 1
+                    piece = found = word[start]
+                    kind = tails(piece)
+                    whole = True  # a character may stand alone even if it is no piece
+                    while True:
+                        if whole:
+                            fits = pairs((last[start], piece))
                             if self._fits(last[start], piece) if fits is None else fits:
                                 found = piece
                                 break
-                        if piece not in tails:
+                        if kind is None or not start:
                             break
+                        start -= 1
+                        piece = word[start:end]
+                        kind = whole = tails(piece)
                     last.append(found)
                 else:
                     best, found = -np.inf, word[end - 1]
