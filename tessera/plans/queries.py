@@ -222,24 +222,24 @@ def _market(spark, sf):
 
 CAPTURE_SQL = WINDOW_SQL.replace("WITH", "WITH RECURSIVE", 1) + f""",
 c AS (SELECT a.label, a.origin, a.name AS i, b.name AS j, covar_pop(a.x / a.s, b.x / b.s) AS v FROM (SELECT e.*, plain AS s FROM e JOIN sig USING (label, origin, name)) a JOIN (SELECT e.*, plain AS s FROM e JOIN sig USING (label, origin, name)) b ON a.label = b.label AND a.origin = b.origin AND a.k = b.k GROUP BY ALL),
-m AS (SELECT label, origin, list(row ORDER BY i) AS C FROM (SELECT label, origin, i, list(v ORDER BY j) AS row FROM c GROUP BY ALL) GROUP BY ALL),
+m AS (SELECT label, origin, list(row ORDER BY i) AS mat FROM (SELECT label, origin, i, list(v ORDER BY j) AS row FROM c GROUP BY ALL) GROUP BY ALL),
 it AS (
-  SELECT label, origin, 0 AS d, 0 AS k, C, C AS P, CAST([] AS DOUBLE[][]) AS V FROM m
+  SELECT label, origin, 0 AS d, 0 AS k, mat, mat AS pw, CAST([] AS DOUBLE[][]) AS found FROM m
   UNION ALL
   SELECT label, origin, CASE WHEN k < 22 THEN d ELSE d + 1 END, CASE WHEN k < 22 THEN k + 1 ELSE 0 END,
-         CASE WHEN k < 22 THEN C ELSE D END, CASE WHEN k < 22 THEN list_transform(Q, lambda q: list_transform(q, lambda x: x / z)) ELSE D END,
-         CASE WHEN k < 22 THEN V ELSE list_append(V, v) END
-  FROM (SELECT *, CASE WHEN k < 22 THEN NULL ELSE list_transform(C, lambda q, a: list_transform(q, lambda x, b: x - lam * v[a] * v[b])) END AS D FROM (
-    SELECT *, CASE WHEN k < 22 THEN NULL ELSE list_dot_product(v, list_transform(C, lambda q: list_dot_product(q, v))) END AS lam FROM (
-    SELECT *, CASE WHEN k < 22 THEN NULL ELSE list_transform(u, lambda x: x / sqrt(list_dot_product(u, u))) END AS v,
-           CASE WHEN k < 22 THEN list_max(list_transform(Q, lambda q: list_max(list_transform(q, lambda x: abs(x))))) END AS z FROM (
-    SELECT *, CASE WHEN k < 22 THEN list_transform(P, lambda p: list_transform(P, lambda q: list_dot_product(p, q))) END AS Q,
-           CASE WHEN k < 22 THEN NULL ELSE P[list_position(list_transform(P, lambda p, a: p[a]), list_max(list_transform(P, lambda p, a: p[a])))] END AS u
+         CASE WHEN k < 22 THEN mat ELSE rest END, CASE WHEN k < 22 THEN list_transform(sq, lambda r1: list_transform(r1, lambda x1: x1 / big)) ELSE rest END,
+         CASE WHEN k < 22 THEN found ELSE list_append(found, unit) END
+  FROM (SELECT *, CASE WHEN k < 22 THEN NULL ELSE list_transform(mat, lambda r2, a2: list_transform(r2, lambda x2, b2: x2 - lam * unit[a2] * unit[b2])) END AS rest FROM (
+    SELECT *, CASE WHEN k < 22 THEN NULL ELSE list_dot_product(unit, list_transform(mat, lambda r3: list_dot_product(r3, unit))) END AS lam FROM (
+    SELECT *, CASE WHEN k < 22 THEN NULL ELSE list_transform(col, lambda x4: x4 / sqrt(list_dot_product(col, col))) END AS unit,
+           CASE WHEN k < 22 THEN list_max(list_transform(sq, lambda r5: list_max(list_transform(r5, lambda x5: abs(x5))))) END AS big FROM (
+    SELECT *, CASE WHEN k < 22 THEN list_transform(pw, lambda r6: list_transform(pw, lambda r7: list_dot_product(r6, r7))) END AS sq,
+           CASE WHEN k < 22 THEN NULL ELSE pw[list_position(list_transform(pw, lambda r8, a8: r8[a8]), list_max(list_transform(pw, lambda r9, a9: r9[a9])))] END AS col
     FROM it WHERE d < 6))))),
-f AS (SELECT label, origin, V FROM it WHERE d = 6),
+f AS (SELECT label, origin, found FROM it WHERE d = 6),
 y AS (SELECT o.label, o.origin, t, list(x / sigma ORDER BY p.name) AS y FROM o JOIN panel p ON p.label = o.label AND p.t >= s + {T_IN} AND p.t < s + {T_IN + T_OUT} JOIN sig ON sig.label = o.label AND sig.origin = o.origin AND sig.name = p.name GROUP BY ALL),
-g AS (SELECT label, origin, unnest(generate_series(1, 6)) AS j, y, V FROM y JOIN f USING (label, origin)),
-h AS (SELECT label, origin, j, sum(pow(list_dot_product(V[j], y), 2)) AS p, sum(list_dot_product(y, y)) AS w, any_value(len(y)) AS n FROM g GROUP BY ALL)
+g AS (SELECT label, origin, unnest(generate_series(1, 6)) AS j, y.y AS yy, found FROM y JOIN f USING (label, origin)),
+h AS (SELECT label, origin, j, sum(pow(list_dot_product(found[j], yy), 2)) AS p, sum(list_dot_product(yy, yy)) AS w, any_value(len(yy)) AS n FROM g GROUP BY ALL)
 SELECT label, origin, CAST(any_value(n) AS INTEGER) AS n_names, round(sum(p) FILTER (WHERE j = 1) / any_value(w), 6) AS capture_1, round(sum(p) FILTER (WHERE j <= 3) / any_value(w), 6) AS capture_3, round(sum(p) / any_value(w), 6) AS capture_6, round(6 / any_value(n), 6) AS floor_6 FROM h GROUP BY ALL"""
 
 
