@@ -40,7 +40,7 @@ def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     return sums.select(dimension, (F.col("mass") / F.sum("mass").over(Window.partitionBy())).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-10, sweeps: int = 8, rounds: int = 40) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-13, sweeps: int = 12, rounds: int = 40) -> DataFrame:
     """cells (the dimensions, tokens > 0) with mass: shares that sum to 1 and fit all targets (value, share).
 
     The cells, one row per combination of values, are raked in one partition, so that no sweep shuffles.
