@@ -244,3 +244,33 @@ def skill(model: float, frozen: float, ceiling: float, bias: float = 0.0) -> flo
 
 def equal_weights(n: int) -> np.ndarray:
     return np.full((n, 1), n**-0.5)
+
+
+def desynchronise(tangents: np.ndarray, bases: list[np.ndarray], rng: np.random.Generator) -> np.ndarray:
+    """Tangents (motions x N x P) whose rows are shifted in time, each name by its own amount round the
+    circle; then made horizontal at their bases and given back their speeds. Levels share their shifts
+    when called with generators of one seed."""
+    t = np.asarray(tangents, float)
+    shift = rng.integers(0, len(t), t.shape[1])
+    moved = np.stack([np.roll(t[:, k], s, axis=0) for k, s in enumerate(shift)], axis=1)
+    out = []
+    for h, u, speed in zip(moved, bases, np.linalg.norm(t.reshape(len(t), -1), axis=1)):
+        h = h - u @ (u.T @ h)
+        size = np.linalg.norm(h)
+        out.append(h * (speed / size) if size > 0 else h)
+    return np.stack(out)
+
+
+def motions(bases: list[np.ndarray], offset: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(logarithms from each base to the one offset later, the bases they start from), along a smoothed path."""
+    path = smooth_path(bases)
+    starts = path[: len(path) - offset]
+    return np.stack([log(a, b) for a, b in zip(starts, path[offset:])]), starts
+
+
+def cross_share(frame, now, later, least: float = 1e-20) -> float:
+    """Share of a covariance's change that lies between a subspace and its complement; NaN without change."""
+    u, d = checked(frame), np.asarray(later, float) - now
+    whole = np.square(d).sum()
+    off = d @ u - u @ (u.T @ d @ u)
+    return float(2 * np.square(off).sum() / whole) if whole > least else float("nan")

@@ -210,3 +210,9 @@ def persistence(panel, t_in: int, horizon: int, step: int) -> float:
     k = horizon // step
     cos = [flags.cosine([-h for h in flags.flag_log(frames[i], frames[i - k])], flags.flag_log(frames[i], frames[i + k])) for i in range(k, len(frames) - k)]
     return float(np.nanmean(cos)) if cos else float("nan")
+
+
+def least_angle(null, p: int) -> float:
+    """The rotation in degrees that stands out of null distances: their 95th less their 20th percentile."""
+    high, low = np.quantile(np.asarray(null, float), [0.95, 0.2])
+    return excess_angle(float(high - low), p)

@@ -91,3 +91,10 @@ def first_crossing(curve: DataFrame, by: list[str], x: str, y: str, level: float
 def lag_bins(pairs: DataFrame, tolerance: int, value: str) -> DataFrame:
     """Mean value by lag, in bins to the nearest multiple of tolerance, halves to the even one."""
     return pairs.groupBy("label", (F.bround(F.col("lag") / tolerance) * tolerance).cast("long").alias("lag_bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias(value))
+
+
+def peak(curve: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """(by, x, y, interior, verdict): where y is largest, ties to the smaller x, and whether it falls again on both sides."""
+    top = curve.groupBy(*by).agg(F.max_by(x, F.struct(F.col(y), -F.col(x))).alias(x), F.max(y).alias(y), F.min(x).alias("low"), F.max(x).alias("high"))
+    verdict = F.when(F.col("low") == F.col("high"), "one point").when(F.col(x) == F.col("low"), "falls throughout").when(F.col(x) == F.col("high"), "still rises at the end").otherwise("peak inside")
+    return top.select(*by, x, y, verdict.alias("verdict"))

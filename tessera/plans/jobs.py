@@ -307,6 +307,34 @@ def _p(draws: DataFrame) -> DataFrame:
     return summaries.empirical_p(observed.withColumnRenamed("statistic", "value"), null, ["label"], "value").withColumnRenamed("value", "statistic")
 
 
+def coherence_null(panel: DataFrame, t_in: int, horizon: int, step: int, replicates: int, width: int = 3, seed: int = 13) -> DataFrame:
+    """(label, replicate, leading_share, spike_ratio, participation, effective_rank) of the motions of the
+    leading subspace (replicate 0) and of nulls in which every name moves at its own times. The path of a
+    panel is smoothed in order, so one group is one replicate of one panel."""
+    spread = window_frames(panel, t_in, step).select("label", "w", "frame").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+    names = ("leading_share", "spike_ratio", "participation", "effective_rank")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        label, k = frame["label"].iloc[0], int(frame["replicate"].iloc[0])
+        moves, starts = flags.motions([_frame(f)[:, :width] for f in frame.sort_values("w")["frame"]], horizon // step)
+        if k:
+            moves = flags.desynchronise(moves, starts, inference.generator(seed, label, k))
+        told = flags.coherence(moves)
+        return pd.DataFrame([[label, k, *(told[n] for n in names)]])
+
+    return spread.groupBy("label", "replicate").applyInPandas(run, "label string, replicate int, " + ", ".join(f"{n} double" for n in names))
+
+
+def change_shares(panel: DataFrame, t_in: int, t_out: int, step: int, width: int = 6) -> DataFrame:
+    """(label, origin, cross_share): how much of the covariance's change crosses the border of the leading subspace."""
+
+    def kernel(label, origin, names, past, ahead):
+        now = spectra.covariance(past)
+        return [[label, origin, flags.cross_share(spectra.eigenpairs(now, width)[1], now, spectra.covariance(ahead))]]
+
+    return apply_windows(assign_windows(panel, t_in, t_out, step), kernel, "label string, origin int, cross_share double")
+
+
 def detection_power(spark, n: int = 16, days: int = 240, t_in: int = 60, horizon: int = 12, step: int = 6, omegas=(0.0, 1e-3, 4e-3, 1.6e-2), replicates: int = 6, seed: int = 11) -> DataFrame:
     """(omega, replicate, statistic): persistence in synthetic worlds that rotate at a known speed."""
     grid = spark.range(len(omegas) * replicates).select((F.col("id") % len(omegas)).cast("int").alias("o"), F.floor(F.col("id") / len(omegas)).cast("int").alias("replicate"))

@@ -397,6 +397,24 @@ for _null in ("calendar", "volatility", "iaaft"):
         return jobs.null_p_values(jobs.permutation_null(panel_of(spark, sf), 36, 6, 6, 9, kind))
 
 
+@query("coherence_null")
+def _coherence(spark, sf):
+    draws = jobs.coherence_null(panel_of(spark, sf), 24, 6, 6, 9).select("label", "replicate", F.col("leading_share").alias("statistic"))
+    return jobs.null_p_values(draws)
+
+
+@query("change_shares")
+def _shares(spark, sf):
+    return jobs.change_shares(panel_of(spark, sf), T_IN, T_OUT, STEP)
+
+
+@query("distance_peak")
+def _peak(spark, sf):
+    """The window length of the largest distance over its null."""
+    curve = _back(spark, sf).withColumn("excess", F.col("distance") - F.col("null"))
+    return S.peak(curve, ["label"], "length", "excess")
+
+
 @query("detection_power")
 def _power(spark, sf):
     return jobs.detection_threshold(jobs.detection_power(spark))

@@ -212,3 +212,22 @@ def test_foresight_and_combination_run():
     out = estimators.foresight(x[:, :60], x[:, 12:72], x[:, 60:72], 21)
     assert len(out) == 5 and all(np.linalg.eigvalsh(c).min() > 0 for c in out.values())
     assert estimators.factor_combination_frame(x, rank=8).shape == (14, 6)
+
+
+def test_desynchronised_motions_stay_horizontal_at_speed():
+    rng = np.random.default_rng(6)
+    moves, starts = flags.motions([frame(12, 3, k) for k in range(9)], 2)
+    moved = flags.desynchronise(moves, starts, rng)
+    assert max(np.abs(u.T @ h).max() for u, h in zip(starts, moved)) < 1e-9
+    assert np.allclose(np.linalg.norm(moved, axis=(1, 2)), np.linalg.norm(moves, axis=(1, 2)))
+    assert 0 < flags.coherence(moved)["leading_share"] <= 1
+
+
+def test_change_across_the_border():
+    u = np.eye(8)[:, :3]
+    inside, across = np.zeros((8, 8)), np.zeros((8, 8))
+    inside[0, 0], across[0, 7], across[7, 0] = 1, 1, 1
+    assert flags.cross_share(u, np.eye(8), np.eye(8) + inside) == pytest.approx(0)
+    assert flags.cross_share(u, np.eye(8), np.eye(8) + across) == pytest.approx(1)
+    assert np.isnan(flags.cross_share(u, np.eye(8), np.eye(8)))
+    assert inference.least_angle(np.linspace(0, 0.01, 50), 3) > 0
