@@ -3,7 +3,8 @@
 Every string of LENGTH bytes that occurs in a document with a smaller id is removed. Two equal strings
 hold the same anchor, the least hash of their GRAM-byte slices, so text is cut into segments of strings
 with one anchor, and only anchors that occur twice anywhere are looked at (an anchor of one occurrence
-cannot be in a repeated string). Segments meet by anchor; equal segments become one with its smallest id.
+cannot be in a repeated string). Segments meet by anchor; equal segments become one with its smallest id, and anchors with
+several different segments go on.
 
 In a bucket of anchors, segments are dealt to shards. Each shard has the Burrows-Wheeler transform of its
 segments. The interleave says from which shard each row of the merged transform comes; it starts in shard
@@ -29,8 +30,8 @@ LENGTH = 50
 GRAM = 20
 SPAN = LENGTH - GRAM + 1  # starts of one segment at most
 END = 0xFF  # no byte of UTF-8
-SHARD_BYTES = 1 << 20
-BUCKET_BYTES = 4 << 20
+SHARD_BYTES = 1 << 17
+BUCKET_BYTES = 1 << 18
 HEAVY = 200_000  # distinct segments of one anchor that stay together
 FEW_COPIES = 500_000  # 24 bytes each: so many whole copies at most are broadcast
 
@@ -129,7 +130,7 @@ def transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, before[order]
 
 
-def merge(shards: list[tuple[np.ndarray, np.ndarray]], length: int = LENGTH, thin_at: tuple[int, ...] = (10, 14, 20, 30)):
+def merge(shards: list[tuple[np.ndarray, np.ndarray]], length: int = LENGTH, thin_at: tuple[int, ...] = (7, 9, 12, 16, 22, 30)):
     """Merge transforms: (shard of each row, row in its shard, opens), after length symbols.
 
     shards: (string number of each row, transform) of each; opens marks the first row of each interval.
@@ -282,8 +283,19 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
 
     # k1 is the anchor, k2 the segment's own hash: together 128 bits
     cuts = common.keep(texts.mapInArrow(cut, "id long, k long, at int, k1 long, k2 long, segment binary"), "zstd")
-    shared = cuts.groupBy("k1").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("k1")
-    joint = common.keep(cuts.select("id", "k1", "k2", "segment").join(shared, "k1", "left_semi").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("segment").alias("segment")), "zstd")
+    stats = common.keep(cuts.groupBy("k1").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("k2").alias("a"), F.max("k2").alias("b")).where("low <> high"), "zstd")
+    # an anchor whose segments are all equal has nothing to merge: the smallest id has every string of it first
+    equal = cuts.select("id", "k", "at", "k1", (F.length("segment") - LENGTH + 1).alias("n")).join(stats.where("a = b").select("k1", "low"), "k1").where("low < id").select("id", "k", F.col("at").alias("start"), "n")
+    several = stats.where("a <> b").select("k1")
+    marks = spark.sparkContext.broadcast(np.packbits(common.hash_filter(several)))
+
+    def maybe(batches):
+        bits = np.unpackbits(marks.value).view(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(bits[batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(41)]))
+
+    mixed = common.keep(cuts.mapInArrow(maybe, "id long, k long, at int, k1 long, k2 long, segment binary").join(several, "k1", "left_semi").select("id", "k", "at", "k1", "k2", "segment"), "zstd")
+    joint = common.keep(mixed.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("segment").alias("segment")), "zstd")
     heavy = joint.groupBy("k1").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HEAVY).select("k1", F.lit(True).alias("heavy"))
     told = joint.join(heavy, "k1", "left")
     whole = told.where("heavy is null").select("k1", "k2", F.lit(0).alias("start"), "id", "segment", F.col("k1").alias("place"))
@@ -292,7 +304,8 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     size = joint.agg(F.sum(F.length("segment"))).first()[0] or 0
     buckets = 1 + size // BUCKET_BYTES
     first = together.withColumn("bucket", F.pmod(F.xxhash64("place"), F.lit(buckets))).drop("place").groupBy("bucket").applyInArrow(_bucket, "k1 long, k2 long, start int, n int, first long")
-    return cuts.select("id", "k", "at", "k1", "k2").join(first, ["k1", "k2"]).where("first < id").select("id", "k", (F.col("at") + F.col("start")).alias("start"), "n")
+    merged = mixed.select("id", "k", "at", "k1", "k2").join(first, ["k1", "k2"]).where("first < id").select("id", "k", (F.col("at") + F.col("start")).alias("start"), "n")
+    return equal.union(merged)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
