@@ -142,7 +142,7 @@ def variance_path(panel: DataFrame, window: int = 1) -> DataFrame:
 def cv_squared(panel: DataFrame, window: int = 1) -> DataFrame:
     """(label, cv2): relative variance of the variance path."""
     level = F.col("level")
-    return variance_path(panel, window).groupBy("label").agg((F.avg(level * level) / (F.avg(level) * F.avg(level)) - 1).alias("cv2"))
+    return variance_path(panel, window).groupBy("label").agg((F.try_divide(F.avg(level * level), F.avg(level) * F.avg(level)) - 1).alias("cv2"))
 
 
 def standardise_days(panel: DataFrame, window: int = 1) -> DataFrame:
@@ -172,7 +172,7 @@ def panel_report(panel: DataFrame, periods: int = 252) -> DataFrame:
     """One row per label: names, days, their ratio, kurtosis (fourth moment over squared sample variance),
     zero share, CV2 and the median annualised deviation."""
     moments = panel.withColumn("z", F.col("x") - F.avg("x").over(Window.partitionBy("label", "name"))).groupBy("label", "name").agg(
-        F.stddev_samp("z").alias("sd"), (F.avg(F.pow("z", F.lit(4))) / F.pow(F.stddev_samp("z"), F.lit(4))).alias("kurtosis"), F.count(F.lit(1)).alias("days"), F.count_if(F.col("x") == 0).alias("zeros"))
+        F.stddev_samp("z").alias("sd"), F.try_divide(F.avg(F.pow("z", F.lit(4))), F.pow(F.stddev_samp("z"), F.lit(4))).alias("kurtosis"), F.count(F.lit(1)).alias("days"), F.count_if(F.col("x") == 0).alias("zeros"))
     half = lambda c: F.expr(f"percentile({c}, 0.5)")
     wide = moments.groupBy("label").agg(F.count(F.lit(1)).alias("n_names"), F.max("days").alias("n_days"), half("kurtosis").alias("kurtosis_median"), F.max("kurtosis").alias("kurtosis_max"), (F.sum("zeros") / F.sum("days")).alias("zero_fraction"), (half("sd") * F.sqrt(F.lit(float(periods)))).alias("annualised_vol_median"))
     return wide.join(cv_squared(panel), "label").withColumn("q", F.col("n_names") / F.col("n_days")).withColumn("excess_kurtosis_median", F.col("kurtosis_median") - 3)

@@ -84,8 +84,8 @@ CASE WHEN cov < 0.98 THEN 'coverage' WHEN longest > 10 THEN 'stale run' WHEN zf
 
     @query(f"panel_report_{_kind}", f"""WITH {panel_sql(_kind)},
 z AS (SELECT label, name, x, x - avg(x) OVER (PARTITION BY label, name) AS z FROM panel),
-m AS (SELECT label, name, stddev_samp(z) AS sd, avg(z * z * z * z) / pow(stddev_samp(z), 4) AS k, count(*) AS n, count(*) FILTER (WHERE x = 0) AS zeros FROM z GROUP BY ALL),
-v AS (SELECT label, avg(l * l) / (avg(l) * avg(l)) - 1 AS cv2 FROM (SELECT label, t, avg(x * x) AS l FROM panel GROUP BY ALL) GROUP BY ALL)
+m AS (SELECT label, name, stddev_samp(z) AS sd, avg(z * z * z * z) / nullif(pow(stddev_samp(z), 4), 0) AS k, count(*) AS n, count(*) FILTER (WHERE x = 0) AS zeros FROM z GROUP BY ALL),
+v AS (SELECT label, avg(l * l) / nullif(avg(l) * avg(l), 0) - 1 AS cv2 FROM (SELECT label, t, avg(x * x) AS l FROM panel GROUP BY ALL) GROUP BY ALL)
 SELECT label, count(*) AS n_names, max(n) AS n_days, round(count(*) / max(n), 6) AS q, round(quantile_cont(k, 0.5), 6) AS kurtosis_median, round(max(k), 6) AS kurtosis_max, round(quantile_cont(k, 0.5) - 3, 6) AS excess_kurtosis_median,
 round(sum(zeros) / sum(n), 6) AS zero_fraction, round(quantile_cont(sd, 0.5) * sqrt(252), 6) AS annualised_vol_median, round(any_value(cv2), 6) AS cv2 FROM m JOIN v USING (label) GROUP BY label""")
     def _report(spark, sf, kind=_kind):

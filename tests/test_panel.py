@@ -125,7 +125,7 @@ def test_query_runs_and_meets_its_sql(spark, name):
     want = con.sql(sql)
     assert sorted(got.columns) == sorted(want.columns)
     at = [want.columns.index(c) for c in got.columns]
-    text = lambda row: tuple(f"{x:.5f}" if isinstance(x, float) else str(x) for x in row)
+    text = lambda row: tuple(f"{round(x, 5) + 0.0:.5f}" if isinstance(x, float) else str(x) for x in row)
     assert sorted(map(text, rows)) == sorted(text([r[k] for k in at]) for r in want.fetchall())
 
 
