@@ -30,6 +30,7 @@ LENGTH = 50
 GRAM = 20
 SPAN = LENGTH - GRAM + 1  # starts of one segment at most
 END = 0xFF  # no byte of UTF-8
+AFTER_END = np.array([(1 << 64) - (1 << (8 * (7 - k))) for k in range(8)], np.uint64)  # the first k + 1 bytes of eight
 SHARD_BYTES = 1 << 17
 BUCKET_BYTES = 1 << 18
 HEAVY = 200_000  # distinct segments of one anchor that stay together
@@ -96,15 +97,12 @@ def transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, Burrows-Wheeler transform) of strings that each end in END. Ends are in the order
     of their places, so equal suffixes are in the order of their strings. A whole string's row has END."""
     n = len(text)
-    code = text.astype(np.uint64)
-    code[text == END] = 0
-    code[text != END] += np.uint64(1)  # 1..255, END is least
-    padded = np.concatenate([code, np.zeros(8, np.uint64)])
+    code = np.zeros(n + 8, np.uint8)
+    code[:n] = np.where(text == END, 0, text + np.uint8(1))  # END is least
     to_end = np.flatnonzero(text == END)
-    room = to_end[np.searchsorted(to_end, np.arange(n))] - np.arange(n)  # symbols before the end
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = key << np.uint64(8) | np.where(room >= k, padded[k : k + n], np.uint64(0))
+    room = np.repeat(to_end, np.diff(to_end, prepend=-1)) - np.arange(n)  # symbols before the end
+    key = np.lib.stride_tricks.sliding_window_view(code, 8)[:n].copy().view(">u8").reshape(-1).astype(np.uint64)
+    key &= AFTER_END[np.minimum(room, 7)]
     order = np.argsort(key, kind="stable")
     depth = 8
     ranks = np.empty(n, np.int64)
@@ -130,7 +128,7 @@ def transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, before[order]
 
 
-def merge(shards: list[tuple[np.ndarray, np.ndarray]], length: int = LENGTH, thin_at: tuple[int, ...] = (7, 9, 12, 16, 22, 30)):
+def merge(shards: list[tuple[np.ndarray, np.ndarray]], length: int = LENGTH, thin_at: tuple[int, ...] = (6, 8, 10, 12, 15, 20, 28, 38)):
     """Merge transforms: (shard of each row, row in its shard, opens), after length symbols.
 
     shards: (string number of each row, transform) of each; opens marks the first row of each interval.
@@ -149,7 +147,7 @@ def merge(shards: list[tuple[np.ndarray, np.ndarray]], length: int = LENGTH, thi
         # code 0 for END, as in the transforms' order
         symbols = symbols + np.uint8(1)
         order = np.argsort(symbols, kind="stable")
-        block = np.cumsum(opens)
+        block = np.cumsum(opens, dtype=np.int32)
         symbols, block = symbols[order], block[order]
         fresh = np.ones(len(order), bool)
         fresh[1:] = (symbols[1:] != symbols[:-1]) | (block[1:] != block[:-1])
@@ -162,8 +160,9 @@ def merge(shards: list[tuple[np.ndarray, np.ndarray]], length: int = LENGTH, thi
             kept_rows = np.empty(len(shard), bool)
             for k in range(len(bwt)):
                 own = shard == k
-                shared = np.unique(strings[k][~alone[own]])
-                stay = np.isin(strings[k], shared)
+                shared = np.zeros(int(strings[k].max(initial=-1)) + 1, bool)
+                shared[strings[k][~alone[own]]] = True
+                stay = shared[strings[k]]
                 kept_rows[own] = stay
                 strings[k], bwt[k], rows[k] = strings[k][stay], bwt[k][stay], rows[k][stay]
             block = np.cumsum(opens)[kept_rows]
@@ -295,13 +294,13 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(bits[batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(41)]))
 
     mixed = common.keep(cuts.mapInArrow(maybe, "id long, k long, at int, k1 long, k2 long, segment binary").join(several, "k1", "left_semi").select("id", "k", "at", "k1", "k2", "segment"), "zstd")
-    joint = common.keep(mixed.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("segment").alias("segment")), "zstd")
-    heavy = joint.groupBy("k1").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HEAVY).select("k1", F.lit(True).alias("heavy"))
-    told = joint.join(heavy, "k1", "left")
+    joint = mixed.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("segment").alias("segment"))
+    heavy = mixed.groupBy("k1").agg(F.count_distinct("k2").alias("c")).where(F.col("c") > HEAVY).select("k1", F.lit(True).alias("heavy"))
+    told = joint.withColumn("heavy", F.lit(None).cast("boolean")) if heavy.isEmpty() else joint.join(heavy, "k1", "left")
     whole = told.where("heavy is null").select("k1", "k2", F.lit(0).alias("start"), "id", "segment", F.col("k1").alias("place"))
     single = told.where("heavy").withColumn("start", F.explode(F.sequence(F.lit(0), F.length("segment") - LENGTH))).withColumn("segment", F.expr(f"substring(segment, start + 1, {LENGTH})"))
-    together = whole.union(single.select("k1", "k2", "start", "id", "segment", F.xxhash64("segment").alias("place")))
-    size = joint.agg(F.sum(F.length("segment"))).first()[0] or 0
+    together = whole if heavy.isEmpty() else whole.union(single.select("k1", "k2", "start", "id", "segment", F.xxhash64("segment").alias("place")))
+    size = mixed.agg(F.sum(F.length("segment"))).first()[0] or 0
     buckets = 1 + size // BUCKET_BYTES
     first = together.withColumn("bucket", F.pmod(F.xxhash64("place"), F.lit(buckets))).drop("place").groupBy("bucket").applyInArrow(_bucket, "k1 long, k2 long, start int, n int, first long")
     merged = mixed.select("id", "k", "at", "k1", "k2").join(first, ["k1", "k2"]).where("first < id").select("id", "k", (F.col("at") + F.col("start")).alias("start"), "n")
@@ -320,8 +319,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = whole_copies(texts)
     few = copies.count() <= FEW_COPIES
     marked = texts.join(F.broadcast(copies) if few else copies, ["k", "k2"], "left").withColumn("copy", F.coalesce(F.col("first") < F.col("id"), F.lit(False)))
-    spans = common.keep(repeated_spans(marked.where("not copy")), "zstd")
-    spans = common.keep(spans.groupBy("id", "k").agg(F.collect_list(F.struct("start", "n")).alias("spans")))
+    spans = repeated_spans(marked.where("not copy")).groupBy("id", "k").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    spans = common.keep(spans, "zstd")
     wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(common.hash_filter(spans.select(F.xxhash64("id", "k")))))
     schema = "id long, k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
