@@ -26,8 +26,8 @@ from tessera.llm import common, textbytes
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-WORDS_KEPT = 1 << 19
-PAIRS_KEPT = 1 << 18
+WORDS_KEPT = 3 << 17
+PAIRS_KEPT = 3 << 16
 DECODE_IDS = 1 << 18
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
