@@ -18,6 +18,8 @@ its own words, which are a random part of all.
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,7 +32,8 @@ CLASSES = 1 << 16
 END = np.uint64(0x0E2D0E2D0E2D0E2D)
 START = 0x5A17
 DISCOUNT, STRENGTH = 0.8, 5.0
-SAMPLES, BURN, BETWEEN = 3, 4, 1
+SAMPLES, BURN, BETWEEN = 3, 6, 2
+LONE = 48  # fewer cells than this are seated one by one
 BUCKET_TOKENS = 2_500_000
 FLUSH = 2_500_000
 FLUSH_TEXTS = 32_000  # a place of 15 bits and one bit that tells held-out texts
@@ -86,75 +89,101 @@ def _unpack(data: bytes, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Seating:
     """The tables of cells (a dish in a restaurant) and their customers, sampled together for all cells.
 
-    Cells of one customer have one table; the others keep each customer's table."""
+    Cells of one customer have one table; the others keep each customer's table. Customers take turns by
+    their place in the cell, all cells at once; where fewer than LONE cells are so long, the rest of each
+    is seated by itself. Each customer sees the seats of all others of its cell as they are then."""
 
-    def __init__(self, counts: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator):
+    def __init__(self, counts: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator, names: np.ndarray | None = None):
+        """names: the customers' tables as an earlier seating of these counts gave them out."""
         self.counts, self.discount, self.rng = counts, discount, rng
         self.many = np.flatnonzero(counts > 1)
-        self.size = counts[self.many]
+        self.size = counts[self.many].astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.size)])[:-1]
-        self.n = np.ones(len(self.many), np.int64)  # tables of each cell
+        self.by_size = np.argsort(-self.size, kind="stable")
+        self.falling = -self.size[self.by_size]
         total = int(self.size.sum())
+        if names is not None:
+            self.table = (np.repeat(self.first, self.size) + names).astype(np.int32)
+            self.seats = np.bincount(self.table, minlength=total).astype(np.int32)
+            self.n = np.add.reduceat(self.seats > 0, self.first).astype(np.int64) if total else np.zeros(0, np.int64)
+            return
+        self.n = np.ones(len(self.many), np.int64)  # tables of each cell
         self.table = np.zeros(total, np.int32)  # customers' tables, named by a place of their cell
         self.seats = np.zeros(total, np.int32)  # customers of a table, at its name
         self.table[self.first] = self.first
         self.seats[self.first] = 1
-        a = pull[self.many]
-        i, cells = 1, np.arange(len(self.many))
-        while len(cells := cells[self.size[cells] > i]):
-            step = max(1, i // 2)  # later customers come in groups that see the same tables
-            for k in range(i, i + step) if step < 16 else (None,):
-                some = cells if k is None else cells[self.size[cells] > k]
-                if k is None:
-                    many = np.minimum(self.size[some] - i, step)
-                    own = np.repeat(some, many)
-                    place = self.first[own] + i + np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
-                    seen = i
-                else:
-                    own, place, seen = some, self.first[some] + k, k
-                new = rng.random(len(own)) * (a[own] + seen - discount * self.n[own]) < a[own]
-                with_ = self.table[self.first[own] + (rng.random(len(own)) * seen).astype(np.int64)]
-                self.table[place] = np.where(new, place, with_)
-                np.add.at(self.seats, self.table[place], 1)
-                np.add.at(self.n, own[new], 1)
-            i += step
+        self._turns(pull[self.many], 1, False)
 
     def sweep(self, pull: np.ndarray) -> None:
-        """One customer of each cell leaves and is seated again."""
-        if not len(self.many):
-            return
-        rng, cells = self.rng, len(self.many)
-        a = pull[self.many]
-        who = self.first + (rng.random(cells) * self.size).astype(np.int64)
-        old = self.table[who]
-        self.seats[old] -= 1
-        empty = self.seats[old] == 0
-        self.n -= empty
-        new = rng.random(cells) * (a + self.size - 1 - self.discount * self.n) < a
-        new |= self.n == 0
-        to = np.full(cells, -1, np.int64)
-        open_ = np.flatnonzero(~new)
-        for _ in range(64):  # a table in proportion to its customers, kept with (customers - discount) / customers
-            if not len(open_):
-                break
-            other = self.table[self.first[open_] + (rng.random(len(open_)) * self.size[open_]).astype(np.int64)].astype(np.int64)
-            seats = self.seats[other]
-            leaver = self.table[who[open_]] == other
-            # the leaver still names a table: it may be picked, which counts one customer too many
-            keep = (rng.random(len(open_)) * (seats + leaver) < seats - self.discount) & (seats > 0)
-            to[open_[keep]] = other[keep]
-            open_ = open_[~keep]
-        new[open_] = self.n[open_] == 0
-        stay = open_[~new[open_]]
-        to[stay] = np.where(self.seats[old[stay]] > 0, old[stay], -1)
-        lost = stay[to[stay] < 0]
-        new[lost] = True
-        at = np.flatnonzero(new)
-        to[at] = self._free(at)
-        self.n[at] += 1
+        """Every customer of every cell leaves and is seated again, one after the other."""
+        self._turns(pull[self.many], 0, True)
+
+    def _turns(self, a: np.ndarray, k: int, leave: bool) -> None:
+        while len(cells := self.by_size[: np.searchsorted(self.falling, -k)]) >= LONE:
+            self._turn(cells, a[cells], k, leave)
+            k += 1
+        for cell in cells.tolist():
+            self._rest(cell, float(a[cell]), k, leave)
+
+    def _turn(self, cells: np.ndarray, a: np.ndarray, k: int, leave: bool) -> None:
+        """The customer at place k of each cell takes a seat."""
+        rng, first = self.rng, self.first[cells]
+        who = first + k
+        others = self.size[cells] - 1 if leave else np.full(len(cells), k)
+        if leave:
+            old = self.table[who]
+            self.seats[old] -= 1
+            self.n[cells] -= self.seats[old] == 0
+        n = self.n[cells]
+        new = (rng.random(len(cells)) * (a + others - self.discount * n) < a) | (n == 0)
+        to = np.zeros(len(cells), np.int64)
+        left = np.flatnonzero(~new)
+        while len(left):  # the table of a random other, kept with (customers - discount) / customers
+            other = (rng.random(len(left)) * others[left]).astype(np.int64)
+            other += leave & (other >= k)
+            table = self.table[first[left] + other]
+            seats = self.seats[table]
+            kept = rng.random(len(left)) * seats < seats - self.discount
+            to[left[kept]] = table[kept]
+            left = left[~kept]
+        opened = np.flatnonzero(new)
+        to[opened] = self._free(cells[opened]) if leave else who[opened]
+        self.n[cells[opened]] += 1
         self.table[who] = to
         self.seats[to] += 1
 
+    def _rest(self, cell: int, a: float, k: int, leave: bool) -> None:
+        """The customers of one cell from place k on take seats."""
+        first, size, d, n = int(self.first[cell]), int(self.size[cell]), self.discount, int(self.n[cell])
+        draw = random.Random(int(self.rng.integers(1 << 62))).random
+        own = slice(first, first + size)
+        table, seats = (self.table[own] - first).tolist(), self.seats[own].tolist()
+        free = [t for t in range(size) if not seats[t]] if leave else []
+        for at in range(k, size):
+            others = size - 1 if leave else at
+            if leave:
+                old = table[at]
+                seats[old] -= 1
+                if not seats[old]:
+                    n -= 1
+                    free.append(old)
+            if n == 0 or draw() * (a + others - d * n) < a:
+                to = free.pop() if leave else at
+                n += 1
+            else:
+                while True:
+                    other = int(draw() * others)
+                    to = table[other + (leave and other >= at)]
+                    if draw() * seats[to] < seats[to] - d:
+                        break
+            table[at] = to
+            seats[to] += 1
+        self.table[own], self.seats[own], self.n[cell] = np.array(table) + first, seats, n
+
+    def names(self) -> np.ndarray:
+        """Each customer's table, counted from the first place of its cell."""
+        return self.table - np.repeat(self.first, self.size)
+
     def _free(self, cells: np.ndarray) -> np.ndarray:
         """An unused table name of each cell: it has as many names as customers, and one is standing."""
         out = self.first[cells].copy()

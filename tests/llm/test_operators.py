@@ -259,6 +259,19 @@ def test_seating_samples_the_exact_conditional():
         assert seats.seats[own].sum() == 3 and (seats.seats[own] > 0).sum() == seats.n[k]
 
 
+def test_a_sweep_reseats_every_customer():
+    counts = np.array([1] + [50] * 300 + [4000, 700])
+    seats = pitman_yor.Seating(counts, np.full(len(counts), 1e-9), 0.8, np.random.default_rng(3))
+    assert (seats.tables() == 1).all()
+    seats.sweep(np.full(len(counts), 1e12))
+    assert (seats.tables() >= counts - 1).all()
+    again = pitman_yor.Seating(counts, None, 0.8, np.random.default_rng(4), seats.names())
+    assert (again.tables() == seats.tables()).all() and (again.seats == seats.seats).all()
+    seats.sweep(np.full(len(counts), 1e-9))
+    seats.sweep(np.full(len(counts), 1e-9))
+    assert (np.bincount(seats.table, minlength=len(seats.seats)) == seats.seats).all() and seats.tables().mean() < 12
+
+
 @pytest.mark.parametrize("bucket", [400, 1 << 22])
 def test_pitman_yor_scores(spark, bucket, monkeypatch):
     monkeypatch.setattr(pitman_yor, "BUCKET_TOKENS", bucket)
