@@ -1,23 +1,26 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
-Three levels: the restaurant of a context (the class of the word before; CLASSES classes by hash) has the
-restaurant of all words as its parent, whose base is uniform over the training words and one unknown word.
+Three levels: the restaurant of a context (the whole hash of the word before) has the restaurant of all
+words as its parent, whose base is uniform over the training words and one unknown word.
 Customers are the training tokens; a new table in a context sends one customer to the parent. Seating is
 sampled by Gibbs: a customer leaves and sits down again, at a new table in proportion to (strength +
 discount * tables) * parent probability, else at one of the tables with its dish in proportion to its
 customers less the discount. Predictive probabilities are averaged over the samples.
 
 Tokens are dealt to buckets by word, so a dish's customers in all contexts meet in one task, packed: each
-flush of a task sends a bucket its distinct words, then the contexts (and, for scoring, the documents) of
-their tokens. A slot of words that is too large for a bucket is dealt by context as well; the dish totals
-of such words are among what is summed. Every task replays its sampling from the same seed: the first job
-sums, per sample, the tables of every context, of all words and of the split words, all of fixed or bounded
-size; the second scores with those sums. While a bucket samples, totals of contexts are estimated from
-its own words, which are a random part of all.
+flush of a task sends a bucket its distinct words and contexts, then the contexts (and, for scoring, the
+documents) of their tokens. A slot of words that is too large for a bucket is dealt by context as well.
+Contexts and split words have an owner, a bucket by their hash. Sampling goes in rounds: each bucket
+seats its customers with the totals of all other buckets as they were at the last exchange and its own as
+they are; then it sends its tables by context and by split word to the owners, which add them up, seat the
+split words in the parent and send the totals back to the buckets that asked. State and messages are kept
+rows; only three sums a round come to the driver.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
 import random
 
 import numpy as np
@@ -28,20 +31,22 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common, textbytes
 
-CLASSES = 1 << 16
+SLOTS = 1 << 16
 END = np.uint64(0x0E2D0E2D0E2D0E2D)
-START = 0x5A17
+START = np.uint64(0x57A2757A2757A275)
 DISCOUNT, STRENGTH = 0.8, 5.0
 SAMPLES, BURN, BETWEEN = 3, 6, 2
 LONE = 48  # fewer cells than this are seated one by one
-BUCKET_TOKENS = 2_500_000
+BUCKET_TOKENS = 2_000_000
 FLUSH = 2_500_000
-FLUSH_TEXTS = 32_000  # a place of 15 bits and one bit that tells held-out texts
+FLUSH_TEXTS = 32_000  # places of texts are kept in 16 bits
 LOW48 = np.uint64((1 << 48) - 1)
+STATE, UP, REPLY, CHUNK, KEYS = range(5)
+ROWS = "bucket int, kind int, source long, body binary, tables long, parents long, types long"
 
 
 def _tokens(column):
-    """(first row, end row, tokens, contexts, firsts): each text's words and END, and the class before each."""
+    """(first row, end row, tokens, contexts, firsts): each text's words and END, and the word before each."""
     for row, end, words, first in textbytes.words_of_texts(column):
         texts = len(first) - 1
         where = first[1:] + np.arange(texts)
@@ -49,41 +54,56 @@ def _tokens(column):
         solid = np.ones(len(out), bool)
         solid[where] = False
         out[solid], out[where] = words, END
-        context = np.empty(len(out), np.uint16)
-        context[1:] = (out[:-1] >> np.uint64(48)).astype(np.uint16)
+        context = np.empty(len(out), np.uint64)
+        context[1:] = out[:-1]
         bounds = first + np.arange(texts + 1)
         context[bounds[:-1]] = START
         yield row, end, out, context, bounds
 
 
-def _pack(words: np.ndarray, contexts: np.ndarray, docs: np.ndarray | None, weights: np.ndarray | None) -> bytes:
-    """Distinct words as 48-bit gaps of 32 bits, how many tokens each, then contexts and docs or weights."""
+def _put(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers from 0, as compressed planes of bytes."""
+    parts = []
+    for x in arrays:
+        wide = x.astype(np.uint64)
+        if not len(wide) or wide.max() < 1 << 32:
+            wide = wide.astype(np.uint32)
+        planes = np.ascontiguousarray(wide.view(np.uint8).reshape(-1, wide.itemsize).T)
+        parts.append((len(wide), wide.itemsize, pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(wide) else b""))
+    return pickle.dumps(parts)
+
+
+def _get(data: bytes) -> list[np.ndarray]:
+    out = []
+    for n, size, planes in pickle.loads(data):
+        planes = pa.decompress(planes, n * size, codec="zstd", asbytes=True) if n else b""
+        wide = np.frombuffer(planes, np.uint8).reshape(size, -1).T.copy().view(np.uint32 if size == 4 else np.uint64).reshape(-1)
+        out.append(wide.astype(np.int64))
+    return out
+
+
+def _gaps(ascending: np.ndarray) -> np.ndarray:
+    x = ascending.astype(np.uint64)
+    return np.concatenate([x[:1], np.diff(x)])
+
+
+def _sums(gaps: np.ndarray) -> np.ndarray:
+    return np.cumsum(gaps.astype(np.uint64), dtype=np.uint64)
+
+
+def _pack(words: np.ndarray, contexts: np.ndarray, last: np.ndarray) -> bytes:
+    """Distinct words (48 bits) and how many tokens each, distinct contexts and each token's, docs or weights."""
     words = words & LOW48
     order = np.lexsort((contexts, words))
-    words = words[order]
-    new = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
-    value = words[new].astype(np.int64)
-    gaps = np.diff(value, prepend=0)
-    jumps = gaps // 0xFFFFFFFF
-    coded = np.full(len(gaps) + int(jumps.sum()), 0xFFFFFFFF, np.uint32)
-    coded[np.cumsum(jumps + 1) - 1] = gaps % 0xFFFFFFFF
-    counts = np.diff(np.append(new, len(words))).astype(np.uint32)
-    last = docs[order].astype(np.uint16) if docs is not None else weights[order].astype(np.uint32)
-    head = np.array([len(coded), len(counts), len(words)], np.int64)
-    return b"".join(x.tobytes() for x in (head, coded, counts.view(np.uint8).reshape(-1, 4).T.copy(), contexts[order].astype(np.uint16), last))
-
-
-def _unpack(data: bytes, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words, contexts, docs or weights) by token."""
-    coded_n, words_n, n = np.frombuffer(data, np.int64, 3)
-    at = 24
-    coded = np.frombuffer(data, np.uint32, coded_n, at)
-    at += 4 * coded_n
-    counts = np.frombuffer(data, np.uint8, 4 * words_n, at).reshape(4, -1).T.copy().view(np.uint32).reshape(-1)
-    at += 4 * words_n
-    value = np.cumsum(coded, dtype=np.int64)[coded != 0xFFFFFFFF]
-    contexts = np.frombuffer(data, np.uint16, n, at)
-    return np.repeat(value, counts), contexts, np.frombuffer(data, kind, n, at + 2 * n)
+    names, counts = np.unique(words, return_counts=True)
+    keys, place = np.unique(contexts[order], return_inverse=True)
+    return _put(_gaps(names), counts, _gaps(keys), place, last[order])
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, tokens of each, distinct contexts, each token's place in them, docs or weights)."""
+    names, counts, keys, place, last = _get(data)
+    return _sums(names), counts, _sums(keys), place, last
 
 
 class Seating:
@@ -205,43 +225,179 @@ class Seating:
         return out
 
 
-def sample(words: np.ndarray, contexts: np.ndarray, counts: np.ndarray, splits: np.ndarray, class_tokens: np.ndarray, seed: int):
-    """Tables of the cells (sorted by word) and of the words in the parent, for each sample.
+def _parents(customers: int, a: float, discount: float, rng: np.random.Generator) -> int:
+    """Tables of one dish after so many customers came one by one, drawn from one new table to the next."""
+    n, at = 1, 1
+    while at < customers:
+        low = discount * n
+        none = lambda j: math.lgamma(j - low) - math.lgamma(at - low) - math.lgamma(a + j - low) + math.lgamma(a + at - low)  # noqa: B023, E731
+        wanted = math.log(max(rng.random(), 1e-300))
+        if none(customers) >= wanted:
+            break
+        left, right = at, customers
+        while right - left > 1:
+            half = (left + right) // 2
+            left, right = (half, right) if none(half) >= wanted else (left, half)
+        n, at = n + 1, right
+    return min(n, customers)
+
+
+class Bucket:
+    """The words of a bucket, their cells (word and context) and what is known of contexts' and words' totals."""
+
+    PARTS = ("words", "width", "keys", "cell_context", "counts", "names", "at", "c_context", "t_context", "w_at", "c_split", "t_split", "p_split", "parent")
+
+    def __init__(self, split_of, buckets: int, body: bytes | None = None):
+        self.split_of, self.buckets, self.samples = split_of, buckets, []
+        if body is not None:
+            got = _get(body)
+            for name, x in zip(self.PARTS, got):
+                setattr(self, name, x)
+            rest = got[len(self.PARTS) :]
+            self.samples = [rest[k : k + 4] for k in range(0, len(rest), 4)]
+            self.words, self.keys = _sums(self.words), _sums(self.keys)
+            self._index()
+
+    def _index(self) -> None:
+        self.word = np.repeat(np.arange(len(self.words)), self.width)
+        self.c_word = np.bincount(self.word, self.counts, len(self.words)).astype(np.int64)
+        self.split = np.flatnonzero(self.split_of(self.words) > 1)
+        self.single = np.ones(len(self.words), bool)
+        self.single[self.split] = False
+        self.routes = []  # of contexts, then of split words: (order by owner, edges of the owners)
+        for keys in (self.keys, self.words[self.split]):
+            owner = (textbytes.mix(keys) % np.uint64(self.buckets)).astype(np.int64)
+            order = np.argsort(owner, kind="stable")
+            self.routes.append((order, np.searchsorted(owner[order], np.arange(self.buckets + 1))))
+
+    def body(self) -> bytes:
+        own = {name: getattr(self, name) for name in self.PARTS} | {"words": _gaps(self.words), "keys": _gaps(self.keys)}
+        return _put(*own.values(), *(x for sample in self.samples for x in sample))
+
+    def open(self, bodies, rng: np.random.Generator) -> None:
+        """Merge the cells that tasks sent and seat their customers by this bucket's own totals."""
+        got = [_unpack(x) for x in bodies]
+        words, contexts, weights = _cells(np.concatenate([np.repeat(g[0], g[1]) for g in got]), np.concatenate([g[2][g[3]] for g in got]), np.concatenate([g[4] for g in got]))
+        self.words, self.keys = np.unique(words), np.unique(contexts)
+        use = weights > 0  # held-out tokens bring the words and contexts that are asked for later
+        self.counts = weights[use]
+        self.width = np.bincount(np.searchsorted(self.words, words[use]), minlength=len(self.words))
+        self.cell_context = np.searchsorted(self.keys, contexts[use])
+        none = np.zeros(0, np.int64)
+        self.at = self.c_context = self.t_context = self.w_at = self.c_split = self.t_split = self.p_split = none
+        self._index()
+        ones = np.minimum(self.counts, 1)
+        self.parent = np.minimum(self.c_word, 1)
+        self.t_context, self.t_split, self.p_split = np.bincount(self.cell_context, ones, len(self.keys)), np.bincount(self.word, ones, len(self.words))[self.split], self.parent[self.split]
+        t_word, _ = self.word_totals(ones)
+        types = max(int((self.c_word > 0).sum()), 1)
+        self.seats = Seating(self.counts, self.pull(ones, ones, t_word, ones.sum(), types, types), DISCOUNT, rng)
+        self._seat_parent(types, types, rng)
+
+    def word_totals(self, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tables of each word in all buckets, and in the parent, as of the last exchange."""
+        t_word = np.bincount(self.word, tables, len(self.words)).astype(np.int64)
+        parent = self.parent.copy()
+        t_word[self.split], parent[self.split] = self.t_split, self.p_split
+        return t_word, parent
+
+    def pull(self, then: np.ndarray, now: np.ndarray, t_word: np.ndarray, all_tables: float, parents: float, types: float) -> np.ndarray:
+        """Each cell's weight of a new table. then, now: the cells' tables at the last exchange and now;
+        t_word and all_tables are of the last exchange."""
+        more = now - then
+        t_context = self.t_context + np.bincount(self.cell_context, more, len(self.keys))
+        t_word = t_word + np.bincount(self.word, more, len(self.words))
+        parent = self.parent.copy()
+        parent[self.split] = self.p_split
+        p_word = (np.maximum(t_word - DISCOUNT * parent, 0) + (STRENGTH + DISCOUNT * parents) / (types + 1)) / (STRENGTH + all_tables + more.sum())
+        return (STRENGTH + DISCOUNT * t_context)[self.cell_context] * p_word[self.word]
+
+    def _seat_parent(self, parents: float, types: float, rng: np.random.Generator) -> None:
+        customers = np.bincount(self.word, self.seats.tables(), len(self.words)).astype(np.int64) * self.single
+        base = np.full(len(customers), (STRENGTH + DISCOUNT * parents) / (types + 1))
+        top = Seating(customers, base, DISCOUNT, rng)
+        top.sweep(base)
+        self.parent = top.tables()
+
+    def sit(self, rng: np.random.Generator) -> None:
+        self.seats = Seating(self.counts, None, DISCOUNT, rng, self.names)
+
+    def run(self, sweeps: int, sums, rng: np.random.Generator) -> None:
+        all_tables, parents, types = sums
+        then = self.seats.tables()
+        t_word, _ = self.word_totals(then)
+        for _ in range(sweeps):
+            self.seats.sweep(self.pull(then, self.seats.tables(), t_word, all_tables, parents, types))
+        self._seat_parent(parents, types, rng)
+
+    def ask(self, first: bool) -> list[tuple[int, bytes]]:
+        """(owner, message): this bucket's tables, and at first its customers, by context and by split word."""
+        self.names = self.seats.names()
+        tables = self.seats.tables()
+        own = [(self.keys, np.bincount(self.cell_context, self.counts, len(self.keys)), np.bincount(self.cell_context, tables, len(self.keys)), self.at)]
+        own.append((self.words[self.split], self.c_word[self.split], np.bincount(self.word, tables, len(self.words))[self.split], self.w_at))
+        out = []
+        for o in range(self.buckets):
+            parts = []
+            for (keys, c, t, at), (order, edges) in zip(own, self.routes):
+                mine = order[edges[o] : edges[o + 1]]
+                parts += [_gaps(keys[mine]), c[mine], t[mine]] if first else [_gaps(at[mine]), t[mine]]
+            if len(parts[0]) or len(parts[len(parts) // 2]):
+                out.append((o, _put(*parts)))
+        return out
 
-    class_tokens: training tokens after each class. splits: in how many buckets the word's customers are."""
-    rng = np.random.default_rng(seed)
-    word = np.concatenate([[0], np.cumsum(words[1:] != words[:-1])]).astype(np.int64) if len(words) else np.zeros(0, np.int64)
-    n_words = int(word[-1]) + 1 if len(word) else 0
-    own = np.bincount(contexts, counts, CLASSES)
-    whole = max(class_tokens.sum(), 1)
-    tables = np.minimum(counts, 1)
-    parent = np.ones(n_words, np.int64)
-    many = splits[np.searchsorted(word, np.arange(n_words))] if n_words else np.zeros(0)
-    seats = top = None
-    out = []
-    for step in range(BURN + SAMPLES * BETWEEN):
-        # context totals from this bucket's share of each context
-        ratio = (np.bincount(contexts, tables, CLASSES) + 1) / (own + 1)
-        t_word = np.bincount(word, tables, n_words)
-        scale = whole / max(counts.sum(), 1)
-        all_tables = max(t_word.sum() * scale, 1.0)
-        types = max((1 / many).sum() * scale if n_words else 1, 1.0)
-        p_word = (t_word * many - DISCOUNT * parent + (STRENGTH + DISCOUNT * types) / (types + 1)) / (STRENGTH + all_tables)
-        pull = (STRENGTH + DISCOUNT * np.minimum(ratio, 1) * class_tokens)[contexts] * p_word[word]
-        pull = np.maximum(pull, 1e-12)
-        if seats is None:
-            seats = Seating(counts, pull, DISCOUNT, rng)
+    def hear(self, replies, first: bool) -> None:
+        """replies: (owner, message)."""
+        if first:
+            self.at, self.c_context, self.t_context = (np.zeros(len(self.keys), np.int64) for _ in range(3))
+            self.w_at, self.c_split, self.t_split, self.p_split = (np.zeros(len(self.split), np.int64) for _ in range(4))
+        names = (("at", "c_context", "t_context"), ("w_at", "c_split", "t_split", "p_split")) if first else (("t_context",), ("t_split", "p_split"))
+        for o, message in replies:
+            got = iter(_get(message))
+            for group, (order, edges) in zip(names, self.routes):
+                mine = order[edges[o] : edges[o + 1]]
+                for name in group:
+                    x = next(got)
+                    getattr(self, name)[mine] = _sums(x).astype(np.int64) if name in ("at", "w_at") else x
+
+    def take_sample(self) -> None:
+        tables = self.seats.tables()
+        self.samples.append([tables[self.seats.many], self.t_context.copy(), *self.word_totals(tables)])
+
+
+def _answer(messages, first: bool, base: float, rng: np.random.Generator) -> tuple[list[tuple[int, bytes]], int, int]:
+    """What an owner tells each bucket that asked: total customers (at first) and tables of its contexts and
+    split words, and these words' tables in the parent. Also the sums of those tables and of such words."""
+    got = [(source, _get(body)) for source, body in messages]
+    half = 3 if first else 2
+    replies: dict[int, list] = {source: [] for source, _ in got}
+    parents = types = 0
+    for start in (0, half):
+        if first:
+            keys = np.unique(np.concatenate([_sums(g[start]) for _, g in got]))
+            places = [np.searchsorted(keys, _sums(g[start])) for _, g in got]
+            size = len(keys)
         else:
-            seats.sweep(pull)
-        tables = seats.tables()
-        t_word = np.bincount(word, tables, n_words).astype(np.int64)
-        base = np.full(n_words, (STRENGTH + DISCOUNT * types) / (types + 1))
-        if step >= BURN and (step - BURN) % BETWEEN == 0:
-            top = Seating(t_word, base, DISCOUNT, rng)
-            top.sweep(base)
-            parent = top.tables()
-            out.append((tables.astype(np.int32), t_word, parent))
-    return word, n_words, out
+            places = [_sums(g[start]).astype(np.int64) for _, g in got]
+            size = max((int(x[-1]) + 1 for x in places if len(x)), default=0)
+        totals = []
+        for k in range(start + 1, start + half):
+            total = np.zeros(size, np.int64)
+            for at, (_, g) in zip(places, got):
+                total[at] += g[k]  # a bucket names a key once
+            totals.append(total)
+        if start:
+            totals.append(np.array([_parents(int(t), base, DISCOUNT, rng) for t in totals[-1]], np.int64))
+            parents, types = int(totals[-1].sum()), int((totals[-2] > 0).sum())
+        for at, (source, _) in zip(places, got):
+            replies[source] += ([_gaps(at)] if first else []) + [total[at] for total in totals]
+    return [(source, _put(*parts)) for source, parts in replies.items()], parents, types
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    """A table of (bucket, kind, source, body, tables, parents, types)."""
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["bucket", "kind", "source", "body", "tables", "parents", "types"])
 
 
 def _cells(words, contexts, weights):
@@ -249,7 +405,7 @@ def _cells(words, contexts, weights):
     key = np.lexsort((contexts, words))
     words, contexts, weights = words[key], contexts[key], weights[key]
     new = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (contexts[1:] != contexts[:-1])])) if len(words) else np.zeros(0, np.int64)
-    return words[new], contexts[new].astype(np.int64), np.add.reduceat(weights, new).astype(np.int64) if len(new) else np.zeros(0, np.int64)
+    return words[new], contexts[new], np.add.reduceat(weights, new).astype(np.int64) if len(new) else np.zeros(0, np.int64)
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, seed: int = 7) -> DataFrame:
@@ -265,15 +421,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(F.xxhash64(id_col, text).alias("key"), held_out.alias("held_out"), text.alias("text"))
 
     def survey(batches):
-        slots = np.zeros(2 * CLASSES, np.int64)
+        slots = np.zeros(2 * SLOTS, np.int64)
         for batch in batches:
             held = batch.column(1).to_numpy(zero_copy_only=False)
             sizes = np.zeros(batch.num_rows, np.int64)
-            for row, end, tokens, contexts, bounds in _tokens(batch.column(2)):
+            for row, end, tokens, _, bounds in _tokens(batch.column(2)):
                 sizes[row:end] = np.diff(bounds)
                 teach = np.repeat(~held[row:end], np.diff(bounds))
-                slots[:CLASSES] += np.bincount((tokens >> np.uint64(32)).astype(np.int64) & 0xFFFF, minlength=CLASSES)
-                slots[CLASSES:] += np.bincount(contexts[teach], minlength=CLASSES)
+                slot = (tokens >> np.uint64(32)).astype(np.int64) & 0xFFFF
+                slots[:SLOTS] += np.bincount(slot, minlength=SLOTS)
+                slots[SLOTS:] += np.bincount(slot[teach], minlength=SLOTS)
             none = pa.nulls(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), none.cast(pa.int32()), none.cast(pa.binary())], names=["key", "n_tokens", "chunk", "counts"])
         rows = common.bucket_rows(np.minimum(slots, 0xFFFFFFFF))
@@ -281,103 +438,92 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         yield pa.RecordBatch.from_arrays([none, none, rows.column(0), rows.column(1)], names=["key", "n_tokens", "chunk", "counts"])
 
     seen = common.keep(texts.mapInArrow(survey, "key long, n_tokens long, chunk int, counts binary"))
-    slots = common.fold_buckets(seen.where("chunk is not null"), 2 * CLASSES).astype(np.int64)
-    class_tokens = slots[CLASSES:]
-    train_tokens = int(class_tokens.sum())
-    buckets = 1 + int(slots[:CLASSES].sum()) // BUCKET_TOKENS
-    parts = np.maximum(1, -(-2 * slots[:CLASSES] * buckets // max(1, int(slots[:CLASSES].sum())))) if buckets > 1 else np.ones(CLASSES, np.int64)
-    sent = spark.sparkContext.broadcast((class_tokens, parts))
-
-    def slot_of(words):
-        return (words >> np.uint64(32)).astype(np.int64) & 0xFFFF
-
-    def deal(words, contexts):
-        part = contexts.astype(np.int64) % sent.value[1][slot_of(words)]
-        return (textbytes.mix(words ^ textbytes.mix(part.astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
-
-    def by_bucket(words, contexts, docs, weights, head):
-        bucket = deal(words, contexts)
+    slots = common.fold_buckets(seen.where("chunk is not null"), 2 * SLOTS).astype(np.int64)
+    train_tokens = int(slots[SLOTS:].sum())
+    buckets = 1 + int(slots[:SLOTS].sum()) // BUCKET_TOKENS
+    parts = np.maximum(1, -(-2 * slots[:SLOTS] * buckets // max(1, int(slots[:SLOTS].sum())))) if buckets > 1 else np.ones(SLOTS, np.int64)
+    sent = spark.sparkContext.broadcast(parts)
+
+    def split_of(words):
+        # the slot is in bits 32 to 47, which the 48 bits kept in a bucket hold
+        return sent.value[(words >> np.uint64(32)).astype(np.int64) & 0xFFFF]
+
+    def by_bucket(words, contexts, last, kind, source):
+        part = textbytes.mix(contexts) % split_of(words).astype(np.uint64)
+        bucket = (textbytes.mix(words ^ textbytes.mix(part)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket.astype(np.uint16), kind="stable") if buckets < 65536 else np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        names, out = [], []
-        for b in range(buckets):
-            own = order[edges[b] : edges[b + 1]]
-            if len(own):
-                names.append(b)
-                out.append(_pack(words[own], contexts[own], docs[own] if docs is not None else None, weights[own] if weights is not None else None))
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([head] * len(names), pa.binary()), pa.array(out, pa.binary())], names=["bucket", "head", "body"])
+        own = [(b, order[edges[b] : edges[b + 1]]) for b in range(buckets) if edges[b + 1] > edges[b]]
+        yield from _rows([(b, kind, source, _pack(words[x], contexts[x], last[x]), None, None, None) for b, x in own]).to_batches()
 
     def teach(batches):
-        held_words, held_contexts, waiting = [], [], 0
+        words, contexts, weights, waiting = [], [], [], 0
         for batch in batches:
             held = batch.column(1).to_numpy(zero_copy_only=False)
-            for row, end, tokens, contexts, bounds in _tokens(batch.column(2)):
-                use = np.repeat(~held[row:end], np.diff(bounds))
-                held_words.append(tokens[use])
-                held_contexts.append(contexts[use])
-                waiting += int(use.sum())
+            for row, end, tokens, context, bounds in _tokens(batch.column(2)):
+                words.append(tokens)
+                contexts.append(context)
+                weights.append(np.repeat(~held[row:end], np.diff(bounds)).astype(np.int64))
+                waiting += len(tokens)
                 if waiting > FLUSH:
-                    cells = _cells(np.concatenate(held_words), np.concatenate(held_contexts), np.ones(waiting, np.int64))
-                    yield by_bucket(cells[0], cells[1], None, cells[2], b"")
-                    held_words, held_contexts, waiting = [], [], 0
+                    yield from by_bucket(*_cells(np.concatenate(words), np.concatenate(contexts), np.concatenate(weights)), CHUNK, 0)
+                    words, contexts, weights, waiting = [], [], [], 0
         if waiting:
-            cells = _cells(np.concatenate(held_words), np.concatenate(held_contexts), np.ones(waiting, np.int64))
-            yield by_bucket(cells[0], cells[1], None, cells[2], b"")
+            yield from by_bucket(*_cells(np.concatenate(words), np.concatenate(contexts), np.concatenate(weights)), CHUNK, 0)
 
-    def split_of(words):
-        # the slot is in bits 32 to 47, which the 48 bits kept in a bucket hold
-        return sent.value[1][(words >> 32) & 0xFFFF]
+    def told_of(bucket, state, first) -> pa.Table:
+        asked = state.ask(first)
+        sums = int(state.seats.tables().sum()), int(state.parent[state.single].sum()), int((state.c_word[state.single] > 0).sum())
+        return _rows([(bucket, STATE, 0, state.body(), *sums)] + [(o, UP, bucket, message, None, None, None) for o, message in asked])
 
-    def learn(table: pa.Table) -> pa.Table:
+    def open_bucket(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
-        got = [_unpack(x.as_py(), np.uint32) for x in table["body"]]
-        cells = _cells(*(np.concatenate([g[k] for g in got]) for k in range(3)))
-        word, n_words, samples = sample(*cells, split_of(cells[0]), sent.value[0], seed + bucket)
-        first = np.searchsorted(word, np.arange(n_words))
-        split = split_of(cells[0][first]) if n_words else np.zeros(0, np.int64)
-        sums = np.stack([np.bincount(cells[1], s[0], CLASSES) for s in samples]).astype(np.uint32)
-        single = split == 1
-        totals = [[int(s[1].sum()), int(s[2][single].sum()), int(single.sum())] for s in samples]
-        hot = np.flatnonzero(~single)
-        c_word = np.bincount(word, cells[2], n_words)
-        rows = [(int(cells[0][first[w]]), int(c_word[w]), [int(s[1][w]) for s in samples]) for w in hot]
-        return pa.table({"tables": pa.array([sums.tobytes()], pa.binary()), "totals": pa.array([np.array(totals).tobytes()], pa.binary()), "hot": pa.array([[{"w": w, "c": c, "t": t} for w, c, t in rows]], pa.list_(pa.struct([("w", pa.int64()), ("c", pa.int64()), ("t", pa.list_(pa.int64()))])))})
-
-    def add(batches):
-        tables = totals = None
-        hot: dict[int, list] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                own, own_totals = np.frombuffer(row["tables"], np.uint32).astype(np.int64), np.frombuffer(row["totals"], np.int64)
-                tables = own if tables is None else tables + own
-                totals = own_totals if totals is None else totals + own_totals
-                for x in row["hot"]:
-                    have = hot.setdefault(x["w"], [0, [0] * SAMPLES])
-                    have[0] += x["c"]
-                    have[1] = [p + q for p, q in zip(have[1], x["t"])]
-        if tables is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([tables.astype(np.uint32).tobytes()], pa.binary()), pa.array([totals.tobytes()], pa.binary()), pa.array([[{"w": w, "c": c, "t": t} for w, (c, t) in hot.items()]], pa.list_(pa.struct([("w", pa.int64()), ("c", pa.int64()), ("t", pa.list_(pa.int64()))])))], names=["tables", "totals", "hot"])
-
-    learnt_kind = "tables binary, totals binary, hot array<struct<w: long, c: long, t: array<long>>>"
-    learnt = texts.mapInArrow(teach, "bucket int, head binary, body binary").groupBy("bucket").applyInArrow(learn, learnt_kind)
-    rows = learnt.repartition(8).mapInArrow(add, learnt_kind).collect()  # 8 rows of a fixed size
-    tables = np.zeros((SAMPLES, CLASSES))
-    totals = np.zeros((SAMPLES, 3))
-    hot: dict[int, list] = {}
-    for r in rows:
-        tables += np.frombuffer(r.tables, np.uint32).reshape(SAMPLES, CLASSES)
-        totals += np.frombuffer(r.totals, np.int64).reshape(SAMPLES, 3)
-        for x in r.hot:
-            have = hot.setdefault(x.w, [0, np.zeros(SAMPLES)])
-            have[0] += x.c
-            have[1] = have[1] + np.array(x.t)
-    totals[:, 1] += len(hot)  # a split word keeps one table in the parent
-    totals[:, 2] += len(hot)
-    hot_words = np.array(sorted(hot), np.int64)
-    hot_c = np.array([hot[w][0] for w in hot_words], np.int64)
-    hot_t = np.array([hot[w][1] for w in hot_words]).reshape(-1, SAMPLES)
-    model = spark.sparkContext.broadcast((tables, totals, hot_words, hot_c, hot_t))
-    types = float(totals[0, 2])
+        state = Bucket(split_of, buckets)
+        state.open((x.as_py() for x in table["body"]), np.random.default_rng([seed, bucket, 0]))
+        return told_of(bucket, state, True)
+
+    def heard(table: pa.Table, step: int) -> Bucket:
+        """The bucket's state, with the answers to what it sent after this step."""
+        bodies = {kind: [(source, at) for at, (k, source) in enumerate(zip(table["kind"].to_pylist(), table["source"].to_pylist())) if k == kind] for kind in (STATE, REPLY)}
+        state = Bucket(split_of, buckets, table["body"][bodies[STATE][0][1]].as_py())
+        state.sit(np.random.default_rng([seed, table["bucket"][0].as_py(), step + 1]))
+        state.hear(((o, table["body"][at].as_py()) for o, at in bodies[REPLY]), step == 0)
+        if step > 1:
+            state.take_sample()
+        return state
+
+    def answered(step: int, sums):
+        """Kept answers of the owners after a step, and all buckets' sums of tables, of parents' and of words."""
+        base = (STRENGTH + DISCOUNT * sums[1]) / (sums[2] + 1) if sums else DISCOUNT
+
+        def answer(table: pa.Table) -> pa.Table:
+            bucket = table["bucket"][0].as_py()
+            asked = sorted((source, at) for at, source in enumerate(table["source"].to_pylist()))
+            replies, parents, types = _answer([(source, table["body"][at].as_py()) for source, at in asked], step == 0, base, np.random.default_rng([seed, bucket, step, 1]))
+            return _rows([(source, REPLY, bucket, message, 0, parents if not k else 0, types if not k else 0) for k, (source, message) in enumerate(replies)])
+
+        replies = common.keep(rows.where(F.col("kind") == UP).groupBy("bucket").applyInArrow(answer, ROWS))
+        both = rows.select("tables", "parents", "types").union(replies.select("tables", "parents", "types"))
+        return replies, tuple(float(x or 0) for x in both.agg(F.sum("tables"), F.sum("parents"), F.sum("types")).first())
+
+    def after(step: int, sweeps: int, sums):
+        def run(table: pa.Table) -> pa.Table:
+            bucket = table["bucket"][0].as_py()
+            state = heard(table, step)
+            state.run(sweeps, sums, state.seats.rng)
+            return told_of(bucket, state, False)
+
+        return run
+
+    rows = common.keep(texts.mapInArrow(teach, ROWS).groupBy("bucket").applyInArrow(open_bucket, ROWS))
+    replies, sums = answered(0, None)
+    levels_of = []
+    for step, sweeps in enumerate([BURN] + [BETWEEN] * SAMPLES):
+        rows = common.keep(rows.where(F.col("kind") == STATE).union(replies).groupBy("bucket").applyInArrow(after(step, sweeps, sums), ROWS))
+        replies, sums = answered(step + 1, sums)
+        if step:
+            levels_of.append(sums)
+    types = sums[2]
 
     def score_rows(batches):
         words, contexts, docs, keys, waiting, texts_n = [], [], [], [], 0, 0
@@ -385,13 +531,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         def flush():
             """A row for each bucket, and one with the texts' keys: only their places go to the buckets."""
-            head = np.array([number], np.int64).tobytes()
-            yield by_bucket(np.concatenate(words), np.concatenate(contexts), np.concatenate(docs), None, head)
-            yield pa.RecordBatch.from_arrays([pa.array([number % buckets], pa.int32()), pa.array([head + np.concatenate(keys).tobytes()], pa.binary()), pa.array([b""], pa.binary())], names=["bucket", "head", "body"])
+            yield from by_bucket(np.concatenate(words), np.concatenate(contexts), np.concatenate(docs), CHUNK, number)
+            yield from _rows([(number % buckets, KEYS, number, np.concatenate(keys).tobytes(), None, None, None)]).to_batches()
 
         for batch in batches:
             key = batch.column(0).to_numpy(zero_copy_only=False)
-            held = batch.column(1).to_numpy(zero_copy_only=False)
             for row, end, tokens, context, bounds in _tokens(batch.column(2)):
                 for at in range(row, end, FLUSH_TEXTS // 2):
                     stop = min(at + FLUSH_TEXTS // 2, end)
@@ -402,8 +546,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     part = slice(bounds[at - row], bounds[stop - row])
                     words.append(tokens[part])
                     contexts.append(context[part])
-                    place = np.arange(texts_n, texts_n + stop - at) | held[at:stop].astype(np.int64) << 15
-                    docs.append(np.repeat(place, np.diff(bounds[at - row : stop - row + 1])))
+                    docs.append(np.repeat(np.arange(texts_n, texts_n + stop - at), np.diff(bounds[at - row : stop - row + 1])))
                     keys.append(key[at:stop])
                     waiting += len(words[-1])
                     texts_n += stop - at
@@ -411,62 +554,37 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield from flush()
 
     def score(table: pa.Table) -> pa.Table:
-        tables, totals, hot_words, hot_c, hot_t = model.value
-        bucket = table["bucket"][0].as_py()
-        chunks, taught, keys = [], [_cells(*(np.zeros(0, np.int64),) * 3)], []
-        for head, body in zip(table["head"], table["body"]):
-            head = head.as_py()
-            flush = int(np.frombuffer(head, np.int64, 1)[0])
-            if not len(body.as_py()):
-                keys.append((flush, head[8:]))
-                continue
-            chunks.append((flush, body))
-            w, k, d = _unpack(body.as_py(), np.uint16)
-            use = d < 1 << 15
-            taught.append(_cells(w[use], k[use], np.ones(int(use.sum()), np.int64)))
-        cells = _cells(*(np.concatenate([t[k] for t in taught]) for k in range(3)))
-        del taught
-        word, n_words, samples = sample(*cells, split_of(cells[0]), sent.value[0], seed + bucket)
-        first = np.searchsorted(word, np.arange(n_words))
-        names = cells[0][first] if n_words else np.zeros(0, np.int64)
-        c_word = np.bincount(word, cells[2], n_words).astype(np.int64)
-        is_hot = np.isin(names, hot_words)
-        at_hot = np.searchsorted(hot_words, names[is_hot])
-        c_word[is_hot] = hot_c[at_hot]
-        cell_key = (word << 16) | cells[1]
+        kinds, flushes = table["kind"].to_pylist(), table["source"].to_pylist()
+        keys = [[flushes[at], None, None, None, None, table["body"][at].as_py()] for at, k in enumerate(kinds) if k == KEYS]
         levels = []
-        for s, (cell_tables, t_word, parent) in enumerate(samples):
-            all_tables, parent_tables, _ = totals[s]
-            t_word, parent = t_word.astype(float), parent.astype(float)
-            t_word[is_hot], parent[is_hot] = hot_t[at_hot, s], 1
-            new = (STRENGTH + DISCOUNT * parent_tables) / (types + 1)
-            levels.append((cells[2] - DISCOUNT * cell_tables, (t_word - DISCOUNT * parent + new) / (STRENGTH + all_tables), new / (STRENGTH + all_tables), (hot_t[:, s] - DISCOUNT + new) / (STRENGTH + all_tables)))
+        if STATE in kinds:
+            state = heard(table, SAMPLES + 1)
+            c_word = state.c_word.copy()
+            c_word[state.split] = state.c_split
+            cell_key = (state.word << 32) | state.cell_context
+            for (n_many, t_context, t_word, parent), (all_tables, parents, _) in zip(state.samples, levels_of):
+                cell_tables = np.minimum(state.counts, 1)
+                cell_tables[state.seats.many] = n_many
+                low = (t_word - DISCOUNT * parent + (STRENGTH + DISCOUNT * parents) / (types + 1)) / (STRENGTH + all_tables)
+                levels.append((state.counts - DISCOUNT * cell_tables, low, STRENGTH + DISCOUNT * t_context))
 
         def row(flush, body):
-            words, contexts, docs = _unpack(body.as_py(), np.uint16)
-            docs = docs & 0x7FFF
-            # each token's word and cell; a split word may teach in other buckets only
-            at = np.minimum(np.searchsorted(names, words), max(n_words - 1, 0))
-            known = names[at] == words if n_words else np.zeros(len(words), bool)
-            elsewhere = np.flatnonzero(~known & np.isin(words, hot_words)) if len(hot_words) else np.zeros(0, np.int64)
-            hot_at = np.searchsorted(hot_words, words[elsewhere])
-            count = np.where(known, c_word[at], 0) if n_words else np.zeros(len(words), np.int64)
-            count[elsewhere] = hot_c[hot_at]
-            key = (at.astype(np.int64) << 16) | contexts
+            names, each, contexts, place, docs = _unpack(body)
+            word = np.repeat(np.searchsorted(state.words, names), each)  # all are there: held-out texts were sent as well
+            context = np.searchsorted(state.keys, contexts)[place]
+            count = c_word[word]
+            key = (word << 32) | context
             cell_at = np.minimum(np.searchsorted(cell_key, key), max(len(cell_key) - 1, 0))
-            in_cell = known & (cell_key[cell_at] == key) if len(cell_key) else np.zeros(len(words), bool)
-            p = np.zeros(len(words))
-            for s, (mass, p_word, p_new, p_hot) in enumerate(levels):
-                low = np.where(known, p_word[at], p_new) if n_words else np.full(len(words), p_new)
-                low[elsewhere] = p_hot[hot_at]
+            in_cell = cell_key[cell_at] == key if len(cell_key) else np.zeros(len(key), bool)
+            p = np.zeros(len(key))
+            for mass, low, fresh in levels:
                 own = np.where(in_cell, mass[cell_at], 0.0) if len(cell_key) else 0.0
-                p += (own + (STRENGTH + DISCOUNT * tables[s][contexts]) * low) / (STRENGTH + sent.value[0][contexts])
-            live = np.unique(docs)
-            own = np.searchsorted(live, docs)
+                p += (own + fresh[context] * low[word]) / (STRENGTH + state.c_context[context])
+            live, own = np.unique(docs, return_inverse=True)
             n = len(live)
-            return [flush, live.tobytes(), np.bincount(own[count > 0], minlength=n).astype(np.uint32).tobytes(), np.bincount(own, np.log10(count + 0.1), n).tobytes(), np.bincount(own, np.log10(p / SAMPLES), n).astype(np.float32).tobytes(), None]
+            return [flush, live.astype(np.uint16).tobytes(), np.bincount(own[count > 0], minlength=n).astype(np.uint32).tobytes(), np.bincount(own, np.log10(count + 0.1), n).tobytes(), np.bincount(own, np.log10(p / SAMPLES), n).astype(np.float32).tobytes(), None]
 
-        out = [row(*chunk) for chunk in chunks] + [[flush, None, None, None, None, x] for flush, x in keys]
+        out = [row(flushes[at], table["body"][at].as_py()) for at, k in enumerate(kinds) if k == CHUNK] + keys
         return pa.table({name: pa.array([r[k] for r in out], pa.binary() if k else pa.int64()) for k, name in enumerate(("flush", "docs", "known", "base", "score", "keys"))})
 
     def gather(table: pa.Table) -> pa.Table:
@@ -480,7 +598,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 total[at] += np.frombuffer(s, np.float32)
         return pa.table({"key": keys, "n_known": known, "base": base, "score": total})
 
-    scored = texts.mapInArrow(score_rows, "bucket int, head binary, body binary").groupBy("bucket").applyInArrow(score, "flush long, docs binary, known binary, base binary, score binary, keys binary")
+    asked = texts.mapInArrow(score_rows, ROWS).union(rows.where(F.col("kind") == STATE)).union(replies)
+    scored = asked.groupBy("bucket").applyInArrow(score, "flush long, docs binary, known binary, base binary, score binary, keys binary")
     scored = scored.groupBy("flush").applyInArrow(gather, "key long, n_known long, base double, score double")
     sums = scored.groupBy("key").agg(F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
     sizes = seen.where("chunk is null").groupBy("key").agg(F.first("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("rows"))

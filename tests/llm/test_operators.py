@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,6 +289,26 @@ def test_pitman_yor_scores(spark, bucket, monkeypatch):
     assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
 
 
+@pytest.mark.parametrize("bucket", [60, 1 << 22])
+def test_words_whose_hashes_begin_alike_keep_their_own_predictions(spark, bucket, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "BUCKET_TOKENS", bucket)
+    seen = {}
+    for k in range(5000):
+        ((_, _, hashes, _),) = textbytes.words_of_texts(pa.array([f"w{k}"]))
+        top = int(hashes[0]) >> 48
+        if top in seen:
+            one, two = seen[top], f"w{k}"
+            break
+        seen[top] = f"w{k}"
+    taught = [i for i in range(10000) if zlib.crc32(str(i).encode()) % 10][:80]
+    rows = [(i, f"{one} left" if k % 2 else f"{two} right") for k, i in enumerate(taught)]
+    asked = [i for i in range(10000, 20000) if zlib.crc32(str(i).encode()) % 10 == 0][:4]
+    rows += list(zip(asked, (f"{one} left", f"{one} right", f"{two} right", f"{two} left")))
+    got = {r.doc_id: r.score for r in pitman_yor.score_texts(frame(spark, rows)).collect()}
+    a, b, c, d = (got[i] for i in asked)
+    assert min(a - b, c - d) > 0.8  # a shared restaurant gives both words the same predictions
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     out = pitman_yor.score_texts(spark.read.parquet(f"{SF}/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert out[0] > out[1]
