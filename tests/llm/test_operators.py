@@ -398,6 +398,20 @@ def test_toxicity_finds_held_out_words(spark):
     assert {r.score for r in none} == {0.5} or len({r.score for r in none}) == 1
 
 
+def test_toxicity_learns_a_rare_languages_words(spark):
+    """The rare language has 5 of 5,005 label-1 training rows, and its word is no sign over all texts."""
+    rng = random.Random(4)
+    ids = {side: iter([i for i in range(20000) if (zlib.crc32(str(i).encode()) % 3 == 1) == side]) for side in (False, True)}
+    docs, toxic = [], {}
+    for n, lang, vocabulary, slur, held in ((5000, "en", "a", "scum", False), (5000, "en", "a", None, False), (5, "xx", "b", "drek", False), (100, "xx", "b", None, False), (8, "xx", "b", "drek", True), (30, "xx", "b", None, True)):
+        for _ in range(n):
+            i = next(ids[held])
+            docs.append((i, " ".join([f"{vocabulary}{rng.randrange(50)}" for _ in range(6)] + [slur] * bool(slur)), lang))
+            toxic[i] = int(bool(slur))
+    got = {r.doc_id: r for r in toxicity.toxicity(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")).where("held_out").collect()}
+    assert len(got) == 38 and all(r.predicted == toxic[i] for i, r in got.items())
+
+
 # -- all -------------------------------------------------------------------------------------------------
 
 
