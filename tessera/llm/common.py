@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
+_paths: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,12 +44,26 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 
 def keep(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it from there: cuts the lineage, survives lost executors,
-    and gives every later reader the same rows. The files go when the driver ends."""
+    and gives every later reader the same rows. The files go with free(), or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    # Spark deletes a shuffle's files when the plan that wrote them is collected; this one has ended
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def free(*kept: DataFrame) -> None:
+    """Delete the files of frames as keep() returned them. Nothing that is still to run may read them."""
+    for frame in kept:
+        path = _paths.pop(id(frame), None)
+        if path:
+            _forget(frame.sparkSession, path)
 
 
 def _forget(spark: SparkSession, path: str) -> None:
@@ -58,6 +75,16 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+def join_hot(rows: DataFrame, told: DataFrame, keys: list[str], size: str, total: int, hot: int = 10_000) -> DataFrame:
+    """rows with the columns of told (kept; one row a key, size says how many rows have it), inner by keys.
+
+    Keys of more than total / hot rows are at most hot many: these are broadcast, so that their rows stay
+    where they are; the others meet by a shuffle in which no key has more rows than that."""
+    many = told.where(F.col(size) > total // hot)
+    spread = rows.join(F.broadcast(many), keys)
+    return spread.unionByName(rows.join(F.broadcast(many.select(*keys)), keys, "left_anti").join(told.where(F.col(size) <= total // hot), keys))
+
+
 def fold_buckets(rows: DataFrame, size: int, chunks: int = 16) -> np.ndarray:
     """Add up counters that tasks emit as rows (chunk int, counts binary of uint32). Only the sums, of a
     fixed size, come to the driver. Two levels, so that no task reads the parts of all tasks."""
@@ -157,7 +184,10 @@ def components(edges: DataFrame, one_task: int = 1 << 20) -> DataFrame:
     a, b = edges.columns[:2]
     edges = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null and a <> b")
     edges = keep(edges.mapInArrow(_contract, pair))
+    before = None
     while True:
+        if before is not None:
+            free(*before)
         count = edges.count()
         if count <= one_task:
             done = edges.coalesce(1).mapInArrow(_contract, pair) if count else edges
@@ -173,4 +203,4 @@ def components(edges: DataFrame, one_task: int = 1 << 20) -> DataFrame:
         many = small.groupBy("a").count().where("count > 1").limit(1).count()
         if not chained and not many:
             return small.select(F.col("a").alias("node"), F.col("b").alias("component_id")).union(small.select("b", "b").distinct())
-        edges = keep(small.mapInArrow(_contract, pair))
+        before, edges = (edges, small), keep(small.mapInArrow(_contract, pair))
