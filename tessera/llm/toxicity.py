@@ -1,17 +1,16 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words, after ASCII punctuation became spaces, and the first 4, 5 and 6 bytes of longer words. The vector space holds the terms that training
-rows of label 1 use significantly more often than all texts do, so much that at least half of the texts with
-the term should have label 1, judged over all rows and within each language: a text holds the terms
-selected over all and those of its own language; document frequencies, hence IDF, come from
-all texts. Examples are the distinct training vectors with their label counts. The index keeps, for
-every term and every block of 64 examples, the largest weight. A query reads the blocks of the highest
-upper bounds first, then every block whose bound reaches the k-th best cosine: the neighbours are exact.
-Votes weigh cosine squared, with a small vote of the base rate; a monotone fit to the leave-one-out votes
-of up to 2000 examples, evenly taken, turns them into scores.
-
-A candidate term needs `least` label-1 rows, however many there are: more data only adds candidates. At
-most max_examples distinct vectors, taken by hash order, become examples.
+Terms are words, after ASCII punctuation became spaces, and the first 4, 5 and 6 bytes of longer words. The
+vector space holds the terms that training rows of label 1 use significantly more often than all texts do,
+so much that at least half of the texts with the term should have label 1; document frequencies, hence
+IDF, come from all texts. Examples are the distinct training vectors with their label counts. The index
+keeps, for every term and every block of 64 examples, the largest weight. A query reads the blocks of the
+highest upper bounds first, then every block whose bound reaches the k-th best cosine: the neighbours are
+exact. Votes weigh cosine squared, with a small vote of the base rate; a monotone fit to the leave-one-out
+votes of up to 2000 examples, evenly taken, turns them into scores.
+
+Only text is read to score a text. A candidate term needs `least` label-1 rows, however many there are: more
+data only adds candidates. At most max_examples distinct vectors, taken by hash order, become examples.
 """
 
 from __future__ import annotations
@@ -132,18 +131,18 @@ class Index:
         return float(np.clip(0.1 * vote + 0.9 * rate[min(int(np.searchsorted(high, vote - 1e-12)), len(rate) - 1)], 0, 1))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", folds: int = 3, held: int = 1, least: int = 3, z: float = 5.0, precision: float = 0.5, max_examples: int = 20_000, threshold: float = 0.7) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, least: int = 3, z: float = 5.0, precision: float = 0.5, max_examples: int = 20_000, threshold: float = 0.7) -> DataFrame:
     """One row per row of docs: id_col, held_out, score, predicted, nearest_id, nearest_cosine.
 
     Labels of rows whose crc32(id as text) mod folds is held are never read; several labels of one id
     count as 1 if any is. Null labels and ids teach nothing; without training rows every score is 0.5.
-    Without lang_col in docs all texts count as of one language.
-    Null, empty and termless texts score as the training rows without terms do. nearest_id and
-    nearest_cosine are the evidence: the closest example, null when no example shares a term."""
+    Null, empty and termless texts score as the training rows without terms do; a row that repeats another
+    scores the same. nearest_id and nearest_cosine are the evidence: the closest example, ties to the
+    first vector in order, null when no example shares a term. Other columns are not read."""
     spark = docs.sparkSession
     common.small_batches(spark)
     fold = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")) % folds == held, F.lit(False))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang") if lang_col in docs.columns else F.lit("").alias("lang"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     train = common.keep(labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").where(~fold("id")).groupBy("id").agg(F.max("y").alias("y")))
     wanted = spark.sparkContext.broadcast(np.packbits(common.hash_filter(train.where("y = 1").select(F.xxhash64("id")))))
 
@@ -151,18 +150,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         marks = np.unpackbits(wanted.value).view(bool)
         for batch in batches:
             batch = batch.filter(pa.array(marks[batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(41)]))
-            ids, langs = batch.column(0).to_pylist(), batch.column(3).to_pylist()
-            rows = [(ids[row], langs[row], np.unique(words)) for row, words in _terms(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in rows], pa.int64()), pa.array([x for _, x, _ in rows], pa.string()), pa.array([t.view(np.int64) for _, _, t in rows], pa.list_(pa.int64()))], names=["id", "lang", "terms"])
-
-    toxic_terms = texts.select("id", "text", F.xxhash64("id").alias("h"), "lang").mapInArrow(used, "id long, lang string, terms array<long>").join(train.where("y = 1"), "id", "left_semi")
-    n_toxic = train.where("y = 1").count()
-    pairs = common.keep(toxic_terms.select("lang", F.explode("terms").alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n")))
-    frequent = pairs.groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
+            ids = batch.column(0).to_pylist()
+            rows = [(ids[row], np.unique(words)) for row, words in _terms(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t.view(np.int64) for _, t in rows], pa.list_(pa.int64()))], names=["id", "terms"])
+
+    toxic_terms = texts.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(used, "id long, terms array<long>").join(train.where("y = 1"), "id", "left_semi")
+    frequent = toxic_terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).toArrow()
     order = np.argsort(frequent["term"].to_numpy())
-    candidates = frequent["term"].to_numpy()[order]
-    support_all = frequent["n"].to_numpy()[order]
-    support_in = pairs.where(F.col("n") >= least).toArrow()
+    candidates, support = frequent["term"].to_numpy()[order], frequent["n"].to_numpy()[order]
     sent = spark.sparkContext.broadcast(candidates)
 
     def known_terms(words: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -174,66 +169,31 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         return at[known[at] == words]
 
     def count(batches):
-        totals: dict[str, np.ndarray] = {}
-
-        def rows_of():
-            for lang, total in totals.items():
-                found = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["lang", "t", "n"])
-
+        total = np.zeros(len(sent.value), np.int64)
         for batch in batches:
-            langs = batch.column(1).to_pylist()
-            for row, words in _terms(batch.column(0)):
-                if langs[row] not in totals:
-                    if len(totals) >= 16:
-                        yield from rows_of()
-                        totals.clear()
-                    totals[langs[row]] = np.zeros(len(sent.value), np.int64)
-                totals[langs[row]][np.unique(known_terms(words, sent.value))] += 1
-        yield from rows_of()
-
-    rows_in = {r.lang: r.n for r in texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    taught_in = {r.lang: (r.toxic, r.n) for r in texts.join(train, "id").groupBy("lang").agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("n")).collect()}
-    rows = sum(rows_in.values())
-
-    def telling(own, n, toxic: int, taught: int, texts_n: int) -> np.ndarray:
-        """Which terms label-1 rows use so much more, given own of toxic such rows and n of texts_n texts."""
-        rate = n / texts_n
-        likely = own / toxic * (toxic / taught) / rate  # of the texts with the term, how many have label 1
-        return (own >= least) & (own / toxic - rate >= z * np.sqrt(rate * (1 - rate) / toxic)) & (likely >= precision)
-
-    chosen_in: dict[str, np.ndarray] = {}  # marks of candidates, by language
-    everywhere = np.zeros(len(candidates), bool)
+            for _, words in _terms(batch.column(0)):
+                total[np.unique(known_terms(words, sent.value))] += 1
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["t", "n"])
+
+    rows = texts.count()
+    taught_n, n_toxic = (int(x or 0) for x in train.agg(F.count(F.lit(1)), F.sum("y")).first())
     n_all = np.ones(len(candidates), np.int64)
     if len(candidates):
-        counted = common.keep(texts.select("text", "lang").mapInArrow(count, "lang string, t long, n long").groupBy("lang", "t").agg(F.sum("n").alias("n")))
-        whole = counted.groupBy("t").agg(F.sum("n").alias("n")).toArrow()
-        n_all[whole["t"].to_numpy()] = whole["n"].to_numpy()
-        everywhere = telling(support_all, n_all, n_toxic, max(1, train.count()), rows)
-        lang_of = np.array(support_in["lang"].to_pylist(), object)
-        for lang, (toxic, taught_n) in taught_in.items():
-            mine = np.flatnonzero(lang_of == lang)
-            if len(mine):
-                told = counted.where(F.col("lang") == lang).select("t", "n").toArrow()
-                n = np.ones(len(candidates), np.int64)
-                n[told["t"].to_numpy()] = told["n"].to_numpy()
-                at = np.searchsorted(candidates, support_in["term"].to_numpy()[mine])
-                marks = np.zeros(len(candidates), bool)
-                marks[at] = telling(support_in["n"].to_numpy()[mine], n[at], toxic, taught_n, rows_in[lang])
-                chosen_in[lang] = marks
-    union = everywhere.copy()
-    for marks in chosen_in.values():
-        union |= marks
-    idf = np.log((1 + rows) / (1 + n_all[union])) + 1
-    chosen = spark.sparkContext.broadcast((candidates[union], everywhere[union], {lang: (marks | everywhere)[union] for lang, marks in chosen_in.items()}))
+        counted = texts.select("text").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+        n_all[counted["t"].to_numpy()] = counted["n"].to_numpy()
+    rate = n_all / max(1, rows)
+    share = support / max(1, n_toxic)
+    likely = share * (n_toxic / max(1, taught_n)) / rate  # of the texts with the term, how many have label 1
+    telling = (share - rate >= z * np.sqrt(rate * (1 - rate) / max(1, n_toxic))) & (likely >= precision)
+    idf = np.log((1 + rows) / (1 + n_all[telling])) + 1
+    chosen = spark.sparkContext.broadcast(candidates[telling])
 
     def vectors(batches):
         for batch in batches:
-            terms, counts, langs = [], [], batch.column(2).to_pylist()
-            known, everywhere, by_lang = chosen.value
-            for row, words in _terms(batch.column(1)):
-                found = known_terms(words, known)
-                found, n = np.unique(found[by_lang.get(langs[row], everywhere)[found]], return_counts=True)
+            terms, counts = [], []
+            for _, words in _terms(batch.column(1)):
+                found, n = np.unique(known_terms(words, chosen.value), return_counts=True)
                 terms.append(found.astype(np.int32))
                 counts.append(n.astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["id", "terms", "counts"])
@@ -269,9 +229,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without the rows whose id is predicted toxic."""
-    gone = toxicity(docs, labels, id_col, **options).where("predicted = 1").select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """docs without the rows whose id is predicted toxic; rows of one id (or of the null id) go together."""
+    gone = toxicity(docs, labels, id_col, **options).where("predicted = 1").select(F.col(id_col).alias("_gone_")).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_"]), "left_anti")
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
