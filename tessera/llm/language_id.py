@@ -4,17 +4,19 @@ A filter per language holds the byte n-grams that the language's training texts
 minimal share. The filters are bit-sliced: position p keeps a mask whose bit l says whether filter l has
 p set, so one lookup (the AND of an n-gram's positions) returns all languages that contain the n-gram.
 A text's n-grams are looked up and counted per language; counts are corrected for the false positives that
-each filter's fill predicts, and the largest corrected count decides.
+each filter's fill predicts, and the largest corrected count decides. A mask has a word of 64 bits for every
+64 languages.
 
-Learning is bounded by a parameter: at most `per_language` training texts of each language, the first by a
-hash of their ids. At most 64 languages fit a mask. The table has a fixed size and is broadcast.
+Learning is bounded by a parameter: about `per_language` training texts of each language, those whose ids'
+hashes are under a threshold that the language's count of texts gives. The table's size depends on the
+number of languages alone, and it is broadcast.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import common, textbytes
@@ -66,36 +68,34 @@ def fit(train: DataFrame, share: float = 2e-6) -> tuple[list[str], np.ndarray, n
             grams, n = np.unique(np.concatenate(parts), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    counts = train.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("lang"))
-    often = counts.withColumn("total", total).where((F.col("n") >= 2) & (F.col("n") >= share * F.col("total"))).groupBy("lang").agg(F.collect_list("gram").alias("grams"))
+    counts = common.keep(train.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    often = counts.join(total, "lang").where((F.col("n") >= 2) & (F.col("n") >= share * F.col("total"))).groupBy("lang").agg(F.collect_list("gram").alias("grams"))
     # at most 1 / share n-grams a language: a bound that the corpus does not move
     found = sorted((r.lang, np.array(r.grams, np.uint32)) for r in often.toLocalIterator())
-    if len(found) > 64:
-        raise ValueError("a mask holds 64 languages at most")
-    masks = np.zeros(POSITIONS, np.uint64)
+    masks = np.zeros((-(-len(found) // 64), POSITIONS), np.uint64)
     for bit, (_, grams) in enumerate(found):
         for at in _positions(grams):
-            np.bitwise_or.at(masks, at, np.uint64(1 << bit))
-    fill = np.array([float(((masks >> np.uint64(k)) & np.uint64(1)).mean()) for k in range(len(found))])
+            masks[bit // 64][at] |= np.uint64(1 << bit % 64)
+    fill = np.array([float(((masks[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean()) for k in range(len(found))])
     return [lang for lang, _ in found], masks, fill**HASHES
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1, per_language: int = 4000) -> DataFrame:
     """One row per row of docs: id_col, held_out, lang_pred, score.
 
-    Learns from rows with a language whose crc32(id as text) mod folds is not held (null ids are not held
-    out and teach). lang_pred is "und" with score 0 for null texts, texts without a letter, and when
+    Learns from rows with a language and an id whose crc32(id as text) mod folds is not held; rows with a
+    null id are not held out and teach nothing. Rows that repeat a chosen id teach again. lang_pred is "und" with score 0 for null texts, texts without a letter, and when
     nothing was learnt; texts too short for an n-gram, and ties, take the first language by name. score is
-    the winner's share of the corrected counts that the two best languages do not share: 0.5 in a tie."""
+    the winner's share of the corrected counts that the two best languages do not share: 0.5 in a tie. Other
+    columns of docs are not read."""
     spark = docs.sparkSession
     common.small_batches(spark)
     crc = F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == held, F.lit(False))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    wanted = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where(~F.coalesce(F.crc32(F.col("id").cast("string")) % folds == held, F.lit(False)) & F.col("lang").isNotNull())
-    near = wanted.withColumn("slice", F.xxhash64("id") % 64).withColumn("r", F.row_number().over(Window.partitionBy("lang", "slice").orderBy(F.xxhash64("id"), "id"))).where(F.col("r") <= per_language)
-    chosen = near.withColumn("r", rank).where(F.col("r") <= per_language).select("id")
-    train = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null").join(chosen, "id", "left_semi")
+    told = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), crc.alias("held_out")).where("lang is not null and id is not null and not held_out")
+    share = told.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("share"))
+    place = (F.xxhash64("id") / F.lit(float(1 << 64))) + 0.5  # uniform in [0, 1]
+    train = told.join(share, "lang").where(place < F.col("share")).select("text", "lang")
     langs, masks, false = fit(train)
     shared = spark.sparkContext.broadcast((masks, false))
 
@@ -112,11 +112,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 total[rows] += np.diff(first)
                 if not len(grams):
                     continue
-                mask = masks[(at := _positions(grams))[0]]
-                for more_at in at[1:]:
-                    mask &= masks[more_at]
+                at = _positions(grams)
                 for k in range(count_of):
-                    sums = np.concatenate([[0], np.cumsum((mask >> np.uint64(k)) & np.uint64(1), dtype=np.int64)])
+                    if k % 64 == 0:
+                        mask = masks[k // 64][at[0]]
+                        for more_at in at[1:]:
+                            mask &= masks[k // 64][more_at]
+                    sums = np.concatenate([[0], np.cumsum((mask >> np.uint64(k % 64)) & np.uint64(1), dtype=np.int64)])
                     hits[rows, k] += sums[first[1:]] - sums[first[:-1]]
             right = np.maximum((hits - total[:, None] * false) / np.maximum(1 - false, 1e-9), 0)
             best = right.argmax(axis=1) if count_of else np.zeros(batch.num_rows, int)
