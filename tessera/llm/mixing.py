@@ -19,7 +19,7 @@ DIMENSIONS = ("source", "lang", "topic")
 
 def token_count(text: Column) -> Column:
     """Number of maximal runs outside white space."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{BLANKS}|{BLANKS}$", "")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, BLANKS))).cast("long")
 
 
@@ -65,34 +65,53 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
     return fitted.select(*targets, "tokens", "mass")
 
 
-def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, powers: tuple[float, float, float] = (0.7, 0.7, 0.9), seed: int = 0, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None) -> DataFrame:
-    """docs with mix_source, mix_lang, mix_topic, n_tokens, probability and sampled.
+def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, powers: tuple[float, float, float] = (0.7, 0.7, 0.9), seed: int = 0, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None, carried: list[str] | None = None) -> DataFrame:
+    """The carried columns of docs (all of them by default) with mix_source, mix_lang, mix_topic, n_tokens,
+    probability and sampled; columns of docs with one of these names are left out.
 
     Null sources and languages are the value "unknown". Texts without tokens (null ones too) carry no
     mass: probability 0, never sampled. Without targets each dimension is tempered by its power. Rows that
     repeat an id share its draw. The largest probability is 1, so expected token shares are the targets'."""
+    out, mine = _mixed(docs, targets, powers, seed, id_col, text_col, topic, docs.columns if carried is None else carried)
+    return out.drop(*[name for name in mine if name in out.columns and mine[name] != name]).withColumnsRenamed({own: name for name, own in mine.items()})
+
+
+def _mixed(docs, targets, powers, seed, id_col, text_col, topic, carried) -> tuple[DataFrame, dict[str, str]]:
+    """(carried columns and ours, under names that docs does not have, and those names)."""
+    mine = {}
+    for name in (*(f"mix_{d}" for d in DIMENSIONS), "n_tokens", "probability", "sampled"):
+        own = name
+        while own in docs.columns:
+            own = f"_{own}"
+        mine[name] = own
     text = F.col(text_col)
-    mix = [F.coalesce(F.col("source"), F.lit("unknown")).alias("mix_source"), F.coalesce(F.col("lang"), F.lit("unknown")).alias("mix_lang"), (format_topic(text) if topic is None else topic).alias("mix_topic")]
-    told = docs.select("*", *mix, token_count(text).alias("n_tokens"))
-    cells = told.where("n_tokens > 0").groupBy(*[F.col(f"mix_{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("n_tokens").alias("tokens"))
+    values = [F.coalesce(F.col("source").cast("string"), F.lit("unknown")), F.coalesce(F.col("lang").cast("string"), F.lit("unknown")), format_topic(text) if topic is None else topic]
+    keys = [mine[f"mix_{d}"] for d in DIMENSIONS]
+    told = docs.select(*[F.col(f"`{c}`") for c in carried], *[v.alias(k) for v, k in zip(values, keys)], token_count(text).alias(mine["n_tokens"]), draw(F.col(id_col), seed).alias(mine["sampled"]))
+    if text_col not in carried:
+        told = common.keep(told)  # without the texts: they are read once
+    tokens = F.col(mine["n_tokens"])
+    cells = told.where(tokens > 0).groupBy(*[F.col(k).alias(d) for k, d in zip(keys, DIMENSIONS)]).agg(F.sum(tokens).alias("tokens"))
     cells = common.keep(cells.coalesce(1))
     wanted = targets or {d: tempered(cells, d, p) for d, p in zip(DIMENSIONS, powers)}
     rate = rake(cells, wanted).withColumn("rate", F.col("mass") / F.col("tokens"))
-    rate = rate.select(*[F.col(d).alias(f"mix_{d}") for d in DIMENSIONS], F.coalesce(F.col("rate") / F.nullif(F.max("rate").over(Window.partitionBy()), F.lit(0.0)), F.lit(0.0)).alias("p"))
-    rate = common.keep(rate)
-    joined = told.join(rate, [f"mix_{d}" for d in DIMENSIONS], "left")
-    probability = F.when(F.col("n_tokens") > 0, F.coalesce("p", F.lit(0.0))).otherwise(0.0)
-    return joined.withColumn("probability", probability).withColumn("sampled", draw(F.col(id_col), seed) < F.col("probability")).drop("p")
+    share = F.coalesce(F.col("rate") / F.nullif(F.max("rate").over(Window.partitionBy()), F.lit(0.0)), F.lit(0.0))
+    rate = common.keep(rate.select(*[F.col(d).alias(k) for k, d in zip(keys, DIMENSIONS)], share.alias(mine["probability"])))
+    probability = F.when(tokens > 0, F.coalesce(F.col(mine["probability"]), F.lit(0.0))).otherwise(0.0)
+    joined = told.join(rate, keys, "left").withColumn(mine["probability"], probability)
+    joined = joined.withColumn(mine["sampled"], F.col(mine["sampled"]) < F.col(mine["probability"]))
+    return joined.select(*carried, *mine.values()), mine
 
 
-def sample_mix(docs: DataFrame, **options) -> DataFrame:
-    """The sampled rows, with the columns of docs."""
-    return mixed(docs, **options).where("sampled").select(*docs.columns)
+def sample_mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, powers: tuple[float, float, float] = (0.7, 0.7, 0.9), seed: int = 0, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None) -> DataFrame:
+    """The sampled rows, with the columns of docs, whatever their names."""
+    out, mine = _mixed(docs, targets, powers, seed, id_col, text_col, topic, docs.columns)
+    return out.where(F.col(mine["sampled"])).select(*docs.columns)
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
-    """documents: doc_id, source, lang, topic, n_tokens, probability (10 digits), sampled."""
-    out = mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """documents: doc_id, source, lang, topic, n_tokens, probability (8 digits), sampled."""
+    out = mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"), carried=["doc_id"])
     return out.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"), "n_tokens", F.round("probability", 8).alias("probability"), "sampled")
 
 
