@@ -2,13 +2,16 @@
 
 Unit vectors are rotated to their principal axes, which keeps distances. cosine >= t is distance <= eps =
 sqrt(2 - 2t). Vectors are sorted by label and grid cell (side eps) on the leading axes and cut into
-blocks, each with its bounding box on those axes. Sequence intervals are joined recursively: two intervals
-whose boxes are further apart than eps are skipped, single blocks are paired. A pair of blocks is joined
-the same way down to small leaves, where cosines are computed in double precision from the vectors as given.
+blocks, each with its interval of labels and its bounding box on those axes. Sequence intervals are joined
+recursively: two intervals whose labels do not overlap or whose boxes are further apart than eps are
+skipped, single blocks are paired. Of the later block of a pair only the vectors within eps of the other's
+box travel, to where the other block is. A pair is joined the same way down to small leaves, where cosines
+are computed in double precision from the vectors as given.
 
 Equal vectors of a label are one class with a multiplicity. A pair of blocks returns each class's number
 of links and a spanning forest of the links found, never the links themselves: dense clusters cost rows in
-proportion to their classes. The block size grows with the input, so the boxes that are broadcast stay few.
+proportion to their classes. The block size grows with the input, and a block may hold many labels, so the
+boxes that are broadcast stay few.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import common
 
@@ -28,7 +32,8 @@ BLOCK_ROWS = 1024
 MOST_BLOCKS = 65_536
 LEAF = 64
 SLACK = 1e-7
-_BLOCK = "block long, label long, lo array<double>, hi array<double>, reps binary, counts binary, vectors binary"
+_BODY = ("labels", "reps", "counts", "vectors")
+_BLOCK = "block long, first long, last long, lo array<double>, hi array<double>, " + ", ".join(f"{c} binary" for c in _BODY)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -70,45 +75,51 @@ def principal_axes(vectors: DataFrame, width: int, axes: int = AXES) -> np.ndarr
 
 
 class BoxTree:
-    """Boxes of blocks in sequence order, merged two by two, level after level."""
+    """Boxes of blocks in sequence order, with their intervals of labels, merged two by two, level after level."""
 
-    def __init__(self, lo: np.ndarray, hi: np.ndarray):
-        self.levels = [(lo, hi)]
+    def __init__(self, lo: np.ndarray, hi: np.ndarray, first: np.ndarray, last: np.ndarray):
+        self.levels = [(lo, hi, first, last)]
         while len(lo) > 1:
-            odd = len(lo) % 2
-            lo = np.minimum(lo[::2], np.concatenate([lo[1::2], lo[-1:]]) if odd else lo[1::2])
-            hi = np.maximum(hi[::2], np.concatenate([hi[1::2], hi[-1:]]) if odd else hi[1::2])
-            self.levels.append((lo, hi))
-
-    def near(self, k: int, eps: float) -> np.ndarray:
-        """The blocks from k on whose boxes are within eps of box k."""
-        own_lo, own_hi = self.levels[0][0][k], self.levels[0][1][k]
+            pairs = []
+            for x, f in ((lo, np.minimum), (hi, np.maximum), (first, np.minimum), (last, np.maximum)):
+                left, right = x[::2], x[1::2]
+                pairs.append(f(left, np.concatenate([right, x[-1:]]) if len(x) % 2 else right))
+            lo, hi, first, last = pairs
+            self.levels.append((lo, hi, first, last))
+
+    def before(self, k: int, eps: float) -> np.ndarray:
+        """The blocks before k that share a label with block k and whose boxes are within eps of its box."""
+        own_lo, own_hi, own_first, own_last = (x[k] for x in self.levels[0])
         nodes = np.zeros(1, np.int64)
         for level in range(len(self.levels) - 1, -1, -1):
-            lo, hi = self.levels[level]
-            nodes = nodes[(nodes < len(lo)) & ((nodes + 1) << level > k)]
-            gap = np.maximum(0, np.maximum(lo[nodes] - own_hi, own_lo - hi[nodes]))
-            nodes = nodes[(gap * gap).sum(axis=1) <= eps * eps]
+            lo, hi, first, last = self.levels[level]
+            nodes = nodes[(nodes < len(lo)) & (nodes << level < k)]
+            nodes = nodes[(first[nodes] <= own_last) & (last[nodes] >= own_first)]
+            nodes = nodes[_apart(lo[nodes], hi[nodes], own_lo, own_hi) <= eps * eps]
             if level:
                 nodes = np.concatenate([nodes * 2, nodes * 2 + 1])
         return np.sort(nodes)
 
 
-def join_blocks(x: np.ndarray, y: np.ndarray, zx: np.ndarray, zy: np.ndarray, cosine: float, same: bool):
-    """(rows of x, rows of y) with cosine or more, leaf after leaf; x and y are unit rows in grid order, zx
-    and zy their leading coordinates. With same only rows i < j come."""
+def _apart(lo, hi, other_lo, other_hi) -> np.ndarray:
+    """Squared distances of boxes (or points) from a box."""
+    gap = np.maximum(0, np.maximum(lo - other_hi, other_lo - hi))
+    return (gap * gap).sum(axis=-1)
+
+
+def join_blocks(x: np.ndarray, y: np.ndarray, zx: np.ndarray, zy: np.ndarray, lx: np.ndarray, ly: np.ndarray, cosine: float, same: bool):
+    """(rows of x, rows of y) of one label with cosine or more, leaf after leaf; x and y are unit rows in the
+    order of their labels lx, ly and grid cells, zx and zy their leading coordinates. With same only i < j come."""
     eps = math.sqrt(2 - 2 * cosine) + SLACK
     todo = [(0, len(x), 0, len(y))]
     while todo:
         a, b, c, d = todo.pop()
-        if same and d <= a:
+        if same and d <= a or lx[a] > ly[d - 1] or lx[b - 1] < ly[c]:
             continue
-        gap = np.maximum(0, np.maximum(zx[a:b].min(axis=0) - zy[c:d].max(axis=0), zy[c:d].min(axis=0) - zx[a:b].max(axis=0)))
-        if (gap * gap).sum() > eps * eps:
+        if _apart(zx[a:b].min(axis=0), zx[a:b].max(axis=0), zy[c:d].min(axis=0), zy[c:d].max(axis=0)) > eps * eps:
             continue
         if b - a <= LEAF and d - c <= LEAF:
-            hit = x[a:b] @ y[c:d].T >= cosine
-            i, j = np.nonzero(hit)
+            i, j = np.nonzero((x[a:b] @ y[c:d].T >= cosine) & (lx[a:b, None] == ly[c:d]))
             i, j = i + a, j + c
             if same:
                 i, j = i[i < j], j[i < j]
@@ -125,11 +136,14 @@ def join_blocks(x: np.ndarray, y: np.ndarray, zx: np.ndarray, zy: np.ndarray, co
 def near_vectors(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", one_task: int = 1 << 20) -> DataFrame:
     """One row per row of vectors: id_col, n_links, component_id, kept.
 
-    Only vectors of one label, not null, and one length are compared. Null, empty and zero vectors, those
+    Only vectors of one label, not null, and one length are compared; labels that are no whole numbers are
+    compared by a 64-bit hash. Null, empty and zero vectors, those
     with a null, NaN or infinite component, and rows with a null id or label link with nothing. A row that
     repeats an id with the same vector is the same vector, not another one. Other columns are not read."""
     spark = vectors.sparkSession
-    own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    whole = isinstance(vectors.schema[label_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    label = F.col(label_col).cast("long") if whole else F.when(F.col(label_col).isNotNull(), F.xxhash64(label_col))
+    own = vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     infinite = float("inf")
     sound = F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < infinite)) & F.exists("v", lambda c: c != 0)
     own = own.withColumn("sound", F.coalesce(sound, F.lit(False)))
@@ -177,81 +191,62 @@ def _join(spark, classes: DataFrame, width: int, cosine: float) -> DataFrame:
     def cut(batches):
         base, held = TaskContext.get().partitionId() << 32, None
 
-        def blocks(table, last):
+        def block(some):
             nonlocal base
-            label = table["label"].to_numpy()
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(label)) + 1, [len(label)]])
-            rest = table.slice(len(label))
-            for a, b in zip(edges[:-1], edges[1:]):
-                for at in range(a, b, rows):
-                    end = min(at + rows, b)
-                    if not last and end == len(label) and end - at < rows:
-                        rest = table.slice(at)
-                        continue
-                    some = table.slice(at, end - at)
-                    x = _matrix(some["v"].combine_chunks())
-                    z = _unit(x) @ basis.value
-                    yield [base, int(label[at]), z.min(axis=0).tolist(), z.max(axis=0).tolist(), some["rep"].to_numpy().tobytes(), some["n"].to_numpy().tobytes(), x.tobytes()]
-                    base += 1
-            return rest
-
-        def run(table, last):
-            nonlocal held
-            out = []
-            steps = blocks(table, last)
-            while True:
-                try:
-                    out.append(next(steps))
-                except StopIteration as stop:
-                    held = stop.value
-                    break
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=["block", "label", "lo", "hi", "reps", "counts", "vectors"])
+            base += 1
+            x = _matrix(some["v"].combine_chunks())
+            z, label = _unit(x) @ basis.value, some["label"].to_numpy()
+            body = (label, some["rep"].to_numpy(), some["n"].to_numpy(), x)
+            told = [base, int(label[0]), int(label[-1]), z.min(axis=0).tolist(), z.max(axis=0).tolist(), *(part.tobytes() for part in body)]
+            kinds = [pa.int64()] * 3 + [pa.list_(pa.float64())] * 2 + [pa.binary()] * 4
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(told, kinds)], names=[c.split()[0] for c in _BLOCK.split(", ")])
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([held, table]) if held is not None and held.num_rows else table
-            yield run(table, False)
+            held = pa.concat_tables([held, table]) if held is not None else table
+            while held.num_rows >= rows:
+                yield block(held.slice(0, rows))
+                held = held.slice(rows)
         if held is not None and held.num_rows:
-            yield run(held, True)
+            yield block(held)
 
     blocks = common.keep(ordered.mapInArrow(cut, _BLOCK))
-    boxes = blocks.select("block", "label", "lo", "hi").orderBy("label", "block").collect()  # at most MOST_BLOCKS, one per label and partition more
+    boxes = blocks.select("block", "first", "last", "lo", "hi").orderBy("block").collect()  # at most MOST_BLOCKS and one a partition more
     names = np.array([b.block for b in boxes], np.int64)
-    number = np.unique([b.label for b in boxes], return_inverse=True)[1] * 1e6  # other labels are far away
-    lo = np.column_stack([number, np.array([b.lo for b in boxes]).reshape(len(boxes), axes)])
-    hi = np.column_stack([number, np.array([b.hi for b in boxes]).reshape(len(boxes), axes)])
-    tree = spark.sparkContext.broadcast((names, BoxTree(lo, hi)))
-
-    def pair(batches):
-        names, tree = tree_of()
-        place = {int(b): k for k, b in enumerate(names)}
+    tree = BoxTree(*(np.array([b[c] for b in boxes]).reshape(len(boxes), -1) for c in ("lo", "hi")), *(np.array([b[c] for b in boxes], np.int64) for c in ("first", "last")))
+    shared = spark.sparkContext.broadcast((names, tree))
+
+    def body_of(row, suffix: str = ""):
+        """(labels, reps, counts, unit vectors, their coordinates) of a block's row."""
+        label, rep, n = (np.frombuffer(row[c + suffix], np.int64) for c in _BODY[:3])
+        x = _unit(np.frombuffer(row["vectors" + suffix]).reshape(-1, width))
+        return label, rep, n, x, x @ basis.value
+
+    def guests(batches):
+        """Each block's vectors that are within eps of an earlier block's box, for that block."""
+        names, tree = shared.value
+        lo, hi, first, last = tree.levels[0]
         for batch in batches:
-            left, right = [], []
-            for b in batch.column(0).to_pylist():
-                near = names[tree.near(place[b], eps)]
-                left += [b] * len(near)
-                right += near.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-    def tree_of():
-        return tree.value
-
-    pairs = blocks.select("block").repartition(parts, "block").mapInArrow(pair, "a long, b long")
-    body = lambda s: blocks.select(F.col("block").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("reps", "counts", "vectors")])
-    both = pairs.join(body("a"), "a").join(body("b"), "b")
-    both = both.select("a", "b", "reps_a", "counts_a", "vectors_a", "reps_b", "counts_b", "vectors_b").repartition(4 * parts, "a", "b")
+            for row in batch.to_pylist():
+                k = int(np.searchsorted(names, row["block"]))
+                label, rep, n, _, z = body_of(row)
+                x = np.frombuffer(row["vectors"]).reshape(-1, width)
+                for host in tree.before(k, eps):
+                    use = np.flatnonzero((label >= first[host]) & (label <= last[host]) & (_apart(z, z, lo[host], hi[host]) <= eps * eps))
+                    if len(use):
+                        told = (label[use], rep[use], n[use], x[use])
+                        yield pa.RecordBatch.from_arrays([pa.array([names[host]], pa.int64()), *[pa.array([part.tobytes()], pa.binary()) for part in told]], names=["block", *(f"{c}_b" for c in _BODY)])
 
     def link(batches):
+        """Links of rows with a block and its guest; without a guest, the block's own."""
         for batch in batches:
             for row in batch.to_pylist():
-                same = row["a"] == row["b"]
-                ra, rb = np.frombuffer(row["reps_a"], np.int64), np.frombuffer(row["reps_b"], np.int64)
-                na, nb = np.frombuffer(row["counts_a"], np.int64), np.frombuffer(row["counts_b"], np.int64)
-                x, y = (_unit(np.frombuffer(row[k]).reshape(-1, width)) for k in ("vectors_a", "vectors_b"))
+                same = "reps_b" not in row
+                label_a, ra, na, x, zx = own = body_of(row)
+                label_b, rb, nb, y, zy = own if same else body_of(row, "_b")
                 la, lb = np.zeros(len(ra), np.int64), np.zeros(len(rb), np.int64)
                 ea, eb, waiting = [], [], 0
-                for i, j in join_blocks(x, y, x @ basis.value, y @ basis.value, cosine, same):
+                for i, j in join_blocks(x, y, zx, zy, label_a, label_b, cosine, same):
                     np.add.at(la, i, nb[j])
                     np.add.at(lb, j, na[i])
                     ea.append(ra[i])
@@ -269,7 +264,12 @@ def _join(spark, classes: DataFrame, width: int, cosine: float) -> DataFrame:
                 plain = len(rep[0]) + len(rep[1])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rep)), pa.array(np.concatenate(links)), pa.concat_arrays([pa.nulls(plain, pa.int64()), pa.array(np.asarray(other, np.int64))])], names=["rep", "links", "other"])
 
-    return common.keep(both.mapInArrow(link, "rep long, links long, other long"))
+    found = "rep long, links long, other long"
+    bodies = blocks.select("block", *_BODY)
+    visits = bodies.mapInArrow(guests, "block long, " + ", ".join(f"{c}_b binary" for c in _BODY))
+    out = common.keep(bodies.repartition(parts, "block").mapInArrow(link, found).union(visits.join(bodies, "block").mapInArrow(link, found)))
+    common.free(blocks)
+    return out
 
 
 def op1_epsilon_join(spark, sf_dir: str) -> DataFrame:
