@@ -79,12 +79,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = No
     labels = F.split("host", "\\.")
     candidates = [F.when((F.size(labels) >= n) & (F.length("path") >= p), F.concat(F.substring_index("host", ".", -n), F.substring("path", 1, p))) for n, p in shapes]
     candidates.append(F.concat("host", "path", F.lit("#")))
-    distinct = own.select("host", "path").distinct()
+    distinct = common.keep(own.groupBy("host", "path").agg(F.count(F.lit(1)).alias("rows")))
     asked = distinct.select("host", "path", F.explode(F.array_distinct(F.array_compact(F.array(*candidates)))).alias("key"))
     maybe = possible(asked.select("key").distinct(), filter_, blocks)
     hits = maybe.join(F.broadcast(keys) if count <= BROADCAST_RULES else keys, "key")
     best = asked.join(F.broadcast(hits) if count <= BROADCAST_RULES else hits, "key").groupBy("host", "path").agg(F.max("found").alias("found"))
-    return own.join(best, ["host", "path"], "left").select(id_col, "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", F.lit("allow")).alias("verdict"))
+    told = common.keep(distinct.join(best, ["host", "path"], "left"))
+    judged = common.join_hot(own, told, ["host", "path"], "rows", told.agg(F.sum("rows")).first()[0] or 0)
+    return judged.select(id_col, "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", F.lit("allow")).alias("verdict"))
 
 
 #: The rules of the query.
