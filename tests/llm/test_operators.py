@@ -218,6 +218,24 @@ def test_exact_groups(spark):
     left = exact_dedup.keep_first(docs)
     assert left.columns == docs.columns and left.where("doc_id is not null").count() == len({k for k in keep.values() if k is not None})
     assert exact_dedup.exact_groups(docs.where("false")).count() == 0
+    long = [(1, "ab " * 700_000), (2, "ab\t\n" * 700_000), (3, "ab " * 700_000 + "c")]
+    assert sorted(tuple(r)[:4] for r in exact_dedup.exact_groups(frame(spark, long)).collect()) == [(1, 1, 2, True), (2, 1, 2, False), (3, 3, 1, True)]
+
+
+def test_exact_groups_come_from_the_hash(spark, monkeypatch):
+    """A lookup that finds nothing changes the result: no other step brings equal digests of both sides together."""
+    docs = frame(spark, corpus(6))
+    right = {r.doc_id: tuple(r)[1:4] for r in exact_dedup.exact_groups(docs).collect()}
+    real, names = exact_dedup._lookup, [c.split()[0] for c in exact_dedup._FOUND.split(", ")]
+
+    def blind(asked, index):
+        out = real(asked, index)
+        none = pa.nulls(len(out), pa.int64())
+        return pa.table([*(out[c] for c in names[:5]), none, none, pa.array([0] * len(out), pa.int64())], names=names)
+
+    monkeypatch.setattr(exact_dedup, "_lookup", blind)
+    wrong = {r.doc_id: tuple(r)[1:4] for r in exact_dedup.exact_groups(docs).collect()}
+    assert wrong != right and any(wrong[60 + k][0] == 60 + k for k in range(10))
 
 
 def test_perfect_hash_is_minimal():
@@ -242,6 +260,12 @@ def test_raking_meets_its_targets(spark):
     kept = mixing.sample_mix(docs, targets=want)
     assert kept.columns == docs.columns and 0 < kept.count() < 402
     assert mixing.mixed(docs.where("false")).count() == 0
+    clash = docs.withColumns({c: F.lit(-7.0) for c in ("n_tokens", "p", "probability", "sampled", "mix_source", "rate", "tokens", "mass", "row")})
+    again = mixing.sample_mix(clash, targets=want)
+    assert again.columns == clash.columns and sorted(r.doc_id for r in again.collect()) == sorted(r.doc_id for r in kept.collect())
+    assert {r.probability for r in again.collect()} == {-7.0}
+    assert sorted(map(str, mixing.mixed(clash, want, carried=["doc_id"]).collect())) == sorted(map(str, mixing.mixed(docs, want, carried=["doc_id"]).collect()))
+    assert 0 <= mixing.mixed(clash, want).agg(F.min("probability")).first()[0]
 
 
 # -- 8 ---------------------------------------------------------------------------------------------------
@@ -399,17 +423,55 @@ def test_toxicity_finds_held_out_words(spark):
 
 
 def test_toxicity_learns_a_rare_languages_words(spark):
-    """The rare language has 5 of 5,005 label-1 training rows, and its word is no sign over all texts."""
+    """The rare language has 5 of 5,005 label-1 training rows; the lang column is never read."""
     rng = random.Random(4)
-    ids = {side: iter([i for i in range(20000) if (zlib.crc32(str(i).encode()) % 3 == 1) == side]) for side in (False, True)}
+    ids = {side: iter([i for i in range(90000) if (zlib.crc32(str(i).encode()) % 3 == 1) == side]) for side in (False, True)}
     docs, toxic = [], {}
-    for n, lang, vocabulary, slur, held in ((5000, "en", "a", "scum", False), (5000, "en", "a", None, False), (5, "xx", "b", "drek", False), (100, "xx", "b", None, False), (8, "xx", "b", "drek", True), (30, "xx", "b", None, True)):
+    for n, vocabulary, slur, held in ((5000, "a", "scum", False), (45000, "a", None, False), (5, "b", "drek", False), (20, "b", None, False), (2, "b", "drek", True), (30, "b", None, True)):
         for _ in range(n):
             i = next(ids[held])
-            docs.append((i, " ".join([f"{vocabulary}{rng.randrange(50)}" for _ in range(6)] + [slur] * bool(slur)), lang))
+            docs.append((i, " ".join([f"{vocabulary}{rng.randrange(50)}" for _ in range(6)] + [slur] * bool(slur)), rng.choice("xyz")))
             toxic[i] = int(bool(slur))
-    got = {r.doc_id: r for r in toxicity.toxicity(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")).where("held_out").collect()}
-    assert len(got) == 38 and all(r.predicted == toxic[i] for i, r in got.items())
+    told, labels = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(told, labels).where("held_out").collect()}
+    assert len(got) == 32 and all(r.predicted == toxic[i] for i, r in got.items())
+
+
+def test_toxicity_scores_are_the_votes_of_brute_force(spark, monkeypatch):
+    """Whole query against dense cosines over the index's own vectors and weights, with nulls, ties, repeats and clashing names."""
+    rng = random.Random(8)
+    rows = [(k, " ".join([rng.choice(WORDS) for _ in range(8)] + rng.sample(["scum", "idiot", "moron"], 2) * (k % 5 == 0))) for k in range(200)]
+    rows += [(300, None), (301, "scum"), (301, "scum"), (None, "idiot idiot"), (302, "scum " * 250_000)]
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(200)], "doc_id long, toxic int")
+    held = []
+    real = toxicity.Index.__init__
+
+    def spy(self, *args, **more):
+        real(self, *args, **more)
+        held.append((self, args))
+
+    monkeypatch.setattr(toxicity.Index, "__init__", spy)
+    got = toxicity.toxicity(frame(spark, rows), labels).collect()
+    index, (vectors, y, total, ids, idf) = held[0]
+    assert len(got) == len(rows) and 0 < len(vectors) <= 20
+    dense = {}
+    for (t, c), a, n, i in zip(vectors, y, total, ids):
+        w = np.zeros(len(idf))
+        w[list(t)] = (1 + np.log(np.array(c, float))) * idf[list(t)] if t else 0
+        dense[i] = (w / max(np.linalg.norm(w), 1e-300), a, n)
+    base = (sum(y) + 0.5) / (sum(total) + 1)
+    by_id = {i: w for i, (w, _, _) in dense.items()}
+    for r in got:
+        if r.doc_id in by_id:
+            cos = sorted(((round(float(by_id[r.doc_id] @ w), 12), a, n) for w, a, n in dense.values()), reverse=True)[:15]
+            cos = [(c, a, n) for c, a, n in cos if c > 0]
+            vote = (sum(c * c * a for c, a, _ in cos) + 0.2 * base) / (sum(c * c * n for c, _, n in cos) + 0.2)
+            assert r.score == pytest.approx(index.score(vote), abs=1e-9)
+    told = {r.doc_id: r for r in got}
+    assert told[302].predicted == told[301].predicted == told[None].predicted == 1 and told[300].nearest_id is None
+    left = toxicity.reject_toxic(frame(spark, rows), labels)
+    assert left.columns == frame(spark, rows).columns and left.where("doc_id is null").count() == 0
+    assert toxicity.toxicity(frame(spark, []), labels).count() == 0
 
 
 # -- all -------------------------------------------------------------------------------------------------
