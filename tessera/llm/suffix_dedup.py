@@ -3,16 +3,19 @@
 Every string of LENGTH bytes that occurs in a document with a smaller id is removed. Two equal strings
 hold the same anchor, the least hash of their GRAM-byte slices, so text is cut into segments of strings
 with one anchor, and only anchors that occur twice anywhere are looked at (an anchor of one occurrence
-cannot be in a repeated string). Segments meet by anchor; equal segments become one with its smallest id, and anchors with
-several different segments go on.
+cannot be in a repeated string). Segments meet by anchor; equal segments become one with its smallest id,
+and anchors with several different segments go on.
 
 In a bucket of anchors, segments are dealt to shards. Each shard has the Burrows-Wheeler transform of its
-segments. The interleave says from which shard each row of the merged transform comes; it starts in shard
-order and is refined by one symbol a pass: the merged symbols, in the interleave's order, are sorted stably
-and carry their shards along. A row whose symbol, or whose predecessor's interval, differs from its
-neighbour's opens an interval: the pass in which it does is the common prefix + 1. After LENGTH passes the
-intervals are the repeated strings. No suffixes are sorted again; on the way, segments whose rows are all
-alone leave the transforms, which takes their rows out and nothing else.
+segments. The interleave says which shard's row each row of the merged transform is; it starts in shard
+order and is refined by the symbols before each row, two a pass: in the interleave's order they are sorted
+stably and lead to the rows of the strings they begin. A row whose symbols, or whose predecessor's interval, differ from
+its neighbour's opens an interval: the symbols taken so far are more than the common prefix. After LENGTH
+symbols the intervals are the repeated strings. No suffixes are sorted again; on the way, segments of which
+no string can be repeated any more leave the transforms, which takes their rows out and nothing else.
+
+What never reaches a transform, as it has nothing to merge: whole copies, found by two 64-bit hashes, and
+anchors all of whose segments are equal by anchor and 64-bit hash.
 """
 
 from __future__ import annotations
@@ -128,54 +131,70 @@ def transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, before[order]
 
 
-def merge(shards: list[tuple[np.ndarray, np.ndarray]], length: int = LENGTH, thin_at: tuple[int, ...] = (6, 8, 10, 12, 15, 20, 28, 38)):
+def merge(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], length: int = LENGTH, thin_at: tuple[int, ...] = (8, 14, 20, 28, 38)):
     """Merge transforms: (shard of each row, row in its shard, opens), after length symbols.
 
-    shards: (string number of each row, transform) of each; opens marks the first row of each interval.
-    Strings without a shared interval leave at the passes thin_at: their rows are then missing."""
-    strings = [s for s, _ in shards]
-    bwt = [b for _, b in shards]
-    rows = [np.arange(len(b)) for b in bwt]
-    shard = np.repeat(np.arange(len(bwt)), [len(b) for b in bwt]).astype(np.int16)
-    ends = np.concatenate([np.full(len(b), k, np.int16)[: int((b == END).sum())] for k, b in enumerate(bwt)])
-    opens = np.zeros(len(shard), bool)
-    opens[:1] = True
-    for depth in range(1, length + 1):
-        symbols = np.empty(len(shard), np.uint8)
-        for k, b in enumerate(bwt):
-            symbols[shard == k] = b
-        # code 0 for END, as in the transforms' order
-        symbols = symbols + np.uint8(1)
-        order = np.argsort(symbols, kind="stable")
-        block = np.cumsum(opens, dtype=np.int32)
-        symbols, block = symbols[order], block[order]
+    shards: of each the transform, the row that each row's symbol leads to (of the string's end, for a whole
+    string's row), the string number of each row, and whether a string of length begins there; opens marks
+    the first row of each interval. A pass takes two symbols (the first one of an odd length takes one).
+    Strings that leave after thin_at symbols or more are missing: at none of the rows where one of length
+    could begin do they share an interval, so no other string equals one of theirs."""
+    sizes = np.array([len(s[0]) for s in shards])
+    base = np.cumsum(sizes) - sizes
+    code = np.concatenate([s[0] for s in shards]) + np.uint8(1)  # 0 for END, as in the transforms' order
+    leads = np.concatenate([s[1] + at for s, at in zip(shards, base)]).astype(np.int32)
+    counts = np.array([int(s[2].max(initial=-1)) + 1 for s in shards])
+    string = np.concatenate([s[2] + at for s, at in zip(shards, np.cumsum(counts) - counts)]).astype(np.int32)
+    begins = np.concatenate([s[3] for s in shards])
+    name = np.arange(len(code), dtype=np.int32)  # rows as the shards have them, of those that are left
+    row = name.copy()  # the interleave
+    block = np.zeros(len(row), np.int32)
+    fresh = np.arange(len(row)) == 0
+
+    def refine(symbols, to, ends):
+        """Sort by the symbols before, in the interleave's order; rows with an end in their symbols equal no other."""
+        nonlocal row, block, fresh
+        own = symbols.take(row)
+        order = np.argsort(own, kind="stable")
+        own, old, row = own.take(order), block.take(order), row.take(order)
         fresh = np.ones(len(order), bool)
-        fresh[1:] = (symbols[1:] != symbols[:-1]) | (block[1:] != block[:-1])
-        fresh[: len(ends)] = True  # ends differ from one another, in the order of shards
-        shard = shard[order]
-        shard[: len(ends)] = ends
-        opens = fresh
-        if depth in thin_at:
-            alone = opens & np.append(opens[1:], True)
-            kept_rows = np.empty(len(shard), bool)
-            for k in range(len(bwt)):
-                own = shard == k
-                shared = np.zeros(int(strings[k].max(initial=-1)) + 1, bool)
-                shared[strings[k][~alone[own]]] = True
-                stay = shared[strings[k]]
-                kept_rows[own] = stay
-                strings[k], bwt[k], rows[k] = strings[k][stay], bwt[k][stay], rows[k][stay]
-            block = np.cumsum(opens)[kept_rows]
-            shard = shard[kept_rows]
-            opens = np.ones(len(shard), bool)
-            opens[1:] = block[1:] != block[:-1]
-            ends = np.concatenate([np.full(int((b == END).sum()), k, np.int16) for k, b in enumerate(bwt)])
-            if not len(shard):
-                break
-    row = np.empty(len(shard), np.int64)
-    for k in range(len(bwt)):
-        row[shard == k] = rows[k]
-    return shard, row, opens
+        np.not_equal(own[1:], own[:-1], out=fresh[1:])
+        fresh[1:] |= old[1:] != old[:-1]
+        alone = np.flatnonzero(ends.take(row))
+        fresh[alone] = True
+        fresh[alone[alone < len(row) - 1] + 1] = True
+        row = to.take(row)
+        block = np.cumsum(fresh, dtype=np.int32)
+
+    def pairs():
+        before = code.take(leads)
+        return before.astype(np.uint16) << np.uint16(8) | code, leads.take(leads), (before == 0) | (code == 0)
+
+    depth = length % 2
+    if depth and len(row):
+        refine(code, leads, code == 0)
+    two, wanted = pairs(), list(thin_at)
+    while depth < length and len(row):
+        refine(*two)
+        depth += 2
+        if wanted and depth >= wanted[0]:
+            wanted = [at for at in wanted if at > depth]
+            together = row[~(fresh & np.append(fresh[1:], True))]
+            stays = np.zeros(int(counts.sum()), bool)
+            stays[string[together[begins[together]]]] = True
+            left = stays[string]
+            if left.all():
+                continue
+            in_order = left[row]
+            to = np.cumsum(left, dtype=np.int32) - 1
+            row, block = to[row[in_order]], block[in_order]
+            code, leads, string, begins, name = code[left], to[leads[left]], string[left], begins[left], name[left]
+            fresh = np.ones(len(row), bool)
+            fresh[1:] = block[1:] != block[:-1]
+            two = pairs()
+    at = name[row]
+    shard = np.searchsorted(base, at, "right") - 1
+    return shard, at - base[shard], fresh
 
 
 def first_ids(texts: list[bytes], ids: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
@@ -190,18 +209,23 @@ def first_ids(texts: list[bytes], ids: np.ndarray, length: int = LENGTH) -> list
         text = np.frombuffer(b"".join(t + b"\xff" for t in texts[at:end]), np.uint8)
         suffixes, bwt = transform(text)
         stop = np.cumsum(sizes[at:end] + 1)
-        shards.append((at, stop - sizes[at:end] - 1, suffixes, np.searchsorted(stop, suffixes, "right"), bwt))
+        begin = stop - sizes[at:end] - 1
+        string = np.searchsorted(stop, suffixes, "right")
+        place = np.empty(len(text), np.int64)
+        place[suffixes] = np.arange(len(text))
+        leads = place[np.where(suffixes == begin[string], stop[string] - 1, suffixes - 1)]
+        shards.append((at, begin, suffixes, string, bwt, leads, suffixes + length < stop[string]))
         at = end
     out = [np.full(max(0, size - length + 1), i, np.int64) for size, i in zip(sizes, ids)]
-    shard, row, opens = merge([(s[3], s[4]) for s in shards], length)
-    shared = ~(opens & np.append(opens[1:], True))
+    shard, row, opens = merge([(s[4], s[5], s[3], s[6]) for s in shards], length)
+    shared = ~(opens & np.append(opens[1:], True)) if len(opens) else opens
     shard, row, block = shard[shared], row[shared], np.cumsum(opens)[shared]
     if not len(row):
         return out
     text_of, start = np.empty(len(row), np.int64), np.empty(len(row), np.int64)
-    for k, (base, begin, suffixes, string, _) in enumerate(shards):
+    for k, (first, begin, suffixes, string, *_) in enumerate(shards):
         own = shard == k
-        text_of[own] = base + string[row[own]]
+        text_of[own] = first + string[row[own]]
         start[own] = suffixes[row[own]] - begin[string[row[own]]]
     edge = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1])
     least = np.repeat(np.minimum.reduceat(ids[text_of], edge), np.diff(np.append(edge, len(block))))
@@ -236,7 +260,7 @@ def whole_copies(texts: DataFrame) -> DataFrame:
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
-    """(id, k, start, n): runs of n starts of strings, in bytes, that also start in a smaller id of texts."""
+    """(id, k, spans): runs (start, n) of n starts of strings, in bytes, that also start in a smaller id of texts."""
     spark = texts.sparkSession
     common.small_batches(spark)
     texts = texts.where(F.col("id").isNotNull()).select("id", "k", "text")
@@ -285,6 +309,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     stats = common.keep(cuts.groupBy("k1").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("k2").alias("a"), F.max("k2").alias("b")).where("low <> high"), "zstd")
     # an anchor whose segments are all equal has nothing to merge: the smallest id has every string of it first
     equal = cuts.select("id", "k", "at", "k1", (F.length("segment") - LENGTH + 1).alias("n")).join(stats.where("a = b").select("k1", "low"), "k1").where("low < id").select("id", "k", F.col("at").alias("start"), "n")
+    equal = common.keep(equal, "zstd")
     several = stats.where("a <> b").select("k1")
     marks = spark.sparkContext.broadcast(np.packbits(common.hash_filter(several)))
 
@@ -294,6 +319,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(bits[batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(41)]))
 
     mixed = common.keep(cuts.mapInArrow(maybe, "id long, k long, at int, k1 long, k2 long, segment binary").join(several, "k1", "left_semi").select("id", "k", "at", "k1", "k2", "segment"), "zstd")
+    common.free(cuts, stats)
     joint = mixed.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("segment").alias("segment"))
     heavy = mixed.groupBy("k1").agg(F.count_distinct("k2").alias("c")).where(F.col("c") > HEAVY).select("k1", F.lit(True).alias("heavy"))
     told = joint.withColumn("heavy", F.lit(None).cast("boolean")) if heavy.isEmpty() else joint.join(heavy, "k1", "left")
@@ -303,8 +329,11 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     size = mixed.agg(F.sum(F.length("segment"))).first()[0] or 0
     buckets = 1 + size // BUCKET_BYTES
     first = together.withColumn("bucket", F.pmod(F.xxhash64("place"), F.lit(buckets))).drop("place").groupBy("bucket").applyInArrow(_bucket, "k1 long, k2 long, start int, n int, first long")
-    merged = mixed.select("id", "k", "at", "k1", "k2").join(first, ["k1", "k2"]).where("first < id").select("id", "k", (F.col("at") + F.col("start")).alias("start"), "n")
-    return equal.union(merged)
+    merged = common.keep(mixed.select("id", "k", "at", "k1", "k2").join(first, ["k1", "k2"]).where("first < id").select("id", "k", (F.col("at") + F.col("start")).alias("start"), "n"), "zstd")
+    common.free(mixed)
+    spans = common.keep(equal.union(merged).groupBy("id", "k").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "zstd")
+    common.free(equal, merged)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,8 +348,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = whole_copies(texts)
     few = copies.count() <= FEW_COPIES
     marked = texts.join(F.broadcast(copies) if few else copies, ["k", "k2"], "left").withColumn("copy", F.coalesce(F.col("first") < F.col("id"), F.lit(False)))
-    spans = repeated_spans(marked.where("not copy")).groupBy("id", "k").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    spans = common.keep(spans, "zstd")
+    spans = repeated_spans(marked.where("not copy"))
     wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(common.hash_filter(spans.select(F.xxhash64("id", "k")))))
     schema = "id long, k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
