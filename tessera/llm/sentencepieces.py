@@ -26,7 +26,7 @@ from tessera.llm import common, textbytes
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-WORDS_KEPT = 3 << 17
+WORD_BYTES = 48 << 20  # of the words that a worker remembers
 PAIRS_KEPT = 3 << 16
 DECODE_IDS = 1 << 18
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -57,11 +57,12 @@ def _fields(data: bytes):
         yield tag >> 3, value
 
 
-class Pieces:
-    """A model's pieces and the forward pass. Models with a normalisation other than the identity are refused."""
+class Vocabulary:
+    """A model's pieces, and decoding. Models with a normalisation other than the identity are refused."""
 
     def __init__(self, model: bytes):
-        self.pieces, scores, kinds = [], [], []
+        self.pieces, self.score, self.kinds = [], [], []
+        scores, kinds = self.score, self.kinds
         self.bpe, self.dummy, extra = False, True, True
         for field, value in _fields(model):
             if field == 1:
@@ -78,9 +79,35 @@ class Pieces:
                     raise ValueError("only models without character normalisation are supported")
         if extra:
             raise ValueError("models that remove extra white space are not supported")
+        raw = [p.replace(MARK, " ").encode() for p in self.pieces]
+        for k, kind in enumerate(kinds):
+            raw[k] = bytes([int(self.pieces[k][3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else raw[k]
+        self.sizes = np.array([len(r) for r in raw])
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
+        self.bytes = np.frombuffer(b"".join(raw), np.uint8)
+
+    def decode(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes and offsets of the texts of ids[first[k]:first[k + 1]]; one leading space, the dummy's, goes."""
+        size = self.sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        data = self.bytes[np.arange(ends[-1]) + np.repeat(self.starts[ids] - ends[:-1], size)]
+        offsets = ends[first]
+        if self.dummy:
+            lead = (np.diff(offsets) > 0) & (np.append(data, 0)[np.minimum(offsets[:-1], len(data))] == 32)
+            stay = np.ones(len(data), bool)
+            stay[offsets[:-1][lead]] = False
+            data, offsets = data[stay], offsets - np.concatenate([[0], np.cumsum(lead)])
+        return data, offsets
+
+
+class Pieces(Vocabulary):
+    """What encoding needs besides: the pieces' places, their ends and the pairs judged so far."""
+
+    def __init__(self, model: bytes):
+        super().__init__(model)
+        kinds, scores = self.kinds, self.score
         usable = [k for k, kind in enumerate(kinds) if kind in (NORMAL, USER)]
         self.id_of = {self.pieces[k]: k for k in usable}
-        self.score = scores
         if any(MARK in p.lstrip(MARK) for p in self.id_of):
             raise ValueError("a piece goes on after a mark")
         self.byte = [0] * 256
@@ -95,12 +122,6 @@ class Pieces:
         self.lowest = min((scores[k] for k in usable), default=0.0) - 10.0
         self.pairs: dict[tuple[str, str], bool] = {}
         self.edges: dict[tuple[str, bool], list[tuple[str, float]] | None] = {}
-        raw = [p.replace(MARK, " ").encode() for p in self.pieces]
-        for k, kind in enumerate(kinds):
-            raw[k] = bytes([int(self.pieces[k][3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else raw[k]
-        self.sizes = np.array([len(r) for r in raw])
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
-        self.bytes = np.frombuffer(b"".join(raw), np.uint8)
 
     def ids(self, parts: list[str]) -> list[int]:
         out: list[int] = []
@@ -244,48 +265,51 @@ class Pieces:
             out.append(self.ids(parts[::-1]))
         return out
 
-    def decode(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes and offsets of the texts of ids[first[k]:first[k + 1]]; one leading space, the dummy's, goes."""
-        size = self.sizes[ids]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        data = self.bytes[np.arange(ends[-1]) + np.repeat(self.starts[ids] - ends[:-1], size)]
-        offsets = ends[first]
-        if self.dummy:
-            lead = (np.diff(offsets) > 0) & (np.append(data, 0)[np.minimum(offsets[:-1], len(data))] == 32)
-            stay = np.ones(len(data), bool)
-            stay[offsets[:-1][lead]] = False
-            data, offsets = data[stay], offsets - np.concatenate([[0], np.cumsum(lead)])
-        return data, offsets
 
-
-_loaded: dict[bytes, Pieces] = {}
+_decoders: dict[bytes, Vocabulary] = {}
 _encoders: dict[bytes, Encoder] = {}
 
 
-def load(model: bytes) -> Pieces:
-    """The model, kept with what it has learnt of its pairs while the process lives."""
-    if model not in _loaded:
-        _loaded[model] = Pieces(model)
-    return _loaded[model]
+def decoder(model: bytes) -> Vocabulary:
+    """The model's vocabulary, kept while the process lives."""
+    if model not in _decoders:
+        _decoders[model] = Vocabulary(model)
+    return _decoders[model]
 
 
 def encoder(model: bytes) -> Encoder:
-    """The model's encoder, kept with its words while the process lives."""
+    """The model's encoder, kept with its words and what it has learnt of its pairs while the process lives."""
     if model not in _encoders:
-        _encoders[model] = Encoder(load(model))
+        _encoders[model] = Encoder(Pieces(model))
     return _encoders[model]
 
 
 class Encoder:
-    """Encodes batches of texts; remembers the words it has seen, up to a bound."""
+    """Encodes batches of texts; remembers the words it has seen, up to a bound in bytes."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self._forget()
 
     def _forget(self):
-        self.place: dict[int, int] = {}
-        self.ids: list[bytes] = []
+        self.known: dict[str, bytes] = {}
+        self.held = 0
+
+    @staticmethod
+    def _distinct(data, starts, ends, marks) -> tuple[np.ndarray, np.ndarray]:
+        """(an occurrence of each distinct marked word, each occurrence's word): by hash, and compared byte by byte."""
+        with np.errstate(over="ignore"):
+            keys = textbytes.slice_hash(textbytes.prefix_hash(data), starts, ends) + textbytes.mix(marks.astype(np.uint64))
+        _, at, where = np.unique(keys, return_index=True, return_inverse=True)
+        like, size = at[where], ends - starts
+        if (size == size[like]).all() and (marks == marks[like]).all():
+            to = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            if np.array_equal(data[to + np.repeat(starts, size)], data[to + np.repeat(starts[like], size)]):
+                return at, where
+        number: dict[tuple[int, bytes], int] = {}  # two words of one hash
+        raw = data.tobytes()
+        where = np.array([number.setdefault((m, raw[a:b]), len(number)) for m, a, b in zip(marks.tolist(), starts.tolist(), ends.tolist())])
+        return np.unique(where, return_index=True)[1], where
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, each text's first index among them, one more at the end)."""
@@ -312,28 +336,21 @@ class Encoder:
         opens = np.concatenate([[True], text_of[1:] != text_of[:-1]]) if len(text_of) else np.zeros(0, bool)
         before = np.where(opens, offsets[text_of], np.concatenate([[0], ends[:-1]]))
         marks = starts - before + (opens if self.pieces.dummy else 0)
-        prefix = textbytes.prefix_hash(data)
-        with np.errstate(over="ignore"):
-            keys = textbytes.slice_hash(prefix, starts, ends) + textbytes.mix(marks.astype(np.uint64))
-        distinct, at, where = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.place) > WORDS_KEPT:
+        at, where = self._distinct(data, starts, ends, marks)
+        if self.held > WORD_BYTES:
             self._forget()
-        values = distinct.tolist()
-        new = [k for k, key in enumerate(values) if key not in self.place]
         raw = data.tobytes()
-        words = [MARK * int(marks[at[k]]) + raw[starts[at[k]] : ends[at[k]]].decode("utf-8", "surrogateescape") for k in new]
-        by_word = sorted(range(len(new)), key=words.__getitem__)
-        plain = [k for k in by_word if words[k][1:2] != MARK]
-        found: list = [None] * len(new)
-        for k, ids in zip(plain, self.pieces.encode_sorted([words[k] for k in plain])):
-            found[k] = ids
-        for k in by_word:  # runs of marks have pieces of equal score: merged by definition
-            if found[k] is None:
-                found[k] = self.pieces.ids(self.pieces.merge(words[k])) if self.pieces.bpe else self.pieces.encode_sorted([words[k]])[0]
-        for k, ids in zip(new, found):
-            self.place[values[k]] = len(self.ids)
-            self.ids.append(array("i", ids).tobytes())
-        own = [self.ids[self.place[key]] for key in values]
+        words = [MARK * m + raw[a:b].decode("utf-8", "surrogateescape") for m, a, b in zip(marks[at].tolist(), starts[at].tolist(), ends[at].tolist())]
+        new = sorted(word for word in words if word not in self.known)
+        plain = [word for word in new if word[1:2] != MARK]
+        found = dict(zip(plain, self.pieces.encode_sorted(plain)))
+        for word in new:
+            ids = found.get(word)
+            if ids is None:  # runs of marks have pieces of equal score: merged by definition
+                ids = self.pieces.ids(self.pieces.merge(word)) if self.pieces.bpe else self.pieces.encode_sorted([word])[0]
+            self.known[word] = array("i", ids).tobytes()
+            self.held += 200 + 2 * len(word) + 4 * len(ids)
+        own = [self.known[word] for word in words]
         sizes = np.array([len(x) >> 2 for x in own], np.int64)
         begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         flat = np.frombuffer(b"".join(own), np.int32)
@@ -362,7 +379,9 @@ def _batches(column):
 def encode(docs: DataFrame, model_path: str = MODEL, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with ids_col array<int>: the model's encoding of the whole text; null and empty texts have no
     ids. The model is read on the driver (its size is that of a vocabulary) and broadcast. A column of
-    that name in docs is replaced. Rows are encoded where they are: nothing is shuffled."""
+    that name in docs is replaced; all others come back as they are. Each row is encoded by itself, where it
+    is: repeated rows come back as often as they came, ties of scores go as in the public library, an empty
+    table gives an empty one, and nothing is shuffled."""
     common.small_batches(docs.sparkSession)
     with open(model_path, "rb") as file:
         model = docs.sparkSession.sparkContext.broadcast(file.read())
@@ -393,7 +412,7 @@ def decode(encoded: DataFrame, model_path: str = MODEL, ids_col: str = "ids", te
     at = encoded.columns.index(ids_col)
 
     def run(batches):
-        pieces = load(model.value)
+        pieces = decoder(model.value)
         for batch in batches:
             column = batch.column(at)
             column = pa.concat_arrays([column]).fill_null([]) if column.null_count else column
