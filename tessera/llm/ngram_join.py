@@ -3,15 +3,17 @@
 Each text is its set of distinct word n-grams, hashed. Tokens are ordered by (frequency class, hash): the
 class comes from counters over all texts, so any two texts sort shared tokens alike and rare ones come
 first. Class 0 holds tokens of a single set (their 32-bit fingerprint occurs once); nothing can meet on
-them, so they fill prefixes without being shuffled, and the positional filter counts them as lost. Counters and bitmap have a fixed size: where a corpus
-outgrows them, classes get coarser and more candidates are verified, with the same result. Two sets of similarity t or more share a token among their first
+them, so they fill prefixes without being shuffled, and the positional filter counts them as lost. Counters
+and bitmap have a fixed size: where a corpus outgrows them, classes get coarser and more candidates are
+verified, with the same result. Two sets of similarity t or more share a token among their first
 |x| - ceil(t|x|) + 1 ones; rows meet on those tokens only, pass the length and positional filters, and
 each pair of different sets is then verified once, behind a suffix filter, on the whole sets.
 
 Equal sets form one class before anything is joined. Within a group that shares a prefix token every
 class is first paired with the group's most central one; classes that this has linked are one component,
 and only pairs between different components are paired afterwards. So a group of n near copies costs
-about n pairs, not n * n, while no component is lost.
+about n pairs, not n * n, while no component is lost. Where the links themselves are counted, every
+candidate pair of different sets is verified, inside components too.
 """
 
 from __future__ import annotations
@@ -126,13 +128,20 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return len(np.intersect1d(x, y, assume_unique=True)) >= least
 
 
-def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", one_task: int = 1 << 20) -> DataFrame:
-    """One row per row of docs: id_col, n_shingles, component_id (the smallest id reachable by links).
+def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", one_task: int = 1 << 20, count_links: bool = False) -> DataFrame:
+    """One row per row of docs: id_col, n_shingles, component_id (the smallest id reachable by links); with
+    count_links also n_links, the number of other rows linked directly. Counting verifies all candidates of
+    each near-copy group, n * n of them.
 
     A null or wordless text has an empty set: n_shingles 0, linked with nothing, its own component. A text
     with fewer than n words has one shingle, the whole sequence. Repeated rows come back as often as they
     came. A null id is never a component's smallest id unless all its ids are null. Other columns of docs
     are not read, so their names cannot clash."""
+    return _classes(docs, n, percent, id_col, text_col, one_task, count_links)[0]
+
+
+def _classes(docs, n, percent, id_col, text_col, one_task, count_links) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows of jaccard_classes, and the kept tables that they read."""
     common.small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
@@ -172,8 +181,9 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     base = int(np.median(counts))
     classes = np.minimum(63, np.log2(np.maximum(1, counts.astype(np.float64) - 2 * base) + 1) * 2).astype(np.uint8)
     rarity = np.maximum(1, classes), seen_twice(seen.where(F.col("chunk") >= COUNTERS).select(F.col("chunk") - COUNTERS, "counts").toDF("chunk", "counts"))
-    own = seen.where("chunk is null").select("id", "n_shingles", "d1", "d2")
-    classes = common.keep(own.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep")))
+    own = common.keep(seen.where("chunk is null").select("id", "n_shingles", "d1", "d2"))
+    common.free(seen)
+    classes = common.keep(own.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def prefixes(batches):
@@ -210,6 +220,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     lost = (F.col("n") - F.col("m")).alias("lost")
     hubs = rows.groupBy("token").agg(F.min(F.struct(lost, "n", "d1", "m", "pos")).alias("hub"), F.max(F.struct(lost, "n", "d1")).alias("last")).where("hub.lost <> last.lost or hub.n <> last.n or hub.d1 <> last.d1").select("token", "hub")
     met = common.keep(rows.join(hubs, "token").groupBy("token", "d1", "n", F.col("hub.d1").alias("hub"), F.col("hub.n").alias("hub_n")).agg(F.max("m").alias("m"), F.max("hub.m").alias("hub_m"), F.min("pos").alias("pos"), F.min("hub.pos").alias("hub_pos"), F.first("prev").alias("prev")))
+    common.free(rows)
 
     def can_link(n1: str, m1: str, p1: str, n2: str, m2: str, p2: str):
         """Length and positional filters; of n tokens m are in several sets, and only those can be common."""
@@ -242,7 +253,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
     first = links(star)
     near = common.components(first, one_task)
-    split = met.join(near.withColumnRenamed("node", "d1"), "d1", "left").select("token", "d1", "n", "m", "pos", "prev", F.coalesce("component_id", "d1").alias("c"))
+    part = F.col("d1") if count_links else F.coalesce("component_id", "d1")
+    split = met.join(near.withColumnRenamed("node", "d1"), "d1", "left").select("token", "d1", "n", "m", "pos", "prev", part.alias("c"))
     torn = split.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
     rest = common.keep(split.join(torn, "token", "left_semi").withColumn("band", F.expr(f"cast(floor(ln(n) / ln({100 / percent})) as int)")))
     # two sets that have one of the tokens before in common as well have met there: a pair is made where a common run begins
@@ -250,21 +262,35 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     left = rest.select("token", "d1", "n", "m", "pos", "prev", "c", F.explode(F.array([F.col("band") + k for k in range(3)])).alias("band"))
     right = rest.select("token", F.col("d1").alias("d2"), F.col("n").alias("n2"), F.col("m").alias("m2"), F.col("pos").alias("pos2"), F.col("c").alias("c2"), F.col("prev").alias("prev2"), "band")
     pairs = left.join(right, (left["token"] == right["token"]) & (left["band"] == right["band"]) & F.expr("c <> c2 and (n < n2 or n = n2 and d1 < d2) and not arrays_overlap(prev, prev2)") & can_link("n", "m", "pos", "n2", "m2", "pos2"))
-    pairs = pairs.select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    pairs = common.keep(pairs.select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
+    common.free(met, rest, star)
     every = first.union(links(pairs))
+    common.free(sets, pairs)
 
     reps = classes.groupBy("d1").agg(F.min("rep").alias("rep"))
     linked = every.join(reps.select(F.col("d1").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("d1").alias("b"), F.col("rep").alias("rb")), "b").select("ra", "rb")
     whole = common.components(linked, one_task).select(F.col("node").alias("rep"), F.col("component_id").alias("whole"))
-    named = classes.join(whole, "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("whole", "rep").alias("component"))
-    return own.join(named, ["d1", "d2", "n_shingles"], "left").select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+    named = classes.join(whole, "rep", "left").select("d1", "d2", "n_shingles", "copies", F.coalesce("whole", "rep").alias("component"))
+    if count_links:
+        sides = every.select("a", "b").union(every.select("b", "a")).toDF("d1", "b")
+        met_copies = sides.join(classes.groupBy("d1").agg(F.sum("copies").alias("others")).withColumnRenamed("d1", "b"), "b").groupBy("d1").agg(F.sum("others").alias("others"))
+        named = named.join(met_copies, "d1", "left").withColumn("n_links", F.coalesce("others", F.lit(0)) + F.col("copies") - 1)
+    named = common.keep(named)
+    common.free(classes)
+    # a set of many copies is a hot key
+    joined = common.join_hot(own.where("n_shingles > 0"), named, ["d1", "d2", "n_shingles"], "copies", own.count())
+    more = [F.col("n_links")] if count_links else []
+    out = joined.select("id", "n_shingles", F.col("component").alias("component_id"), *more)
+    out = out.union(own.where("n_shingles = 0").select("id", "n_shingles", "id", *[F.lit(0).cast("long") for _ in more]))
+    return out.withColumnRenamed("id", id_col), [own, named]
 
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the near copies: of each component the row with the smallest id stays, and rows
     without words stay. Rows that repeat an id that stays are all kept."""
-    found = jaccard_classes(docs, n, percent, id_col, text_col)
-    gone = found.where(~F.col("component_id").eqNullSafe(F.col(id_col))).select(id_col).distinct()
+    found, read = _classes(docs, n, percent, id_col, text_col, 1 << 20, False)
+    gone = common.keep(found.where(~F.col("component_id").eqNullSafe(F.col(id_col))).select(id_col).distinct())
+    common.free(*read)
     return docs.join(gone, docs[id_col].eqNullSafe(gone[id_col]), "left_anti")
 
 
