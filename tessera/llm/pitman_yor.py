@@ -5,7 +5,10 @@ words as its parent, whose base is uniform over the training words and one unkno
 Customers are the training tokens; a new table in a context sends one customer to the parent. Seating is
 sampled by Gibbs: a customer leaves and sits down again, at a new table in proportion to (strength +
 discount * tables) * parent probability, else at one of the tables with its dish in proportion to its
-customers less the discount. Predictive probabilities are averaged over the samples.
+customers less the discount. The customers of a cell (a dish in a restaurant) of up to BLOCK leave and sit
+down together: predictions read only how many tables they take, and that is drawn from its exact law given
+all other cells, the weight of a new table to the power of the tables times a generalised Stirling number.
+In larger cells they go one by one. Predictive probabilities are averaged over the samples.
 
 Tokens are dealt to buckets by word, so a dish's customers in all contexts meet in one task, packed: each
 flush of a task sends a bucket its distinct words and contexts, then the contexts (and, for scoring, the
@@ -19,6 +22,7 @@ rows; only three sums a round come to the driver.
 
 from __future__ import annotations
 
+import functools
 import math
 import pickle
 import random
@@ -36,9 +40,10 @@ END = np.uint64(0x0E2D0E2D0E2D0E2D)
 START = np.uint64(0x57A2757A2757A275)
 DISCOUNT, STRENGTH = 0.8, 5.0
 SAMPLES, BURN, BETWEEN = 3, 6, 2
+BLOCK = 512  # customers of a cell that are seated together
 LONE = 48  # fewer cells than this are seated one by one
 BUCKET_TOKENS = 2_000_000
-FLUSH = 2_500_000
+FLUSH = 1_500_000
 FLUSH_TEXTS = 32_000  # places of texts are kept in 16 bits
 LOW48 = np.uint64((1 << 48) - 1)
 STATE, UP, REPLY, CHUNK, KEYS = range(5)
@@ -107,7 +112,7 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 class Seating:
-    """The tables of cells (a dish in a restaurant) and their customers, sampled together for all cells.
+    """The tables of cells and their customers, each seated by itself, for all cells together.
 
     Cells of one customer have one table; the others keep each customer's table. Customers take turns by
     their place in the cell, all cells at once; where fewer than LONE cells are so long, the rest of each
@@ -225,6 +230,65 @@ class Seating:
         return out
 
 
+@functools.lru_cache
+def log_stirling(discount: float, limit: int) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers: the weights of all seatings of n customers at t tables."""
+    out = np.full((limit + 1, limit + 1), -np.inf)
+    out[1, 1] = 0
+    for n in range(1, limit):
+        t = np.arange(1, n + 1)
+        out[n + 1, t] = out[n, t] + np.log(n - discount * t)
+        out[n + 1, t + 1] = np.logaddexp(out[n + 1, t + 1], out[n, t])
+    return out
+
+
+def draw_tables(customers: np.ndarray, a: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of cells of up to BLOCK customers, given their weights of a new table, from their exact law."""
+    law, out, drawn = log_stirling(discount, BLOCK), np.ones(len(customers), np.int64), rng.random(len(customers))
+    order = np.argsort(-customers, kind="stable")
+    falling = -customers[order]
+    at = 0
+    while at < len(order):
+        most = -int(falling[at])
+        end = min(at + max(1, (1 << 18) // most), int(np.searchsorted(falling, -(most * 3 // 4), "right")))
+        own = order[at : max(end, at + 1)]
+        x = law[customers[own], 1 : most + 1] + np.log(a[own])[:, None] * np.arange(1, most + 1)
+        x = np.exp(x - x.max(axis=1, keepdims=True)).cumsum(axis=1)
+        out[own] += (x < drawn[own, None] * x[:, -1:]).sum(axis=1)
+        at += len(own)
+    return out
+
+
+class Seats:
+    """All cells of a bucket: lone customers, cells seated together and cells seated one by one."""
+
+    def __init__(self, counts: np.ndarray, pull: np.ndarray | None, discount: float, rng: np.random.Generator, state: np.ndarray | None = None):
+        """state: what state() gave for these counts; else the customers are seated by pull."""
+        self.counts, self.discount, self.rng = counts, discount, rng
+        self.many = np.flatnonzero(counts > 1)
+        self.small, self.large = (self.many[x] for x in (counts[self.many] <= BLOCK, counts[self.many] > BLOCK))
+        if state is None:
+            self.n = draw_tables(counts[self.small], pull[self.small], discount, rng)
+            self.one_by_one = Seating(counts[self.large], pull[self.large], discount, rng)
+        else:
+            self.n = state[: len(self.small)]
+            self.one_by_one = Seating(counts[self.large], None, discount, rng, state[len(self.small) :])
+
+    def sweep(self, pull: np.ndarray) -> None:
+        """Every customer of every cell leaves and is seated again."""
+        self.n = draw_tables(self.counts[self.small], pull[self.small], self.discount, self.rng)
+        self.one_by_one.sweep(pull[self.large])
+
+    def state(self) -> np.ndarray:
+        return np.concatenate([self.n, self.one_by_one.names()])
+
+    def tables(self) -> np.ndarray:
+        out = np.minimum(self.counts, 1)
+        out[self.small] = self.n
+        out[self.large] = self.one_by_one.tables()
+        return out
+
+
 def _parents(customers: int, a: float, discount: float, rng: np.random.Generator) -> int:
     """Tables of one dish after so many customers came one by one, drawn from one new table to the next."""
     n, at = 1, 1
@@ -245,7 +309,7 @@ def _parents(customers: int, a: float, discount: float, rng: np.random.Generator
 class Bucket:
     """The words of a bucket, their cells (word and context) and what is known of contexts' and words' totals."""
 
-    PARTS = ("words", "width", "keys", "cell_context", "counts", "names", "at", "c_context", "t_context", "w_at", "c_split", "t_split", "p_split", "parent")
+    PARTS = ("words", "width", "keys", "cell_context", "counts", "seated", "at", "c_context", "t_context", "w_at", "c_split", "t_split", "p_split", "parent")
 
     def __init__(self, split_of, buckets: int, body: bytes | None = None):
         self.split_of, self.buckets, self.samples = split_of, buckets, []
@@ -291,7 +355,7 @@ class Bucket:
         self.t_context, self.t_split, self.p_split = np.bincount(self.cell_context, ones, len(self.keys)), np.bincount(self.word, ones, len(self.words))[self.split], self.parent[self.split]
         t_word, _ = self.word_totals(ones)
         types = max(int((self.c_word > 0).sum()), 1)
-        self.seats = Seating(self.counts, self.pull(ones, ones, t_word, ones.sum(), types, types), DISCOUNT, rng)
+        self.seats = Seats(self.counts, self.pull(ones, ones, t_word, ones.sum(), types, types), DISCOUNT, rng)
         self._seat_parent(types, types, rng)
 
     def word_totals(self, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -315,12 +379,12 @@ class Bucket:
     def _seat_parent(self, parents: float, types: float, rng: np.random.Generator) -> None:
         customers = np.bincount(self.word, self.seats.tables(), len(self.words)).astype(np.int64) * self.single
         base = np.full(len(customers), (STRENGTH + DISCOUNT * parents) / (types + 1))
-        top = Seating(customers, base, DISCOUNT, rng)
-        top.sweep(base)
+        top = Seats(customers, base, DISCOUNT, rng)
+        top.one_by_one.sweep(base[top.large])
         self.parent = top.tables()
 
     def sit(self, rng: np.random.Generator) -> None:
-        self.seats = Seating(self.counts, None, DISCOUNT, rng, self.names)
+        self.seats = Seats(self.counts, None, DISCOUNT, rng, self.seated)
 
     def run(self, sweeps: int, sums, rng: np.random.Generator) -> None:
         all_tables, parents, types = sums
@@ -332,7 +396,7 @@ class Bucket:
 
     def ask(self, first: bool) -> list[tuple[int, bytes]]:
         """(owner, message): this bucket's tables, and at first its customers, by context and by split word."""
-        self.names = self.seats.names()
+        self.seated = self.seats.state()
         tables = self.seats.tables()
         own = [(self.keys, np.bincount(self.cell_context, self.counts, len(self.keys)), np.bincount(self.cell_context, tables, len(self.keys)), self.at)]
         own.append((self.words[self.split], self.c_word[self.split], np.bincount(self.word, tables, len(self.words))[self.split], self.w_at))
@@ -519,7 +583,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     replies, sums = answered(0, None)
     levels_of = []
     for step, sweeps in enumerate([BURN] + [BETWEEN] * SAMPLES):
-        rows = common.keep(rows.where(F.col("kind") == STATE).union(replies).groupBy("bucket").applyInArrow(after(step, sweeps, sums), ROWS))
+        told, heard_of = rows, replies
+        rows = common.keep(told.where(F.col("kind") == STATE).union(heard_of).groupBy("bucket").applyInArrow(after(step, sweeps, sums), ROWS))
+        common.free(told, heard_of)
         replies, sums = answered(step + 1, sums)
         if step:
             levels_of.append(sums)
@@ -582,7 +648,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 p += (own + fresh[context] * low[word]) / (STRENGTH + state.c_context[context])
             live, own = np.unique(docs, return_inverse=True)
             n = len(live)
-            return [flush, live.astype(np.uint16).tobytes(), np.bincount(own[count > 0], minlength=n).astype(np.uint32).tobytes(), np.bincount(own, np.log10(count + 0.1), n).tobytes(), np.bincount(own, np.log10(p / SAMPLES), n).astype(np.float32).tobytes(), None]
+            return [flush, live.astype(np.uint16).tobytes(), np.bincount(own[count > 0], minlength=n).astype(np.uint32).tobytes(), np.bincount(own, np.log10(count + 0.1), n).tobytes(), np.bincount(own, np.log10(p / SAMPLES), n).tobytes(), None]
 
         out = [row(flushes[at], table["body"][at].as_py()) for at, k in enumerate(kinds) if k == CHUNK] + keys
         return pa.table({name: pa.array([r[k] for r in out], pa.binary() if k else pa.int64()) for k, name in enumerate(("flush", "docs", "known", "base", "score", "keys"))})
@@ -595,7 +661,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 at = np.frombuffer(docs, np.uint16)
                 known[at] += np.frombuffer(k, np.uint32)
                 base[at] += np.frombuffer(b)
-                total[at] += np.frombuffer(s, np.float32)
+                total[at] += np.frombuffer(s)
         return pa.table({"key": keys, "n_known": known, "base": base, "score": total})
 
     asked = texts.mapInArrow(score_rows, ROWS).union(rows.where(F.col("kind") == STATE)).union(replies)

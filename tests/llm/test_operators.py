@@ -284,6 +284,35 @@ def test_seating_samples_the_exact_conditional():
         assert seats.seats[own].sum() == 3 and (seats.seats[own] > 0).sum() == seats.n[k]
 
 
+def test_cells_seated_together_follow_the_law_of_customers_one_by_one():
+    """Tables drawn at once, tables after many sweeps of single customers, and the law written out by partitions."""
+    rng = np.random.default_rng(2)
+    for size, a in ((2, 0.3), (5, 1.7), (7, 40.0)):
+        drawn = np.bincount(pitman_yor.draw_tables(np.full(40000, size), np.full(40000, a), 0.8, rng), minlength=size + 1)[1:] / 40000
+        single = pitman_yor.Seating(np.full(8000, size), np.full(8000, a), 0.8, rng)
+        for _ in range(25):
+            single.sweep(np.full(8000, a))
+        weight = np.zeros(size)
+
+        def seat(left, sizes):
+            if not left:
+                weight[len(sizes) - 1] += a ** len(sizes) * math.prod(math.prod(j - 0.8 for j in range(1, s)) for s in sizes)
+                return
+            for k in range(len(sizes)):
+                seat(left - 1, sizes[:k] + [sizes[k] + 1] + sizes[k + 1 :])
+            seat(left - 1, [*sizes, 1])
+
+        seat(size - 1, [1])
+        assert np.abs(drawn - weight / weight.sum()).max() < 0.012
+        assert np.abs(np.bincount(single.tables(), minlength=size + 1)[1:] / 8000 - weight / weight.sum()).max() < 0.03
+    mixed = np.array([1, 2, 600, 3, 512, 513, 0])
+    seats = pitman_yor.Seats(mixed, np.ones(7), 0.8, rng)
+    again = pitman_yor.Seats(mixed, None, 0.8, rng, seats.state())
+    assert (again.tables() == seats.tables()).all() and seats.tables()[0] == 1 and seats.tables()[6] == 0
+    again.sweep(np.ones(7))
+    assert (again.tables() <= mixed).all() and (again.tables()[:6] >= 1).all()
+
+
 def test_a_sweep_reseats_every_customer():
     counts = np.array([1] + [50] * 300 + [4000, 700])
     seats = pitman_yor.Seating(counts, np.full(len(counts), 1e-9), 0.8, np.random.default_rng(3))
