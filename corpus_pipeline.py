@@ -55,5 +55,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
-        docs = common.keep(out) if k < len(STAGES) - 1 else out
-    return docs
+        if k == len(STAGES) - 1:
+            return out
+        before, docs = docs, common.keep(out)
+        common.free(before)
