@@ -108,6 +108,40 @@ def residual(tangent, direction, dims=DIMS, least: float = 1e-14):
     return rest, float(np.clip(1 - left, 0, 1)), left
 
 
+def _parts(base, target, dims=DIMS) -> dict[str, tuple[np.ndarray, ...]]:
+    """Tangents from base to target of every component, and those of the nested spans together."""
+    return {name: (h,) for name, h in component_logs(base, target, dims).items()} | {"flag_nested": flag_log(base, target, dims)}
+
+
+def _dims(name: str, dims=DIMS) -> tuple[int, ...]:
+    return dims if name == "flag_nested" else (1,)
+
+
+def motion(past, now, future, dims=DIMS) -> list[dict]:
+    """How far, component by component, the motion to future goes on as the one from past came."""
+    back, on = _parts(now, past, dims), _parts(now, future, dims)
+    return [{"component": c, "cosine": cosine([-h for h in back[c]], on[c], _dims(c, dims)), "incoming_speed": norm(back[c], _dims(c, dims)), "outgoing_speed": norm(on[c], _dims(c, dims))} for c in on]
+
+
+def deletion(past, now, future, before, here, dims=DIMS) -> list[dict]:
+    """What the days that leave a window explain of its motion, component by component.
+
+    before and here are past's and now's windows without their oldest days: from them to the next whole
+    window only new days act. The first such motion, carried to here, is compared with the second; the
+    whole motions are compared before and after the direction of the deletion is taken out."""
+    here = align(before, here, dims)
+    first, then = _parts(before, now, dims), _parts(here, future, dims)
+    carried = iter(transport(before, here, [h for part in first.values() for h in part]))
+    back, on, away = (_parts(now, frame, dims) for frame in (past, future, here))
+    rows = []
+    for c in on:
+        d = _dims(c, dims)
+        added, came = [next(carried) for _ in first[c]], [-h for h in back[c]]
+        rest, share, _ = residual(on[c], away[c], d)
+        rows.append({"component": c, "addition_cosine": cosine(added, then[c], d), "previous_speed": norm(added, d), "next_speed": norm(then[c], d), "full_cosine": cosine(came, on[c], d), "deletion_cosine": cosine(away[c], on[c], d), "attributed": share, "residual_cosine": cosine(residual(came, away[c], d)[0], rest, d)})
+    return rows
+
+
 def stack(tangents, dims=DIMS) -> np.ndarray:
     """One array whose plain inner product is inner()."""
     if len(tangents) != len(dims):

@@ -56,42 +56,38 @@ def upper_p(observed: float, null) -> float:
     return float((1 + (draws >= observed).sum()) / (1 + draws.size))
 
 
-def holm(p) -> np.ndarray:
-    """Step-down adjusted p-values; NaN stays."""
-    p = np.asarray(p, float)
-    out = np.full(p.size, np.nan)
-    order = [k for k in np.argsort(p, kind="stable") if not np.isnan(p[k])]
-    steps = p[order] * np.arange(len(order), 0, -1)
-    out[order] = np.minimum(1, np.maximum.accumulate(steps))
-    return out
-
-
-def iaaft(series, rng: np.random.Generator, rounds: int = 200, tolerance: float = 1e-8) -> np.ndarray:
-    """A series with exactly the same values and nearly the same amplitude spectrum, by turns."""
-    x = np.asarray(series, float)
-    if x.ndim != 1 or x.size < 4 or not np.isfinite(x).all():
-        raise ValueError("four finite values at least are needed")
-    if np.ptp(x) == 0:
-        return x.copy()
-    values, amplitude = np.sort(x), np.abs(np.fft.rfft(x))
-    whole = np.linalg.norm(amplitude[1:])
-    y, before, stuck = rng.permutation(x), np.inf, 0
+def iaaft_panel(panel, rng: np.random.Generator, rounds: int = 200) -> np.ndarray:
+    """Surrogates of all rows at once, after Schreiber and Schmitz: each row takes its own amplitudes with the
+    phases that it has now, then its own values in the order that gives. Ends when no order changes any more."""
+    x = np.asarray(panel, float)
+    if x.ndim != 2 or x.shape[1] < 4 or not np.isfinite(x).all():
+        raise ValueError("rows of four finite values at least are needed")
+    n = x.shape[1]
+    values, amplitude = np.sort(x, axis=1), np.abs(np.fft.rfft(x, axis=1))
+    rank = rng.permuted(np.tile(np.arange(n), (len(x), 1)), axis=1)
     for _ in range(rounds):
-        f = np.fft.rfft(y)
-        size = np.abs(f)
-        phase = np.where(size > 0, f / np.where(size > 0, size, 1), 1)
-        rank = np.argsort(np.argsort(np.fft.irfft(amplitude * phase, x.size), kind="stable"), kind="stable")
-        y = values[rank]
-        error = np.linalg.norm(np.abs(np.fft.rfft(y))[1:] - amplitude[1:]) / whole if whole > 0 else 0.0
-        stuck = stuck + 1 if before - error <= tolerance * max(1.0, before) else 0
-        if error <= tolerance or stuck == 8:
+        angle = np.angle(np.fft.rfft(np.take_along_axis(values, rank, axis=1), axis=1))
+        shaped = np.fft.irfft(amplitude * np.exp(1j * angle), n, axis=1)
+        after = shaped.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
+        if np.array_equal(after, rank):
             break
-        before = error
-    return y
+        rank = after
+    return np.take_along_axis(values, rank, axis=1)
+
 
+def iaaft(series, rng: np.random.Generator, rounds: int = 200) -> np.ndarray:
+    """A series with exactly the same values and nearly the same amplitude spectrum."""
+    return iaaft_panel(np.asarray(series, float)[None], rng, rounds)[0]
 
-def iaaft_panel(panel, rng: np.random.Generator, **options) -> np.ndarray:
-    return np.stack([iaaft(row, rng, **options) for row in np.asarray(panel, float)])
+
+def surrogate_errors(panel, surrogate) -> dict[str, float]:
+    """How well surrogates keep spectra and lag-1 correlations, and how far they undo cross-correlation."""
+    x, y = np.asarray(panel, float), np.asarray(surrogate, float)
+    above = np.triu(np.ones((len(x), len(x)), bool), 1)
+    a, b = (np.abs(np.fft.rfft(z, axis=1))[:, 1:] for z in (x, y))
+    lag = lambda z: np.array([np.corrcoef(r[:-1], r[1:])[0, 1] for r in z])
+    told = {name: float(np.abs(np.corrcoef(z)[above]).mean()) for name, z in (("cross_correlation", y), ("original_cross_correlation", x))}
+    return told | {"spectrum_error": float(np.median(np.linalg.norm(b - a, axis=1) / np.linalg.norm(a, axis=1).clip(1e-15))), "lag1_error": float(np.nanmedian(np.abs(lag(x) - lag(y))))}
 
 
 def slope(lags, values) -> tuple[float, float, float]:
@@ -200,15 +196,43 @@ def rotating_panel(n: int, days: int, omega: float, rng: np.random.Generator, to
     return q @ z
 
 
-def persistence(panel, t_in: int, horizon: int, step: int) -> float:
-    """Mean cosine of successive flag motions over triples of windows a horizon apart."""
+def histories(panel, t_in: int, horizon: int, step: int, market: bool = True) -> tuple[list, list, list]:
+    """(frames, frames without the oldest horizon days, eigenvalues) of rolling windows; each window is
+    adjusted by itself. market False takes the equal-weight return out of each window first."""
+    x = np.asarray(panel, float)
+    if not 0 < horizon < t_in - 1 or step < 1 or horizon % step:
+        raise ValueError("a horizon of whole steps that leaves two days is needed")
+    frames, kept, values = [], [], []
+    for s in range(0, x.shape[1] - t_in + 1, step):
+        window = x[:, s : s + t_in] if market else spectra.market_residual(x[:, s : s + t_in])
+        lam, u = spectra.eigenpairs(spectra.covariance(spectra.adjusted(window)), 7)
+        frames.append(u[:, :6])
+        kept.append(spectra.eigenpairs(spectra.covariance(spectra.adjusted(window[:, horizon:])), 6)[1])
+        values.append(lam)
+    return frames, kept, values
+
+
+def motion_rows(panel, t_in: int, horizon: int, step: int, market: bool = True) -> list[dict]:
+    """(origin, component, cosine, incoming_speed, outgoing_speed) of successive motions a horizon apart."""
     from tessera.functions import flags
 
-    x = np.asarray(panel, float)
-    starts = range(0, x.shape[1] - t_in + 1, step)
-    frames = [spectra.eigenpairs(spectra.covariance(spectra.flatten_days(x[:, s : s + t_in])), 6)[1] for s in starts]
+    frames, _, _ = histories(panel, t_in, horizon, step, market)
     k = horizon // step
-    cos = [flags.cosine([-h for h in flags.flag_log(frames[i], frames[i - k])], flags.flag_log(frames[i], frames[i + k])) for i in range(k, len(frames) - k)]
+    return [{"origin": i, **row} for i in range(k, len(frames) - k) for row in flags.motion(frames[i - k], frames[i], frames[i + k])]
+
+
+def deletion_rows(panel, t_in: int, horizon: int, step: int) -> list[dict]:
+    """(origin, component, ...) of flags.deletion at every triple of windows a horizon apart."""
+    from tessera.functions import flags
+
+    frames, kept, _ = histories(panel, t_in, horizon, step)
+    k = horizon // step
+    return [{"origin": i, **row} for i in range(k, len(frames) - k) for row in flags.deletion(frames[i - k], frames[i], frames[i + k], kept[i - k], kept[i])]
+
+
+def persistence(panel, t_in: int, horizon: int, step: int) -> float:
+    """Mean cosine of successive flag motions over triples of windows a horizon apart."""
+    cos = [row["cosine"] for row in motion_rows(panel, t_in, horizon, step) if row["component"] == "flag_nested"]
     return float(np.nanmean(cos)) if cos else float("nan")
 
 

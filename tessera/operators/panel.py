@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Share-split ratios that a price step may show, by name.
 SPLIT_RATIOS = [
-    ("21:20", 21 / 20), ("11:10", 11 / 10), ("6:5", 6 / 5), ("5:4", 5 / 4), ("4:3", 4 / 3), ("7:5", 7 / 5), ("3:2", 3 / 2), ("5:3", 5 / 3), ("9:5", 9 / 5),
+    ("21:20", 1.05), ("11:10", 1.1), ("6:5", 1.2), ("5:4", 1.25), ("4:3", 4 / 3), ("7:5", 1.4), ("3:2", 1.5), ("5:3", 5 / 3), ("9:5", 1.8),
     ("7:4", 7 / 4), ("2:1", 2.0), ("5:2", 5 / 2), ("3:1", 3.0), ("7:2", 7 / 2), ("4:1", 4.0), ("5:1", 5.0), ("6:1", 6.0), ("7:1", 7.0), ("8:1", 8.0),
     ("10:1", 10.0), ("12:1", 12.0), ("15:1", 15.0), ("20:1", 20.0), ("25:1", 25.0), ("50:1", 50.0), ("100:1", 100.0), ("1000:1", 1000.0),
 ]
@@ -44,9 +44,9 @@ def require_positive(prices: DataFrame) -> DataFrame:
 
 def log_returns(prices: DataFrame) -> DataFrame:
     """x = ln price - ln price of the row before; the label's first day goes, gaps are NULL."""
-    first = F.min("day").over(Window.partitionBy("label"))
+    first = prices.groupBy("label").agg(F.min("day").alias("first"))
     x = F.ln("price") - F.ln(F.lag("price").over(_series()))
-    return prices.select("label", "name", "day", x.alias("x"), first.alias("first")).where("day > first").drop("first")
+    return prices.select("label", "name", "day", x.alias("x")).join(first, "label").where("day > first").drop("first")
 
 
 def split_ratio(x: Column, tolerance: float = 2e-4) -> Column:
@@ -130,8 +130,7 @@ def variance_path(panel: DataFrame, window: int = 1) -> DataFrame:
     if window == 1:
         return daily
     pad = window // 2
-    size = F.max("t").over(Window.partitionBy("label")) + 1
-    told = daily.withColumn("size", size)
+    told = daily.join(daily.groupBy("label").agg((F.max("t") + 1).alias("size")), "label")
     left = told.where(F.col("t") < pad).withColumn("t", -1 - F.col("t"))
     right = told.where(F.col("t") >= F.col("size") - pad).withColumn("t", 2 * F.col("size") - 1 - F.col("t"))
     ordered = Window.partitionBy("label").orderBy("t").rowsBetween(-pad, window - 1 - pad)
@@ -164,8 +163,10 @@ def worst_outliers(panel: DataFrame, k: int = 5) -> DataFrame:
     """The k cells with the largest |x - mean| / sd of their name, per label."""
     name = Window.partitionBy("label", "name")
     scored = panel.withColumn("sd", F.abs(F.col("x") - F.avg("x").over(name)) / F.stddev_samp("x").over(name))
-    order = Window.partitionBy("label").orderBy(F.desc("sd"), "name", "t")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("label", "name", "t", "sd", "x", "rank")
+    worst = [F.desc("sd"), "name", "t"]
+    ranked = lambda rows, *by: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*worst))).where(F.col("rank") <= k)
+    # k a name at most, so that the label's window sees few rows
+    return ranked(ranked(scored, "label", "name"), "label").select("label", "name", "t", "sd", "x", "rank")
 
 
 def panel_report(panel: DataFrame, periods: int = 252) -> DataFrame:
@@ -181,7 +182,7 @@ def panel_report(panel: DataFrame, periods: int = 252) -> DataFrame:
 def rv_autocorrelation(panel: DataFrame, scales: tuple[int, ...] = (5, 10, 21)) -> DataFrame:
     """(label, scale, n_blocks, autocorrelation): lag-1 correlation of the log realised variance of whole blocks."""
     spread = panel.withColumn("scale", F.explode(F.array(*[F.lit(s) for s in scales]))).withColumn("block", F.floor(F.col("t") / F.col("scale")))
-    size = F.floor((F.max("t").over(Window.partitionBy("label")) + 1) / F.col("scale"))
-    blocks = spread.withColumn("blocks", size).where("block < blocks").groupBy("label", "scale", "block").agg(F.ln(F.avg(F.col("x") * F.col("x"))).alias("v"))
+    ends = panel.groupBy("label").agg((F.max("t") + 1).alias("days"))
+    blocks = spread.join(ends, "label").where(F.col("block") < F.floor(F.col("days") / F.col("scale"))).groupBy("label", "scale", "block").agg(F.ln(F.avg(F.col("x") * F.col("x"))).alias("v"))
     lagged = blocks.withColumn("before", F.lag("v").over(Window.partitionBy("label", "scale").orderBy("block")))
     return lagged.groupBy("label", "scale").agg(F.count(F.lit(1)).alias("n_blocks"), F.corr("v", "before").alias("autocorrelation"))

@@ -80,6 +80,47 @@ def choose(grid: DataFrame, by: list[str], loss: str, value: str) -> DataFrame:
     return grid.groupBy(*by).agg(F.min_by(value, F.struct(loss, value)).alias(value), F.min(loss).alias(loss))
 
 
+def choose_on_validation(losses: DataFrame, by: list[str], value: str, loss: str) -> DataFrame:
+    """(by, value, validation_loss, n_validation, test_loss, n_test, selected) from rows with a split: the value of
+    least mean validation loss is selected, ties to the smaller one. Fails where a group has no validation row."""
+    part = lambda s: F.when(F.col("split") == s, F.col(loss))
+    table = losses.groupBy(*by, value).agg(F.avg(part("validation")).alias("validation_loss"), F.count(part("validation")).alias("n_validation"), F.avg(part("test")).alias("test_loss"), F.count(part("test")).alias("n_test"))
+    checked = F.when(F.col("n_validation") > 0, F.col("validation_loss")).otherwise(F.raise_error(F.lit("the validation split is empty")).cast("double"))
+    table = table.withColumn("validation_loss", checked)
+    best = choose(table, by, "validation_loss", value).select(*by, F.col(value).alias("best"))
+    return table.join(best, by).withColumn("selected", F.col(value) == F.col("best")).drop("best")
+
+
+def causal_z(value: str, order: Window, least: int = 20) -> Column:
+    """A value's z-score among strictly earlier rows; 0 before there are least of them, or where they are all equal."""
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    sd = F.stddev_samp(value).over(before)
+    return F.when((F.count(value).over(before) >= least) & (sd > 0), (F.col(value) - F.avg(value).over(before)) / sd).otherwise(0.0)
+
+
+def first_of_each(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row for each key, the first by order; rows that two writers added come once."""
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_first_", first).where("_first_ = 1").drop("_first_")
+
+
+def value_counts(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, share), how often each combination occurs."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
+def example_sets(scores: DataFrame, name: str, example: str) -> DataFrame:
+    """(label, name, n, expected, complete): whether each estimator of a label has exactly the label's examples."""
+    ids = scores.select("label", name, example).distinct()
+    whole = ids.groupBy("label").agg(F.count_distinct(example).alias("expected"))
+    return ids.groupBy("label", name).agg(F.count(F.lit(1)).alias("n")).join(whole, "label").withColumn("complete", F.col("n") == F.col("expected"))
+
+
+def common_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys that both tables have."""
+    return left.select(*keys).intersect(right.select(*keys))
+
+
 def first_crossing(curve: DataFrame, by: list[str], x: str, y: str, level: float) -> DataFrame:
     """Where y, linear between neighbours in x, first reaches level."""
     order = Window.partitionBy(*by).orderBy(x)

@@ -32,11 +32,11 @@ def origins(panel: DataFrame, t_in: int, t_out: int, step: int) -> DataFrame:
 def assign_windows(panel: DataFrame, t_in: int, t_out: int, step: int) -> DataFrame:
     """panel with (origin, role, k): each row once for every window that holds its day. The windows of a
     day follow from t by arithmetic, so this is an explode and no join."""
-    last = F.max("t").over(Window.partitionBy("label")) + 1 - (t_in + t_out)
     width = t_in + t_out
+    ends = panel.groupBy("label").agg((F.max("t") + 1 - width).alias("last"))
     lo = F.greatest(F.lit(0), F.ceil((F.col("t") - F.lit(width - 1)) / F.lit(step)))
     hi = F.least(F.floor(F.col("t") / F.lit(step)), F.floor(F.col("last") / F.lit(step)))
-    spread = panel.withColumn("last", last).where("last >= 0").withColumn("lo", lo).withColumn("hi", hi).where("lo <= hi")
+    spread = panel.join(ends, "label").where("last >= 0").withColumn("lo", lo).withColumn("hi", hi).where("lo <= hi")
     spread = spread.withColumn("origin", F.explode(F.sequence(F.col("lo").cast("int"), F.col("hi").cast("int")))).withColumn("k", F.col("t") - F.col("origin") * step)
     return spread.withColumn("role", F.when(F.col("k") < t_in, "estimation").otherwise("target")).drop("last", "lo", "hi")
 
@@ -72,18 +72,31 @@ def estimation_scaling(windowed: DataFrame) -> DataFrame:
     return flat.groupBy("label", "origin", "name").agg(F.stddev_samp("y").alias("sigma"), F.first("reference").alias("reference"))
 
 
-def apply_windows(windowed: DataFrame, kernel: Callable[[str, int, list[str], np.ndarray, np.ndarray], list[dict]], schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Run kernel(label, origin, names, estimation N x T_in, target N x T_out) once per window, in
-    parallel over (label, origin, extra): rows of schema. The group is one window, of a bounded size."""
-    keys = ["label", "origin", *extra]
+def map_windows(panel: DataFrame, t_in: int, t_out: int, step: int, kernel: Callable[[str, int, list[str], np.ndarray, np.ndarray], list[list]], schema: str, every: int = 1) -> DataFrame:
+    """Run kernel(label, origin, names, estimation N x T_in, target N x T_out) once per window: rows of schema.
+
+    A group is a chunk of consecutive origins with the days that their windows share, so a cell is shuffled at
+    most five times however many windows hold it, and a task holds a matrix of 1.25 windows. With every, only
+    each every-th origin is run."""
+    width = t_in + t_out
+    per = max(1, -(-width // (4 * step)))
+    ends = panel.groupBy("label").agg((F.max("t") + 1).alias("days"))
+    first = F.greatest(F.lit(0), F.ceil((F.col("t") - (width - 1)) / F.lit(step)))
+    last = F.least(F.floor(F.col("t") / F.lit(step)), F.floor((F.col("days") - width) / F.lit(step)))
+    spread = panel.join(ends, "label").where(F.col("days") >= width).withColumn("first", first).withColumn("last", last).where("first <= last")
+    chunk = F.explode(F.sequence(F.floor(F.col("first") / per).cast("int"), F.floor(F.col("last") / per).cast("int")))
+    names_of = [c.split()[0] for c in schema.split(", ")]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["name", "k"])
+        frame = frame.sort_values(["name", "t"])
         names = frame["name"].unique().tolist()
-        cells = frame["x"].to_numpy(float).reshape(len(names), -1)
-        inside = (frame["role"].to_numpy() == "estimation").reshape(len(names), -1)[0]
-        given = [frame[c].iloc[0] for c in extra]
-        rows = kernel(frame["label"].iloc[0], int(frame["origin"].iloc[0]), names, cells[:, inside], cells[:, ~inside], *given)
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return windowed.select(*keys, "name", "k", "role", "x").groupBy(*keys).applyInPandas(run, schema)
+        cells, begin = frame["x"].to_numpy(float).reshape(len(names), -1), int(frame["t"].min())
+        label, days, k = frame["label"].iloc[0], int(frame["days"].iloc[0]), int(frame["chunk"].iloc[0])
+        rows = []
+        for origin in range(k * per, (k + 1) * per):
+            s = origin * step
+            if s + width <= days and origin % every == 0:
+                rows += kernel(label, origin, names, cells[:, s - begin : s - begin + t_in], cells[:, s - begin + t_in : s - begin + width])
+        return pd.DataFrame(rows, columns=names_of)
+
+    return spread.select("label", "name", "t", "x", "days", chunk.alias("chunk")).groupBy("label", "chunk").applyInPandas(run, schema)

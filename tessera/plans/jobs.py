@@ -10,9 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import coupling, estimators, flags, inference, spectra
-from tessera.operators import summaries
-from tessera.operators.windows import apply_windows, assign_windows, block_length, chronological_splits, origins
+from tessera.functions import estimators, flags, inference, spectra
+from tessera.operators.windows import block_length, chronological_splits, map_windows, origins
 
 HALF_LIVES = (10, 21, 42, 63)
 FORECASTERS = {
@@ -38,7 +37,7 @@ def capture_ladder(panel: DataFrame, t_in: int, t_out: int, step: int) -> DataFr
         top = flags.captured(flags.ceiling_frame(r), r)
         return [[label, origin, len(names), *held.values(), top["capture_6"], 6 / len(names)]]
 
-    return apply_windows(assign_windows(panel, t_in, t_out, step), kernel, "label string, origin int, n_names int, capture_1 double, capture_3 double, capture_6 double, ceiling_6 double, floor_6 double")
+    return map_windows(panel, t_in, t_out, step, kernel, "label string, origin int, n_names int, capture_1 double, capture_3 double, capture_6 double, ceiling_6 double, floor_6 double")
 
 
 def entrants(panel: DataFrame, t_in: int, t_out: int, step: int, half_lives=HALF_LIVES) -> DataFrame:
@@ -52,17 +51,17 @@ def entrants(panel: DataFrame, t_in: int, t_out: int, step: int, half_lives=HALF
         frames |= {name: estimators.frame_of(estimators.ESTIMATORS[name](y)) for name in ("ledoit_wolf", "oas", "quadratic_inverse")}
         return [[label, origin, name, flags.captured(frame, r)["capture_6"]] for name, frame in frames.items()]
 
-    return apply_windows(assign_windows(panel, t_in, t_out, step), kernel, "label string, origin int, entrant string, capture_6 double")
+    return map_windows(panel, t_in, t_out, step, kernel, "label string, origin int, entrant string, capture_6 double")
 
 
-def bias(panel: DataFrame, t_in: int, t_out: int, step: int, stride: int = 3, replicates: int = 40, seed: int = 20260805) -> DataFrame:
+def bias(panel: DataFrame, t_in: int, t_out: int, step: int, stride: int = 3, replicates: int = 200, seed: int = 20260805) -> DataFrame:
     """(label, origin, bias_6): ceiling bias in static worlds, at every stride-th origin."""
 
     def kernel(label, origin, names, past, ahead):
         cov = spectra.covariance(spectra.scaled(past, *spectra.scaling(past)))
         return [[label, origin, flags.ceiling_bias(cov, ahead.shape[1], inference.generator(seed, label, origin), replicates)["capture_6"]]]
 
-    return apply_windows(assign_windows(panel, t_in, t_out, step).where(F.col("origin") % stride == 0), kernel, "label string, origin int, bias_6 double")
+    return map_windows(panel, t_in, t_out, step, kernel, "label string, origin int, bias_6 double", stride)
 
 
 def intervals(pairs: DataFrame, block: int, value: str = "gain", by: tuple[str, ...] = ("label", "entrant"), seed: int = 20260805) -> DataFrame:
@@ -89,13 +88,12 @@ def ladder_comparisons(panel: DataFrame, t_in: int, t_out: int, step: int) -> Da
 
 def window_frames(panel: DataFrame, t_in: int, step: int) -> DataFrame:
     """(label, w, frame, window): day-flattened leading frames of rolling windows, in order, as flat arrays."""
-    inside = assign_windows(panel, t_in, 0, step)
 
     def kernel(label, origin, names, past, ahead):
         frame = spectra.eigenpairs(spectra.covariance(spectra.adjusted(past)), 6)[1]
         return [[label, origin, frame.ravel().tolist(), np.ravel(past).tolist()]]
 
-    return apply_windows(inside, kernel, "label string, w int, frame array<double>, x array<double>")
+    return map_windows(panel, t_in, 0, step, kernel, "label string, w int, frame array<double>, x array<double>")
 
 
 def triples(panel: DataFrame, t_in: int, horizon: int, step: int) -> DataFrame:
@@ -111,8 +109,9 @@ def _frame(flat) -> np.ndarray:
 
 
 def flag_losses(panel: DataFrame, t_in: int, horizon: int, step: int, names=tuple(FORECASTERS)) -> DataFrame:
-    """(label, example, forecaster, component, loss) of every forecaster at every triple of windows."""
-    schema = "label string, example int, forecaster string, component string, loss double"
+    """(label, example, forecaster, component, loss, failure) of every forecaster at every triple of windows. A
+    forecaster that cannot be computed has rows with a NULL loss and its message, so that examples still pair."""
+    schema = "label string, example int, forecaster string, component string, loss double, failure string"
 
     def run(batches):
         for frame in batches:
@@ -122,29 +121,15 @@ def flag_losses(panel: DataFrame, t_in: int, horizon: int, step: int, names=tupl
                 x = np.asarray(x, float).reshape(len(now), -1)
                 for name in names:
                     try:
-                        guess = FORECASTERS[name](past, now, x, horizon)
-                    except (ValueError, ArithmeticError, np.linalg.LinAlgError):
-                        continue
-                    rows += [[label, w, name, c, v] for c, v in flags.losses(future, guess).items()]
+                        told = flags.losses(future, FORECASTERS[name](past, now, x, horizon)), None
+                    except (ValueError, ArithmeticError, np.linalg.LinAlgError) as failure:
+                        told = dict.fromkeys(flags.COMPONENTS), str(failure)
+                    rows += [[label, w, name, c, v, told[1]] for c, v in told[0].items()]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     return triples(panel, t_in, horizon, step).repartition("label", "w").mapInPandas(run, schema)
 
 
-def damping_grid(panel: DataFrame, t_in: int, horizon: int, step: int, points: int = 11) -> DataFrame:
-    """(label, alpha, mean_loss, selected): nested loss of each share of the last motion; ties to the smaller."""
-    grid = triples(panel, t_in, horizon, step).drop("x").withColumn("alpha", F.explode(F.array(*[F.lit(k / (points - 1)) for k in range(points)])))
-
-    def run(batches):
-        for frame in batches:
-            loss = [flags.losses(_frame(f), flags.damped_velocity(_frame(p), _frame(n), a))["flag_nested"] for p, n, f, a in frame[["past", "now", "future", "alpha"]].itertuples(index=False)]
-            yield frame[["label", "alpha"]].assign(loss=loss)
-
-    means = grid.mapInPandas(run, "label string, alpha double, loss double").groupBy("label", "alpha").agg(F.avg("loss").alias("mean_loss"))
-    best = summaries.choose(means, ["label"], "mean_loss", "alpha").select("label", F.col("alpha").alias("best"))
-    return means.join(best, "label").withColumn("selected", F.col("alpha") == F.col("best")).drop("best")
-
-
 def attribution(panel: DataFrame, t_in: int, horizon: int, step: int) -> DataFrame:
     """(label, example, component, persistence, attributed, residual_cosine): how far the next motion follows
     the last one, and what of it the direction to the rotated eigenvectors explains."""
@@ -179,7 +164,7 @@ def window_distances(panel: DataFrame, t_in: int, step: int, p: int, q: int, max
         lam, vec = spectra.eigenpairs(spectra.covariance(spectra.adjusted(past)))
         return [[label, origin, vec[:, :q].ravel().tolist(), spectra.distance_null(lam, p, q, t_in)]]
 
-    states = apply_windows(assign_windows(panel, t_in, 0, step), kernel, "label string, w int, vectors array<double>, null double")
+    states = map_windows(panel, t_in, 0, step, kernel, "label string, w int, vectors array<double>, null double")
     lags = F.explode(F.sequence(F.lit(1), F.lit(max(1, max_lag // step))))
     left = states.select("label", F.col("w").alias("i"), F.col("vectors").alias("u"), F.col("null").alias("n1"), lags.alias("k")).withColumn("j", F.col("i") + F.col("k"))
     both = left.join(states.select("label", F.col("w").alias("j"), F.col("vectors").alias("v"), F.col("null").alias("n2")), ["label", "j"])
@@ -197,7 +182,7 @@ def eigenvalues(panel: DataFrame, t_in: int, step: int, k: int) -> DataFrame:
     def kernel(label, origin, names, past, ahead):
         return [[label, origin, m + 1, v] for m, v in enumerate(spectra.eigenpairs(spectra.covariance(spectra.adjusted(past)), k)[0])]
 
-    return apply_windows(assign_windows(panel, t_in, 0, step), kernel, "label string, w int, mode int, value double")
+    return map_windows(panel, t_in, 0, step, kernel, "label string, w int, mode int, value double")
 
 
 def variogram(values: DataFrame, step: int, max_lag: int) -> DataFrame:
@@ -211,13 +196,16 @@ def variogram(values: DataFrame, step: int, max_lag: int) -> DataFrame:
 def covariance_scores(panel: DataFrame, t_in: int, t_out: int, step: int, names: tuple[str, ...]) -> DataFrame:
     """One row per origin and estimator: all scores of its forecast."""
     metrics = ("relative_frobenius", "gaussian_nll_per_asset", "gmv_long_short_variance", "gmv_long_only_variance", "flag_nested_loss", "score_condition_number")
-    grid = assign_windows(panel, t_in, t_out, step).withColumn("estimator", F.explode(F.array(*[F.lit(n) for n in names])))
 
-    def kernel(label, origin, _, past, ahead, name):
-        s = estimators.scores(estimators.ESTIMATORS[name](past), spectra.covariance(ahead))
-        return [[label, origin, name, *(s[m] for m in metrics)]]
+    def kernel(label, origin, _, past, ahead):
+        target = spectra.covariance(ahead)
+        rows = []
+        for name in names:
+            s = estimators.scores(estimators.ESTIMATORS[name](past), target)
+            rows.append([label, origin, name, *(s[m] for m in metrics)])
+        return rows
 
-    return apply_windows(grid, kernel, "label string, origin int, estimator string, " + ", ".join(f"{m} double" for m in metrics), ("estimator",))
+    return map_windows(panel, t_in, t_out, step, kernel, "label string, origin int, estimator string, " + ", ".join(f"{m} double" for m in metrics))
 
 
 def foresight(panel: DataFrame, t_in: int, t_out: int, step: int, half_life: float = 21.0) -> DataFrame:
@@ -233,96 +221,7 @@ def foresight(panel: DataFrame, t_in: int, t_out: int, step: int, half_life: flo
             out.append([label, origin, name, s["gaussian_nll_per_asset"], s["gmv_long_only_annualised_volatility"]])
         return out
 
-    return apply_windows(assign_windows(panel, t_in, t_out, step), kernel, "label string, origin int, forecast string, nll double, long_only_vol double")
-
-
-def coupling_model(panel: DataFrame, t_in: int, t_out: int, step: int, half_life: float = 21.0, sizes=(0.02, 0.05, 0.1, 0.2), train: float = 0.6) -> DataFrame:
-    """(label, fit, size, n, mean_capture, base_capture, selected): coupling fits on the first origins,
-    scored at each size on the later ones. One group is a label's origins: the fits are sums over them."""
-    t_of = assign_windows(panel, t_in, t_out, step)
-
-    def kernel(label, origin, names, past, ahead):
-        r = spectra.scaled(ahead, *spectra.scaling(past))
-        return [[label, origin, np.ravel(past).tolist(), np.ravel(r).tolist(), len(names)]]
-
-    states = apply_windows(t_of, kernel, "label string, origin int, past array<double>, target array<double>, n int")
-    schema = "label string, fit string, size double, n int, mean_capture double, base_capture double"
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("origin")
-        rows, earlier, stress = [], [], []
-        for past, target, n in frame[["past", "target", "n"]].itertuples(index=False):
-            x, r = np.asarray(past).reshape(n, -1), np.asarray(target).reshape(n, -1)
-            lam, v = spectra.eigenpairs(coupling.base(x, half_life))
-            stress.append(float(np.log(np.square(x[:, -t_out:]).mean())))
-            fast = coupling.fast_slow(x, v, 10, 42)
-            move = coupling.momentum(earlier[-3], v) if len(earlier) >= 3 else np.zeros_like(fast)
-            earlier.append(spectra.frozen_frame(x))
-            rows.append([lam, v, coupling.gaps(lam)[0], coupling.label(r, v), fast, move, r])
-        z = coupling.causal_scores(stress, 5)
-        designs = [np.stack([w[4], w[5], s * w[4]]) for w, s in zip(rows, z)]
-        cut = max(1, int(train * len(rows)))
-        head = (designs[:cut], [w[3] for w in rows[:cut]], [w[2] for w in rows[:cut]])
-
-        def capture(beta, size, part):
-            return float(np.mean([flags.captured(coupling.corrected(w[0], w[1], coupling.combine(d, beta), size), w[6])["capture_6"] for w, d in zip(rows[part], designs[part])]))
-
-        fits = {"gradient": coupling.gradient_beta(*head), "ridge": coupling.ridge_beta(*head), "geometric": coupling.ridge_beta(*head, weighted=False), "direct": coupling.direct_beta(lambda b: capture(b, sizes[0], slice(0, cut)), 3, 12)[0]}
-        late = slice(cut, None) if cut < len(rows) else slice(0, None)
-        base = capture(np.zeros(3), 0.0, late)
-        return pd.DataFrame([[frame["label"].iloc[0], name, s, len(rows[late]), capture(b, s, late), base] for name, b in fits.items() for s in sizes])
-
-    out = states.groupBy("label").applyInPandas(fit, schema)
-    best = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("mean_capture"), "fit", "size"))
-    return out.withColumn("selected", best == 1)
-
-
-def permutation_null(panel: DataFrame, t_in: int, horizon: int, step: int, replicates: int, kind: str = "calendar", block: int = 6, bins: int = 3, seed: int = 7) -> DataFrame:
-    """(label, replicate, statistic): mean persistence of the panel (replicate 0) and of its nulls. kind:
-    calendar blocks, volatility-matched blocks, iaaft surrogates. One group is one replicate of one panel."""
-    spread = panel.select("label", "name", "t", "x").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        wide = frame.pivot(index="name", columns="t", values="x").sort_index().to_numpy(float)
-        label, k = frame["label"].iloc[0], int(frame["replicate"].iloc[0])
-        if k:
-            rng = inference.generator(seed, f"{label}/{kind}", k)
-            if kind == "iaaft":
-                wide = inference.iaaft_panel(wide, rng, rounds=30)
-            else:
-                wide = wide[:, inference.block_permutation(wide.shape[1], block, rng) if kind == "calendar" else inference.matched_permutation(wide, block, bins, rng)]
-        return pd.DataFrame([[label, k, inference.persistence(wide, t_in, horizon, step)]])
-
-    return spread.groupBy("label", "replicate").applyInPandas(run, "label string, replicate int, statistic double")
-
-
-def null_p_values(draws: DataFrame) -> DataFrame:
-    """(label, statistic, null_mean, null_q95, n_null, p, holm) from replicate 0 and the others."""
-    return summaries.holm(_p(draws), [], "p")
-
-
-def _p(draws: DataFrame) -> DataFrame:
-    observed = draws.where("replicate = 0").select("label", "statistic")
-    null = draws.where("replicate > 0").select("label", F.col("statistic").alias("value"))
-    return summaries.empirical_p(observed.withColumnRenamed("statistic", "value"), null, ["label"], "value").withColumnRenamed("value", "statistic")
-
-
-def coherence_null(panel: DataFrame, t_in: int, horizon: int, step: int, replicates: int, width: int = 3, seed: int = 13) -> DataFrame:
-    """(label, replicate, leading_share, spike_ratio, participation, effective_rank) of the motions of the
-    leading subspace (replicate 0) and of nulls in which every name moves at its own times. The path of a
-    panel is smoothed in order, so one group is one replicate of one panel."""
-    spread = window_frames(panel, t_in, step).select("label", "w", "frame").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    names = ("leading_share", "spike_ratio", "participation", "effective_rank")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        label, k = frame["label"].iloc[0], int(frame["replicate"].iloc[0])
-        moves, starts = flags.motions([_frame(f)[:, :width] for f in frame.sort_values("w")["frame"]], horizon // step)
-        if k:
-            moves = flags.desynchronise(moves, starts, inference.generator(seed, label, k))
-        told = flags.coherence(moves)
-        return pd.DataFrame([[label, k, *(told[n] for n in names)]])
-
-    return spread.groupBy("label", "replicate").applyInPandas(run, "label string, replicate int, " + ", ".join(f"{n} double" for n in names))
+    return map_windows(panel, t_in, t_out, step, kernel, "label string, origin int, forecast string, nll double, long_only_vol double")
 
 
 def change_shares(panel: DataFrame, t_in: int, t_out: int, step: int, width: int = 6) -> DataFrame:
@@ -332,28 +231,17 @@ def change_shares(panel: DataFrame, t_in: int, t_out: int, step: int, width: int
         now = spectra.covariance(past)
         return [[label, origin, flags.cross_share(spectra.eigenpairs(now, width)[1], now, spectra.covariance(ahead))]]
 
-    return apply_windows(assign_windows(panel, t_in, t_out, step), kernel, "label string, origin int, cross_share double")
+    return map_windows(panel, t_in, t_out, step, kernel, "label string, origin int, cross_share double")
 
 
-def detection_power(spark, n: int = 16, days: int = 240, t_in: int = 60, horizon: int = 12, step: int = 6, omegas=(0.0, 1e-3, 4e-3, 1.6e-2), replicates: int = 6, seed: int = 11) -> DataFrame:
-    """(omega, replicate, statistic): persistence in synthetic worlds that rotate at a known speed."""
-    grid = spark.range(len(omegas) * replicates).select((F.col("id") % len(omegas)).cast("int").alias("o"), F.floor(F.col("id") / len(omegas)).cast("int").alias("replicate"))
+def synthetic_panel(spark, n: int = 23, days: int = 6800, omega: float = 1e-4, seed: int = 3, label: str = "synthetic") -> DataFrame:
+    """(label, name, day, x, t): a rotating world as a panel, one task."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        o, k = int(frame["o"].iloc[0]), int(frame["replicate"].iloc[0])
-        world = inference.rotating_panel(n, days, omegas[o], inference.generator(seed, f"omega{o}", k))
-        return pd.DataFrame([[omegas[o], k, inference.persistence(world, t_in, horizon, step)]])
-
-    return grid.groupBy("o", "replicate").applyInPandas(run, "omega double, replicate int, statistic double")
-
+        x = inference.rotating_panel(n, days, omega, inference.generator(seed, label)) / 100
+        return pd.DataFrame({"label": label, "name": np.repeat([f"n{k:03d}" for k in range(n)], days), "day": np.tile(np.arange(days), n), "x": x.ravel(), "t": np.tile(np.arange(days), n)})
 
-def detection_threshold(runs: DataFrame) -> DataFrame:
-    """(null_mean, null_sd, threshold, detectable_omega): the first speed whose mean passes mean + 1.645 sd of speed 0."""
-    null = runs.where("omega = 0").agg(F.avg("statistic").alias("null_mean"), F.stddev_samp("statistic").alias("null_sd"))
-    means = runs.where("omega > 0").groupBy("omega").agg(F.avg("statistic").alias("mean"))
-    null = null.withColumn("threshold", F.col("null_mean") + 1.645 * F.col("null_sd"))
-    passed = null.join(means, F.col("mean") > F.col("threshold"), "left")
-    return passed.groupBy("null_mean", "null_sd", "threshold").agg(F.min("omega").alias("detectable_omega"))
+    return spark.range(1).groupBy("id").applyInPandas(run, "label string, name string, day int, x double, t int")
 
 
 def static_worlds(spark, n: int = 24, t: int = 400, p: int = 3, q: int = 6, trials: int = 40, nu: float | None = None, seed: int = 5) -> DataFrame:

@@ -4,16 +4,13 @@ SQL and DataFrame sides share nothing but the definition: the SQL starts from th
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import panel as P
 from tessera.operators import summaries as S
 from tessera.operators import windows as W
-from tessera.plans import jobs
+from tessera.plans import jobs, nulls, selection
 from tessera.sources import tables
 
 QUERIES: dict = {}
@@ -118,12 +115,6 @@ def _defects(spark, sf):
     return P.null_defects(returns_of(spark, sf), breaks).select("label", "name", F.col("day").cast("string").alias("day"), r("x"))
 
 
-@query("clean_returns")
-def _clean(spark, sf):
-    """The whole cleaning chain; the threshold suits monthly prices that move by half."""
-    return P.clean_returns(_prices(spark, sf, "month"), threshold=2.0, least=0.5).select("label", "name", F.col("day").cast("string").alias("day"), "t", r("x"))
-
-
 @query("variance_path_5", f"""WITH {panel_sql("month")}, v AS (SELECT label, t, avg(x * x) AS l, (SELECT max(t) + 1 FROM panel) AS n FROM panel GROUP BY label, t),
 e AS (SELECT label, t, l, n FROM v UNION ALL SELECT label, -1 - t, l, n FROM v WHERE t < 2 UNION ALL SELECT label, 2 * n - 1 - t, l, n FROM v WHERE t >= n - 2)
 SELECT label, CAST(t AS INTEGER) AS t, round(l, 10) AS level FROM (SELECT label, t, n, sum(l) OVER (PARTITION BY label ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS l FROM e) WHERE t >= 0 AND t < n""")
@@ -166,16 +157,6 @@ def _origins(spark, sf):
     return out.select("label", "origin", F.col("start").cast("int").alias("start"), F.col("target_start").cast("int").alias("target_start"), *[F.col(c).cast("string").alias(c) for c in ("origin_day", "target_day", "target_first_day")], "split")
 
 
-@query("split_overlaps")
-def _overlaps(spark, sf):
-    return W.split_overlaps(jobs.splits_of(panel_of(spark, sf), T_IN, T_OUT, STEP, **DATES))
-
-
-@query("nonoverlapping_targets")
-def _nonoverlap(spark, sf):
-    return S.nonoverlapping(jobs.splits_of(panel_of(spark, sf), T_IN, T_OUT, STEP, **DATES))
-
-
 WINDOW_SQL = ORIGINS_SQL + f""",
 e AS (SELECT o.label, origin, name, t - s AS k, x FROM o JOIN panel p ON p.label = o.label AND p.t >= s AND p.t < s + {T_IN}),
 lv AS (SELECT label, origin, k, avg(x * x) AS l FROM e GROUP BY ALL), ref AS (SELECT label, origin, avg(l) AS ref FROM lv WHERE l > 0 GROUP BY ALL),
@@ -267,21 +248,6 @@ def _moments(spark, sf):
     return values.groupBy("label", "w").agg(F.round(F.sum("value"), 6).alias("trace"), F.round(F.sum(F.col("value") * F.col("value")), 6).alias("squares"))
 
 
-@query("eigenvalue_variogram")
-def _variogram(spark, sf):
-    return jobs.variogram(jobs.eigenvalues(panel_of(spark, sf), 24, 6, 3), 6, 24)
-
-
-@query("window_distances")
-def _distances(spark, sf):
-    return jobs.window_distances(panel_of(spark, sf), 24, 6, 3, 6, 48)
-
-
-@query("distance_by_lag")
-def _lag(spark, sf):
-    return S.lag_bins(jobs.window_distances(panel_of(spark, sf), 24, 6, 3, 6, 48), 12, "distance")
-
-
 @query("back_to_back")
 def _back(spark, sf):
     """Adjacent windows that share no day, for several lengths."""
@@ -315,31 +281,10 @@ def _losses(spark, sf):
     return jobs.flag_losses(panel_of(spark, sf), 36, 6, 6)
 
 
-@query("flag_skill")
-def _skill(spark, sf):
-    losses = jobs.flag_losses(panel_of(spark, sf), 36, 6, 6, ("frozen", "retained", "roll_forward", "ewma", "constant_velocity"))
-    frozen = losses.where("forecaster = 'frozen'").drop("forecaster")
-    keys = ["label", "example", "component"]
-    out = None
-    for name in ("retained", "roll_forward", "ewma", "constant_velocity"):
-        one = S.paired(losses.where(F.col("forecaster") == name), frozen, keys, "loss", ["label", "component"], True).withColumn("forecaster", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-@query("combined_skill")
-def _combined(spark, sf):
-    return S.combine_panels(_skill(spark, sf).where("forecaster = 'ewma'"))
-
-
-@query("loss_summary")
-def _summary(spark, sf):
-    return S.distribution(jobs.flag_losses(panel_of(spark, sf), 36, 6, 6, ("frozen",)), ["label", "component"], "loss")
-
-
 @query("damping_grid")
 def _damping(spark, sf):
-    return jobs.damping_grid(panel_of(spark, sf), 36, 6, 6)
+    """The share of motion with the least validation loss; what it loses on test."""
+    return selection.choose_damping(panel_of(spark, sf), 36, 6, 1, **DATES)
 
 
 @query("flag_attribution")
@@ -375,9 +320,7 @@ def _winners(spark, sf):
 
 @query("choose_half_life")
 def _half_life(spark, sf):
-    scores = jobs.covariance_scores(panel_of(spark, sf), T_IN, T_OUT, 4, ("ewma_21", "ewma_42", "ewma_63"))
-    mean = scores.groupBy("label", F.substring_index("estimator", "_", -1).cast("int").alias("half_life")).agg(F.avg("gaussian_nll_per_asset").alias("nll"))
-    return S.choose(mean, ["label"], "nll", "half_life")
+    return selection.choose_half_life(panel_of(spark, sf), T_IN, T_OUT, 1, (21, 42, 63, 126), **DATES)
 
 
 @query("foresight")
@@ -387,20 +330,28 @@ def _foresight(spark, sf):
 
 @query("coupling_model")
 def _coupling(spark, sf):
-    return jobs.coupling_model(panel_of(spark, sf), 36, T_OUT, STEP)
+    """Every half-life's fits: chosen on validation, reported on test."""
+    out, panel = None, panel_of(spark, sf)
+    for half_life in (10.0, 21.0, 42.0, 63.0):
+        one = selection.coupling_model(panel, 36, 6, 1, half_life)
+        out = one if out is None else out.unionByName(one)
+    return out
+
 
+DRAWS = 19  # the smallest p is 1 / 20; the reference's scripts draw 99 or 999
 
 for _null in ("calendar", "volatility", "iaaft"):
 
     @query(f"null_{_null}")
     def _nulls(spark, sf, kind=_null):
-        return jobs.null_p_values(jobs.permutation_null(panel_of(spark, sf), 36, 6, 6, 9, kind))
+        """Persistence of motion by component, with Holm over the primary ones."""
+        series = nulls.motions(panel_of(spark, sf), DRAWS, 36, 6, 6, kind)
+        return nulls.held_against(nulls.means(series, nulls.MOTION, "cosine"), "mean_cosine")
 
 
 @query("coherence_null")
 def _coherence(spark, sf):
-    draws = jobs.coherence_null(panel_of(spark, sf), 24, 6, 6, 9).select("label", "replicate", F.col("leading_share").alias("statistic"))
-    return jobs.null_p_values(draws)
+    return nulls.held_against(nulls.coherence(panel_of(spark, sf), DRAWS, 24, 6, 6), "leading_share")
 
 
 @query("change_shares")
@@ -417,7 +368,8 @@ def _peak(spark, sf):
 
 @query("detection_power")
 def _power(spark, sf):
-    return jobs.detection_threshold(jobs.detection_power(spark))
+    runs = selection.detection_runs(spark, [(16, 60, 12), (16, 90, 12)], (0.0, 1e-3, 4e-3, 1.6e-2), 240, 6, 6)
+    return selection.detection_floors(runs)
 
 
 @query("static_worlds")
@@ -487,18 +439,4 @@ def _bins(spark, sf):
     return S.lag_bins(pairs, 10, "v").select("label", "lag_bin", "n", r("v", 4))
 
 
-@query("resumable_results")
-def _resume(spark, sf):
-    """Half of the replicates are written, the rest are found missing and added; all are read back."""
-    where = f"{tempfile.mkdtemp(prefix='tessera-') if spark.sparkContext.master.startswith('local') else spark.conf.get('spark.sql.warehouse.dir')}/results-{uuid.uuid4().hex}"
-    wanted = spark.range(8).select(F.col("id").cast("int").alias("replicate"), (F.col("id") * 2).alias("value"))
-    tables.append_results(wanted.where("replicate < 4"), where)
-    tables.append_results(tables.missing_keys(wanted, where, ["replicate"]), where)
-    return spark.read.parquet(where).select(F.col("replicate").cast("int").alias("replicate"), "value")
-
-
-@query("sliding_volatility_stream")
-def _stream(spark, sf):
-    from tessera.streaming.volatility import run_once
-
-    return run_once(spark, sf)
+from tessera.plans import evidence  # noqa: E402, F401  registers its queries

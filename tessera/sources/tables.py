@@ -65,3 +65,32 @@ def missing_keys(wanted: DataFrame, path: str, keys: list[str]) -> DataFrame:
 def append_results(rows: DataFrame, path: str, by: str = "replicate") -> None:
     """Add rows to a resumable table; one folder a replicate, so a repeated run is seen by missing_keys."""
     rows.write.mode("append").partitionBy(by).parquet(path)
+
+
+def append_csv(rows: DataFrame, path: str) -> None:
+    """Add rows to a folder of CSV files, each with the header; read_results reads them as one table."""
+    rows.write.mode("append").option("header", True).csv(path)
+
+
+def read_two_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(row, group, field, value) of a CSV table with two header rows: groups, which stand over their first field
+    alone, and fields. The first column names the rows."""
+    lines = spark.read.option("header", False).csv(path).withColumn("_row_", F.monotonically_increasing_id())
+    columns = lines.columns[:-1]
+    top, fields = (list(r)[: len(columns)] for r in lines.orderBy("_row_").limit(2).collect())
+    groups, last = [], None
+    for g in top:
+        last = g or last
+        groups.append(last)
+    body = lines.join(lines.select(F.min("_row_").alias("begin")), F.col("_row_") > F.col("begin") + 1)
+    told = [F.struct(F.lit(g).alias("group"), F.lit(f).alias("field"), F.col(c).cast("double").alias("value")) for c, g, f in zip(columns[1:], groups[1:], fields[1:])]
+    return body.select(F.col(columns[0]).alias("row"), F.explode(F.array(*told)).alias("cell")).select("row", "cell.*").where("value is not null")
+
+
+def business_days(spark: SparkSession, first: str, last: str) -> DataFrame:
+    """(day, number): Mondays to Fridays from first to last."""
+    days = spark.sql(f"SELECT explode(sequence(DATE '{first}', DATE '{last}')) AS day").where(F.weekday("day") < 5)
+    # Mondays to Fridays number themselves: five a week from a Monday before all
+    number = F.floor(F.datediff("day", F.lit("1900-01-01").cast("date")) / 7) * 5 + F.weekday("day")
+    begin = days.agg(F.min(number)).first()[0]
+    return days.select("day", (number - F.lit(begin)).cast("int").alias("number"))
