@@ -163,7 +163,7 @@ def _clean(spark, sf):
     return P.clean_returns(Q._prices(spark, sf, "month"), threshold=2.0, least=0.5).select("label", "name", F.col("day").cast("string").alias("day"), "t", r("x"))
 
 
-SPLIT_SQL = Q.ORIGINS_SQL + f", s AS (SELECT o.label, origin, b.d AS target_day, c.d AS first_day, CASE WHEN b.d <= DATE '1997-06-30' THEN 'train' WHEN b.d BETWEEN DATE '1997-08-01' AND DATE '1997-10-31' THEN 'validation' WHEN b.d >= DATE '1998-01-01' THEN 'test' ELSE 'purged' END AS split FROM o JOIN days b ON b.label = o.label AND b.t = s + {T_IN + T_OUT - 1} JOIN days c ON c.label = o.label AND c.t = s + {T_IN})"
+SPLIT_SQL = Q.ORIGINS_SQL + f", s AS (SELECT o.label, origin, b.d AS target_day, c.d AS first_day, CASE WHEN b.d <= DATE '2000-06-30' THEN 'train' WHEN b.d BETWEEN DATE '2000-08-01' AND DATE '2001-01-31' THEN 'validation' WHEN b.d >= DATE '2001-03-01' THEN 'test' ELSE 'purged' END AS split FROM o JOIN days b ON b.label = o.label AND b.t = s + {T_IN + T_OUT - 1} JOIN days c ON c.label = o.label AND c.t = s + {T_IN})"
 
 
 @query("split_overlaps", SPLIT_SQL + " SELECT label, coalesce(min(first_day) FILTER (WHERE split = 'validation') <= max(target_day) FILTER (WHERE split = 'train') OR min(first_day) FILTER (WHERE split = 'test') <= max(target_day) FILTER (WHERE split = 'validation'), true) AS overlaps FROM s GROUP BY ALL")
@@ -221,11 +221,11 @@ def _stress(spark, sf):
 
 @query("sliding_volatility_stream", """WITH e AS (SELECT event_type, ts, value FROM events WHERE value IS NOT NULL),
 w AS (SELECT event_type, time_bucket(INTERVAL 3 HOUR, ts) - INTERVAL (3 * k) HOUR AS start, value FROM e, (VALUES (0), (1)) h(k))
-SELECT event_type, CAST(start AS VARCHAR) AS start, count(*) AS n, round(var_pop(value), 6) AS variance FROM w WHERE start + INTERVAL 6 HOUR <= (SELECT max(ts) FROM e) - INTERVAL 1 HOUR GROUP BY ALL""")
+SELECT event_type, CAST(start AS VARCHAR) AS start, count(*) AS n, round(var_pop(value), 4) AS variance FROM w WHERE start + INTERVAL 6 HOUR <= (SELECT max(ts) FROM e) - INTERVAL 1 HOUR GROUP BY ALL""")
 def _stream(spark, sf):
     from tessera.streaming.volatility import run_once
 
-    return run_once(spark, sf).select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", r("variance"))
+    return run_once(spark, sf).select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", r("variance", 4))
 
 
 # -- relational operators over plain tables ----------------------------------------------------------------
@@ -420,4 +420,4 @@ def _long(spark, sf):
 
 @query("coupling_long")
 def _coupling_long(spark, sf):
-    return selection.coupling_model(jobs.synthetic_panel(spark), 750, 42, 14, 63.0)
+    return selection.coupling_model(jobs.synthetic_panel(spark), 750, 42, 14, (63.0,))

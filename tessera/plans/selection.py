@@ -79,25 +79,29 @@ def loss_comparisons(losses: DataFrame, block: int, seed: int = 20260803) -> Dat
 # -- the coupling model ------------------------------------------------------------------------------------
 
 
-def coupling_states(panel: DataFrame, t_in: int, t_out: int, step: int, half_life: float, fast: float = 10, slow: float = 42, lag: int = 3, least: int = 5) -> DataFrame:
-    """(label, origin, n, values, vectors, blocks, target, realised, gram, plain, moments, plain_moments, slopes): each
-    origin's eigenpairs, feature blocks, target block and its part of the sums that the fits need.
+def coupling_states(panel: DataFrame, t_in: int, t_out: int, step: int, half_lives: tuple[float, ...], fast: float = 10, slow: float = 42, lag: int = 3, least: int = 5) -> DataFrame:
+    """(label, half_life, origin, n, values, vectors, blocks, realised, sums): for each half-life of the base an origin's
+    eigenpairs, feature blocks, target and its part of the sums that the fits need (SUMS, one after the other).
 
     Momentum looks lag origins back by a window function; stress is the z-score of the estimation window's
     last level among strictly earlier origins, a window frame, 0 before there are least of them."""
 
     def first(label, origin, names, past, ahead):
         r = spectra.scaled(ahead, *spectra.scaling(past))
-        lam, v = spectra.eigenpairs(coupling.base(past, half_life))
-        told = (lam, v, coupling.fast_slow(past, v, fast, slow), coupling.hierarchy(past, v), spectra.frozen_frame(past), r)
-        return [[label, origin, len(names), float(np.log(np.square(past[:, -t_out:]).mean())), *(np.ravel(x).tolist() for x in told)]]
+        stress, frame = float(np.log(np.square(past[:, -t_out:]).mean())), spectra.frozen_frame(past)
+        turn, tree, rows = coupling.speed_gap(past, fast, slow), coupling.tree_gap(past), []
+        for half_life in half_lives:
+            lam, v = spectra.eigenpairs(coupling.base(past, half_life))
+            blocks = [coupling.unit(coupling.visible(change, v)) for change in (turn, tree)]
+            rows.append([label, float(half_life), origin, len(names), stress, *(np.ravel(x).tolist() for x in (lam, v, *blocks, frame, r))])
+        return rows
 
     arrays = ("values", "vectors", "quick", "tree", "frame", "realised")
-    windows = map_windows(panel, t_in, t_out, step, first, "label string, origin int, n int, stress double, " + ", ".join(f"{a} array<double>" for a in arrays))
-    order = Window.partitionBy("label").orderBy("origin")
+    windows = map_windows(panel, t_in, t_out, step, first, "label string, half_life double, origin int, n int, stress double, " + ", ".join(f"{a} array<double>" for a in arrays))
+    order = Window.partitionBy("label", "half_life").orderBy("origin")
     z = S.causal_z("stress", order, least)
     wide = windows.withColumn("z", z).withColumn("earlier", F.lag("frame", lag).over(order))
-    schema = "label string, origin int, n int, values array<double>, vectors array<double>, blocks array<double>, realised array<double>, gram array<double>, plain array<double>, moments array<double>, plain_moments array<double>, slopes array<double>"
+    schema = "label string, half_life double, origin int, n int, values array<double>, vectors array<double>, blocks array<double>, realised array<double>, sums array<double>"
 
     def second(batches):
         for frame in batches:
@@ -110,41 +114,42 @@ def coupling_states(panel: DataFrame, t_in: int, t_out: int, step: int, half_lif
                 design = np.stack([quick, move, w.z * quick, tree])
                 gap, target = coupling.gaps(lam)[0], coupling.label(r, v)
                 (g, m), (pg, pm) = coupling.gram([design], [target], [gap]), coupling.gram([design], [target], [np.ones_like(gap)])
-                rows.append([w.label, w.origin, w.n, lam, v.ravel(), design.ravel(), r.ravel(), g.ravel(), pg.ravel(), m, pm, np.array([coupling.gradient(b, gap, target) for b in design])])
+                slopes = np.array([coupling.gradient(b, gap, target) for b in design])
+                rows.append([w.label, w.half_life, w.origin, w.n, lam, v.ravel(), design.ravel(), r.ravel(), np.concatenate([g.ravel(), pg.ravel(), m, pm, slopes])])
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     return wide.mapInPandas(second, schema)
 
 
-def coupling_model(panel: DataFrame, t_in: int, t_out: int, step: int, half_life: float = 21.0, sizes: tuple[float, ...] = (0.02, 0.05, 0.1, 0.2), shares: tuple[float, float] = (0.5, 0.75), count: int = 96) -> DataFrame:
+def coupling_model(panel: DataFrame, t_in: int, t_out: int, step: int, half_lives: tuple[float, ...] = (21.0,), sizes: tuple[float, ...] = (0.02, 0.05, 0.1, 0.2), shares: tuple[float, float] = (0.5, 0.75), count: int = 96) -> DataFrame:
     """(label, half_life, fit, size, split, n, capture, base, selected): weights of the features fitted on the first
     origins, fit and size chosen by capture on the next ones, reported on those and on the last ones.
 
     Fits are sums over origins; the captures of candidate weights are averages over origins. Origins whose
-    windows reach over a border (t_in + t_out days) are left out before validation and before test."""
-    states = coupling_states(panel, t_in, t_out, step, half_life)
+    windows reach over a border (t_in + t_out days) are left out before validation and before test. The states
+    of all origins are read three times and therefore cached; a lost executor's part is computed again."""
+    by = ["label", "half_life"]
+    states = coupling_states(panel, t_in, t_out, step, half_lives)
     m = len(FEATURES)
-    last = F.max("origin").over(Window.partitionBy("label"))
+    last = F.max("origin").over(Window.partitionBy(*by))
     cut = [F.floor((last + 1) * share) for share in shares]
     reach = -(-t_out // step)  # targets of later splits open after those of earlier ones have ended
     split = F.when(F.col("origin") < cut[0], "train").when((F.col("origin") >= cut[0] + reach - 1) & (F.col("origin") < cut[1]), "validation").when(F.col("origin") >= cut[1] + reach - 1, "test").otherwise("purged")
-    parts = states.withColumn("split", split)
-    sums = parts.where("split = 'train'")
-    for name, size in (("gram", m * m), ("plain", m * m), ("moments", m), ("plain_moments", m), ("slopes", m)):
-        one = parts.where("split = 'train'").select("label", F.posexplode(name).alias("at", "x")).groupBy("label", "at").agg(F.sum("x").alias("x"))
-        one = one.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("s")).select("label", F.col("s.x").alias(name))
-        sums = one if name == "gram" else sums.join(one, "label")
+    parts = states.withColumn("split", split).persist()
+    cells = parts.where("split = 'train'").select(*by, F.posexplode("sums").alias("at", "x")).groupBy(*by, "at").agg(F.sum("x").alias("x"))
+    sums = cells.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("s")).select(*by, F.col("s.x").alias("sums"))
 
     def fits(batches):
         for frame in batches:
             rows = []
             for w in frame.itertuples(index=False):
-                a = {name: np.asarray(getattr(w, name), float) for name in ("gram", "plain", "moments", "plain_moments", "slopes")}
-                rows += [[w.label, "gradient", coupling.unit(a["slopes"])], [w.label, "ridge", coupling.ridge(a["gram"].reshape(m, m), a["moments"])], [w.label, "geometric", coupling.ridge(a["plain"].reshape(m, m), a["plain_moments"])]]
-                rows += [[w.label, f"direction_{k:03d}", d] for k, d in enumerate(coupling.directions(m, count))]
-            yield pd.DataFrame(rows, columns=["label", "fit", "beta"])
+                g, pg, moments, pm, slopes = np.split(np.asarray(w.sums, float), np.cumsum([m * m, m * m, m, m]))
+                told = [("gradient", coupling.unit(slopes)), ("ridge", coupling.ridge(g.reshape(m, m), moments)), ("geometric", coupling.ridge(pg.reshape(m, m), pm))]
+                told += [(f"direction_{k:03d}", d) for k, d in enumerate(coupling.directions(m, count))]
+                rows += [[w.label, w.half_life, name, beta] for name, beta in told]
+            yield pd.DataFrame(rows, columns=["label", "half_life", "fit", "beta"])
 
-    betas = sums.mapInPandas(fits, "label string, fit string, beta array<double>")
+    betas = sums.mapInPandas(fits, "label string, half_life double, fit string, beta array<double>")
 
     def captures(frame: pd.DataFrame) -> list[list]:
         rows = []
@@ -156,27 +161,27 @@ def coupling_model(panel: DataFrame, t_in: int, t_out: int, step: int, half_life
             for name, beta in zip(w.fits, w.betas):
                 block = coupling.combine(design, np.asarray(beta, float))
                 for size in w.tried:
-                    rows.append([w.label, w.split, name, float(size), flags.captured(coupling.corrected(lam, v, block, size), r)["capture_6"], base])
+                    rows.append([w.label, w.half_life, w.split, name, float(size), flags.captured(coupling.corrected(lam, v, block, size), r)["capture_6"], base])
         return rows
 
     def measured(candidates: DataFrame, tried: tuple[float, ...], splits: tuple[str, ...]) -> DataFrame:
-        schema = "label string, split string, fit string, size double, capture double, base double"
+        schema = "label string, half_life double, split string, fit string, size double, capture double, base double"
         names = [c.split()[0] for c in schema.split(", ")]
 
         def run(batches):
             for frame in batches:
                 yield pd.DataFrame(captures(frame), columns=names)
 
-        asked = candidates.groupBy("label").agg(F.collect_list(F.struct("fit", "beta")).alias("c")).select("label", F.col("c.fit").alias("fits"), F.col("c.beta").alias("betas"), F.array(*[F.lit(t) for t in tried]).alias("tried"))
-        use = parts.where(F.col("split").isin(*splits)).select("label", "split", "n", "values", "vectors", "blocks", "realised").join(asked, "label")
-        return use.mapInPandas(run, schema).groupBy("label", "split", "fit", "size").agg(F.count(F.lit(1)).alias("n"), F.avg("capture").alias("capture"), F.avg("base").alias("base"))
+        asked = candidates.groupBy(*by).agg(F.collect_list(F.struct("fit", "beta")).alias("c")).select(*by, F.col("c.fit").alias("fits"), F.col("c.beta").alias("betas"), F.array(*[F.lit(t) for t in tried]).alias("tried"))
+        use = parts.where(F.col("split").isin(*splits)).select(*by, "split", "n", "values", "vectors", "blocks", "realised").join(asked, by)
+        return use.mapInPandas(run, schema).groupBy(*by, "split", "fit", "size").agg(F.count(F.lit(1)).alias("n"), F.avg("capture").alias("capture"), F.avg("base").alias("base"))
 
     tried = measured(betas.where("fit like 'direction%'"), sizes[:1], ("train",))
-    best = tried.groupBy("label").agg(F.max_by("fit", F.struct("capture", "fit")).alias("fit"))
-    direct = betas.join(best, ["label", "fit"]).select("label", F.lit("direct").alias("fit"), "beta")
+    best = tried.groupBy(*by).agg(F.max_by("fit", F.struct("capture", "fit")).alias("fit"))
+    direct = betas.join(best, [*by, "fit"]).select(*by, F.lit("direct").alias("fit"), "beta")
     told = measured(betas.where("not fit like 'direction%'").unionByName(direct), sizes, ("validation", "test"))
-    chosen = S.choose(told.where("split = 'validation'").withColumn("loss", -F.col("capture")).withColumn("what", F.struct("fit", "size")), ["label"], "loss", "what").select("label", "what.fit", "what.size", F.lit(True).alias("selected"))
-    return told.join(chosen, ["label", "fit", "size"], "left").withColumn("selected", F.coalesce("selected", F.lit(False))).withColumn("half_life", F.lit(half_life))
+    chosen = S.choose(told.where("split = 'validation'").withColumn("loss", -F.col("capture")).withColumn("what", F.struct("fit", "size")), by, "loss", "what").select(*by, "what.fit", "what.size", F.lit(True).alias("selected"))
+    return told.join(chosen, [*by, "fit", "size"], "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
 
 
 def combined_reading(ladder: DataFrame, gains: DataFrame, model: DataFrame) -> DataFrame:
