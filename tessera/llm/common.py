@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -42,6 +43,26 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def tidy(task):
+    """task, for mapInArrow, so that memory it has freed goes back to the system when a partition begins and
+    ends: Python workers live on from stage to stage, and what they hold idly counts against their executor."""
+
+    def run(batches):
+        _trim()
+        yield from task(batches)
+        _trim()
+
+    return run
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def keep(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it from there: cuts the lineage, survives lost executors,
     and gives every later reader the same rows. The files go with free(), or when the driver ends."""

@@ -86,7 +86,7 @@ def seen_twice(rows: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["chunk", "bits"])
 
     out = np.zeros((RANGES, 1 << 16), np.uint8)
-    for k, bits in rows.repartition(RANGES // 4, "chunk").mapInArrow(meet, "chunk int, bits binary").collect():
+    for k, bits in rows.repartition(RANGES // 4, "chunk").mapInArrow(common.tidy(meet), "chunk int, bits binary").collect():
         out[k] = np.frombuffer(bits, np.uint8)
     return out.reshape(-1)
 
@@ -176,7 +176,7 @@ def _classes(docs, n, percent, id_col, text_col, one_task, count_links) -> tuple
         none = pa.nulls(rows.num_rows).cast(pa.int64())
         yield pa.RecordBatch.from_arrays([none] * 4 + [rows.column(0), rows.column(1)], names=["id", "n_shingles", "d1", "d2", "chunk", "counts"])
 
-    seen = common.keep(texts.mapInArrow(classify, _CLASS))
+    seen = common.keep(texts.mapInArrow(common.tidy(classify), _CLASS))
     counts = common.fold_buckets(seen.where(F.col("chunk") < COUNTERS), COUNTERS)
     base = int(np.median(counts))
     classes = np.minimum(63, np.log2(np.maximum(1, counts.astype(np.float64) - 2 * base) + 1) * 2).astype(np.uint8)
@@ -214,7 +214,7 @@ def _classes(docs, n, percent, id_col, text_col, one_task, count_links) -> tuple
                     names=["token", "d1", "n", "m", "pos", "prev"],
                 )
 
-    rows = common.keep(texts.mapInArrow(prefixes, "token long, d1 long, n int, m int, pos int, prev array<long>"))
+    rows = common.keep(texts.mapInArrow(common.tidy(prefixes), "token long, d1 long, n int, m int, pos int, prev array<long>"))
     # the hub of a token: the class with the fewest tokens of its own is the likeliest to be like the others;
     # least and largest differ when two classes have the token
     lost = (F.col("n") - F.col("m")).alias("lost")
@@ -239,7 +239,7 @@ def _classes(docs, n, percent, id_col, text_col, one_task, count_links) -> tuple
                     found.append(_order(tokens, shared.value).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["d1", "tokens"])
 
-    sets = common.keep(texts.mapInArrow(collect, "d1 long, tokens binary").join(met.select("d1").distinct(), "d1", "left_semi").groupBy("d1").agg(F.first("tokens").alias("tokens")))
+    sets = common.keep(texts.mapInArrow(common.tidy(collect), "d1 long, tokens binary").join(met.select("d1").distinct(), "d1", "left_semi").groupBy("d1").agg(F.first("tokens").alias("tokens")))
 
     def verify(batches):
         for batch in batches:
@@ -249,7 +249,7 @@ def _classes(docs, n, percent, id_col, text_col, one_task, count_links) -> tuple
 
     def links(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("d1").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("d1").alias("b"), F.col("tokens").alias("y")), "b")
-        return common.keep(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+        return common.keep(both.select("a", "b", "x", "y").mapInArrow(common.tidy(verify), "a long, b long"))
 
     first = links(star)
     near = common.components(first, one_task)

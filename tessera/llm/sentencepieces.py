@@ -26,7 +26,8 @@ from tessera.llm import common, textbytes
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-WORD_BYTES = 48 << 20  # of the words that a worker remembers
+WORD_BYTES = 32 << 20  # of the words that a worker remembers
+PIECE = 1 << 20  # bytes of whole texts that are encoded together
 PAIRS_KEPT = 3 << 16
 DECODE_IDS = 1 << 18
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -365,7 +366,7 @@ def _batches(column):
     data, offsets = textbytes.text_buffers(column)
     row = 0
     while row < len(offsets) - 1:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + (2 << 20), "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PIECE, "right")) - 1)
         part = data[offsets[row] : offsets[end]]
         bounds = offsets[row : end + 1] - offsets[row]
         raw = part.tobytes()
@@ -400,7 +401,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, text_col: str = "text", ids
             offsets = np.cumsum(np.concatenate(sizes)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*batch.schema.names, ids_col])
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{ids_col}` array<int>")
+    return docs.mapInArrow(common.tidy(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{ids_col}` array<int>")
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -434,7 +435,7 @@ def decode(encoded: DataFrame, model_path: str = MODEL, ids_col: str = "ids", te
                 text = pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, text_col])
 
-    return encoded.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + f", `{text_col}` string")
+    return encoded.mapInArrow(common.tidy(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + f", `{text_col}` string")
 
 
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:

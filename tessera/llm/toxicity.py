@@ -154,7 +154,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             rows = [(ids[row], np.unique(words)) for row, words in _terms(batch.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t.view(np.int64) for _, t in rows], pa.list_(pa.int64()))], names=["id", "terms"])
 
-    toxic_terms = texts.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(used, "id long, terms array<long>").join(train.where("y = 1"), "id", "left_semi")
+    toxic_terms = texts.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(common.tidy(used), "id long, terms array<long>").join(train.where("y = 1"), "id", "left_semi")
     frequent = toxic_terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).toArrow()
     order = np.argsort(frequent["term"].to_numpy())
     candidates, support = frequent["term"].to_numpy()[order], frequent["n"].to_numpy()[order]
@@ -180,7 +180,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     taught_n, n_toxic = (int(x or 0) for x in train.agg(F.count(F.lit(1)), F.sum("y")).first())
     n_all = np.ones(len(candidates), np.int64)
     if len(candidates):
-        counted = texts.select("text").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+        counted = texts.select("text").mapInArrow(common.tidy(count), "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
         n_all[counted["t"].to_numpy()] = counted["n"].to_numpy()
     rate = n_all / max(1, rows)
     share = support / max(1, n_toxic)
@@ -198,7 +198,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 counts.append(n.astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["id", "terms", "counts"])
 
-    seen = common.keep(texts.mapInArrow(vectors, "id long, terms array<int>, counts array<int>"))
+    seen = common.keep(texts.mapInArrow(common.tidy(vectors), "id long, terms array<int>, counts array<int>"))
     dealt = seen.repartition(max(8, spark.sparkContext.defaultParallelism * 4))
     taught = seen.join(train, "id").select("id", "terms", "counts", "y")
     classes = taught.groupBy("terms", "counts").agg(F.sum("y").alias("toxic"), F.count(F.lit(1)).alias("total"), F.min("id").alias("id"))
@@ -224,7 +224,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             near = [n if n >= 0 else None for _, n, _ in out]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _, _ in out], pa.float64()), pa.array(near, pa.int64()), pa.array([c if n is not None else None for (_, _, c), n in zip(out, near)], pa.float64())], names=["id", "score", "nearest_id", "nearest_cosine"])
 
-    scored = dealt.mapInArrow(score, "id long, score double, nearest_id long, nearest_cosine double")
+    scored = dealt.mapInArrow(common.tidy(score), "id long, score double, nearest_id long, nearest_cosine double")
     return scored.select(F.col("id").alias(id_col), fold("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "nearest_id", "nearest_cosine")
 
 
