@@ -8,10 +8,12 @@ from tessera.llm.language_id import op5_language_id
 from tessera.llm.mixing import OP7_SQL, op7_mixing
 from tessera.llm.ngram_join import op2_ngram_jaccard_join
 from tessera.llm.pitman_yor import op8_pitman_yor
+from tessera.llm.secret_scan import OP11_SQL, op11_secret_scan
 from tessera.llm.sentencepieces import op4_sentencepiece
 from tessera.llm.suffix_dedup import op9_suffix_dedup
 from tessera.llm.toxicity import op10_toxicity
 from tessera.llm.url_filter import OP3_SQL, op3_url_filter
+from tessera.llm.whitening import op12_whitening
 
 QUERIES = {
     "op1_epsilon_join": op1_epsilon_join,
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_pitman_yor": op8_pitman_yor,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -31,4 +35,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": OP3_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op7_mixing": OP7_SQL,
+    "op11_secret_scan": OP11_SQL,
 }
