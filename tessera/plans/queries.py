@@ -26,8 +26,13 @@ PRICE_SQL = {
 
 def panel_sql(kind: str) -> str:
     """CTEs grid (filled prices), raw (returns with holes) and panel (complete days, numbered t)."""
+    return panel_ctes(PRICE_SQL[kind])
+
+
+def panel_ctes(prices: str) -> str:
+    """The same from any SQL for prices (label, name, d, price)."""
     return f"""
-prices AS ({PRICE_SQL[kind]}),
+prices AS ({prices}),
 dense AS (SELECT n.label, n.name, c.d, p.price FROM (SELECT DISTINCT label, name FROM prices) n JOIN (SELECT DISTINCT label, d FROM prices) c USING (label) LEFT JOIN prices p ON p.label = n.label AND p.name = n.name AND p.d = c.d),
 grid AS (SELECT label, name, d, last_value(price IGNORE NULLS) OVER (PARTITION BY label, name ORDER BY d ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS price FROM dense),
 raw AS (SELECT label, name, d, x FROM (SELECT label, name, d, ln(price) - ln(lag(price) OVER (PARTITION BY label, name ORDER BY d)) AS x, min(d) OVER (PARTITION BY label) AS d0 FROM grid) WHERE d > d0),
@@ -90,14 +95,19 @@ round(sum(zeros) / sum(n), 6) AS zero_fraction, round(quantile_cont(sd, 0.5) * s
         return out.select("label", "n_names", "n_days", *[r(c) for c in ("q", "kurtosis_median", "kurtosis_max", "excess_kurtosis_median", "zero_fraction", "annualised_vol_median", "cv2")])
 
 
-BREAK = 0.05
-BREAKS_SQL = f"""WITH {panel_sql("month")},
+def breaks_ctes(threshold: float) -> str:
+    """CTEs after panel_ctes that end with breaks."""
+    return f"""
 w AS (SELECT label, name, d, ln(price) - ln(lag(price) OVER s) AS x, quantile_cont(price, 0.5) OVER (s ROWS BETWEEN 11 PRECEDING AND 2 PRECEDING) AS lo, quantile_cont(price, 0.5) OVER (s ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS hi FROM dense WINDOW s AS (PARTITION BY label, name ORDER BY d)),
-b AS (SELECT *, exp(abs(x)) AS level FROM w WHERE abs(x) > {BREAK}),
+b AS (SELECT *, exp(abs(x)) AS level FROM w WHERE abs(x) > {threshold}),
 n AS (SELECT b.*, coalesce((SELECT v.k FROM (VALUES {", ".join(f"({i}, '{k}', {v!r})" for i, (k, v) in enumerate(P.SPLIT_RATIOS))}) v(i, k, v) WHERE abs(level - v.v) < 2e-4 * v.v ORDER BY v.i LIMIT 1), '') AS ratio FROM b),
 breaks AS (SELECT label, name, d, x, CASE WHEN lo IS NULL OR hi IS NULL OR hi = 0 THEN NULL ELSE lo / hi END AS lr, CASE WHEN lo IS NULL THEN 'series_start' WHEN hi IS NULL OR hi = 0 THEN 'series_end' WHEN abs(ln(lo / hi)) < 0.15 THEN 'spike' WHEN ratio <> '' THEN 'split' ELSE 'large_move' END AS kind, ratio FROM n)"""
 
 
+BREAK = 0.05
+BREAKS_SQL = f"WITH {panel_sql('month')}, {breaks_ctes(BREAK)}"
+
+
 @query("price_breaks", BREAKS_SQL + " SELECT label, name, CAST(d AS VARCHAR) AS day, round(x, 6) AS log_return, round(lr, 6) AS level_ratio, kind, ratio AS split_ratio FROM breaks")
 def _breaks(spark, sf):
     out = P.price_breaks(P.dense_grid(_prices(spark, sf, "month")), BREAK)
