@@ -30,12 +30,12 @@ def _new_folder(spark: SparkSession, name: str) -> str:
 
 
 def job1_panel_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """label, month, name, day, n, price, x, t (-1: not a complete day) of all panels after a run that takes everything and one that finds nothing new."""
+    """label, month, name, day, n, log_price, x, t (-1: not a complete day) of all panels after a run that takes everything and one that finds nothing new."""
     where, config = _new_folder(spark, "job1"), _config("panel_store")
     for _ in range(2):
         panel_store.run(spark, config, sf_dir, f"{where}/out", f"{where}/state")
     out = panel_store.read_panel(spark, f"{where}/out")
-    return out.select("label", "month", "name", F.col("day").cast("string").alias("day"), "n", F.round("price", 6).alias("price"), F.round("x", 8).alias("x"), F.coalesce("t", F.lit(-1)).alias("t"))
+    return out.select("label", "month", "name", F.col("day").cast("string").alias("day"), "n", F.round(F.ln("price"), 8).alias("log_price"), F.round("x", 8).alias("x"), F.coalesce("t", F.lit(-1)).alias("t"))
 
 
 def job2_text_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def _panel_store_sql() -> str:
     for kind in ("events", "nation", "week"):
         prices = PRICE_SQL[kind].replace(" AS price FROM", " AS price, count(*) AS n FROM")
         parts.append(f"""SELECT * FROM (WITH {panel_ctes(prices)}
-SELECT raw.label, strftime(raw.d, '%Y-%m') AS month, raw.name, CAST(CAST(raw.d AS TIMESTAMP) AS VARCHAR) AS day, coalesce(prices.n, 0) AS n, round(grid.price, 6) AS price, round(raw.x, 8) AS x, coalesce(panel.t, -1) AS t
+SELECT raw.label, strftime(raw.d, '%Y-%m') AS month, raw.name, CAST(CAST(raw.d AS TIMESTAMP) AS VARCHAR) AS day, coalesce(prices.n, 0) AS n, round(ln(grid.price), 8) AS log_price, round(raw.x, 8) AS x, coalesce(panel.t, -1) AS t
 FROM raw JOIN grid USING (label, name, d) LEFT JOIN prices USING (label, name, d) LEFT JOIN panel USING (label, name, d))""")
     return " UNION ALL ".join(parts)
 
