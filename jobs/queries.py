@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from jobs import panel_store, text_drift
 from tessera.plans.queries import PRICE_SQL, breaks_ctes, panel_ctes
+from tessera.sources import tables
 
 HERE = os.path.dirname(os.path.abspath(__file__))
 
@@ -22,11 +22,8 @@ def _config(name: str) -> dict:
 
 
 def _new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own under spark.checkpoint.dir; where that is unset, of a single-machine session."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='jobs-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A folder of its own under the shared one."""
+    return f"{tables.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def job1_panel_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from tessera.functions import spectra
 from tessera.operators import panel as P
 from tessera.operators import summaries as S
 from tessera.operators import windows as W
+from tessera.plans import evidence_sql as E
 from tessera.plans import jobs, nulls, selection
 from tessera.plans import queries as Q
 from tessera.plans.queries import DATES, DRAWS, STEP, T_IN, T_OUT, panel_of, panel_sql, query, r
@@ -351,9 +352,42 @@ def _surrogates(spark, sf):
     return nulls.surrogate_report(panel_of(spark, sf), 9)
 
 
-@query("rv_nulls")
+RV_SQL = "WITH " + E.levels_sql(panel_sql("week")) + ", " + E.exchanged_sql(99, 6, 3) + ", " + E.rv_sql((5, 10, 21))
+
+
+@query("rv_nulls", RV_SQL + " SELECT label, scale, round(max(value) FILTER (WHERE replicate = 0 AND kind = 'calendar'), 6) AS observed, round(avg(value) FILTER (WHERE replicate > 0 AND kind = 'calendar'), 6) AS calendar, round(avg(value) FILTER (WHERE replicate > 0 AND kind = 'volatility'), 6) AS volatility, CAST(max(replicate) AS INTEGER) AS n_replicates FROM st GROUP BY ALL")
 def _rv_nulls(spark, sf):
-    return nulls.rv_nulls(panel_of(spark, sf, "week"), DRAWS)
+    return nulls.rv_nulls(panel_of(spark, sf, "week"), 99).select("label", "scale", r("observed"), r("calendar"), r("volatility"), "n_replicates")
+
+
+PANELS = ("month", "week", "nation", "events")
+
+
+def panels_of(spark, sf):
+    """The four panels of the tables as one, by label; days as text."""
+    out = None
+    for kind in PANELS:
+        one = panel_of(spark, sf, kind).withColumn("day", F.col("day").cast("string"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("combined_rv_null", "WITH " + E.levels_sql(*map(panel_sql, PANELS)) + ", " + E.exchanged_sql(199, 6, 3) + ", " + E.rv_sql((5,)) + ", " + E.combined_sql("st", ("kind",)) + " SELECT label, kind, n_panels, round(observed, 8) AS observed, round(null_mean, 8) AS null_mean, round(null_q95, 8) AS null_q95, n_null, round(p, 8) AS p, round(holm, 8) AS holm FROM cb")
+def _combined_rv(spark, sf):
+    """Persistence of realised variance in four panels against both block nulls: each panel, Holm over panels, and all panels
+    with the same weight."""
+    out = nulls.combined(nulls.rv_statistics(panels_of(spark, sf), 199, (5,)), "value", ["kind"])
+    return out.select("label", "kind", "n_panels", *[r(c, 8) for c in ("observed", "null_mean", "null_q95")], "n_null", r("p", 8), r("holm", 8))
+
+
+@query("combined_deletion_null")
+def _combined_deletion(spark, sf):
+    """The headline evidence: the motion that new days add, over four panels, by panel and with equal weights, against both nulls."""
+    told, panel = None, panels_of(spark, sf)
+    for kind in ("calendar", "volatility"):
+        one = nulls.means(nulls.deletions(panel, DRAWS, 36, 6, 6, kind), nulls.DELETION, "addition_cosine").select("label", "replicate", "component", F.col("mean_addition_cosine").alias("value"), F.lit(kind).alias("kind"))
+        told = one if told is None else told.unionByName(one)
+    return nulls.combined(told.where(F.col("component").isin(*nulls.PRIMARY)), "value", ["kind", "component"])
 
 
 @query("window_sweep")

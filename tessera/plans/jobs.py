@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import estimators, flags, inference, spectra
+from tessera.operators import resampling as R
 from tessera.operators.windows import block_length, chronological_splits, map_windows, origins
 
 HALF_LIVES = (10, 21, 42, 63)
@@ -65,22 +66,13 @@ def bias(panel: DataFrame, t_in: int, t_out: int, step: int, stride: int = 3, re
 
 
 def intervals(pairs: DataFrame, block: int, value: str = "gain", by: tuple[str, ...] = ("label", "entrant"), seed: int = 20260805) -> DataFrame:
-    """(by, n, block_length_origins, blocks_effective, mean, ci_low, ci_high, excludes_zero): the series of one
-    group in the order of its origins. Under two blocks the interval means nothing and excludes nothing."""
-    keys = list(by)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x = frame.sort_values("origin")[value].to_numpy(float)
-        low, high, fit = inference.block_interval(x, block, np.random.default_rng(seed))
-        return pd.DataFrame([[*frame[keys].iloc[0], len(x), min(block, len(x)), fit, x.mean(), low, high, bool(fit >= 2 and (low > 0 or high < 0))]])
-
-    kinds = ", ".join(f"{k} string" for k in keys)
-    return pairs.groupBy(*keys).applyInPandas(run, f"{kinds}, n int, block_length_origins int, blocks_effective double, mean double, ci_low double, ci_high double, excludes_zero boolean")
+    """Circular-block intervals (operators.resampling.block_intervals) of each group's series in the order of its origins."""
+    return R.block_intervals(pairs, value, "origin", block, list(by), seed=seed)
 
 
-def ladder_comparisons(panel: DataFrame, t_in: int, t_out: int, step: int) -> DataFrame:
+def ladder_comparisons(panel: DataFrame, t_in: int, t_out: int, step: int, half_lives=HALF_LIVES) -> DataFrame:
     """Each entrant against frozen, with a block-bootstrap interval."""
-    series = entrants(panel, t_in, t_out, step)
+    series = entrants(panel, t_in, t_out, step, half_lives)
     frozen = series.where("entrant = 'frozen'").select("label", "origin", F.col("capture_6").alias("r"))
     pairs = series.where("entrant <> 'frozen'").join(frozen, ["label", "origin"]).withColumn("gain", F.col("capture_6") - F.col("r"))
     return intervals(pairs, block_length(t_in, t_out, step))

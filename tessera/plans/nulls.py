@@ -11,11 +11,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import flags, inference, spectra
 from tessera.operators import panel as P
+from tessera.operators import resampling as R
 from tessera.operators import summaries as S
 from tessera.sources import tables
 
@@ -143,25 +144,54 @@ def relative_gaps(panel: DataFrame, t_in: int, horizon: int, step: int, market:
     return replicates(panel, 0, kernel, "label string, replicate int, dimension int, gap double").drop("replicate")
 
 
+def rv_statistics(panel: DataFrame, draws: int, scales: tuple[int, ...] = (5, 10, 21), block: int = 6, bins: int = 3, seed: int = 7) -> DataFrame:
+    """(label, replicate, kind, scale, value): lag-1 autocorrelation of the log realised variance of whole blocks of scale
+    days, to 12 digits, of the panel (replicate 0) and under both block nulls; NULL with fewer than three blocks.
+
+    All native: the statistic only needs each day's level, so that a replicate is a permuted column of days and the
+    panel itself is read once."""
+    levels = tables.cut(P.variance_path(panel))
+    grid = levels.select("label").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(draws))))
+    moved = None
+    for kind, strata in (("calendar", 1), ("volatility", bins)):
+        one = R.exchanged_days(levels, grid, block, strata, seed=seed).withColumn("kind", F.lit(kind))
+        moved = one if moved is None else moved.unionByName(one)
+    held = moved.join(levels.select("label", F.col("t").cast("int").alias("source"), "level"), ["label", "source"])
+    days = levels.groupBy("label").agg(F.count(F.lit(1)).alias("days"))
+    spread = held.join(days, "label").withColumn("scale", F.explode(F.array(*[F.lit(s) for s in scales]))).withColumn("b", F.floor(F.col("t") / F.col("scale"))).where(F.col("b") < F.floor(F.col("days") / F.col("scale")))
+    keys = ["label", "replicate", "kind", "scale"]
+    blocks = spread.groupBy(*keys, "b").agg(F.sum("level").alias("s")).where("s > 0").withColumn("v", F.ln("s"))
+    before = blocks.withColumn("before", F.lag("v").over(Window.partitionBy(*keys).orderBy("b")))
+    return before.groupBy(*keys).agg(F.when(F.count("v") > 2, F.round(F.corr("v", "before"), 12)).alias("value"))
+
+
 def rv_nulls(panel: DataFrame, draws: int, scales: tuple[int, ...] = (5, 10, 21), block: int = 6, bins: int = 3) -> DataFrame:
     """(label, scale, observed, calendar, volatility, n_replicates): the log realised variance's lag-1
     autocorrelation and its mean under both block nulls."""
-
-    def kernel(label, k, x):
-        rows = []
-        for kind in ("calendar", "volatility"):
-            level = np.square(redrawn(x, kind, label, k, block=block, bins=bins)).mean(axis=0)
-            for scale in scales:
-                sums = level[: len(level) // scale * scale].reshape(-1, scale).sum(axis=1)
-                v = np.log(sums[sums > 0])
-                rows.append({"kind": kind, "scale": scale, "value": float(np.corrcoef(v[:-1], v[1:])[0, 1]) if len(v) > 2 else None})
-        return rows
-
-    told = replicates(panel, draws, kernel, "label string, replicate int, kind string, scale int, value double")
+    told = rv_statistics(panel, draws, scales, block, bins)
     null = lambda kind: F.avg(F.when((F.col("replicate") > 0) & (F.col("kind") == kind), F.col("value"))).alias(kind)
     return told.groupBy("label", "scale").agg(F.max(F.when((F.col("replicate") == 0) & (F.col("kind") == "calendar"), F.col("value"))).alias("observed"), null("calendar"), null("volatility"), F.max("replicate").alias("n_replicates"))
 
 
+def combined(statistics: DataFrame, value: str, by: list[str], whole: str = "all") -> DataFrame:
+    """(label, by, n_panels, observed, null_mean, null_q95, n_null, p, holm) of each panel and of all panels together.
+
+    statistics: (label, replicate, by, value), replicate 0 observed. Panels weigh alike: replicate k of all of them is
+    averaged and the observed mean is held against these averages. A replicate that some panel has no number for
+    counts in no average, and without an observed number of every panel the combined one is NULL. holm is over the
+    panels of a group; the combined row has none."""
+    sound = statistics.select("label", "replicate", *by, F.when(~F.isnan(value), F.col(value)).alias("draw"))
+    panels = sound.groupBy(*by).agg(F.count_distinct("label").alias("n_panels"))
+    mean = sound.groupBy(*by, "replicate").agg(F.count("draw").alias("here"), F.avg("draw").alias("draw")).join(panels, by)
+    mean = mean.select(F.lit(whole).alias("label"), "replicate", *by, F.when(F.col("here") == F.col("n_panels"), F.round("draw", 12)).alias("draw"))
+    both = sound.withColumn("n", F.lit(1).cast("long")).unionByName(mean.join(panels, by).withColumnRenamed("n_panels", "n"))
+    keys = ["label", *by]
+    observed = both.where("replicate = 0").select(*keys, F.col("n").alias("n_panels"), F.col("draw").alias("observed"))
+    told = S.empirical_p(observed.select(*keys, "observed"), both.where("replicate > 0").select(*keys, F.col("draw").alias("observed")), keys, "observed").withColumn("p", F.when(F.col("observed").isNotNull(), F.col("p")))
+    gates = S.holm(told.where(F.col("label") != whole).select(*keys, "p"), by).select(*keys, "holm")
+    return observed.drop("observed").join(told, keys).join(gates, keys, "left").select(*keys, "n_panels", "observed", "null_mean", "null_q95", "n_null", "p", "holm")
+
+
 def geometry(panel: DataFrame, cells: list[tuple[int, int]], step: int) -> DataFrame:
     """(label, t_in, horizon, names, days, windows, origins, q, deletion_fraction, block, independent_blocks) of each
     cell (t_in, horizon) of a sweep, without running anything."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,3 +96,21 @@ def business_days(spark: SparkSession, first: str, last: str) -> DataFrame:
     number = F.floor(F.datediff("day", F.lit("1900-01-01").cast("date")) / 7) * 5 + F.weekday("day")
     begin = days.agg(F.min(number)).first()[0]
     return days.select("day", (number - F.lit(begin)).cast("int").alias("number"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, a temporary folder of a
+    single-machine session."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or "file://" + tempfile.mkdtemp(prefix="tessera-")).rstrip("/")
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """rows with their lineage cut by a checkpoint: computed once, however many branches of a plan read them, and there
+    after a lost executor. For tables that are small beside what they come from."""
+    spark = rows.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return rows.checkpoint()
