@@ -383,7 +383,7 @@ def _combined_rv(spark, sf):
 @query("combined_deletion_null")
 def _combined_deletion(spark, sf):
     """The headline evidence: the motion that new days add, over four panels, by panel and with equal weights, against both nulls."""
-    told, panel = None, panels_of(spark, sf)
+    told, panel = None, tables.cut(panels_of(spark, sf))
     for kind in ("calendar", "volatility"):
         one = nulls.means(nulls.deletions(panel, DRAWS, 36, 6, 6, kind), nulls.DELETION, "addition_cosine").select("label", "replicate", "component", F.col("mean_addition_cosine").alias("value"), F.lit(kind).alias("kind"))
         told = one if told is None else told.unionByName(one)

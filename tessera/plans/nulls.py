@@ -36,9 +36,9 @@ def replicates(panel: DataFrame, draws: DataFrame | int, kernel: Callable[[str,
     """Rows of kernel(label, replicate, matrix) for every replicate: 0 to draws, or (label, replicate) rows.
     schema: label string, replicate int, then the kernel's columns."""
     spark = panel.sparkSession
-    grid = panel.select("label").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(draws)))) if isinstance(draws, int) else draws.select("label", "replicate")
-    flat = packed(panel)
-    if panel.count() <= BROADCAST_CELLS:
+    flat = tables.cut(packed(panel))  # one row a label: read for its labels, its size and its cells
+    grid = flat.select("label").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(draws)))) if isinstance(draws, int) else draws.select("label", "replicate")
+    if (flat.agg(F.sum(F.size("x"))).first()[0] or 0) <= BROADCAST_CELLS:
         both = grid.repartition(spark.sparkContext.defaultParallelism * 2, "label", "replicate").join(F.broadcast(flat), "label")
     else:  # each replicate's matrix travels by itself
         both = grid.join(flat, "label").repartition("label", "replicate")
@@ -87,6 +87,7 @@ def means(series: DataFrame, columns: tuple[str, ...], first: str) -> DataFrame:
 
 def held_against(summary: DataFrame, statistic: str, primary: tuple[str, ...] = PRIMARY) -> DataFrame:
     """The observed rows (replicate 0) with null_mean, null_q95, n_null, p, and holm over the primary components of a label."""
+    summary = tables.cut(summary)  # a few numbers a replicate, read several times below
     observed = summary.where("replicate = 0").drop("replicate")
     null = summary.where("replicate > 0").select("label", "component", statistic)
     told = S.empirical_p(observed.select("label", "component", statistic), null, ["label", "component"], statistic)
@@ -180,7 +181,8 @@ def combined(statistics: DataFrame, value: str, by: list[str], whole: str = "all
     averaged and the observed mean is held against these averages. A replicate that some panel has no number for
     counts in no average, and without an observed number of every panel the combined one is NULL. holm is over the
     panels of a group; the combined row has none."""
-    sound = statistics.select("label", "replicate", *by, F.when(~F.isnan(value), F.col(value)).alias("draw"))
+    # a few numbers a replicate, read several times below
+    sound = tables.cut(statistics).select("label", "replicate", *by, F.when(~F.isnan(value), F.col(value)).alias("draw"))
     panels = sound.groupBy(*by).agg(F.count_distinct("label").alias("n_panels"))
     mean = sound.groupBy(*by, "replicate").agg(F.count("draw").alias("here"), F.avg("draw").alias("draw")).join(panels, by)
     mean = mean.select(F.lit(whole).alias("label"), "replicate", *by, F.when(F.col("here") == F.col("n_panels"), F.round("draw", 12)).alias("draw"))

@@ -344,7 +344,7 @@ def _coupling(spark, sf):
     return selection.coupling_model(panel_of(spark, sf), 36, 6, 1, (10.0, 21.0, 42.0, 63.0))
 
 
-DRAWS = 19  # the smallest p is 1 / 20; the reference's scripts draw 99 or 999
+DRAWS = 99  # the smallest p is 1 / 100
 
 for _null in ("calendar", "volatility", "iaaft"):
 
