@@ -72,31 +72,45 @@ def estimation_scaling(windowed: DataFrame) -> DataFrame:
     return flat.groupBy("label", "origin", "name").agg(F.stddev_samp("y").alias("sigma"), F.first("reference").alias("reference"))
 
 
-def map_windows(panel: DataFrame, t_in: int, t_out: int, step: int, kernel: Callable[[str, int, list[str], np.ndarray, np.ndarray], list[list]], schema: str, every: int = 1) -> DataFrame:
+def map_windows(panel: DataFrame, t_in: int, t_out: int, step: int, kernel: Callable[..., list[list]], schema: str, every: int = 1, params: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
     """Run kernel(label, origin, names, estimation N x T_in, target N x T_out) once per window: rows of schema.
 
     A group is a chunk of consecutive origins with the days that their windows share, so a cell is shuffled at
     most five times however many windows hold it, and a task holds a matrix of 1.25 windows. With every, only
-    each every-th origin is run."""
+    each every-th origin is run. params, one row a label, travels with the label's cells: the kernel gets its columns
+    as a dict in a sixth place, so that what one plan has chosen drives the next without a stop at the driver; labels
+    without a row have no windows. only, (label, origin), names the origins to run; a label's are a list, since there
+    are at most as many as it has days."""
     width = t_in + t_out
     per = max(1, -(-width // (4 * step)))
     ends = panel.groupBy("label").agg((F.max("t") + 1).alias("days"))
+    given = [c for c in params.columns if c != "label"] if params is not None else []
+    if params is not None:
+        ends = ends.join(params.select("label", F.struct(*given).alias("given")), "label")
+    if only is not None:
+        ends = ends.join(only.groupBy("label").agg(F.collect_set(F.col("origin").cast("int")).alias("wanted")), "label")
     first = F.greatest(F.lit(0), F.ceil((F.col("t") - (width - 1)) / F.lit(step)))
     last = F.least(F.floor(F.col("t") / F.lit(step)), F.floor((F.col("days") - width) / F.lit(step)))
     spread = panel.join(ends, "label").where(F.col("days") >= width).withColumn("first", first).withColumn("last", last).where("first <= last")
-    chunk = F.explode(F.sequence(F.floor(F.col("first") / per).cast("int"), F.floor(F.col("last") / per).cast("int")))
-    names_of = [c.split()[0] for c in schema.split(", ")]
+    low, high = F.floor(F.col("first") / per).cast("int"), F.floor(F.col("last") / per).cast("int")
+    chunks = F.sequence(low, high)
+    if only is not None:  # chunks without an origin to run need no cells
+        chunks = F.array_intersect(chunks, F.transform("wanted", lambda o: F.floor(o / per).cast("int")))
+    names_of, picks = [c.split()[0] for c in schema.split(", ")], only is not None
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["name", "t"])
         names = frame["name"].unique().tolist()
         cells, begin = frame["x"].to_numpy(float).reshape(len(names), -1), int(frame["t"].min())
         label, days, k = frame["label"].iloc[0], int(frame["days"].iloc[0]), int(frame["chunk"].iloc[0])
+        more = [dict(frame["given"].iloc[0])] if given else []
+        wanted = set(frame["wanted"].iloc[0]) if picks else None
         rows = []
         for origin in range(k * per, (k + 1) * per):
             s = origin * step
-            if s + width <= days and origin % every == 0:
-                rows += kernel(label, origin, names, cells[:, s - begin : s - begin + t_in], cells[:, s - begin + t_in : s - begin + width])
+            if s + width <= days and origin % every == 0 and (wanted is None or origin in wanted):
+                rows += kernel(label, origin, names, cells[:, s - begin : s - begin + t_in], cells[:, s - begin + t_in : s - begin + width], *more)
         return pd.DataFrame(rows, columns=names_of)
 
-    return spread.select("label", "name", "t", "x", "days", chunk.alias("chunk")).groupBy("label", "chunk").applyInPandas(run, schema)
+    carried = ["given"] * (params is not None) + ["wanted"] * (only is not None)
+    return spread.select("label", "name", "t", "x", "days", *carried, F.explode(chunks).alias("chunk")).groupBy("label", "chunk").applyInPandas(run, schema)

@@ -12,7 +12,7 @@ from tessera.operators import panel as P
 from tessera.operators import summaries as S
 from tessera.operators import windows as W
 from tessera.plans import evidence_sql as E
-from tessera.plans import jobs, nulls, selection
+from tessera.plans import jobs, nulls, selection, tuned
 from tessera.plans import queries as Q
 from tessera.plans.queries import DATES, DRAWS, STEP, T_IN, T_OUT, panel_of, panel_sql, query, r
 from tessera.sources import tables
@@ -456,3 +456,121 @@ def _long(spark, sf):
 @query("coupling_long")
 def _coupling_long(spark, sf):
     return selection.coupling_model(jobs.synthetic_panel(spark), 750, 42, 14, (63.0,))
+
+
+# -- choices on validation that drive test forecasts -------------------------------------------------------
+
+GRID = (6.0, 12.0, 24.0, 48.0)
+TUNED_DATES = {"train_end": "1999-12-31", "validation_start": "2000-02-01", "validation_end": "2000-09-30", "test_start": "2000-11-01"}
+_CUT = f"CASE WHEN b.d BETWEEN DATE '{TUNED_DATES['validation_start']}' AND DATE '{TUNED_DATES['validation_end']}' THEN 'validation' WHEN b.d >= DATE '{TUNED_DATES['test_start']}' THEN 'test' ELSE 'other' END"
+TUNED_SQL = (
+    matrices_sql(36, 1)
+    + leading_sql(6)
+    + f""",
+sp AS (SELECT o.label, origin, {_CUT} AS split FROM o JOIN (SELECT DISTINCT label, t, d FROM panel) b ON b.label = o.label AND b.t = s + 41 WHERE origin >= 6),
+fd AS (SELECT fl.* FROM fl JOIN sp USING (label, origin) WHERE split IN ('validation', 'test')),"""
+    + E.ewma_sql("fd", 36, GRID)
+    + leading_sql(6, "em", "fe")
+    + """,
+pr AS (SELECT split_part(label, '#', 1) AS label, origin, CAST(split_part(label, '#', 2) AS DOUBLE) AS h, found FROM fe UNION ALL SELECT label, origin, 0, found FROM f JOIN sp USING (label, origin)),
+dots AS (SELECT a.label, a.origin, h, i, j, pow(list_dot_product(a.found[i], b.found[j]), 2) AS s FROM pr a JOIN f b ON a.label = b.label AND b.origin = a.origin + 6, (SELECT unnest(range(1, 7)) AS i) i, (SELECT unnest(range(1, 7)) AS j) j),
+parts(component, lo, hi) AS (VALUES ('market_1', 1, 1), ('block_2_3', 2, 3), ('block_4_6', 4, 6), ('top_3', 1, 3), ('top_6', 1, 6)),
+single AS (SELECT label, origin, h, component, greatest(0, hi - lo + 1 - sum(s)) / (hi - lo + 1) AS loss FROM dots, parts WHERE i BETWEEN lo AND hi AND j BETWEEN lo AND hi GROUP BY label, origin, h, component, lo, hi),
+losses AS (SELECT * FROM single UNION ALL SELECT label, origin, h, 'flag_nested', avg(loss) FROM single WHERE component IN ('market_1', 'top_3', 'top_6') GROUP BY label, origin, h),
+tune AS (SELECT label, h AS half_life, avg(loss) AS validation_loss, count(loss) AS n_validation FROM losses JOIN sp USING (label, origin) WHERE split = 'validation' AND component = 'flag_nested' AND h > 0 GROUP BY ALL),
+pick AS (SELECT label, arg_min(half_life, (validation_loss, half_life)) AS half_life FROM tune GROUP BY ALL),
+tst AS (SELECT l.label, half_life, l.origin - 6 AS example, l.component, l.loss, z.loss AS frozen, z.loss - l.loss AS gain FROM losses l JOIN pick ON pick.label = l.label AND pick.half_life = l.h JOIN losses z ON z.label = l.label AND z.origin = l.origin AND z.component = l.component AND z.h = 0 JOIN sp ON sp.label = l.label AND sp.origin = l.origin WHERE split = 'test')"""
+)
+
+
+@query("ewma_choice", TUNED_SQL + " SELECT label, half_life, round(validation_loss, 6) AS validation_loss, n_validation, half_life = (SELECT half_life FROM pick WHERE pick.label = tune.label) AS selected FROM tune")
+def _ewma_choice(spark, sf):
+    """Mean complete-flag loss of EWMA frames by half-life at the validation origins, and the choice."""
+    table, _ = tuned.ewma_losses(panel_of(spark, sf), 36, 6, 1, GRID, **TUNED_DATES)
+    return table.select("label", "half_life", r("validation_loss"), "n_validation", "selected")
+
+
+@query("flag_losses_tuned", TUNED_SQL + " SELECT label, half_life, CAST(example AS INTEGER) AS example, component, round(loss, 6) AS loss, round(frozen, 6) AS frozen FROM tst")
+def _flag_losses_tuned(spark, sf):
+    """Test losses of EWMA frames by the half-life that validation chose, beside frozen's."""
+    _, losses = tuned.ewma_losses(panel_of(spark, sf), 36, 6, 1, GRID, **TUNED_DATES)
+    return losses.select("label", "half_life", "example", "component", r("loss"), r("frozen"))
+
+
+@query("flag_skill_tuned", TUNED_SQL + ", " + E.intervals_sql("tst", ("label", "component"), W.block_length(36, 6, 1), 20260803, order="example") + """
+SELECT label, component, n, round(model_mean, 6) AS model_mean, round(frozen_mean, 6) AS frozen_mean, round(win_fraction, 6) AS win_fraction, round(mean, 6) AS improvement, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(100 * mean / greatest(frozen_mean, 2.2250738585072014e-308), 4) AS skill_percent, excludes_zero
+FROM iv JOIN (SELECT label, component, avg(loss) AS model_mean, avg(frozen) AS frozen_mean, avg(CASE WHEN gain > 0 THEN 1 ELSE 0 END) AS win_fraction FROM tst GROUP BY ALL) USING (label, component)""")
+def _flag_skill_tuned(spark, sf):
+    """Skill of the tuned EWMA frames on test by component, with intervals by circular blocks."""
+    _, losses = tuned.ewma_losses(panel_of(spark, sf), 36, 6, 1, GRID, **TUNED_DATES)
+    out = tuned.compared(losses, W.block_length(36, 6, 1), ("label", "component"))
+    return out.select("label", "component", F.col("n").cast("long").alias("n"), *[r(c) for c in ("model_mean", "frozen_mean", "win_fraction", "improvement", "ci_low", "ci_high")], r("skill_percent", 4), "excludes_zero")
+
+
+@query("damping_skill_tuned")
+def _damping_skill(spark, sf):
+    """The damped motion with the share that validation chose, by component on test, with intervals."""
+    losses = tuned.damping_losses(panel_of(spark, sf), 36, 6, 1, **TUNED_DATES)
+    return tuned.compared(losses, W.block_length(36, 6, 1), ("label", "component"))
+
+
+LIKELIHOOD_SQL = Q.ORIGINS_SQL.replace("WITH", "WITH RECURSIVE", 1).replace(f"t / {STEP} AS", "t AS").replace(f"t % {STEP} = 0 AND ", "") + f""",
+sp AS (SELECT o.label, origin, s, CASE WHEN b.d <= DATE '{DATES["train_end"]}' THEN 'train' WHEN b.d BETWEEN DATE '{DATES["validation_start"]}' AND DATE '{DATES["validation_end"]}' THEN 'validation' WHEN b.d >= DATE '{DATES["test_start"]}' THEN 'test' ELSE 'purged' END AS split FROM o JOIN days b ON b.label = o.label AND b.t = s + {T_IN + T_OUT - 1}),
+use AS (SELECT * FROM sp WHERE split IN ('validation', 'test')),
+ps AS (SELECT use.label, origin, name, t - s AS k, x, h, pow(0.5, ({T_IN} - 1 - (t - s)) / h) AS w FROM use JOIN panel p ON p.label = use.label AND p.t >= s AND p.t < s + {T_IN}, (VALUES (21.0::DOUBLE), (42.0::DOUBLE), (63.0::DOUBLE), (126.0::DOUBLE)) hl(h)),
+cc AS (SELECT a.label, a.origin, a.h, a.name AS i, b.name AS j, sum(a.w * a.x * b.x) / sum(a.w) - sum(a.w * a.x) / sum(a.w) * (sum(a.w * b.x) / sum(a.w)) AS v FROM ps a JOIN ps b ON a.label = b.label AND a.origin = b.origin AND a.k = b.k AND a.h = b.h GROUP BY ALL),
+tg AS (SELECT use.label, origin, name, t, x FROM use JOIN panel p ON p.label = use.label AND p.t >= s + {T_IN} AND p.t < s + {T_IN + T_OUT}),
+rr AS (SELECT a.label, a.origin, a.name AS i, b.name AS j, covar_pop(a.x, b.x) AS v FROM tg a JOIN tg b ON a.label = b.label AND a.origin = b.origin AND a.t = b.t GROUP BY ALL),
+cr AS (SELECT label, origin, h, i, list(v ORDER BY j) AS row FROM cc GROUP BY ALL), rw AS (SELECT label, origin, i, list(v ORDER BY j) AS row FROM rr GROUP BY ALL),
+mt AS (SELECT cr.label, cr.origin, h, CAST(count(*) AS INTEGER) AS n, list(list_concat(cr.row, rw.row) ORDER BY cr.i) AS mat FROM cr JOIN rw ON rw.label = cr.label AND rw.origin = cr.origin AND rw.i = cr.i GROUP BY cr.label, cr.origin, h),{E.likelihood_sql("mt")},
+ch AS (SELECT label, CAST(h AS INTEGER) AS half_life, avg(nll) FILTER (WHERE split = 'validation') AS v, count(nll) FILTER (WHERE split = 'validation') AS nv, avg(nll) FILTER (WHERE split = 'test') AS t, count(nll) FILTER (WHERE split = 'test') AS nt FROM nl JOIN sp USING (label, origin) GROUP BY ALL)"""
+
+
+Q.ORACLE_SQL["choose_half_life"] = LIKELIHOOD_SQL + " SELECT label, half_life, round(v, 6) AS validation_loss, nv AS n_validation, round(t, 6) AS test_loss, nt AS n_test, half_life = arg_min(half_life, (v, half_life)) OVER (PARTITION BY label) AS selected FROM ch"
+
+
+@query("foresight_tuned")
+def _foresight_tuned(spark, sf):
+    """Control and oracles at the test origins, with the half-life that validation chose."""
+    return tuned.foresight(panel_of(spark, sf), T_IN, T_OUT, 1, (21, 42, 63, 126), **DATES)
+
+
+# -- the ladder with intervals, and without the market -----------------------------------------------------
+
+LADDER_SQL = Q.CAPTURE_SQL[: Q.CAPTURE_SQL.index(",\nc AS (")] + f""",
+ad AS (SELECT label, origin, name, CAST(k AS BIGINT) AS k, x / sqrt(CASE WHEN l > 0 THEN l / ref ELSE 1 END) / sigma AS x FROM e JOIN lv USING (label, origin, k) JOIN (SELECT label, origin, name, sigma, ref FROM sig) USING (label, origin, name)),{E.ewma_sql("ad", T_IN, jobs.HALF_LIVES)},
+fz AS (SELECT label || '#frozen' AS label, origin, name, k, x / plain AS x FROM e JOIN (SELECT label, origin, name, plain FROM sig) USING (label, origin, name)),
+tg AS (SELECT o.label, o.origin, p.name, t, x / sigma AS x FROM o JOIN panel p ON p.label = o.label AND p.t >= s + {T_IN} AND p.t < s + {T_IN + T_OUT} JOIN sig ON sig.label = o.label AND sig.origin = o.origin AND sig.name = p.name),
+cv AS (SELECT a.label, a.origin, a.name AS i, b.name AS j, covar_pop(a.x, b.x) AS v FROM fz a JOIN fz b ON a.label = b.label AND a.origin = b.origin AND a.k = b.k GROUP BY ALL
+       UNION ALL SELECT a.label || '#ceiling', a.origin, a.name, b.name, sum(a.x * b.x) FROM tg a JOIN tg b ON a.label = b.label AND a.origin = b.origin AND a.t = b.t GROUP BY ALL),
+am AS (SELECT label, origin, list(row ORDER BY i) AS mat FROM (SELECT label, origin, i, list(v ORDER BY j) AS row FROM cv GROUP BY ALL) GROUP BY ALL UNION ALL SELECT label, origin, mat FROM em)""" + leading_sql(6, "am", "fa") + """,
+en AS (SELECT split_part(label, '#', 1) AS label, origin, CASE WHEN split_part(label, '#', 2) IN ('frozen', 'ceiling') THEN split_part(label, '#', 2) ELSE 'ewma_' || CAST(CAST(split_part(label, '#', 2) AS DOUBLE) AS INTEGER) END AS entrant, found FROM fa),
+yy AS (SELECT label, origin, t, list(x ORDER BY name) AS y FROM tg GROUP BY ALL),
+sh AS (SELECT en.label, en.origin, entrant, sum(list_sum(list_transform(found, lambda u1: pow(list_dot_product(u1, y), 2)))) / sum(list_dot_product(y, y)) AS capture_6 FROM en JOIN yy ON yy.label = en.label AND yy.origin = en.origin GROUP BY ALL),
+pa AS (SELECT a.label, a.origin, a.entrant, a.capture_6 - b.capture_6 AS gain FROM sh a JOIN sh b ON a.label = b.label AND a.origin = b.origin AND b.entrant = 'frozen' WHERE a.entrant <> 'frozen')"""
+
+
+@query("ladder_captures", LADDER_SQL + " SELECT label, origin, entrant, round(capture_6, 6) AS capture_6 FROM sh")
+def _ladder_captures(spark, sf):
+    """Frozen, ceiling and EWMA frames side by side."""
+    return jobs.entrants(panel_of(spark, sf), T_IN, T_OUT, STEP, shrunk=()).select("label", "origin", "entrant", r("capture_6"))
+
+
+@query("ladder_intervals", LADDER_SQL + ", " + E.intervals_sql("pa", ("label", "entrant"), W.block_length(T_IN, T_OUT, 6), 20260805) + " SELECT label, entrant, n, block_length_origins, round(blocks_effective, 6) AS blocks_effective, round(mean, 6) AS mean, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, excludes_zero FROM iv")
+def _ladder_intervals(spark, sf):
+    """The ceiling and every EWMA against frozen, with intervals. Blocks are those of a step of six months, so that one fits."""
+    series = tables.cut(jobs.entrants(panel_of(spark, sf), T_IN, T_OUT, STEP, shrunk=()))
+    frozen = series.where("entrant = 'frozen'").select("label", "origin", F.col("capture_6").alias("f"))
+    pairs = series.where("entrant <> 'frozen'").join(frozen, ["label", "origin"]).withColumn("gain", F.col("capture_6") - F.col("f"))
+    out = jobs.intervals(pairs, W.block_length(T_IN, T_OUT, 6))
+    return out.select("label", "entrant", F.col("n").cast("long").alias("n"), F.col("block_length_origins").cast("long").alias("block_length_origins"), r("blocks_effective"), r("mean"), r("ci_low"), r("ci_high"), "excludes_zero")
+
+
+@query("neutral_capture", LADDER_SQL + """,
+ne AS (SELECT label, origin, t, list_transform(y, lambda v1: v1 - list_avg(y)) AS y, list_dot_product(y, y) AS whole, pow(list_sum(y), 2) / len(y) AS market FROM yy),
+nc AS (SELECT en.label, en.origin, any_value(len(y)) AS n, sum(market) / sum(whole) AS market_share, sum(list_dot_product(y, y)) AS w, sum(pow(list_dot_product(found[1], y), 2)) AS c1, sum(list_sum(list_transform(found[1:3], lambda u2: pow(list_dot_product(u2, y), 2)))) AS c3, sum(list_sum(list_transform(found, lambda u3: pow(list_dot_product(u3, y), 2)))) AS c6 FROM en JOIN ne ON ne.label = en.label AND ne.origin = en.origin WHERE entrant = 'frozen' GROUP BY ALL)
+SELECT label, origin, CAST(n AS INTEGER) AS n_names, round(c1 / w, 6) AS capture_1, round(c3 / w, 6) AS capture_3, round(c6 / w, 6) AS capture_6, round(market_share, 6) AS market_share FROM nc""")
+def _neutral(spark, sf):
+    """The frozen frame's capture of targets without their equal-weight market."""
+    out = jobs.neutral_capture(panel_of(spark, sf), T_IN, T_OUT, STEP)
+    return out.select("label", "origin", "n_names", *[r(c) for c in ("capture_1", "capture_3", "capture_6", "market_share")])

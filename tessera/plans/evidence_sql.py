@@ -59,3 +59,25 @@ pv AS (SELECT label, {keys}, any_value(n_panels) AS n_panels, any_value(observed
 hk AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY p NULLS LAST, label) AS k, count(p) OVER (PARTITION BY {keys}) AS m FROM pv WHERE label <> 'all'),
 hm AS (SELECT label, {keys}, CASE WHEN p IS NOT NULL THEN least(1, max((m - k + 1) * p) OVER (PARTITION BY {keys} ORDER BY k)) END AS holm FROM hk),
 cb AS (SELECT pv.*, holm FROM pv LEFT JOIN hm USING (label, {keys}))"""
+
+
+def ewma_sql(source: str, width: int, half_lives: tuple[float, ...], name: str = "em", columns: str = "label, origin") -> str:
+    """CTE name (label, origin, mat): EWMA covariances of source (label, origin, name, k, x), k = 0 the oldest of width
+    days, as correlations; label becomes label#half-life."""
+    return f"""
+{name}_w AS (SELECT {columns}, name, k, x, h, pow(0.5, ({width} - 1 - k) / h) AS w FROM {source}, (VALUES {", ".join(f"(CAST({h} AS DOUBLE))" for h in half_lives)}) hl(h)),
+{name}_c AS (SELECT a.label, a.origin, a.h, a.name AS i, b.name AS j, sum(a.w * a.x * b.x) / sum(a.w) - sum(a.w * a.x) / sum(a.w) * (sum(a.w * b.x) / sum(a.w)) AS v FROM {name}_w a JOIN {name}_w b ON a.label = b.label AND a.origin = b.origin AND a.k = b.k AND a.h = b.h GROUP BY ALL),
+{name}_d AS (SELECT label, origin, h, i, sqrt(v) AS s FROM {name}_c WHERE i = j),
+{name} AS (SELECT label || '#' || h AS label, origin, list(row ORDER BY i) AS mat FROM (SELECT c.label, c.origin, c.h, c.i, list(v / p.s / q.s ORDER BY c.j) AS row FROM {name}_c c JOIN {name}_d p ON p.label = c.label AND p.origin = c.origin AND p.h = c.h AND p.i = c.i JOIN {name}_d q ON q.label = c.label AND q.origin = c.origin AND q.h = c.h AND q.i = c.j GROUP BY ALL) GROUP BY ALL)"""
+
+
+def likelihood_sql(source: str, name: str = "nl") -> str:
+    """CTE name (label, origin, h, nll): (ln det C + trace C^-1 R) / N of source (label, origin, h, n, mat), each row of
+    mat a row of C followed by one of R: Gauss-Jordan elimination, a column a step."""
+    return f"""
+{name}_g AS (
+  SELECT label, origin, h, n, 0 AS k, mat, CAST(0 AS DOUBLE) AS logdet FROM {source}
+  UNION ALL
+  SELECT label, origin, h, n, k + 1, list_transform(mat, lambda g1, a1: CASE WHEN a1 = k + 1 THEN list_transform(g1, lambda x1: x1 / piv) ELSE list_transform(g1, lambda x2, b2: x2 - g1[k + 1] / piv * prow[b2]) END), logdet + ln(piv)
+  FROM (SELECT *, mat[k + 1] AS prow, mat[k + 1][k + 1] AS piv FROM {name}_g WHERE k < n)),
+{name} AS (SELECT label, origin, h, (logdet + list_sum(list_transform(range(1, n + 1), lambda z: mat[z][n + z]))) / n AS nll FROM {name}_g WHERE k = n)"""

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import estimators, flags, inference, spectra
 from tessera.operators import resampling as R
 from tessera.operators.windows import block_length, chronological_splits, map_windows, origins
+from tessera.sources import tables
 
 HALF_LIVES = (10, 21, 42, 63)
 FORECASTERS = {
@@ -41,7 +42,20 @@ def capture_ladder(panel: DataFrame, t_in: int, t_out: int, step: int) -> DataFr
     return map_windows(panel, t_in, t_out, step, kernel, "label string, origin int, n_names int, capture_1 double, capture_3 double, capture_6 double, ceiling_6 double, floor_6 double")
 
 
-def entrants(panel: DataFrame, t_in: int, t_out: int, step: int, half_lives=HALF_LIVES) -> DataFrame:
+def neutral_capture(panel: DataFrame, t_in: int, t_out: int, step: int) -> DataFrame:
+    """(label, origin, n_names, capture_1, capture_3, capture_6, market_share): what the frozen frame captures of targets
+    that have lost their equal-weight market, the same known direction for every frame, and what share that was."""
+
+    def kernel(label, origin, names, past, ahead):
+        r = spectra.scaled(ahead, *spectra.scaling(past))
+        market = np.full((len(names), 1), len(names) ** -0.5)
+        held = flags.captured(spectra.frozen_frame(past), r, neutral=market)
+        return [[label, origin, len(names), *held.values(), float(np.square(market.T @ r).sum() / np.square(r).sum())]]
+
+    return map_windows(panel, t_in, t_out, step, kernel, "label string, origin int, n_names int, capture_1 double, capture_3 double, capture_6 double, market_share double")
+
+
+def entrants(panel: DataFrame, t_in: int, t_out: int, step: int, half_lives=HALF_LIVES, shrunk: tuple[str, ...] = ("ledoit_wolf", "oas", "quadratic_inverse")) -> DataFrame:
     """(label, origin, entrant, capture_6): frozen, ceiling, shrinkage and EWMA frames side by side."""
 
     def kernel(label, origin, names, past, ahead):
@@ -49,7 +63,7 @@ def entrants(panel: DataFrame, t_in: int, t_out: int, step: int, half_lives=HALF
         y = spectra.adjusted(past)
         frames = {"frozen": spectra.frozen_frame(past), "ceiling": flags.ceiling_frame(r)}
         frames |= {f"ewma_{h}": estimators.frame_of(estimators.ewma(y, half_life=h)) for h in half_lives}
-        frames |= {name: estimators.frame_of(estimators.ESTIMATORS[name](y)) for name in ("ledoit_wolf", "oas", "quadratic_inverse")}
+        frames |= {name: estimators.frame_of(estimators.ESTIMATORS[name](y)) for name in shrunk}
         return [[label, origin, name, flags.captured(frame, r)["capture_6"]] for name, frame in frames.items()]
 
     return map_windows(panel, t_in, t_out, step, kernel, "label string, origin int, entrant string, capture_6 double")
@@ -70,16 +84,16 @@ def intervals(pairs: DataFrame, block: int, value: str = "gain", by: tuple[str,
     return R.block_intervals(pairs, value, "origin", block, list(by), seed=seed)
 
 
-def ladder_comparisons(panel: DataFrame, t_in: int, t_out: int, step: int, half_lives=HALF_LIVES) -> DataFrame:
+def ladder_comparisons(panel: DataFrame, t_in: int, t_out: int, step: int, half_lives=HALF_LIVES, shrunk: tuple[str, ...] = ("ledoit_wolf", "oas", "quadratic_inverse")) -> DataFrame:
     """Each entrant against frozen, with a block-bootstrap interval."""
-    series = entrants(panel, t_in, t_out, step, half_lives)
+    series = tables.cut(entrants(panel, t_in, t_out, step, half_lives, shrunk))  # a number an origin and entrant
     frozen = series.where("entrant = 'frozen'").select("label", "origin", F.col("capture_6").alias("r"))
     pairs = series.where("entrant <> 'frozen'").join(frozen, ["label", "origin"]).withColumn("gain", F.col("capture_6") - F.col("r"))
     return intervals(pairs, block_length(t_in, t_out, step))
 
 
 def window_frames(panel: DataFrame, t_in: int, step: int) -> DataFrame:
-    """(label, w, frame, window): day-flattened leading frames of rolling windows, in order, as flat arrays."""
+    """(label, w, frame, x): day-flattened leading frames of rolling windows, in order, and the windows, as flat arrays."""
 
     def kernel(label, origin, names, past, ahead):
         frame = spectra.eigenpairs(spectra.covariance(spectra.adjusted(past)), 6)[1]
@@ -89,11 +103,16 @@ def window_frames(panel: DataFrame, t_in: int, step: int) -> DataFrame:
 
 
 def triples(panel: DataFrame, t_in: int, horizon: int, step: int) -> DataFrame:
-    """(label, w, past, now, future, x): each window's frame with those a horizon before and after."""
-    k = horizon // step
-    order = Window.partitionBy("label").orderBy("w")
-    wide = window_frames(panel, t_in, step).withColumn("past", F.lag("frame", k).over(order)).withColumn("future", F.lead("frame", k).over(order))
-    return wide.where("past is not null and future is not null").withColumnRenamed("frame", "now")
+    """(label, w, past, now, future, x): each window's frame with those a horizon before and after.
+
+    A window is sent to the three places that read it and they meet by (label, w): frames are computed once, no label
+    is sorted as a whole, and only a window's own place gets its days."""
+    k, none = horizon // step, F.lit(None).cast("array<double>")
+    frame, at = F.col("frame"), F.col("w")
+    place = lambda shift, **held: F.struct((at + shift).alias("w"), *[held.get(c, none).alias(c) for c in ("past", "now", "future", "x")])
+    sent = window_frames(panel, t_in, step).select("label", F.explode(F.array(place(k, past=frame), place(0, now=frame, x=F.col("x")), place(-k, future=frame))).alias("p")).select("label", "p.*")
+    met = sent.groupBy("label", "w").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("past", "now", "future", "x")])
+    return met.where("past is not null and now is not null and future is not null")
 
 
 def _frame(flat) -> np.ndarray:

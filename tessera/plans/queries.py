@@ -330,7 +330,9 @@ def _winners(spark, sf):
 
 @query("choose_half_life")
 def _half_life(spark, sf):
-    return selection.choose_half_life(panel_of(spark, sf), T_IN, T_OUT, 1, (21, 42, 63, 126), **DATES)
+    """Likelihood losses of EWMA covariances by half-life, on validation and test; validation alone chooses."""
+    out = selection.choose_half_life(panel_of(spark, sf), T_IN, T_OUT, 1, (21, 42, 63, 126), **DATES)
+    return out.select("label", "half_life", r("validation_loss"), "n_validation", r("test_loss"), "n_test", "selected")
 
 
 @query("foresight")
