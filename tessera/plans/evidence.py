@@ -20,14 +20,14 @@ from tessera.sources import tables
 # -- leading vectors of windows in SQL: squaring and deflation, as in frozen_capture ----------------------
 
 
-def matrices_sql(t: int, step: int, skip: int = 0, every: int | None = None) -> str:
+def matrices_sql(t: int, step: int, skip: int = 0, every: int | None = None, raw: bool = False) -> str:
     """CTEs up to m (label, origin, mat): the correlation of each window of t days, adjusted by itself. skip leaves
-    out the oldest days; windows are then numbered as the whole ones."""
+    out the oldest days; windows are then numbered as the whole ones. raw leaves days as they are."""
     return f"""WITH RECURSIVE {panel_sql("month").strip()},
 o AS (SELECT DISTINCT label, CAST(t / {step} AS INTEGER) AS origin, t AS s FROM panel WHERE t % {every or step} = 0 AND t + {t} <= (SELECT max(t) + 1 FROM panel)),
 e AS (SELECT o.label, origin, name, t - s AS k, x FROM o JOIN panel p ON p.label = o.label AND p.t >= s + {skip} AND p.t < s + {t}),
 lv AS (SELECT label, origin, k, avg(x * x) AS l FROM e GROUP BY ALL), rf AS (SELECT label, origin, avg(l) AS m FROM lv WHERE l > 0 GROUP BY ALL),
-fl AS (SELECT label, origin, name, k, x / sqrt(CASE WHEN l > 0 THEN l / m ELSE 1 END) AS x FROM e JOIN lv USING (label, origin, k) JOIN rf USING (label, origin)),
+fl AS (SELECT label, origin, name, k, x / {"1" if raw else "sqrt(CASE WHEN l > 0 THEN l / m ELSE 1 END)"} AS x FROM e JOIN lv USING (label, origin, k) JOIN rf USING (label, origin)),
 u AS (SELECT label, origin, name, k, x / stddev_samp(x) OVER (PARTITION BY label, origin, name) AS x FROM fl),
 c AS (SELECT a.label, a.origin, a.name AS i, b.name AS j, covar_pop(a.x, b.x) AS v FROM u a JOIN u b ON a.label = b.label AND a.origin = b.origin AND a.k = b.k GROUP BY ALL),
 m AS (SELECT label, origin, list(row ORDER BY i) AS mat FROM (SELECT label, origin, i, list(v ORDER BY j) AS row FROM c GROUP BY ALL) GROUP BY ALL)"""
@@ -60,10 +60,10 @@ def _variogram(spark, sf):
     return jobs.variogram(jobs.eigenvalues(panel_of(spark, sf), 24, 6, 3), 6, 24).select("label", "mode", F.col("lag").cast("int").alias("lag"), "n", r("gamma"))
 
 
-def distances_sql(t: int, step: int, p: int, q: int, most: int) -> str:
+def distances_sql(t: int, step: int, p: int, q: int, most: int, raw: bool = False) -> str:
     """CTE apart (label, i, j, lag, distance): the product of the principal cosines is the root of a Gram determinant."""
     g = lambda a, b: f"list_sum(list_transform(range(1, {q + 1}), lambda z{a}{b}: list_dot_product(x.found[{a}], y.found[z{a}{b}]) * list_dot_product(x.found[{b}], y.found[z{a}{b}])))"
-    return matrices_sql(t, step) + leading_sql(q) + f""",
+    return matrices_sql(t, step, raw=raw) + leading_sql(q) + f""",
 gram AS (SELECT x.label, x.origin AS i, y.origin AS j, {g(1, 1)} AS g11, {g(2, 2)} AS g22, {g(3, 3)} AS g33, {g(1, 2)} AS g12, {g(1, 3)} AS g13, {g(2, 3)} AS g23 FROM f x JOIN f y ON x.label = y.label AND y.origin > x.origin AND (y.origin - x.origin) * {step} <= {most}),
 apart AS (SELECT label, i, j, CAST((j - i) * {step} AS INTEGER) AS lag, -ln(sqrt(g11 * (g22 * g33 - g23 * g23) - g12 * (g12 * g33 - g23 * g13) + g13 * (g12 * g23 - g22 * g13))) / {p} AS distance FROM gram)"""
 
@@ -73,6 +73,33 @@ def _distances(spark, sf):
     return jobs.window_distances(panel_of(spark, sf), 24, 6, 3, 6, 48).select("label", "i", "j", F.col("lag").cast("int").alias("lag"), r("distance"))
 
 
+@query("window_distances_raw", distances_sql(24, 6, 3, 6, 48, True) + " SELECT label, i, j, lag, round(distance, 6) AS distance FROM apart")
+def _distances_raw(spark, sf):
+    """Distances of windows whose days keep their own level."""
+    states = jobs.spectral_states(panel_of(spark, sf), 24, 6, 3, 6, ("raw",))
+    return jobs.state_distances(states, 6, 3, 6, 48).select("label", "i", "j", F.col("lag").cast("int").alias("lag"), r("distance"))
+
+
+def _gap_sql(raw: bool) -> str:
+    return f"SELECT * FROM ({matrices_sql(36, 6, raw=raw)}{leading_sql(7)} SELECT label, '{'raw' if raw else 'standardised'}' AS mode, CAST(origin AS INTEGER) AS w, round(lams[1], 6) AS first, round(lams[3], 6) AS gap_high, round(lams[7], 6) AS gap_low FROM f)"
+
+
+@query("gap_ends", _gap_sql(False) + " UNION ALL " + _gap_sql(True))
+def _gaps(spark, sf):
+    """The largest eigenvalue and both ends of the gap between the third and the seventh, in both modes."""
+    states = jobs.spectral_states(panel_of(spark, sf), 36, 6, 3, 6, ("standardised", "raw"))
+    return states.select("label", "mode", "w", F.round(F.element_at("values", 1), 6).alias("first"), r("gap_high"), r("gap_low"))
+
+
+@query("mode_comparison")
+def _modes(spark, sf):
+    """Distance over its null by lag, standardised and raw side by side, one row a lag with both modes' columns."""
+    states = jobs.spectral_states(panel_of(spark, sf), 24, 6, 3, 6, ("standardised", "raw"))
+    by = jobs.state_distances(states, 6, 3, 6, 48).groupBy("label", "lag", "mode").agg(F.count(F.lit(1)).alias("n"), F.avg("distance").alias("distance"), F.avg("null").alias("null"))
+    ratio = by.withColumn("ratio", F.try_divide("distance", "null"))
+    return ratio.groupBy("label", "lag").pivot("mode", ["standardised", "raw"]).agg(*[F.first(c).alias(c) for c in ("n", "distance", "null", "ratio")])
+
+
 @query("distance_by_lag", distances_sql(24, 6, 3, 6, 48) + " SELECT label, CAST(round_even(lag / 12.0, 0) * 12 AS BIGINT) AS lag_bin, count(*) AS n, round(avg(distance), 6) AS distance FROM apart GROUP BY ALL")
 def _lag(spark, sf):
     return S.lag_bins(jobs.window_distances(panel_of(spark, sf), 24, 6, 3, 6, 48), 12, "distance").select("label", "lag_bin", "n", r("distance"))

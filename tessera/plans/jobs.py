@@ -168,23 +168,43 @@ def attribution(panel: DataFrame, t_in: int, horizon: int, step: int) -> DataFra
     return triples(panel, t_in, horizon, step).repartition("label", "w").mapInPandas(run, schema)
 
 
-def window_distances(panel: DataFrame, t_in: int, step: int, p: int, q: int, max_lag: int) -> DataFrame:
-    """(label, i, j, lag, distance, null): all pairs of windows at most max_lag days apart."""
+MODES = {"standardised": spectra.adjusted, "raw": spectra.unit_variance}
+
+
+def spectral_states(panel: DataFrame, t_in: int, step: int, p: int, q: int, modes: tuple[str, ...] = ("standardised",)) -> DataFrame:
+    """(label, mode, w, values, vectors, null, gap_high, gap_low) of rolling windows, one eigendecomposition each: the q + 1
+    leading values, q vectors (a flat N x q array), the window's part of the distance null and the ends of the gap that
+    the null divides by. Mode standardised flattens days before names are scaled, raw only scales names.
+
+    A kept table: distances, variograms and reports read it by equi-join instead of decomposing windows again."""
 
     def kernel(label, origin, names, past, ahead):
-        lam, vec = spectra.eigenpairs(spectra.covariance(spectra.adjusted(past)))
-        return [[label, origin, vec[:, :q].ravel().tolist(), spectra.distance_null(lam, p, q, t_in)]]
+        rows = []
+        for mode in modes:
+            lam, vec = spectra.eigenpairs(spectra.covariance(MODES[mode](past)))
+            rows.append([label, mode, origin, lam[: q + 1].tolist(), vec[:, :q].ravel().tolist(), spectra.distance_null(lam, p, q, t_in), float(lam[p - 1]), float(lam[q])])
+        return rows
 
-    states = map_windows(panel, t_in, 0, step, kernel, "label string, w int, vectors array<double>, null double")
+    return tables.cut(map_windows(panel, t_in, 0, step, kernel, "label string, mode string, w int, values array<double>, vectors array<double>, null double, gap_high double, gap_low double"))
+
+
+def state_distances(states: DataFrame, step: int, p: int, q: int, max_lag: int) -> DataFrame:
+    """(label, mode, i, j, lag, distance, null): all pairs of windows of one label and mode at most max_lag days apart."""
     lags = F.explode(F.sequence(F.lit(1), F.lit(max(1, max_lag // step))))
-    left = states.select("label", F.col("w").alias("i"), F.col("vectors").alias("u"), F.col("null").alias("n1"), lags.alias("k")).withColumn("j", F.col("i") + F.col("k"))
-    both = left.join(states.select("label", F.col("w").alias("j"), F.col("vectors").alias("v"), F.col("null").alias("n2")), ["label", "j"])
+    keys = ["label", "mode"]
+    left = states.select(*keys, F.col("w").alias("i"), F.col("vectors").alias("u"), F.col("null").alias("n1"), lags.alias("k")).withColumn("j", F.col("i") + F.col("k"))
+    both = left.join(states.select(*keys, F.col("w").alias("j"), F.col("vectors").alias("v"), F.col("null").alias("n2")), [*keys, "j"])
 
     @F.pandas_udf("double")
     def apart(u: pd.Series, v: pd.Series) -> pd.Series:
         return pd.Series([spectra.distance(np.asarray(a).reshape(-1, q)[:, :p], np.asarray(b).reshape(-1, q)) for a, b in zip(u, v)])
 
-    return both.select("label", "i", "j", (F.col("k") * step).alias("lag"), apart("u", "v").alias("distance"), (F.col("n1") + F.col("n2")).alias("null"))
+    return both.select(*keys, "i", "j", (F.col("k") * step).alias("lag"), apart("u", "v").alias("distance"), (F.col("n1") + F.col("n2")).alias("null"))
+
+
+def window_distances(panel: DataFrame, t_in: int, step: int, p: int, q: int, max_lag: int) -> DataFrame:
+    """(label, i, j, lag, distance, null) of standardised windows at most max_lag days apart."""
+    return state_distances(spectral_states(panel, t_in, step, p, q), step, p, q, max_lag).drop("mode")
 
 
 def eigenvalues(panel: DataFrame, t_in: int, step: int, k: int) -> DataFrame:
