@@ -601,3 +601,69 @@ def _neutral(spark, sf):
     """The frozen frame's capture of targets without their equal-weight market."""
     out = jobs.neutral_capture(panel_of(spark, sf), T_IN, T_OUT, STEP)
     return out.select("label", "origin", "n_names", *[r(c) for c in ("capture_1", "capture_3", "capture_6", "market_share")])
+
+
+Q.ORACLE_SQL["capture_ladder_month"] = LADDER_SQL + """,
+fr AS (SELECT en.label, en.origin, any_value(len(y)) AS n, sum(list_dot_product(y, y)) AS w, sum(pow(list_dot_product(found[1], y), 2)) AS c1, sum(list_sum(list_transform(found[1:3], lambda u4: pow(list_dot_product(u4, y), 2)))) AS c3, sum(list_sum(list_transform(found, lambda u5: pow(list_dot_product(u5, y), 2)))) AS c6 FROM en JOIN yy ON yy.label = en.label AND yy.origin = en.origin WHERE entrant = 'frozen' GROUP BY ALL)
+SELECT fr.label, fr.origin, CAST(n AS INTEGER) AS n_names, round(c1 / w, 6) AS capture_1, round(c3 / w, 6) AS capture_3, round(c6 / w, 6) AS capture_6, round(top.capture_6, 6) AS ceiling_6, round(6 / n, 6) AS floor_6 FROM fr JOIN sh top ON top.label = fr.label AND top.origin = fr.origin AND top.entrant = 'ceiling'"""
+
+
+@query("retained_comparisons", PAIRED_SQL + ", gn AS (SELECT *, rr - m AS gain FROM both_), " + E.intervals_sql("gn", ("label", "component"), W.block_length(36, 12, 6), 20260803, order="example") + """
+SELECT label, 'retained' AS forecaster, component, n, round(model_mean, 6) AS model_mean, round(model_median, 6) AS model_median, round(model_q25, 6) AS model_q25, round(model_q75, 6) AS model_q75, round(frozen_mean, 6) AS frozen_mean, round(win_fraction, 6) AS win_fraction, round(mean, 6) AS mean, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, excludes_zero, round(100 * mean / scale, 4) AS skill_percent, round(100 * ci_low / scale, 4) AS skill_ci_low, round(100 * ci_high / scale, 4) AS skill_ci_high
+FROM iv JOIN (SELECT label, component, avg(m) AS model_mean, quantile_cont(m, 0.5) AS model_median, quantile_cont(m, 0.25) AS model_q25, quantile_cont(m, 0.75) AS model_q75, avg(rr) AS frozen_mean, greatest(avg(rr), 2.2250738585072014e-308) AS scale, avg(CASE WHEN gain > 0 THEN 1 ELSE 0 END) AS win_fraction FROM gn GROUP BY ALL) USING (label, component)""")
+def _retained_pairs(spark, sf):
+    """loss_comparisons for the forecaster that drops the oldest days, with every statistic."""
+    out = selection.loss_comparisons(jobs.flag_losses(panel_of(spark, sf), 36, 6, 6, ("frozen", "retained")), W.block_length(36, 12, 6))
+    return out.select("label", "forecaster", "component", F.col("n").cast("long").alias("n"), *[r(c) for c in ("model_mean", "model_median", "model_q25", "model_q75", "frozen_mean", "win_fraction", "mean", "ci_low", "ci_high")], "excludes_zero", *[r(c, 4) for c in ("skill_percent", "skill_ci_low", "skill_ci_high")])
+
+
+# -- covariance forecasts in closed form -------------------------------------------------------------------
+
+CLOSED = ("sample", "ewma_21", "ewma_63", "ledoit_wolf", "oas")
+CLOSED_METRICS = ["relative_frobenius", "gaussian_nll_per_asset", "gmv_long_short_variance"]
+SCORES_SQL = Q.ORIGINS_SQL.replace("WITH", "WITH RECURSIVE", 1).replace(f"t / {STEP} AS", "t / 4 AS").replace(f"t % {STEP} = 0", "t % 4 = 0") + f""",
+pw AS (SELECT o.label, origin, name, t - s AS k, x FROM o JOIN panel p ON p.label = o.label AND p.t >= s AND p.t < s + {T_IN}),
+ew AS (SELECT *, pow(0.5, ({T_IN} - 1 - k) / h) AS w FROM pw, (VALUES (21.0::DOUBLE), (63.0::DOUBLE)) hl(h)),
+dm AS (SELECT label, origin, name, k, x - avg(x) OVER (PARTITION BY label, origin, name) AS y FROM pw),
+sc AS (SELECT a.label, a.origin, a.name AS i, b.name AS j, avg(a.y * b.y) AS v, avg(a.y * a.y * b.y * b.y) AS v4 FROM dm a JOIN dm b ON a.label = b.label AND a.origin = b.origin AND a.k = b.k GROUP BY ALL),
+sz AS (SELECT label, origin, sqrt(count(*)) AS n, sum(v) FILTER (WHERE i = j) / sqrt(count(*)) AS mean, sum(v * v) AS sq, sum(v4 - v * v) AS var4 FROM sc GROUP BY ALL),
+lw AS (SELECT label, origin, mean, CASE WHEN spread > 0 THEN least(noise, spread) / spread ELSE 0 END AS lw, CASE WHEN bottom = 0 THEN 1 ELSE least(top / bottom, 1) END AS oas FROM (SELECT label, origin, mean, sq / n - mean * mean AS spread, var4 / (n * {T_IN}) AS noise, sq / (n * n) + mean * mean AS top, ({T_IN} + 1) * (sq / (n * n) - mean * mean / n) AS bottom FROM sz)),
+cs AS (SELECT label, origin, 'sample' AS h, i, j, v FROM sc
+       UNION ALL SELECT sc.label, sc.origin, u.h, i, j, (1 - CASE u.h WHEN 'oas' THEN oas ELSE lw END) * v + CASE WHEN i = j THEN CASE u.h WHEN 'oas' THEN oas ELSE lw END * mean ELSE 0 END FROM sc JOIN lw ON lw.label = sc.label AND lw.origin = sc.origin, (VALUES ('ledoit_wolf'), ('oas')) u(h)
+       UNION ALL SELECT a.label, a.origin, 'ewma_' || CAST(a.h AS INTEGER), a.name, b.name, sum(a.w * a.x * b.x) / sum(a.w) - sum(a.w * a.x) / sum(a.w) * (sum(a.w * b.x) / sum(a.w)) FROM ew a JOIN ew b ON a.label = b.label AND a.origin = b.origin AND a.k = b.k AND a.h = b.h GROUP BY a.label, a.origin, a.h, a.name, b.name),
+ah AS (SELECT o.label, origin, name, t, x FROM o JOIN panel p ON p.label = o.label AND p.t >= s + {T_IN} AND p.t < s + {T_IN + T_OUT}),
+rr AS (SELECT a.label, a.origin, a.name AS i, b.name AS j, covar_pop(a.x, b.x) AS v FROM ah a JOIN ah b ON a.label = b.label AND a.origin = b.origin AND a.t = b.t GROUP BY ALL),
+fb AS (SELECT cs.label, cs.origin, h, sqrt(sum(pow(cs.v - rr.v, 2))) / sqrt(sum(rr.v * rr.v)) AS relative_frobenius FROM cs JOIN rr ON rr.label = cs.label AND rr.origin = cs.origin AND rr.i = cs.i AND rr.j = cs.j GROUP BY cs.label, cs.origin, h),
+cr AS (SELECT label, origin, h, i, list(v ORDER BY j) AS row FROM cs GROUP BY ALL), rw AS (SELECT label, origin, i, list(v ORDER BY j) AS row FROM rr GROUP BY ALL),
+rm AS (SELECT label, origin, list(row ORDER BY i) AS target FROM rw GROUP BY ALL),
+mt AS (SELECT cr.label, cr.origin, h, CAST(count(*) AS INTEGER) AS n, list(list_concat(cr.row, rw.row, [CAST(1 AS DOUBLE)]) ORDER BY cr.i) AS mat FROM cr JOIN rw ON rw.label = cr.label AND rw.origin = cr.origin AND rw.i = cr.i GROUP BY cr.label, cr.origin, h),{E.eliminated_sql("mt")},
+ws AS (SELECT label, origin, h, n, mat, logdet, list_transform(mat, lambda m1: m1[2 * n + 1]) AS raw FROM el),
+wt AS (SELECT *, list_transform(raw, lambda m2: m2 / list_sum(raw)) AS w FROM ws),
+scored AS (SELECT wt.label, wt.origin, wt.h AS estimator, relative_frobenius, (logdet + list_sum(list_transform(range(1, n + 1), lambda z: mat[z][n + z]))) / n AS gaussian_nll_per_asset, list_dot_product(w, list_transform(target, lambda m3: list_dot_product(m3, w))) AS gmv_long_short_variance FROM wt JOIN rm ON rm.label = wt.label AND rm.origin = wt.origin JOIN fb ON fb.label = wt.label AND fb.origin = wt.origin AND fb.h = wt.h)"""
+
+
+def closed_scores(spark, sf):
+    return jobs.covariance_scores(panel_of(spark, sf), T_IN, T_OUT, 4, CLOSED, long_only=False).select("label", "origin", "estimator", *CLOSED_METRICS)
+
+
+@query("covariance_losses", SCORES_SQL + " SELECT label, origin, estimator, round(relative_frobenius, 6) AS relative_frobenius, round(gaussian_nll_per_asset, 6) AS gaussian_nll_per_asset, round(10000 * gmv_long_short_variance, 6) AS gmv_long_short_variance FROM scored")
+def _covariance_losses(spark, sf):
+    """Distance, likelihood and minimum-variance losses of the closed-form estimators; variances in squared percent."""
+    return closed_scores(spark, sf).select("label", "origin", "estimator", r("relative_frobenius"), r("gaussian_nll_per_asset"), F.round(10000 * F.col("gmv_long_short_variance"), 6).alias("gmv_long_short_variance"))
+
+
+@query("covariance_loss_board", SCORES_SQL + f""", u AS (UNPIVOT scored ON {", ".join(CLOSED_METRICS)} INTO NAME metric VALUE score), q AS (SELECT label, metric, estimator, count(score) AS n, avg(score) AS mean, quantile_cont(score, 0.5) AS median, list_sort(list(score)) AS l FROM u GROUP BY ALL)
+SELECT label, metric, estimator, n, round(mean, 6) AS mean, round(median, 6) AS median, round(l[CAST(round_even(0.25 * (n - 1), 0) AS INTEGER) + 1], 6) AS q25, round(l[CAST(round_even(0.75 * (n - 1), 0) AS INTEGER) + 1], 6) AS q75, CAST(rank() OVER (PARTITION BY label, metric ORDER BY mean) AS INTEGER) AS rank FROM q""")
+def _covariance_board(spark, sf):
+    out = S.leaderboard(tables.cut(closed_scores(spark, sf)), ["label", "origin", "estimator"], CLOSED_METRICS)
+    return out.select("label", "metric", "estimator", "n", *[r(c) for c in ("mean", "median", "q25", "q75")], "rank")
+
+
+@query("covariance_comparisons", SCORES_SQL + f""", un AS (UNPIVOT scored ON {", ".join(CLOSED_METRICS)} INTO NAME metric VALUE loss), gn AS (SELECT a.label, a.origin, a.estimator AS candidate, a.metric, a.loss, b.loss AS r, b.loss - a.loss AS gain FROM un a JOIN un b ON a.label = b.label AND a.origin = b.origin AND a.metric = b.metric AND b.estimator = 'sample' WHERE a.estimator <> 'sample'), """ + E.intervals_sql("gn", ("label", "candidate", "metric"), 3, 20260805) + """
+SELECT label, candidate, metric, n, round(100 * mean / greatest(abs(reference), 2.2250738585072014e-308), 4) AS percent_improvement, round(win_fraction, 6) AS win_fraction, round(mean / reference, 6) AS improvement, round(ci_low / reference, 6) AS ci_low, round(ci_high / reference, 6) AS ci_high, excludes_zero
+FROM iv JOIN (SELECT label, candidate, metric, avg(r) AS reference, avg(CASE WHEN gain > 0 THEN 1 ELSE 0 END) AS win_fraction FROM gn GROUP BY ALL) USING (label, candidate, metric)""")
+def _covariance_pairs(spark, sf):
+    """Every estimator against the sample covariance, paired by origin, with intervals in units of the reference."""
+    out = selection.comparisons(tables.cut(closed_scores(spark, sf)), ["label", "origin"], "estimator", "sample", CLOSED_METRICS, 3)
+    share = lambda c, name: F.round(F.col(c) / F.col("reference_mean"), 6).alias(name)
+    return out.select("label", "candidate", "metric", F.col("n").cast("long").alias("n"), r("percent_improvement", 4), r("win_fraction"), share("mean", "improvement"), share("ci_low", "ci_low"), share("ci_high", "ci_high"), "excludes_zero")

@@ -71,13 +71,20 @@ def ewma_sql(source: str, width: int, half_lives: tuple[float, ...], name: str =
 {name} AS (SELECT label || '#' || h AS label, origin, list(row ORDER BY i) AS mat FROM (SELECT c.label, c.origin, c.h, c.i, list(v / p.s / q.s ORDER BY c.j) AS row FROM {name}_c c JOIN {name}_d p ON p.label = c.label AND p.origin = c.origin AND p.h = c.h AND p.i = c.i JOIN {name}_d q ON q.label = c.label AND q.origin = c.origin AND q.h = c.h AND q.i = c.j GROUP BY ALL) GROUP BY ALL)"""
 
 
-def likelihood_sql(source: str, name: str = "nl") -> str:
-    """CTE name (label, origin, h, nll): (ln det C + trace C^-1 R) / N of source (label, origin, h, n, mat), each row of
-    mat a row of C followed by one of R: Gauss-Jordan elimination, a column a step."""
+def eliminated_sql(source: str, name: str = "el") -> str:
+    """CTE name (label, origin, h, n, mat, logdet) of source (label, origin, h, n, mat), whose rows are those of an n x n
+    matrix C followed by anything: C becomes the identity and the rest C^-1 times itself, by Gauss-Jordan
+    elimination, a column a step; logdet is ln det C."""
     return f"""
 {name}_g AS (
   SELECT label, origin, h, n, 0 AS k, mat, CAST(0 AS DOUBLE) AS logdet FROM {source}
   UNION ALL
   SELECT label, origin, h, n, k + 1, list_transform(mat, lambda g1, a1: CASE WHEN a1 = k + 1 THEN list_transform(g1, lambda x1: x1 / piv) ELSE list_transform(g1, lambda x2, b2: x2 - g1[k + 1] / piv * prow[b2]) END), logdet + ln(piv)
   FROM (SELECT *, mat[k + 1] AS prow, mat[k + 1][k + 1] AS piv FROM {name}_g WHERE k < n)),
-{name} AS (SELECT label, origin, h, (logdet + list_sum(list_transform(range(1, n + 1), lambda z: mat[z][n + z]))) / n AS nll FROM {name}_g WHERE k = n)"""
+{name} AS (SELECT label, origin, h, n, mat, logdet FROM {name}_g WHERE k = n)"""
+
+
+def likelihood_sql(source: str, name: str = "nl") -> str:
+    """CTE name (label, origin, h, nll): (ln det C + trace C^-1 R) / N of source, whose rows are C's followed by R's."""
+    return f"""{eliminated_sql(source, name + "_e")},
+{name} AS (SELECT label, origin, h, (logdet + list_sum(list_transform(range(1, n + 1), lambda z: mat[z][n + z]))) / n AS nll FROM {name}_e)"""

@@ -224,15 +224,15 @@ def variogram(values: DataFrame, step: int, max_lag: int) -> DataFrame:
     return left.join(right, ["label", "mode", "other"]).groupBy("label", "mode", (F.col("k") * step).alias("lag")).agg(F.count(F.lit(1)).alias("n"), F.avg(gap * gap).alias("gamma"))
 
 
-def covariance_scores(panel: DataFrame, t_in: int, t_out: int, step: int, names: tuple[str, ...]) -> DataFrame:
-    """One row per origin and estimator: all scores of its forecast."""
+def covariance_scores(panel: DataFrame, t_in: int, t_out: int, step: int, names: tuple[str, ...], long_only: bool = True) -> DataFrame:
+    """One row per origin and estimator: all scores of its forecast; without long_only that one is NaN."""
     metrics = ("relative_frobenius", "gaussian_nll_per_asset", "gmv_long_short_variance", "gmv_long_only_variance", "flag_nested_loss", "score_condition_number")
 
     def kernel(label, origin, _, past, ahead):
         target = spectra.covariance(ahead)
         rows = []
         for name in names:
-            s = estimators.scores(estimators.ESTIMATORS[name](past), target)
+            s = estimators.scores(estimators.ESTIMATORS[name](past), target, long_only)
             rows.append([label, origin, name, *(s[m] for m in metrics)])
         return rows
 

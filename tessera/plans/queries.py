@@ -242,7 +242,8 @@ def _capture(spark, sf):
 
 @query("capture_ladder_month")
 def _ladder(spark, sf):
-    return jobs.capture_ladder(panel_of(spark, sf), T_IN, T_OUT, STEP)
+    out = jobs.capture_ladder(panel_of(spark, sf), T_IN, T_OUT, STEP)
+    return out.select("label", "origin", "n_names", *[r(c) for c in ("capture_1", "capture_3", "capture_6", "ceiling_6", "floor_6")])
 
 
 EIGEN_SQL = f"""WITH {panel_sql("month")}, n AS (SELECT max(t) + 1 AS n FROM panel), o AS (SELECT DISTINCT label, t AS s FROM panel, n WHERE t % 12 = 0 AND t + 36 <= n),
