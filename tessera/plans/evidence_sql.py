@@ -88,3 +88,26 @@ def likelihood_sql(source: str, name: str = "nl") -> str:
     """CTE name (label, origin, h, nll): (ln det C + trace C^-1 R) / N of source, whose rows are C's followed by R's."""
     return f"""{eliminated_sql(source, name + "_e")},
 {name} AS (SELECT label, origin, h, (logdet + list_sum(list_transform(range(1, n + 1), lambda z: mat[z][n + z]))) / n AS nll FROM {name}_e)"""
+
+
+def linkage_sql(source: str, name: str = "hf") -> str:
+    """CTE name (label, origin, i, j, v) of source (label, origin, i, j, v): covariances with each correlation replaced by the
+    mean correlation of the two clusters that joined i and j, by average linkage. The largest correlation merges
+    first, of equal ones that of the first row, then of the first column; -2 marks what is gone."""
+    dead = "CAST(-2 AS DOUBLE)"
+    return f"""
+{name}_d AS (SELECT label, origin, i, sqrt(v) AS s, row_number() OVER (PARTITION BY label, origin ORDER BY i) AS k FROM {source} WHERE i = j),
+{name}_c AS (SELECT c.label, c.origin, p.k AS i, q.k AS j, p.s * q.s AS s, CASE WHEN p.k = q.k THEN {dead} ELSE v / p.s / q.s END AS r FROM {source} c JOIN {name}_d p ON p.label = c.label AND p.origin = c.origin AND p.i = c.i JOIN {name}_d q ON q.label = c.label AND q.origin = c.origin AND q.i = c.j),
+{name}_0 AS (SELECT label, origin, list(row ORDER BY i) AS sim, CAST(count(*) AS INTEGER) AS n FROM (SELECT label, origin, i, list(r ORDER BY j) AS row FROM {name}_c GROUP BY ALL) GROUP BY ALL),
+{name}_m AS (
+  SELECT label, origin, n, 0 AS step, sim, list_transform(range(1, n + 1), lambda e0: CAST(1 AS DOUBLE)) AS size, range(1, n + 1) AS cl, {dead} AS val FROM {name}_0
+  UNION ALL
+  SELECT label, origin, n, step + 1, list_transform(sim, lambda e1, i1: CASE WHEN i1 = b THEN list_transform(e1, lambda e2: {dead}) WHEN i1 = a THEN fresh ELSE list_transform(e1, lambda e3, j3: CASE WHEN j3 = a THEN fresh[i1] WHEN j3 = b THEN {dead} ELSE e3 END) END),
+         list_transform(size, lambda e4, i4: CASE WHEN i4 = a THEN size[a] + size[b] ELSE e4 END), list_transform(cl, lambda e5: CASE WHEN e5 = b THEN a ELSE e5 END), best
+  FROM (SELECT *, list_transform(sim[a], lambda e6, i6: CASE WHEN i6 = a OR i6 = b THEN {dead} ELSE (size[a] * e6 + size[b] * sim[b][i6]) / (size[a] + size[b]) END) AS fresh FROM (
+    SELECT *, least(p, q) AS a, greatest(p, q) AS b FROM (
+    SELECT *, list_position(sim[p], best) AS q FROM (
+    SELECT *, list_position(list_transform(sim, lambda e7: list_max(e7)), best) AS p FROM (
+    SELECT *, list_max(list_transform(sim, lambda e8: list_max(e8))) AS best FROM {name}_m WHERE step < n - 1)))))),
+{name}_f AS (SELECT c.label, c.origin, c.i, c.j, any_value(s) * CASE WHEN c.i = c.j THEN 1 ELSE arg_min(val, step) FILTER (WHERE step > 0 AND cl[c.i] = cl[c.j]) END AS v FROM {name}_c c JOIN {name}_m m ON m.label = c.label AND m.origin = c.origin GROUP BY c.label, c.origin, c.i, c.j),
+{name} AS (SELECT f.label, f.origin, p.i, q.i AS j, f.v FROM {name}_f f JOIN {name}_d p ON p.label = f.label AND p.origin = f.origin AND p.k = f.i JOIN {name}_d q ON q.label = f.label AND q.origin = f.origin AND q.k = f.j)"""
