@@ -619,7 +619,7 @@ def _retained_pairs(spark, sf):
 
 # -- covariance forecasts in closed form -------------------------------------------------------------------
 
-CLOSED = ("sample", "ewma_21", "ewma_63", "ledoit_wolf", "oas", "hierarchical")
+CLOSED = ("sample", "ewma_21", "ewma_63", "ledoit_wolf", "oas", "hierarchical", "bootstrap_hierarchical")
 CLOSED_METRICS = ["relative_frobenius", "gaussian_nll_per_asset", "gmv_long_short_variance"]
 SCORES_SQL = Q.ORIGINS_SQL.replace("WITH", "WITH RECURSIVE", 1).replace(f"t / {STEP} AS", "t / 4 AS").replace(f"t % {STEP} = 0", "t % 4 = 0") + f""",
 pw AS (SELECT o.label, origin, name, t - s AS k, x FROM o JOIN panel p ON p.label = o.label AND p.t >= s AND p.t < s + {T_IN}),
@@ -628,10 +628,14 @@ dm AS (SELECT label, origin, name, k, x - avg(x) OVER (PARTITION BY label, origi
 sc AS (SELECT a.label, a.origin, a.name AS i, b.name AS j, avg(a.y * b.y) AS v, avg(a.y * a.y * b.y * b.y) AS v4 FROM dm a JOIN dm b ON a.label = b.label AND a.origin = b.origin AND a.k = b.k GROUP BY ALL),
 sz AS (SELECT label, origin, sqrt(count(*)) AS n, sum(v) FILTER (WHERE i = j) / sqrt(count(*)) AS mean, sum(v * v) AS sq, sum(v4 - v * v) AS var4 FROM sc GROUP BY ALL),
 lw AS (SELECT label, origin, mean, CASE WHEN spread > 0 THEN least(noise, spread) / spread ELSE 0 END AS lw, CASE WHEN bottom = 0 THEN 1 ELSE least(top / bottom, 1) END AS oas FROM (SELECT label, origin, mean, sq / n - mean * mean AS spread, var4 / (n * {T_IN}) AS noise, sq / (n * n) + mean * mean AS top, ({T_IN} + 1) * (sq / (n * n) - mean * mean / n) AS bottom FROM sz)),{E.linkage_sql("sc")},
+bd AS (SELECT r.k AS rep, j.k AS place, {E.draw_sql("20260803", "r.k", "j.k")} % {T_IN} AS k FROM range(1, 101) r(k), range(0, {T_IN}) j(k)),
+bx AS (SELECT label || '#' || rep AS label, origin, name, place, x - avg(x) OVER (PARTITION BY label, rep, origin, name) AS y FROM pw JOIN bd USING (k)),
+bc AS (SELECT a.label, a.origin, a.name AS i, b.name AS j, avg(a.y * b.y) AS v FROM bx a JOIN bx b ON a.label = b.label AND a.origin = b.origin AND a.place = b.place GROUP BY ALL),{E.linkage_sql("bc", "bf")},
 cs AS (SELECT label, origin, 'sample' AS h, i, j, v FROM sc
        UNION ALL SELECT sc.label, sc.origin, u.h, i, j, (1 - CASE u.h WHEN 'oas' THEN oas ELSE lw END) * v + CASE WHEN i = j THEN CASE u.h WHEN 'oas' THEN oas ELSE lw END * mean ELSE 0 END FROM sc JOIN lw ON lw.label = sc.label AND lw.origin = sc.origin, (VALUES ('ledoit_wolf'), ('oas')) u(h)
        UNION ALL SELECT a.label, a.origin, 'ewma_' || CAST(a.h AS INTEGER), a.name, b.name, sum(a.w * a.x * b.x) / sum(a.w) - sum(a.w * a.x) / sum(a.w) * (sum(a.w * b.x) / sum(a.w)) FROM ew a JOIN ew b ON a.label = b.label AND a.origin = b.origin AND a.k = b.k AND a.h = b.h GROUP BY a.label, a.origin, a.h, a.name, b.name
-       UNION ALL SELECT label, origin, 'hierarchical', i, j, v FROM hf),
+       UNION ALL SELECT label, origin, 'hierarchical', i, j, v FROM hf
+       UNION ALL SELECT split_part(label, '#', 1), origin, 'bootstrap_hierarchical', i, j, avg(v) FROM bf GROUP BY split_part(label, '#', 1), origin, i, j),
 ah AS (SELECT o.label, origin, name, t, x FROM o JOIN panel p ON p.label = o.label AND p.t >= s + {T_IN} AND p.t < s + {T_IN + T_OUT}),
 rr AS (SELECT a.label, a.origin, a.name AS i, b.name AS j, covar_pop(a.x, b.x) AS v FROM ah a JOIN ah b ON a.label = b.label AND a.origin = b.origin AND a.t = b.t GROUP BY ALL),
 fb AS (SELECT cs.label, cs.origin, h, sqrt(sum(pow(cs.v - rr.v, 2))) / sqrt(sum(rr.v * rr.v)) AS relative_frobenius FROM cs JOIN rr ON rr.label = cs.label AND rr.origin = cs.origin AND rr.i = cs.i AND rr.j = cs.j GROUP BY cs.label, cs.origin, h),
@@ -649,7 +653,8 @@ def closed_scores(spark, sf):
 
 @query("covariance_losses", SCORES_SQL + " SELECT label, origin, estimator, round(relative_frobenius, 6) AS relative_frobenius, round(gaussian_nll_per_asset, 6) AS gaussian_nll_per_asset, round(10000 * gmv_long_short_variance, 6) AS gmv_long_short_variance FROM scored")
 def _covariance_losses(spark, sf):
-    """Distance, likelihood and minimum-variance losses of the closed-form estimators and the exact hierarchical filter; variances in squared percent."""
+    """Distance, likelihood and minimum-variance losses of the closed-form estimators and of the hierarchical filter, alone and averaged over
+    100 resamples of days; variances in squared percent."""
     return closed_scores(spark, sf).select("label", "origin", "estimator", r("relative_frobenius"), r("gaussian_nll_per_asset"), F.round(10000 * F.col("gmv_long_short_variance"), 6).alias("gmv_long_short_variance"))
 
 

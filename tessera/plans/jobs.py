@@ -24,9 +24,9 @@ FORECASTERS = {
     "retained": lambda past, now, x, h: estimators.retained_frame(x, h),
     "roll_forward": lambda past, now, x, h: estimators.roll_forward_frame(x, h),
     "ewma": lambda past, now, x, h: estimators.ewma_frame(x, 21),
-    "factor_combination": lambda past, now, x, h: estimators.factor_combination_frame(x, rank=10),
+    "factor_combination": lambda past, now, x, h: estimators.factor_combination_frame(x),
     "hierarchical": lambda past, now, x, h: estimators.filtered_frame(x, "hierarchical"),
-    "bootstrap_hierarchical": lambda past, now, x, h: estimators.frame_of(estimators.bootstrap_hierarchical(spectra.adjusted(x), 10)),
+    "bootstrap_hierarchical": lambda past, now, x, h: estimators.frame_of(estimators.bootstrap_hierarchical(spectra.adjusted(x))),
 }
 
 
