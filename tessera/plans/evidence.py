@@ -673,3 +673,9 @@ def _covariance_pairs(spark, sf):
     out = selection.comparisons(tables.cut(closed_scores(spark, sf)), ["label", "origin"], "estimator", "sample", CLOSED_METRICS, 3)
     share = lambda c, name: F.round(F.col(c) / F.col("reference_mean"), 6).alias(name)
     return out.select("label", "candidate", "metric", F.col("n").cast("long").alias("n"), r("percent_improvement", 4), r("win_fraction"), share("mean", "improvement"), share("ci_low", "ci_low"), share("ci_high", "ci_high"), "excludes_zero")
+
+
+@query("expert_weights")
+def _experts(spark, sf):
+    """Weights of the experts in each window and the bound on what they miss of the largest likelihood."""
+    return jobs.expert_weights(panel_of(spark, sf, "week"), 60, 10)

@@ -239,6 +239,18 @@ def covariance_scores(panel: DataFrame, t_in: int, t_out: int, step: int, names:
     return map_windows(panel, t_in, t_out, step, kernel, "label string, origin int, estimator string, " + ", ".join(f"{m} double" for m in metrics))
 
 
+def expert_weights(panel: DataFrame, t_in: int, step: int, rank: int = 20, recent: int = 10) -> DataFrame:
+    """(label, origin, fast, middle, slow, gap): the weights of the three experts in each window's factor combination, and
+    how far their likelihood is from the largest at most."""
+
+    def kernel(label, origin, names, past, ahead):
+        _, f, factors = estimators.expert_factors(spectra.adjusted(past), rank, recent)
+        w, gap = estimators.combine_experts(factors, f[:, -recent:])
+        return [[label, origin, *w.tolist(), gap]]
+
+    return map_windows(panel, t_in, 0, step, kernel, "label string, origin int, fast double, middle double, slow double, gap double")
+
+
 def foresight(panel: DataFrame, t_in: int, t_out: int, step: int, half_life: float = 21.0) -> DataFrame:
     """(label, origin, forecast, nll, long_only_vol) of the control and four oracles. The future rolling
     window ends with the target window."""

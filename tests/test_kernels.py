@@ -258,3 +258,33 @@ def test_change_across_the_border():
     assert flags.cross_share(u, np.eye(8), np.eye(8) + across) == pytest.approx(1)
     assert np.isnan(flags.cross_share(u, np.eye(8), np.eye(8)))
     assert inference.least_angle(np.linspace(0, 0.01, 50), 3) > 0
+
+
+def test_expert_weights_are_optimal():
+    rng = np.random.default_rng(3)
+    for n, k, t in ((6, 3, 10), (12, 3, 10), (5, 2, 4), (7, 4, 3)):
+        factors = [np.linalg.cholesky(np.linalg.inv(np.cov(rng.standard_normal((n, 40)) * rng.uniform(0.3, 3, (n, 1))))) for _ in range(k)]
+        recent = rng.standard_normal((n, t))
+        w, gap = estimators.combine_experts(factors, recent)
+        assert w.min() >= 0 and w.sum() == pytest.approx(1) and gap <= 1e-6
+
+        def value(v):
+            whole = sum(a * f for a, f in zip(v, factors))
+            return np.log(np.diag(whole)).sum() - np.square(whole.T @ recent).sum() / (2 * t)
+
+        best = value(w)
+        assert all(value(v) <= best + 1e-9 for v in rng.dirichlet(np.full(k, 0.5), 3000))
+    one = [factors[0], factors[0] * 1e-3]  # a corner is the best point
+    assert estimators.combine_experts(one, 1e-3 * recent)[0].tolist() == [1.0, 0.0]
+
+
+def test_hierarchical_resamples_are_hashed():
+    import hashlib
+
+    days = estimators.drawn_days(7, 3, 5)
+    assert days.tolist() == [[int(hashlib.md5(f"5|{b}|{k}".encode()).hexdigest()[:8], 16) % 7 for k in range(7)] for b in (1, 2, 3)]
+    x = np.random.default_rng(1).standard_normal((6, 7))
+    plain = np.mean([estimators.hierarchical(x[:, d]) for d in days], axis=0)
+    lam = np.linalg.eigvalsh(plain)
+    told = estimators.bootstrap_hierarchical(x, 3, 5)
+    assert np.allclose(told, plain) if lam[0] >= 0 else np.linalg.eigvalsh(told).min() > -1e-12
