@@ -185,15 +185,13 @@ def ramp(start, end, t: int) -> np.ndarray:
 
 
 def rotating_panel(n: int, days: int, omega: float, rng: np.random.Generator, top=(25.0, 10.0, 6.0, 4.0, 3.0, 2.2), planes: int = 6) -> np.ndarray:
-    """Gaussian returns whose leading planes turn by omega a day."""
-    lam = spectrum(n, top)
-    q = random_basis(n, rng)
-    z = np.sqrt(lam)[:, None] * rng.standard_normal((n, days))
-    angle = omega * np.arange(days)
-    for k in range(min(planes, n // 2)):
-        a, b = z[k].copy(), z[n - 1 - k].copy()
-        z[k], z[n - 1 - k] = np.cos(angle) * a - np.sin(angle) * b, np.sin(angle) * a + np.cos(angle) * b
-    return q @ z
+    """Gaussian returns of a world whose k-th leading axis and k-th last one turn into each other by omega a day: a pair of
+    coordinates is one complex number, and all pairs turn at once."""
+    planes, lam = min(planes, n // 2), spectrum(n, top)
+    axes = random_basis(n, rng)
+    z = rng.standard_normal((n, days)) * np.sqrt(lam)[:, None]
+    turned = (z[:planes] + 1j * z[::-1][:planes]) * np.exp(1j * omega * np.arange(days))
+    return axes @ np.concatenate([turned.real, z[planes : n - planes], turned.imag[::-1]])
 
 
 def histories(panel, t_in: int, horizon: int, step: int, market: bool = True) -> tuple[list, list, list]:
