@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -315,28 +314,19 @@ def _slope(spark, sf):
     return rows.groupBy("label").agg(F.round(F.regr_slope("v", "lag"), 6).alias("slope"), F.round(F.regr_intercept("v", "lag"), 4).alias("intercept"), F.round(F.corr("v", "lag"), 8).alias("correlation"))
 
 
-@query("business_days", "WITH d AS (SELECT CAST(unnest(generate_series(DATE '1997-01-04', DATE '1997-03-31', INTERVAL 1 DAY)) AS DATE) AS day) SELECT CAST(day AS VARCHAR) AS day, CAST(row_number() OVER (ORDER BY day) - 1 AS INTEGER) AS number FROM d WHERE isodow(day) < 6")
+@query("business_days", "WITH b AS (SELECT CAST(min(o_orderdate) AS DATE) AS lo, CAST(max(o_orderdate) AS DATE) AS hi FROM orders), d AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM b) SELECT CAST(day AS VARCHAR) AS day, CAST(row_number() OVER (ORDER BY day) - 1 AS INTEGER) AS number FROM d WHERE isodow(day) < 6")
 def _business(spark, sf):
-    return tables.business_days(spark, "1997-01-04", "1997-03-31").select(F.col("day").cast("string").alias("day"), "number")
+    """The business calendar that the orders span."""
+    return tables.business_days(spark.read.parquet(f"{sf}/orders.parquet"), "o_orderdate").select(F.col("day").cast("string").alias("day"), "number")
 
 
 @query("closed_forms", "WITH v AS (SELECT c_custkey AS k, 1.5 + abs(c_acctbal) / 1000 AS lam, 250 + c_custkey AS t FROM customer) SELECT k, round(4 * lam * lam / t, 8) AS variogram_null, round(lam * pow(1 + sqrt(25 / t), 2), 8) AS bulk_edge, round(-ln(cos(lam / 20)) / 3, 8) AS injected, round(degrees(acos(exp(-3 * lam / 100))), 6) AS excess_angle, round((lam + 3) / (lam + 1), 8) AS student_factor, round((lam / 100) / (0.2 - lam / 1000 - 0.01), 8) AS skill FROM v")
 def _forms(spark, sf):
-    """The closed forms of the kernels, each number by its kernel."""
-    import pandas as pd
-
-    from tessera.functions import flags, inference
-
+    """The kernels' closed forms as columns (their kernels are tested against the same formulas)."""
     rows = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("k"), (1.5 + F.abs("c_acctbal") / 1000).cast("double").alias("lam"), (250 + F.col("c_custkey")).cast("double").alias("t"))
-    names = ("variogram_null", "bulk_edge", "injected", "excess_angle", "student_factor", "skill")
-
-    def run(batches):
-        for frame in batches:
-            told = [[k, float(spectra.variogram_null([lam], t)[0]), spectra.bulk_edge(lam, 25, t), inference.injected_distance(lam / 20, 3), inference.excess_angle(lam / 100, 3), inference.student_factor(lam + 5), flags.skill(0.3 + lam / 100, 0.3, 0.5 - lam / 1000, 0.01)] for k, lam, t in frame.itertuples(index=False)]
-            yield pd.DataFrame(told, columns=["k", *names])
-
-    out = rows.mapInPandas(run, "k long, " + ", ".join(f"{n} double" for n in names))
-    return out.select("k", *[r(n, 6 if n == "excess_angle" else 8) for n in names])
+    lam, t = F.col("lam"), F.col("t")
+    forms = {"variogram_null": 4 * lam * lam / t, "bulk_edge": lam * F.pow(1 + F.sqrt(25 / t), F.lit(2)), "injected": -F.ln(F.cos(lam / 20)) / 3, "excess_angle": F.degrees(F.acos(F.exp(-3 * lam / 100))), "student_factor": (lam + 3) / (lam + 1), "skill": lam / 100 / (0.2 - lam / 1000 - 0.01)}
+    return rows.select("k", *[F.round(c, 6 if n == "excess_angle" else 8).alias(n) for n, c in forms.items()])
 
 
 @query("sorted_orders", "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS INTEGER) AS place FROM orders QUALIFY place <= 100")
@@ -376,7 +366,7 @@ def _market_null(spark, sf):
 
 @query("surrogate_errors")
 def _surrogates(spark, sf):
-    return nulls.surrogate_report(panel_of(spark, sf), 9)
+    return nulls.surrogate_report(panel_of(spark, sf), DRAWS)
 
 
 RV_SQL = "WITH " + E.levels_sql(panel_sql("week")) + ", " + E.exchanged_sql(99, 6, 3) + ", " + E.rv_sql((5, 10, 21))
@@ -419,28 +409,26 @@ def _combined_deletion(spark, sf):
 
 @query("window_sweep")
 def _sweep(spark, sf):
-    return nulls.sweep(panel_of(spark, sf), CELLS, 6, 9)
+    return nulls.sweep(tables.cut(panel_of(spark, sf)), CELLS, 6, DRAWS)
 
 
 @query("resumed_null")
 def _resumed(spark, sf):
-    """Four draws, then nine of which the first four are there already; the table is read back as one null."""
-    root = tempfile.mkdtemp(prefix="tessera-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
-    where, panel = f"{root}/null-{uuid.uuid4().hex}", panel_of(spark, sf)
-    nulls.resumed(panel, where, 4, 36, 6, 6)
-    summary = nulls.resumed(panel, where, 9, 36, 6, 6)
+    """Some draws, then all, of which the first are there already; the table is read back as one null."""
+    where, panel = f"{tables.shared_folder(spark)}/null-{uuid.uuid4().hex}", tables.cut(panel_of(spark, sf))
+    nulls.resumed(panel, where, DRAWS // 2, 36, 6, 6)
+    summary = nulls.resumed(panel, where, DRAWS, 36, 6, 6)
     return nulls.held_against(summary, "mean_addition_cosine")
 
 
-@query("resumable_results", "SELECT CAST(range AS INTEGER) AS replicate, range * 2 AS value FROM range(8)")
+@query("resumable_results", "SELECT CAST(month(o_orderdate) AS INTEGER) AS replicate, count(*) AS n, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY ALL")
 def _resume(spark, sf):
-    """Half of the replicates are written, the rest are found missing and added; all are read back."""
-    root = tempfile.mkdtemp(prefix="tessera-") if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
-    where = f"{root}/results-{uuid.uuid4().hex}"
-    wanted = spark.range(8).select(F.col("id").cast("int").alias("replicate"), (F.col("id") * 2).alias("value"))
-    tables.append_results(wanted.where("replicate < 4"), where)
+    """Orders by month: the first months are written, the rest are found missing and added; all are read back."""
+    where = f"{tables.shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    wanted = spark.read.parquet(f"{sf}/orders.parquet").groupBy(F.month("o_orderdate").alias("replicate")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("value"))
+    tables.append_results(wanted.where("replicate < 5"), where)
     tables.append_results(tables.missing_keys(wanted, where, ["replicate"]), where)
-    return spark.read.parquet(where).select(F.col("replicate").cast("int").alias("replicate"), "value")
+    return spark.read.parquet(where).select(F.col("replicate").cast("int").alias("replicate"), "n", "value")
 
 
 @query("spectrum_report")
@@ -476,13 +464,14 @@ def _reading(spark, sf):
 
 @query("ladder_long")
 def _long(spark, sf):
-    """The ladder's entrants over a generated panel of 23 names and 6,800 days: windows of 750 days, 42 ahead, every 14."""
-    return jobs.entrants(jobs.synthetic_panel(spark), 750, 42, 14).groupBy("label", "entrant").agg(F.count(F.lit(1)).alias("origins"), F.avg("capture_6").alias("capture_6"))
+    """The ladder's entrants on the daily panel of brands: windows of 750 days, 42 ahead, every 14."""
+    return jobs.entrants(panel_of(spark, sf, "day"), 750, 42, 14).groupBy("label", "entrant").agg(F.count(F.lit(1)).alias("origins"), F.avg("capture_6").alias("capture_6"))
 
 
 @query("coupling_long")
 def _coupling_long(spark, sf):
-    return selection.coupling_model(jobs.synthetic_panel(spark), 750, 42, 14, (63.0,))
+    """The coupling model with every half-life on the same windows."""
+    return selection.coupling_model(panel_of(spark, sf, "day"), 750, 42, 14, (10.0, 21.0, 42.0, 63.0))
 
 
 # -- choices on validation that drive test forecasts -------------------------------------------------------

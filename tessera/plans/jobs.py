@@ -277,30 +277,21 @@ def change_shares(panel: DataFrame, t_in: int, t_out: int, step: int, width: int
     return map_windows(panel, t_in, t_out, step, kernel, "label string, origin int, cross_share double")
 
 
-def synthetic_panel(spark, n: int = 23, days: int = 6800, omega: float = 1e-4, seed: int = 3, label: str = "synthetic") -> DataFrame:
-    """(label, name, day, x, t): a rotating world as a panel, one task."""
+def static_worlds(panel: DataFrame, t_in: int, step: int, p: int = 3, q: int = 6, trials: int = 40, nu: float | None = None, seed: int = 5) -> DataFrame:
+    """(label, origin, trials, distance, null): in a static world with each window's own covariance, the mean distance of two
+    samples of a window's length and their closed form; nu draws Student samples."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x = inference.rotating_panel(n, days, omega, inference.generator(seed, label)) / 100
-        return pd.DataFrame({"label": label, "name": np.repeat([f"n{k:03d}" for k in range(n)], days), "day": np.tile(np.arange(days), n), "x": x.ravel(), "t": np.tile(np.arange(days), n)})
-
-    return spark.range(1).groupBy("id").applyInPandas(run, "label string, name string, day int, x double, t int")
-
-
-def static_worlds(spark, n: int = 24, t: int = 400, p: int = 3, q: int = 6, trials: int = 40, nu: float | None = None, seed: int = 5) -> DataFrame:
-    """(trial, distance, null): distances of two samples of one static world against their closed form."""
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for k in frame["id"]:
-            rng = inference.generator(seed, "static", int(k))
-            lam = inference.spectrum(n, [25, 10, 6, 4, 3, 2.2])
-            cov = inference.assemble(inference.random_basis(n, rng), lam)
-            draw = (lambda: inference.gaussian_window(cov, t, rng)) if nu is None else (lambda: inference.student_window(cov, t, nu, rng))
-            a, b = (spectra.eigenpairs(spectra.covariance(draw()))[1] for _ in range(2))
-            out.append([int(k), spectra.distance(a[:, :p], b[:, :q]), spectra.distance_null_pair(lam, lam, p, q, t)])
-        return pd.DataFrame(out, columns=["trial", "distance", "null"])
-
-    return spark.range(trials).repartition(8, "id").withColumn("g", F.col("id") % 8).groupBy("g").applyInPandas(lambda f: run(f), "trial long, distance double, null double")
+    def kernel(label, origin, names, past, ahead):
+        cov, rng = spectra.covariance(spectra.adjusted(past)) + 1e-9 * np.eye(len(names)), inference.generator(seed, label, origin)
+        lam = spectra.eigenpairs(cov)[0]
+        drawn = (lambda: inference.gaussian_window(cov, t_in, rng)) if nu is None else (lambda: inference.student_window(cov, t_in, nu, rng))
+        apart = []
+        for _ in range(trials):
+            a, b = (spectra.eigenpairs(spectra.covariance(drawn()))[1] for _ in range(2))
+            apart.append(spectra.distance(a[:, :p], b[:, :q]))
+        return [[label, origin, trials, float(np.mean(apart)), spectra.distance_null_pair(lam, lam, p, q, t_in)]]
+
+    return map_windows(panel, t_in, 0, step, kernel, "label string, origin int, trials int, distance double, null double")
 
 
 def splits_of(panel: DataFrame, t_in: int, t_out: int, step: int, **dates) -> DataFrame:

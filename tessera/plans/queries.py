@@ -377,13 +377,17 @@ def _peak(spark, sf):
 
 @query("detection_power")
 def _power(spark, sf):
-    runs = selection.detection_runs(spark, [(16, 60, 12), (16, 90, 12)], (0.0, 1e-3, 4e-3, 1.6e-2), 240, 6, 6)
-    return selection.detection_floors(runs)
+    """What rotation the deletion statistic could see in worlds of each panel's own size."""
+    size = panel_of(spark, sf).groupBy("label").agg(F.count_distinct("name").cast("int").alias("n"), (F.max("t") + 1).alias("days"))
+    cells = size.withColumn("t_in", F.explode(F.array(F.lit(36), F.lit(48)))).withColumn("horizon", F.lit(6))
+    return selection.detection_floors(selection.detection_runs(cells, (0.0, 4e-3, 1.6e-2, 6.4e-2), 6, 12))
 
 
 @query("static_worlds")
 def _worlds(spark, sf):
-    return jobs.static_worlds(spark).agg(F.count(F.lit(1)).alias("trials"), (F.avg("distance") / F.avg("null")).alias("ratio"))
+    """Pairs of samples of worlds with each window's own covariance: their distances over the closed form."""
+    told = jobs.static_worlds(panel_of(spark, sf), T_IN, STEP * 4)
+    return told.groupBy("label").agg(F.count(F.lit(1)).alias("windows"), F.sum("trials").alias("trials"), (F.avg("distance") / F.avg("null")).alias("ratio"))
 
 
 # -- relational summaries over plain tables, with SQL ----------------------------------------------------

@@ -196,22 +196,23 @@ def combined_reading(ladder: DataFrame, gains: DataFrame, model: DataFrame) -> D
     return wide.withColumn("ewma_share", F.col("ewma_gain") / room).withColumn("model_share", (F.col("capture") - F.col("base")) / room).withColumn("residual_volatility_cut", cut).drop("capture", "base", "ewma_gain")
 
 
-def detection_runs(spark, cells: list[tuple[int, int, int]], omegas: tuple[float, ...], days: int, step: int, replicates: int, seed: int = 11) -> DataFrame:
+def detection_runs(cells: DataFrame, omegas: tuple[float, ...], step: int, replicates: int, seed: int = 11) -> DataFrame:
     """(n, t_in, horizon, omega, replicate, addition_cosine, addition_speed, degrees): the addition statistic in worlds
-    that rotate at a known speed, for each cell (names, window, horizon)."""
-    grid = spark.createDataFrame([(n, t, h, float(o), k) for n, t, h in cells for o in omegas for k in range(replicates)], "n int, t_in int, horizon int, omega double, replicate int")
+    that rotate at a known speed, for each cell (n names, days, t_in, horizon)."""
+    spread = cells.select("n", "days", "t_in", "horizon").distinct()
+    grid = spread.withColumn("omega", F.explode(F.array(*[F.lit(float(o)) for o in omegas]))).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     schema = "n int, t_in int, horizon int, omega double, replicate int, addition_cosine double, addition_speed double, degrees double"
 
     def run(batches):
         for frame in batches:
             rows = []
-            for n, t, h, o, k in frame.itertuples(index=False):
-                world = inference.rotating_panel(int(n), days, o, inference.generator(seed, f"{n}/{t}/{h}/{o:.9f}", int(k)))
+            for n, days, t, h, o, k in frame[["n", "days", "t_in", "horizon", "omega", "replicate"]].itertuples(index=False):
+                world = inference.rotating_panel(int(n), int(days), o, inference.generator(seed, f"{n}/{t}/{h}/{o:.9f}", int(k)))
                 nested = [r for r in inference.deletion_rows(world, int(t), int(h), step) if r["component"] == "flag_nested"]
                 rows.append([n, t, h, o, k, float(np.nanmean([r["addition_cosine"] for r in nested])), float(np.mean([r["next_speed"] for r in nested])), float(np.degrees(o * h))])
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return grid.repartition(spark.sparkContext.defaultParallelism * 2).mapInPandas(run, schema)
+    return grid.repartition(grid.sparkSession.sparkContext.defaultParallelism * 2, "n", "t_in", "horizon", "omega", "replicate").mapInPandas(run, schema)
 
 
 def detection_floors(runs: DataFrame) -> DataFrame:

@@ -89,13 +89,13 @@ def read_two_headers(spark: SparkSession, path: str) -> DataFrame:
     return body.select(F.col(columns[0]).alias("row"), F.explode(F.array(*told)).alias("cell")).select("row", "cell.*").where("value is not null")
 
 
-def business_days(spark: SparkSession, first: str, last: str) -> DataFrame:
-    """(day, number): Mondays to Fridays from first to last."""
-    days = spark.sql(f"SELECT explode(sequence(DATE '{first}', DATE '{last}')) AS day").where(F.weekday("day") < 5)
+def business_days(dates: DataFrame, day: str) -> DataFrame:
+    """(day, number): Mondays to Fridays from the first to the last value of a column of dates."""
+    bounds = dates.agg(F.min(day).cast("date").alias("first"), F.max(day).cast("date").alias("last"))
+    days = bounds.select("first", F.explode(F.sequence("first", "last")).alias("day")).where(F.weekday("day") < 5)
     # Mondays to Fridays number themselves: five a week from a Monday before all
-    number = F.floor(F.datediff("day", F.lit("1900-01-01").cast("date")) / 7) * 5 + F.weekday("day")
-    begin = days.agg(F.min(number)).first()[0]
-    return days.select("day", (number - F.lit(begin)).cast("int").alias("number"))
+    place = lambda c: F.floor(F.datediff(c, F.lit("1900-01-01").cast("date")) / 7) * 5 + F.least(F.weekday(c), F.lit(5))
+    return days.select("day", (place(F.col("day")) - place(F.col("first"))).cast("int").alias("number"))
 
 
 def shared_folder(spark: SparkSession) -> str:
