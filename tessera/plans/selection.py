@@ -14,6 +14,7 @@ from tessera.functions import coupling, flags, inference, spectra
 from tessera.operators import summaries as S
 from tessera.operators.windows import chronological_splits, map_windows, origins
 from tessera.plans import jobs
+from tessera.sources import tables
 
 FEATURES = ("fast_slow", "momentum", "stress", "hierarchy")
 
@@ -80,28 +81,32 @@ def loss_comparisons(losses: DataFrame, block: int, seed: int = 20260803) -> Dat
 
 
 def coupling_states(panel: DataFrame, t_in: int, t_out: int, step: int, half_lives: tuple[float, ...], fast: float = 10, slow: float = 42, lag: int = 3, least: int = 5) -> DataFrame:
-    """(label, half_life, origin, n, values, vectors, blocks, realised, sums): for each half-life of the base an origin's
-    eigenpairs, feature blocks, target and its part of the sums that the fits need (SUMS, one after the other).
+    """(label, half_life, origin, n, values, blocks, spread, sums): for each half-life of the base an origin's eigenvalues,
+    feature blocks, the target's share in the eigenbasis (N x N) and its part of the sums that the fits need (SUMS,
+    one after the other). Vectors and days stay in the kernels: captures need neither.
 
-    Momentum looks lag origins back by a window function; stress is the z-score of the estimation window's
-    last level among strictly earlier origins, a window frame, 0 before there are least of them."""
+    Momentum looks lag origins back: frames meet by (label, origin). Stress is the z-score of the estimation window's
+    last level among strictly earlier origins, a window frame over one number an origin, 0 before there are least."""
+
+    def head(label, origin, names, past, ahead):
+        return [[label, origin, float(np.log(np.square(past[:, -t_out:]).mean())), spectra.frozen_frame(past).ravel().tolist()]]
+
+    heads = tables.cut(map_windows(panel, t_in, t_out, step, head, "label string, origin int, stress double, frame array<double>"))
+    stress = heads.select("label", "origin", S.causal_z("stress", Window.partitionBy("label").orderBy("origin"), least).alias("z"))
+    earlier = heads.select("label", (F.col("origin") + lag).alias("origin"), F.col("frame").alias("earlier"))
 
     def first(label, origin, names, past, ahead):
         r = spectra.scaled(ahead, *spectra.scaling(past))
-        stress, frame = float(np.log(np.square(past[:, -t_out:]).mean())), spectra.frozen_frame(past)
         turn, tree, rows = coupling.speed_gap(past, fast, slow), coupling.tree_gap(past), []
         for half_life in half_lives:
             lam, v = spectra.eigenpairs(coupling.base(past, half_life))
             blocks = [coupling.unit(coupling.visible(change, v)) for change in (turn, tree)]
-            rows.append([label, float(half_life), origin, len(names), stress, *(np.ravel(x).tolist() for x in (lam, v, *blocks, frame, r))])
+            rows.append([label, float(half_life), origin, len(names), *(np.ravel(x).tolist() for x in (lam, v, *blocks, coupling.spread(r, v)))])
         return rows
 
-    arrays = ("values", "vectors", "quick", "tree", "frame", "realised")
-    windows = map_windows(panel, t_in, t_out, step, first, "label string, half_life double, origin int, n int, stress double, " + ", ".join(f"{a} array<double>" for a in arrays))
-    order = Window.partitionBy("label", "half_life").orderBy("origin")
-    z = S.causal_z("stress", order, least)
-    wide = windows.withColumn("z", z).withColumn("earlier", F.lag("frame", lag).over(order))
-    schema = "label string, half_life double, origin int, n int, values array<double>, vectors array<double>, blocks array<double>, realised array<double>, sums array<double>"
+    windows = map_windows(panel, t_in, t_out, step, first, "label string, half_life double, origin int, n int, " + ", ".join(f"{a} array<double>" for a in ("values", "vectors", "quick", "tree", "spread")))
+    wide = windows.join(stress, ["label", "origin"]).join(earlier, ["label", "origin"], "left")
+    schema = "label string, half_life double, origin int, n int, values array<double>, blocks array<double>, spread array<double>, sums array<double>"
 
     def second(batches):
         for frame in batches:
@@ -110,12 +115,11 @@ def coupling_states(panel: DataFrame, t_in: int, t_out: int, step: int, half_liv
                 lam, v = np.asarray(w.values, float), np.asarray(w.vectors, float).reshape(w.n, w.n)
                 quick, tree = (np.asarray(b, float).reshape(w.n - 6, 6) for b in (w.quick, w.tree))
                 move = coupling.momentum(np.asarray(w.earlier, float).reshape(w.n, 6), v) if w.earlier is not None else np.zeros_like(quick)
-                r = np.asarray(w.realised, float).reshape(w.n, -1)
                 design = np.stack([quick, move, w.z * quick, tree])
-                gap, target = coupling.gaps(lam)[0], coupling.label(r, v)
+                gap, target = coupling.gaps(lam)[0], np.asarray(w.spread, float).reshape(w.n, w.n)[6:, :6]
                 (g, m), (pg, pm) = coupling.gram([design], [target], [gap]), coupling.gram([design], [target], [np.ones_like(gap)])
                 slopes = np.array([coupling.gradient(b, gap, target) for b in design])
-                rows.append([w.label, w.half_life, w.origin, w.n, lam, v.ravel(), design.ravel(), r.ravel(), np.concatenate([g.ravel(), pg.ravel(), m, pm, slopes])])
+                rows.append([w.label, w.half_life, w.origin, w.n, lam, design.ravel(), w.spread, np.concatenate([g.ravel(), pg.ravel(), m, pm, slopes])])
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
     return wide.mapInPandas(second, schema)
@@ -127,7 +131,7 @@ def coupling_model(panel: DataFrame, t_in: int, t_out: int, step: int, half_live
 
     Fits are sums over origins; the captures of candidate weights are averages over origins. Origins whose
     windows reach over a border (t_in + t_out days) are left out before validation and before test. The states
-    of all origins are read three times and therefore cached; a lost executor's part is computed again."""
+    of all origins are read three times and therefore kept; a kernel evaluates all candidates of its origin at once."""
     by = ["label", "half_life"]
     states = coupling_states(panel, t_in, t_out, step, half_lives)
     m = len(FEATURES)
@@ -135,7 +139,7 @@ def coupling_model(panel: DataFrame, t_in: int, t_out: int, step: int, half_live
     cut = [F.floor((last + 1) * share) for share in shares]
     reach = -(-t_out // step)  # targets of later splits open after those of earlier ones have ended
     split = F.when(F.col("origin") < cut[0], "train").when((F.col("origin") >= cut[0] + reach - 1) & (F.col("origin") < cut[1]), "validation").when(F.col("origin") >= cut[1] + reach - 1, "test").otherwise("purged")
-    parts = states.withColumn("split", split).persist()
+    parts = tables.cut(states.withColumn("split", split))
     cells = parts.where("split = 'train'").select(*by, F.posexplode("sums").alias("at", "x")).groupBy(*by, "at").agg(F.sum("x").alias("x"))
     sums = cells.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("s")).select(*by, F.col("s.x").alias("sums"))
 
@@ -149,19 +153,16 @@ def coupling_model(panel: DataFrame, t_in: int, t_out: int, step: int, half_live
                 rows += [[w.label, w.half_life, name, beta] for name, beta in told]
             yield pd.DataFrame(rows, columns=["label", "half_life", "fit", "beta"])
 
-    betas = sums.mapInPandas(fits, "label string, half_life double, fit string, beta array<double>")
+    betas = tables.cut(sums).mapInPandas(fits, "label string, half_life double, fit string, beta array<double>")
 
     def captures(frame: pd.DataFrame) -> list[list]:
         rows = []
         for w in frame.itertuples(index=False):
-            v = np.asarray(w.vectors, float).reshape(w.n, w.n)
-            design, r = np.asarray(w.blocks, float).reshape(m, w.n - 6, 6), np.asarray(w.realised, float).reshape(w.n, -1)
-            lam = np.asarray(w.values, float)
-            base = flags.captured(v[:, :6], r)["capture_6"]
-            for name, beta in zip(w.fits, w.betas):
-                block = coupling.combine(design, np.asarray(beta, float))
-                for size in w.tried:
-                    rows.append([w.label, w.half_life, w.split, name, float(size), flags.captured(coupling.corrected(lam, v, block, size), r)["capture_6"], base])
+            design, share = np.asarray(w.blocks, float).reshape(m, w.n - 6, 6), np.asarray(w.spread, float).reshape(w.n, w.n)
+            blocks = np.einsum("cm,mij->cij", np.array([np.asarray(b, float) for b in w.betas]), design)
+            for size in w.tried:
+                told = coupling.captures(np.asarray(w.values, float), size * blocks, share)
+                rows += [[w.label, w.half_life, w.split, name, float(size), float(c), float(np.trace(share[:6, :6]))] for name, c in zip(w.fits, told)]
         return rows
 
     def measured(candidates: DataFrame, tried: tuple[float, ...], splits: tuple[str, ...]) -> DataFrame:
@@ -173,7 +174,7 @@ def coupling_model(panel: DataFrame, t_in: int, t_out: int, step: int, half_live
                 yield pd.DataFrame(captures(frame), columns=names)
 
         asked = candidates.groupBy(*by).agg(F.collect_list(F.struct("fit", "beta")).alias("c")).select(*by, F.col("c.fit").alias("fits"), F.col("c.beta").alias("betas"), F.array(*[F.lit(t) for t in tried]).alias("tried"))
-        use = parts.where(F.col("split").isin(*splits)).select(*by, "split", "n", "values", "vectors", "blocks", "realised").join(asked, by)
+        use = parts.where(F.col("split").isin(*splits)).select(*by, "split", "n", "values", "blocks", "spread").join(asked, by)
         return use.mapInPandas(run, schema).groupBy(*by, "split", "fit", "size").agg(F.count(F.lit(1)).alias("n"), F.avg("capture").alias("capture"), F.avg("base").alias("base"))
 
     tried = measured(betas.where("fit like 'direction%'"), sizes[:1], ("train",))
