@@ -668,3 +668,47 @@ def _covariance_pairs(spark, sf):
 def _experts(spark, sf):
     """Weights of the experts in each window and the bound on what they miss of the largest likelihood."""
     return jobs.expert_weights(panel_of(spark, sf, "week"), 60, 10)
+
+
+@query("shrinkage_visibility", "SELECT label, estimator, count(*) AS origins, count(*) FILTER (WHERE shrinks) AS invisible FROM (" + Q.ORIGINS_SQL + " SELECT label, origin, estimator, estimator IN ('ledoit_wolf', 'oas', 'quadratic_inverse') AS shrinks FROM o, (VALUES ('ledoit_wolf'), ('oas'), ('quadratic_inverse'), ('hierarchical'), ('ewma_21')) e(estimator)) GROUP BY ALL")
+def _visibility(spark, sf):
+    """At how many origins an estimator leaves the leading subspace's coupling alone: always, where it only changes eigenvalues."""
+    return jobs.shrinkage_visibility(panel_of(spark, sf), T_IN, T_OUT, STEP).groupBy("label", "estimator").agg(F.count(F.lit(1)).alias("origins"), F.count_if("invisible").alias("invisible"))
+
+
+@query("feature_collinearity")
+def _collinearity(spark, sf):
+    """Correlations of the coupling model's features by half-life."""
+    return selection.feature_collinearity(tables.cut(selection.coupling_states(panel_of(spark, sf), 36, 6, 1, (10.0, 21.0, 42.0, 63.0))))
+
+
+SLICE_SQL = f"WITH {panel_sql('month')} SELECT label, name, CAST(d AS VARCHAR) AS day, t, round(x, 8) AS x FROM panel WHERE d BETWEEN DATE '1997-02-15' AND DATE '1998-01-01'"
+
+
+@query("panel_slice", SLICE_SQL)
+def _slice(spark, sf):
+    """A panel written to a store by label and month; some of its days, both ends included, read from their months alone."""
+    where = f"{tables.shared_folder(spark)}/panel-{uuid.uuid4().hex}"
+    tables.write_panel(panel_of(spark, sf), where)
+    return tables.read_slice(spark, where, "brand_month", "1997-02-15", "1998-01-01").select("label", "name", F.col("day").cast("string").alias("day"), "t", r("x", 8))
+
+
+@query("two_header_table", f"WITH {panel_sql('month')}, g AS (SELECT year(d) AS row, avg(x) AS mean, stddev_samp(x) AS sd, avg(abs(x)) AS size, max(abs(x)) AS most FROM panel GROUP BY ALL) SELECT CAST(row AS VARCHAR) AS row, unnest(['returns', 'returns', 'sizes', 'sizes']) AS group, unnest(['mean', 'sd', 'mean', 'most']) AS field, round(unnest([mean, sd, size, most]), 6) AS value FROM g")
+def _two_headers(spark, sf):
+    """Yearly statistics in two groups of columns, written under two header rows and read back as rows."""
+    where = f"{tables.shared_folder(spark)}/headers-{uuid.uuid4().hex}"
+    years = panel_of(spark, sf).groupBy(F.year("day").alias("row")).agg(F.avg("x").alias("a"), F.stddev_samp("x").alias("b"), F.avg(F.abs("x")).alias("c"), F.max(F.abs("x")).alias("d"))
+    named = {"a": ("returns", "mean"), "b": ("returns", "sd"), "c": ("sizes", "mean"), "d": ("sizes", "most")}
+    cells = F.explode(F.array(*[F.struct(F.lit(g).alias("group"), F.lit(f).alias("field"), F.round(c, 6).alias("value")) for c, (g, f) in named.items()])).alias("cell")
+    tables.write_two_headers(tables.cut(years.select("row", cells).select("row", "cell.*")), where)
+    return tables.read_two_headers(spark, where).select("row", "group", "field", "value")
+
+
+@query("appended_results", "SELECT o_orderpriority AS label, CAST(month(o_orderdate) AS INTEGER) AS replicate, count(*) AS n, round(avg(o_totalprice), 4) AS value FROM orders GROUP BY ALL")
+def _appended(spark, sf):
+    """A summary appended to CSV files in two parts, each with its header, and read as one table."""
+    where = f"{tables.shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    rows = spark.read.parquet(f"{sf}/orders.parquet").groupBy(F.col("o_orderpriority").alias("label"), F.month("o_orderdate").alias("replicate")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 4).alias("value"))
+    for part in ("replicate <= 6", "replicate > 6"):
+        tables.append_csv(rows.where(part), where)
+    return tables.read_results(spark, where, "label string, replicate int, n long, value double").drop("file")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import estimators, flags, inference, spectra
+from tessera.functions import coupling, estimators, flags, inference, spectra
 from tessera.operators import resampling as R
 from tessera.operators.windows import block_length, chronological_splits, map_windows, origins
 from tessera.sources import tables
@@ -239,6 +239,23 @@ def covariance_scores(panel: DataFrame, t_in: int, t_out: int, step: int, names:
     return map_windows(panel, t_in, t_out, step, kernel, "label string, origin int, estimator string, " + ", ".join(f"{m} double" for m in metrics))
 
 
+def shrinkage_visibility(panel: DataFrame, t_in: int, t_out: int, step: int, names: tuple[str, ...] = ("ledoit_wolf", "oas", "quadratic_inverse", "hierarchical", "ewma_21")) -> DataFrame:
+    """(label, origin, estimator, visible, invisible): the size of what an estimator changes in the block that couples the
+    leading six directions with the rest, relative to the window's covariance, and whether that is nothing. Estimators
+    that only change eigenvalues are invisible to captures, however much they shrink."""
+
+    def kernel(label, origin, _, past, ahead):
+        y = spectra.adjusted(past)
+        cov = spectra.covariance(y)
+        size, axes, rows = float(np.linalg.norm(cov)), spectra.eigenpairs(cov)[1], []
+        for name in names:
+            told = estimators.ESTIMATORS[name](y)
+            rows.append([label, origin, name, float(np.linalg.norm(coupling.visible(told - cov, axes)) / size), coupling.invisible(cov, told)])
+        return rows
+
+    return map_windows(panel, t_in, t_out, step, kernel, "label string, origin int, estimator string, visible double, invisible boolean")
+
+
 def expert_weights(panel: DataFrame, t_in: int, step: int, rank: int = 20, recent: int = 10) -> DataFrame:
     """(label, origin, fast, middle, slow, gap): the weights of the three experts in each window's factor combination, and
     how far their likelihood is from the largest at most."""

@@ -185,6 +185,19 @@ def coupling_model(panel: DataFrame, t_in: int, t_out: int, step: int, half_live
     return told.join(chosen, [*by, "fit", "size"], "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
 
 
+def feature_collinearity(states: DataFrame) -> DataFrame:
+    """(label, half_life, a, b, correlation): of the features of coupling_states over the eigengaps, summed over origins; a
+    feature that is zero throughout has NULL."""
+    m = len(FEATURES)
+    by = ["label", "half_life"]
+    cells = states.select(*by, F.posexplode(F.slice("sums", 1, m * m)).alias("at", "x")).groupBy(*by, "at").agg(F.sum("x").alias("x"))
+    cells = cells.select(*by, F.floor(F.col("at") / m).cast("int").alias("i"), (F.col("at") % m).alias("j"), "x")
+    own = cells.where("i = j")
+    wide = cells.join(own.select(*by, "i", F.col("x").alias("p")), [*by, "i"]).join(own.select(*by, "j", F.col("x").alias("q")), [*by, "j"])
+    named = lambda c: F.get(F.array(*[F.lit(f) for f in FEATURES]), F.col(c))
+    return wide.select(*by, named("i").alias("a"), named("j").alias("b"), F.try_divide("x", F.sqrt(F.col("p") * F.col("q"))).alias("correlation"))
+
+
 def combined_reading(ladder: DataFrame, gains: DataFrame, model: DataFrame) -> DataFrame:
     """(label, frozen, ceiling, bias, headroom, ewma_share, model_share, residual_volatility_cut): what of the honest headroom
     the best EWMA and the chosen model take.

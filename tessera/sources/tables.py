@@ -74,21 +74,50 @@ def append_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").option("header", True).csv(path)
 
 
+def write_two_headers(cells: DataFrame, path: str) -> None:
+    """cells (row, group, field, value) as one CSV table with two header rows, groups over their fields, rows in order. For
+    reports: the columns are as many as there are groups and fields, and one file is written."""
+    names = [tuple(r) for r in cells.select("group", "field").distinct().orderBy("group", "field").collect()]
+    wide = cells.groupBy("row").agg(*[F.first(F.when((F.col("group") == g) & (F.col("field") == f), F.col("value")), ignorenulls=True).cast("string").alias(f"c{k}") for k, (g, f) in enumerate(names)])
+    order = F.struct(F.lit(1).alias("_k_"), F.col("row").cast("string").alias("_r_"))
+    body = wide.select(order.alias("_o_"), F.col("row").cast("string").alias("row"), *[c for c in wide.columns if c != "row"])
+    heads = [[(0, str(k)), "row" if k else None, *(n[k] if k or not i or names[i - 1][0] != n[0] else None for i, n in enumerate(names))] for k in (0, 1)]
+    top = cells.sparkSession.createDataFrame(heads, body.schema)
+    top.unionByName(body).orderBy("_o_").drop("_o_").coalesce(1).write.mode("overwrite").option("header", False).csv(path)
+
+
 def read_two_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(row, group, field, value) of a CSV table with two header rows: groups, which stand over their first field
-    alone, and fields. The first column names the rows."""
-    lines = spark.read.option("header", False).csv(path).withColumn("_row_", F.monotonically_increasing_id())
-    columns = lines.columns[:-1]
-    top, fields = (list(r)[: len(columns)] for r in lines.orderBy("_row_").limit(2).collect())
+    """(row, group, field, value) of CSV tables with two header rows: groups, which stand over their first field
+    alone, and fields. The first column names the rows. Several files of one shape read as one table: a line that equals
+    a header line is a header wherever it stands, so nothing depends on the order of partitions."""
+    lines = spark.read.option("header", False).csv(path)
+    columns = lines.columns
+    top, fields = (list(r) for r in lines.head(2))  # of the first file
     groups, last = [], None
     for g in top:
         last = g or last
         groups.append(last)
-    body = lines.join(lines.select(F.min("_row_").alias("begin")), F.col("_row_") > F.col("begin") + 1)
+    same = lambda head: F.array(*columns).eqNullSafe(F.array(*[F.lit(h).cast("string") for h in head]))
+    body = lines.where(~same(top) & ~same(fields))
     told = [F.struct(F.lit(g).alias("group"), F.lit(f).alias("field"), F.col(c).cast("double").alias("value")) for c, g, f in zip(columns[1:], groups[1:], fields[1:])]
     return body.select(F.col(columns[0]).alias("row"), F.explode(F.array(*told)).alias("cell")).select("row", "cell.*").where("value is not null")
 
 
+def write_panel(panel: DataFrame, path: str) -> None:
+    """panel (label, name, day, ...) as a store partitioned by label and month; written months replace older ones."""
+    month = F.date_format("day", "yyyy-MM").alias("month")
+    panel.select("*", month).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("label", "month").parquet(path)
+
+
+def read_slice(spark: SparkSession, path: str, label: str, first: str, last: str) -> DataFrame:
+    """The days from first to last, both included, of one label of a store: only its months' folders are read."""
+    schema = spark.read.parquet(path).schema
+    kinds = ", ".join(f"{f.name} {'string' if f.name in ('label', 'month') else f.dataType.simpleString()}" for f in schema)
+    months = (F.col("month") >= first[:7]) & (F.col("month") <= last[:7])
+    day = F.to_date("day")
+    return spark.read.schema(kinds).parquet(path).where((F.col("label") == label) & months & (day >= F.lit(first).cast("date")) & (day <= F.lit(last).cast("date"))).drop("month")
+
+
 def business_days(dates: DataFrame, day: str) -> DataFrame:
     """(day, number): Mondays to Fridays from the first to the last value of a column of dates."""
     bounds = dates.agg(F.min(day).cast("date").alias("first"), F.max(day).cast("date").alias("last"))

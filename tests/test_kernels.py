@@ -288,3 +288,14 @@ def test_hierarchical_resamples_are_hashed():
     lam = np.linalg.eigvalsh(plain)
     told = estimators.bootstrap_hierarchical(x, 3, 5)
     assert np.allclose(told, plain) if lam[0] >= 0 else np.linalg.eigvalsh(told).min() > -1e-12
+
+
+def test_batched_captures_equal_single_ones():
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((12, 40))
+    lam, v = spectra.eigenpairs(spectra.covariance(x))
+    r = rng.standard_normal((12, 9))
+    blocks = rng.standard_normal((5, 6, 6)) * 0.1
+    told = coupling.captures(lam, blocks, coupling.spread(r, v))
+    assert np.allclose(told, [flags.captured(coupling.corrected(lam, v, b, 1.0), r)["capture_6"] for b in blocks])
+    assert np.allclose(coupling.spread(r, v)[6:, :6], coupling.label(r, v))
