@@ -704,11 +704,11 @@ def _two_headers(spark, sf):
     return tables.read_two_headers(spark, where).select("row", "group", "field", "value")
 
 
-@query("appended_results", "SELECT o_orderpriority AS label, CAST(month(o_orderdate) AS INTEGER) AS replicate, count(*) AS n, round(avg(o_totalprice), 4) AS value FROM orders GROUP BY ALL")
+@query("appended_results", "SELECT o_orderpriority AS label, CAST(month(o_orderdate) AS INTEGER) AS replicate, count(*) AS n, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY ALL")
 def _appended(spark, sf):
     """A summary appended to CSV files in two parts, each with its header, and read as one table."""
     where = f"{tables.shared_folder(spark)}/csv-{uuid.uuid4().hex}"
-    rows = spark.read.parquet(f"{sf}/orders.parquet").groupBy(F.col("o_orderpriority").alias("label"), F.month("o_orderdate").alias("replicate")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 4).alias("value"))
+    rows = spark.read.parquet(f"{sf}/orders.parquet").groupBy(F.col("o_orderpriority").alias("label"), F.month("o_orderdate").alias("replicate")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("value"))
     for part in ("replicate <= 6", "replicate > 6"):
         tables.append_csv(rows.where(part), where)
     return tables.read_results(spark, where, "label string, replicate int, n long, value double").drop("file")
