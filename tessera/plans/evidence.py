@@ -712,3 +712,60 @@ def _appended(spark, sf):
     for part in ("replicate <= 6", "replicate > 6"):
         tables.append_csv(rows.where(part), where)
     return tables.read_results(spark, where, "label string, replicate int, n long, value double").drop("file")
+
+
+# -- modes side by side, sweeps that go on -----------------------------------------------------------------
+
+
+def _market_sql(raw: bool) -> str:
+    """(label, mode, example, cosine): motions of the first vector; a line's log is its angle along the rest of the other line."""
+    return f"""SELECT * FROM ({matrices_sql(24, 6, raw=raw)}{leading_sql(1)},
+v AS (SELECT a.label, a.origin, a.found[1] AS u, p.found[1] AS p, z.found[1] AS z FROM f a JOIN f p ON p.label = a.label AND p.origin = a.origin - 1 JOIN f z ON z.label = a.label AND z.origin = a.origin + 1),
+d AS (SELECT label, origin, u, list_transform(p, lambda a1: a1 * sign(list_dot_product(u, p))) AS p, list_transform(z, lambda a2: a2 * sign(list_dot_product(u, z))) AS z FROM v),
+t AS (SELECT label, origin, list_transform(p, lambda a3, b3: a3 - u[b3] * list_dot_product(u, p)) AS back, list_transform(z, lambda a4, b4: a4 - u[b4] * list_dot_product(u, z)) AS ahead FROM d)
+SELECT label, '{"raw" if raw else "standardised"}' AS mode, CAST(origin AS INTEGER) AS example, -list_dot_product(back, ahead) / sqrt(list_dot_product(back, back) * list_dot_product(ahead, ahead)) AS cosine FROM t)"""
+
+
+@query("market_motion_by_mode", f"""WITH a AS ({_market_sql(False)}), b AS ({_market_sql(True)}), w AS (SELECT label, example, a.cosine AS s, b.cosine AS r FROM a JOIN b USING (label, example))
+SELECT label, 'market_1' AS component, count(*) AS n, round(avg(s), 6) AS standardised_mean, round(quantile_cont(s, 0.5), 6) AS standardised_median, round(avg(CASE WHEN s > 0 THEN 1 ELSE 0 END), 6) AS standardised_positive, round(avg(r), 6) AS raw_mean, round(quantile_cont(r, 0.5), 6) AS raw_median, round(avg(CASE WHEN r > 0 THEN 1 ELSE 0 END), 6) AS raw_positive, round(avg(s - r), 6) AS contrast, round(avg(CASE WHEN s > r THEN 1 ELSE 0 END), 6) AS contrast_positive FROM w GROUP BY ALL""")
+def _market_modes(spark, sf):
+    """Persistence of the market direction's motion, standardised and raw, with the paired contrast."""
+    out = _contrast(spark, sf).where("component = 'market_1'")
+    return out.select("label", "component", "n", *[r(c) for c in out.columns if c not in ("label", "component", "n")])
+
+
+@query("motion_by_mode")
+def _contrast(spark, sf):
+    """The same for every component."""
+    states = jobs.spectral_states(panel_of(spark, sf), 24, 6, 3, 6, ("standardised", "raw"))
+    return jobs.mode_contrast(jobs.state_motions(states, 1))
+
+
+def _taken_up(spark, sf):
+    """A sweep that is stopped after some draws and taken up again: its cells come from geometry, its work from what is missing."""
+    panel, where = tables.cut(panel_of(spark, sf, "week")), f"{tables.shared_folder(spark)}/sweep-{uuid.uuid4().hex}"
+    cells = tables.cut(nulls.chosen_cells(panel, SWEEP, 6, 2.0))
+    nulls.resumed_sweep(panel, where, cells, 3, 6)
+    return nulls.resumed_sweep(panel, where, cells, 9, 6), cells
+
+
+SWEEP = [(36, 6), (48, 12), (96, 12), (240, 48)]
+
+
+@query("sweep_totals", f"""WITH {panel_sql("week")}, n AS (SELECT label, count(DISTINCT name) AS names, count(DISTINCT t) AS days FROM panel GROUP BY ALL), cells(t_in, horizon) AS (VALUES {", ".join(map(str, SWEEP))}),
+g AS (SELECT label, t_in, horizon, (days - t_in) // 6 + 1 - 2 * (horizon // 6) AS origins, ceil((t_in + 2 * horizon) / 6) AS block FROM n, cells)
+SELECT label, t_in, horizon, CAST(10 AS BIGINT) AS replicates, CAST(60 AS BIGINT) AS summaries, origins AS most FROM g WHERE origins / block >= 2""")
+def _sweep_totals(spark, sf):
+    """What the resumed sweep holds: every replicate of every chosen cell once, over all its origins."""
+    told, _ = _taken_up(spark, sf)
+    return told.groupBy("label", "t_in", "horizon").agg(F.count_distinct("replicate").alias("replicates"), F.count(F.lit(1)).alias("summaries"), F.max("n").alias("most"))
+
+
+@query("sweep_evidence")
+def _sweep_evidence(spark, sf):
+    """The sweep's cells held against their nulls."""
+    told, cells = _taken_up(spark, sf)
+    keys = ["label", "t_in", "horizon", "component"]
+    value = "mean_addition_cosine"
+    out = S.empirical_p(told.where("replicate = 0").select(*keys, value), told.where("replicate > 0").select(*keys, value), keys, value)
+    return out.join(cells.select("label", F.col("t_in").cast("int").alias("t_in"), F.col("horizon").cast("int").alias("horizon"), "q", "deletion_fraction", "independent_blocks"), ["label", "t_in", "horizon"])

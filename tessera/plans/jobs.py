@@ -207,6 +207,36 @@ def window_distances(panel: DataFrame, t_in: int, step: int, p: int, q: int, max
     return state_distances(spectral_states(panel, t_in, step, p, q), step, p, q, max_lag).drop("mode")
 
 
+def state_motions(states: DataFrame, k: int, q: int = 6) -> DataFrame:
+    """(label, mode, example, component, cosine, incoming_speed, outgoing_speed): how far the motion of each state's frame
+    over the next k windows goes on as the one over the last k came, by mode."""
+    none = F.lit(None).cast("array<double>")
+    place = lambda shift, name: F.struct((F.col("w") + shift).alias("example"), *[(F.col("vectors") if c == name else none).alias(c) for c in ("past", "now", "future")])
+    sent = states.select("label", "mode", F.explode(F.array(place(k, "past"), place(0, "now"), place(-k, "future"))).alias("p")).select("label", "mode", "p.*")
+    met = sent.groupBy("label", "mode", "example").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("past", "now", "future")]).where("past is not null and now is not null and future is not null")
+    names = ["label", "mode", "example", "component", "cosine", "incoming_speed", "outgoing_speed"]
+
+    def run(batches):
+        for frame in batches:
+            rows = []
+            for r in frame.itertuples(index=False):
+                past, now, future = (np.asarray(f, float).reshape(-1, q)[:, :6] for f in (r.past, r.now, r.future))
+                rows += [[r.label, r.mode, r.example, m["component"], m["cosine"], m["incoming_speed"], m["outgoing_speed"]] for m in flags.motion(past, now, future)]
+            yield pd.DataFrame(rows, columns=names)
+
+    return met.mapInPandas(run, "label string, mode string, example int, component string, cosine double, incoming_speed double, outgoing_speed double")
+
+
+def mode_contrast(motions: DataFrame, value: str = "cosine", modes: tuple[str, str] = ("standardised", "raw")) -> DataFrame:
+    """(label, component, n, and of each mode mean, median, positive share; contrast, contrast_positive) of value: modes side
+    by side, and their difference paired by example. NaN values do not count, nor do examples without both modes."""
+    sound = motions.where(F.col(value).isNotNull() & ~F.isnan(value))
+    wide = sound.groupBy("label", "component", "example").pivot("mode", list(modes)).agg(F.first(value)).where(" and ".join(f"`{m}` is not null" for m in modes))
+    told = [f(m).alias(f"{m}_{name}") for m in modes for name, f in (("mean", F.avg), ("median", lambda c: F.expr(f"percentile(`{c}`, 0.5)")), ("positive", lambda c: F.avg((F.col(c) > 0).cast("double"))))]
+    gap = F.col(modes[0]) - F.col(modes[1])
+    return wide.groupBy("label", "component").agg(F.count(F.lit(1)).alias("n"), *told, F.avg(gap).alias("contrast"), F.avg((gap > 0).cast("double")).alias("contrast_positive"))
+
+
 def eigenvalues(panel: DataFrame, t_in: int, step: int, k: int) -> DataFrame:
     """(label, w, mode, value): leading eigenvalues of rolling correlation windows."""
 

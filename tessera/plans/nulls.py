@@ -32,25 +32,26 @@ def packed(panel: DataFrame) -> DataFrame:
     return panel.groupBy("label").agg(F.count_distinct("name").alias("n"), cells.alias("cells")).select("label", "n", F.col("cells.x").alias("x"))
 
 
-def replicates(panel: DataFrame, draws: DataFrame | int, kernel: Callable[[str, int, np.ndarray], list[dict]], schema: str) -> DataFrame:
-    """Rows of kernel(label, replicate, matrix) for every replicate: 0 to draws, or (label, replicate) rows.
-    schema: label string, replicate int, then the kernel's columns."""
+def replicates(panel: DataFrame, draws: DataFrame | int, kernel: Callable[..., list[dict]], schema: str) -> DataFrame:
+    """Rows of kernel(label, replicate, matrix) for every replicate: 0 to draws, or (label, replicate) rows. Further columns
+    of draws go to the kernel as a dict in a fourth place. schema: label string, replicate int, then the kernel's columns."""
     spark = panel.sparkSession
     flat = tables.cut(packed(panel))  # one row a label: read for its labels, its size and its cells
-    grid = flat.select("label").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(draws)))) if isinstance(draws, int) else draws.select("label", "replicate")
+    grid = flat.select("label").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(draws)))) if isinstance(draws, int) else draws
+    given = [c for c in grid.columns if c not in ("label", "replicate")]
     if (flat.agg(F.sum(F.size("x"))).first()[0] or 0) <= BROADCAST_CELLS:
-        both = grid.repartition(spark.sparkContext.defaultParallelism * 2, "label", "replicate").join(F.broadcast(flat), "label")
+        both = grid.repartition(spark.sparkContext.defaultParallelism * 2, "label", "replicate", *given).join(F.broadcast(flat), "label")
     else:  # each replicate's matrix travels by itself
-        both = grid.join(flat, "label").repartition("label", "replicate")
+        both = grid.join(flat, "label").repartition("label", "replicate", *given)
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         for frame in batches:
-            for label, k, n, x in frame[["label", "replicate", "n", "x"]].itertuples(index=False):
-                rows = kernel(label, int(k), np.asarray(x, float).reshape(int(n), -1))
+            for label, k, n, x, *more in frame[["label", "replicate", "n", "x", *given]].itertuples(index=False):
+                rows = kernel(label, int(k), np.asarray(x, float).reshape(int(n), -1), *[dict(zip(given, more))] * bool(given))
                 yield pd.DataFrame([{"label": label, "replicate": k, **row} for row in rows], columns=names)
 
-    return both.select("label", "replicate", "n", "x").mapInPandas(run, schema)
+    return both.select("label", "replicate", "n", "x", *given).mapInPandas(run, schema)
 
 
 def redrawn(x: np.ndarray, kind: str, label: str, k: int, block: int = 6, bins: int = 3, rounds: int = 200, seed: int = 7) -> np.ndarray:
@@ -217,6 +218,36 @@ def sweep(panel: DataFrame, cells: list[tuple[int, int]], step: int, draws: int,
     return geometry(panel, cells, step).join(observed, keys).join(detectable(observed.select(*keys, "observed"), null, keys, "observed").drop("observed"), keys, "left")
 
 
+def chosen_cells(panel: DataFrame, cells: list[tuple[int, int]], step: int, least: float = 2.0) -> DataFrame:
+    """geometry of the cells whose origins hold least independent blocks or more: the others' intervals would mean nothing."""
+    return geometry(panel, cells, step).where(F.col("independent_blocks") >= least)
+
+
+def resumed_sweep(panel: DataFrame, path: str, cells: DataFrame, draws: int, step: int, kind: str = "volatility", **how) -> DataFrame:
+    """The summaries of replicates 0 to draws of every cell (label, t_in, horizon) from a resumable table at path.
+
+    The table itself says what is done: keys (label, t_in, horizon, replicate) that it lacks go through one plan, all
+    cells together, and are added, a folder a cell. A run that was killed left whole folders or none of a write; what it
+    had added is not made again, and rows that two writers added come once. Labels differ in their cells."""
+    keys = ["label", "t_in", "horizon", "replicate"]
+    wanted = cells.select("label", F.col("t_in").cast("int"), F.col("horizon").cast("int")).distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(draws))))
+    left = tables.cut(tables.missing_keys(wanted, path, keys))
+    held = "label string, replicate int, component string, n long, " + ", ".join(f"mean_{c} double" for c in DELETION) + ", positive_fraction double, t_in int, horizon int"
+    if not left.isEmpty() or not tables.exists(panel.sparkSession, path):  # without any cell the table is empty, but there
+        schema = "label string, replicate int, t_in int, horizon int, origin int, component string, " + ", ".join(f"{c} double" for c in DELETION)
+
+        def kernel(label, k, x, cell):
+            rows = inference.deletion_rows(redrawn(x, kind, label, k, **how), int(cell["t_in"]), int(cell["horizon"]), step)
+            return [{**cell, **row} for row in rows]
+
+        made = replicates(panel, left, kernel, schema)
+        clean = [F.when(~F.isnan(c), F.col(c)) for c in DELETION]
+        summary = made.groupBy(*keys, "component").agg(F.count(clean[0]).alias("n"), *[F.avg(v).alias(f"mean_{c}") for c, v in zip(DELETION, clean)], F.avg((clean[0] > 0).cast("double")).alias("positive_fraction"))
+        summary.write.mode("append").partitionBy("t_in", "horizon").parquet(path)
+    done = panel.sparkSession.read.schema(held).parquet(path).join(wanted, keys, "left_semi")
+    return S.first_of_each(done, [*keys, "component"], ["n", "mean_addition_cosine"])
+
+
 def detectable(observed: DataFrame, null: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value, n_null, null_mean, null_sd, null_q95, normal_excess, q95_excess, p_floor, excess, z, powered_ratio,
     p): what a null could have shown, by its spread and by its 95th percentile, and what was seen. Under three

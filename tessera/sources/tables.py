@@ -55,13 +55,18 @@ def read_results(spark: SparkSession, paths: str | list[str], schema: str | None
     return reader.csv(paths).withColumn("file", F.col("_metadata.file_name"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def missing_keys(wanted: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """The rows of wanted whose keys a resumable table does not hold yet; all of them when there is none."""
     spark = wanted.sparkSession
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+    if not exists(spark, path):
         return wanted
-    return wanted.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
+    schema = ", ".join(f"{k} {wanted.schema[k].dataType.simpleString()}" for k in keys)
+    return wanted.join(spark.read.schema(schema).parquet(path).select(*keys).distinct(), keys, "left_anti")
 
 
 def append_results(rows: DataFrame, path: str, by: str = "replicate") -> None:

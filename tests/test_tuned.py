@@ -133,3 +133,43 @@ def test_combined_evidence(spark):
         r = got["all", c]
         assert (r.n_panels, r.n_null, r.holm) == (3, len(null), None) and [r.observed, r.null_mean, r.null_q95, r.p] == pytest.approx([mean[0], null.mean(), np.quantile(null, 0.95), (1 + (null >= mean[0]).sum()) / (1 + len(null))])
     assert got["p", "c"].p is None and got["all", "c"].p is None
+
+
+def test_a_killed_sweep_goes_on(spark, panel, tmp_path, monkeypatch):
+    cells = nulls.chosen_cells(panel, [(40, 6), (50, 6), (200, 12)], 6, 2.0)
+    assert {(r.label, r.t_in) for r in cells.collect()} == {(label, t) for label in WORLDS for t in (40, 50)}
+    path, made = str(tmp_path / "sweep"), []
+    real = nulls.replicates
+
+    def watched(panel, draws, *more):
+        made.append(sorted((r.label, r.t_in, r.horizon, r.replicate) for r in draws.collect()))
+        return real(panel, draws, *more)
+
+    monkeypatch.setattr(nulls, "replicates", watched)
+    nulls.resumed_sweep(panel, path, cells, 1, 6)
+    def killed(kernel_panel, draws, kernel, schema):
+        return real(kernel_panel, draws, lambda label, k, x, cell: 1 / 0, schema)
+
+    monkeypatch.setattr(nulls, "replicates", killed)
+    with pytest.raises(Exception, match="division by zero"):
+        nulls.resumed_sweep(panel, path, cells, 3, 6)
+    monkeypatch.setattr(nulls, "replicates", watched)
+    got = sorted(map(tuple, nulls.resumed_sweep(panel, path, cells, 3, 6).select("label", "t_in", "horizon", "replicate", "component", "n", F.round("mean_addition_cosine", 9)).collect()))
+    assert len(made) == 2 and len(made[1]) == 8 and {k[3] for k in made[1]} == {2, 3}
+    assert got == sorted(map(tuple, nulls.resumed_sweep(panel, str(tmp_path / "whole"), cells, 3, 6).select("label", "t_in", "horizon", "replicate", "component", "n", F.round("mean_addition_cosine", 9)).collect()))
+    one = [r for r in inference.deletion_rows(WORLDS["calm"], 50, 6, 6) if r["component"] == "top_6"]
+    held = next(g for g in got if g[:5] == ("calm", 50, 6, 0, "top_6"))
+    assert held[5] == len(one) and held[6] == pytest.approx(np.mean([r["addition_cosine"] for r in one]), abs=1e-8)
+
+
+def test_modes_side_by_side(spark, panel):
+    states = jobs.spectral_states(panel, 40, 10, 3, 6, ("standardised", "raw"))
+    got = {(r.label, r.component): r for r in jobs.mode_contrast(jobs.state_motions(states, 2)).collect()}
+    for label, x in WORLDS.items():
+        told = {}
+        for mode in ("standardised", "raw"):
+            frame = [spectra.eigenpairs(spectra.covariance(jobs.MODES[mode](x[:, s : s + 40])), 6)[1] for s in range(0, 201, 10)]
+            told[mode] = [next(m["cosine"] for m in flags.motion(frame[i - 2], frame[i], frame[i + 2]) if m["component"] == "top_3") for i in range(2, len(frame) - 2)]
+        a, b = (np.array(told[m]) for m in ("standardised", "raw"))
+        r = got[label, "top_3"]
+        assert r.n == len(a) and [r.standardised_mean, r.raw_median, r.raw_positive, r.contrast, r.contrast_positive] == pytest.approx([a.mean(), np.median(b), (b > 0).mean(), (a - b).mean(), (a > b).mean()], abs=1e-9)
