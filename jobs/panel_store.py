@@ -8,15 +8,22 @@ they are read. A batch of files becomes, under OUT,
 
     parts/label/month/batch      sums and counts of each name and day in that batch
     bars/label/month             mean price and rows of each name and day, for the months that the batch reaches
+
+and a run that found new bars ends with
+
     panel/label/month            filled prices, log returns and the number of the day in the complete panel
     coverage/label               the coverage report of the label's names
 
 all partitioned Parquet under dynamic partition overwrite. A batch that is run again after a failure writes the same
-partitions again, so nothing counts twice; a run without new files changes nothing. A row that is late for its
-month only has that month's bars made anew from its parts; the panel, whose day numbers depend on all months, is made
-from the label's bars, one row per name and day. Rows without name, day or price are counted and left out; so are
-rows whose lookup has no match when they arrive, so lookups come first. A file delivered twice under two names is two
-files.
+partitions again, so nothing counts twice; a run without new files changes nothing. Bars know the last batch that made
+them and a panel the last batch that it holds: a run that died between the two is caught up by the next one, new
+files or not. A row that is late for its month only has that month's bars made anew from its parts; the panel, whose
+day numbers depend on all months, is made from the label's bars, one row per name and day. Rows without name, day
+or price are counted and left out; so are rows whose lookup has no match when they arrive, so lookups come first. A
+file delivered twice under two names is two files.
+
+A panel's table is Parquet, or what its format says (orc, json, csv), with an optional schema and reader options.
+files_per_batch bounds a batch, and with it what a failure repeats; by default a run is one batch.
 """
 
 from __future__ import annotations
@@ -30,11 +37,12 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import panel as P
+from tessera.sources import tables
 
 LOG = logging.getLogger("jobs.panel_store")
 PARTS = "name string, day timestamp_ntz, total double, n long, label string, month string, batch long"
-BARS = "name string, day timestamp_ntz, price double, n long, label string, month string"
-PANEL = "name string, day timestamp_ntz, price double, n long, x double, t int, label string, month string"
+BARS = "name string, day timestamp_ntz, price double, n long, batch long, label string, month string"
+PANEL = "name string, day timestamp_ntz, price double, n long, x double, t int, batch long, label string, month string"
 COVERAGE = "name string, coverage double, zero_fraction double, longest_stale_run long, dropped_because string, label string"
 
 
@@ -59,8 +67,20 @@ def part_sums(batch: DataFrame, spec: dict, lookups: list[DataFrame]) -> DataFra
     return sums.agg(F.sum(F.when(~bad, F.col("price"))).alias("total"), F.count_if(~bad).alias("n"), F.count_if(bad).alias("bad"))
 
 
+def _last(spark: SparkSession, schema: str, path: str, label: str) -> int | None:
+    """The last batch that a table of the store knows of for a label; None where there is none."""
+    if not tables.exists(spark, path):
+        return None
+    return spark.read.schema(schema).parquet(path).where(F.col("label") == label).agg(F.max("batch")).first()[0]
+
+
 def publish(spark: SparkSession, label: str, output: str, fill: int) -> None:
-    """panel and coverage of label from its bars. A month of the panel never goes: days are only added."""
+    """panel and coverage of label from its bars, unless they hold the last batch already. A month of the panel never
+    goes: days are only added."""
+    last = _last(spark, BARS, f"{output}/bars", label)
+    if last is None or last == _last(spark, PANEL, f"{output}/panel", label):
+        LOG.info("%s: nothing new to publish", label)
+        return
     bars = spark.read.schema(BARS).parquet(f"{output}/bars").where(F.col("label") == label)
     filled = P.forward_fill(P.dense_grid(bars), fill)
     returns = P.log_returns(P.require_positive(filled))
@@ -68,14 +88,15 @@ def publish(spark: SparkSession, label: str, output: str, fill: int) -> None:
     keys = ["label", "name", "day"]
     panel = filled.join(returns, keys).join(days, keys, "left").join(bars.select(*keys, "n"), keys, "left")
     told = Observation()
-    panel = panel.select("name", "day", "price", F.coalesce("n", F.lit(0)).alias("n"), "x", "t", "label", _month())
-    _write(panel.observe(told, F.count(F.lit(1)).alias("rows"), F.count("t").alias("complete")), f"{output}/panel", "label", "month")
+    # coverage goes first: what a run left undone shows in the panel
     _write(P.coverage_report(returns).select("name", "coverage", "zero_fraction", F.col("longest_stale_run").cast("long").alias("longest_stale_run"), "dropped_because", "label"), f"{output}/coverage", "label")
-    LOG.info("%s: wrote panel of %d rows, %d on complete days", label, told.get["rows"], told.get["complete"])
+    panel = panel.select("name", "day", "price", F.coalesce("n", F.lit(0)).alias("n"), "x", "t", F.lit(last).cast("long").alias("batch"), "label", _month())
+    _write(panel.observe(told, F.count(F.lit(1)).alias("rows"), F.count("t").alias("complete")), f"{output}/panel", "label", "month")
+    LOG.info("%s: wrote panel of %d rows, %d on complete days, through batch %d", label, told.get["rows"], told.get["complete"], last)
 
 
-def take(spec: dict, lookups: list[DataFrame], output: str, fill: int, read: dict[str, int], batch: DataFrame, number: int) -> None:
-    """One batch of the stream: parts, the bars of the months that it reaches, the panel. Adds its rows to read."""
+def take(spec: dict, lookups: list[DataFrame], output: str, read: dict[str, int], batch: DataFrame, number: int) -> None:
+    """One batch of the stream: parts, then the bars of the months that it reaches. Adds its rows to read."""
     spark, label = batch.sparkSession, spec["label"]
     told = Observation()
     sums = part_sums(batch, spec, lookups).observe(told, F.sum("n").alias("rows"), F.sum("bad").alias("bad"))
@@ -90,24 +111,26 @@ def take(spec: dict, lookups: list[DataFrame], output: str, fill: int, read: dic
     # months of a batch are calendar months: a bounded list
     months = sorted(r.month for r in parts.where(F.col("batch") == number).select("month").distinct().collect())
     cells = parts.where(F.col("month").isin(months)).groupBy("label", "month", "name", "day").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-    _write(cells.select("name", "day", (F.col("total") / F.col("n")).alias("price"), "n", "label", "month"), f"{output}/bars", "label", "month")
+    _write(cells.select("name", "day", (F.col("total") / F.col("n")).alias("price"), "n", F.lit(number).cast("long").alias("batch"), "label", "month"), f"{output}/bars", "label", "month")
     LOG.info("%s: batch %d wrote bars of %d months, %s to %s", label, number, len(months), months[0], months[-1])
-    publish(spark, label, output, fill)
 
 
 def run(spark: SparkSession, config: dict, source: str, output: str, checkpoint: str) -> dict[str, int]:
     """Take what is new in each panel's table; the rows read by label."""
     read = {spec["label"]: 0 for spec in config["panels"]}
     for spec in config["panels"]:
-        path = f"{source}/{spec['table']}"
+        path, kind, options = f"{source}/{spec['table']}", spec.get("format", "parquet"), spec.get("options", {})
         lookups = [spark.read.parquet(f"{source}/{x['table']}") for x in spec.get("lookups", [])]
-        schema = spark.read.parquet(path).schema
+        schema = spec.get("schema") or spark.read.format(kind).options(**options).load(path).schema
+        stream = spark.readStream.format(kind).schema(schema).options(**options)
+        if config.get("files_per_batch"):
+            stream = stream.option("maxFilesPerTrigger", config["files_per_batch"])
+        each = functools.partial(take, spec, lookups, output, read)
         # the last letter as a pattern, so that a file and a folder of files both do
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", config.get("files_per_batch", 200)).parquet(f"{path[:-1]}[{path[-1]}]")
-        each = functools.partial(take, spec, lookups, output, config.get("fill", 3), read)
-        query = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{checkpoint}/{spec['label']}").trigger(availableNow=True).start()
-        query.awaitTermination()
+        new = stream.load(f"{path[:-1]}[{path[-1]}]").writeStream.foreachBatch(each)
+        new.option("checkpointLocation", f"{checkpoint}/{spec['label']}").trigger(availableNow=True).start().awaitTermination()
         LOG.info("%s: took %d new rows of %s", spec["label"], read[spec["label"]], path)
+        publish(spark, spec["label"], output, config.get("fill", 3))
     return read
 
 
