@@ -149,7 +149,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return left
     same = left[id_col].eqNullSafe(again[id_col])
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), BLANKS, " ")
-    once = left.join(again, same, "left_semi").withColumn("_digest_", F.sha2(text, 256)).dropDuplicates(["_digest_"]).drop("_digest_")
+    free = "digest"
+    while free.lower() in {c.lower() for c in docs.columns}:  # no column of docs may be taken
+        free += "_"
+    once = left.join(again, same, "left_semi").withColumn(free, F.sha2(text, 256)).dropDuplicates([free]).drop(free)
     return left.join(again, same, "left_anti").union(once)
 
 

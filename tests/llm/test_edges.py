@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import SF, components, corpus, frame, words
 
-from tessera.llm import common, epsilon_join, language_id, ngram_join, pitman_yor, sentencepieces, suffix_dedup, textbytes, url_filter
+from tessera.llm import common, epsilon_join, exact_dedup, language_id, ngram_join, pitman_yor, sentencepieces, suffix_dedup, textbytes, url_filter
 
 LONG = "lorem ipsum " * 150_000  # 1.8 MB: more than one piece
 
@@ -161,3 +161,10 @@ def test_hot_keys_are_joined_once(spark, total):
     told = common.keep(rows.groupBy("key").count().withColumn("w", F.col("key") * 2))
     out = common.join_hot(rows, told, ["key"], "count", total, hot=10)
     assert sorted((r.key, r.v, r.w) for r in out.collect()) == sorted((r.key, r.v, r.key * 2) for r in rows.where("key is not null").collect())
+
+
+def test_keep_first_takes_no_column_of_the_table(spark):
+    rows = [(1, "a  b", "x", "y"), (1, "a b", "x", "z"), (2, "a b", "p", "q"), (3, None, None, None), (3, "", "u", "v"), (4, "c", "w", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string, _digest_ string")
+    got = exact_dedup.keep_first(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [1, 3, 4]
