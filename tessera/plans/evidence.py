@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import spectra
 from tessera.operators import panel as P
+from tessera.operators import resampling as R
 from tessera.operators import summaries as S
 from tessera.operators import windows as W
 from tessera.plans import evidence_sql as E
@@ -117,10 +118,10 @@ def _excess(spark, sf):
     return told.join(told.groupBy("label").agg(F.regr_slope("excess", "lag").alias("slope"), F.corr("excess", "lag").alias("correlation")), "label")
 
 
-def losses_sql(now: str) -> str:
-    """losses of the frames now (label, origin, found) against f, one window later, by component; both neighbours must be there."""
+def losses_sql(now: str, k: int = 1) -> str:
+    """losses of the frames now (label, origin, found) against f, k windows later, by component; both neighbours must be there."""
     return f""",
-dot AS (SELECT a.label, a.origin AS example, i, j, pow(list_dot_product(a.found[i], b.found[j]), 2) AS s FROM {now} a JOIN f b ON a.label = b.label AND b.origin = a.origin + 1 JOIN f z ON a.label = z.label AND z.origin = a.origin - 1, (SELECT unnest(range(1, 7)) AS i) i, (SELECT unnest(range(1, 7)) AS j) j),
+dot AS (SELECT a.label, a.origin AS example, i, j, pow(list_dot_product(a.found[i], b.found[j]), 2) AS s FROM {now} a JOIN f b ON a.label = b.label AND b.origin = a.origin + {k} JOIN f z ON a.label = z.label AND z.origin = a.origin - {k}, (SELECT unnest(range(1, 7)) AS i) i, (SELECT unnest(range(1, 7)) AS j) j),
 parts(component, lo, hi) AS (VALUES ('market_1', 1, 1), ('block_2_3', 2, 3), ('block_4_6', 4, 6), ('top_3', 1, 3), ('top_6', 1, 6)),
 single AS (SELECT label, example, component, greatest(0, hi - lo + 1 - sum(s)) / (hi - lo + 1) AS loss FROM dot, parts WHERE i BETWEEN lo AND hi AND j BETWEEN lo AND hi GROUP BY label, example, component, lo, hi),
 losses AS (SELECT * FROM single UNION ALL SELECT label, example, 'flag_nested', avg(loss) FROM single WHERE component IN ('market_1', 'top_3', 'top_6') GROUP BY label, example)"""
@@ -769,3 +770,83 @@ def _sweep_evidence(spark, sf):
     value = "mean_addition_cosine"
     out = S.empirical_p(told.where("replicate = 0").select(*keys, value), told.where("replicate > 0").select(*keys, value), keys, value)
     return out.join(cells.select("label", F.col("t_in").cast("int").alias("t_in"), F.col("horizon").cast("int").alias("horizon"), "q", "deletion_fraction", "independent_blocks"), ["label", "t_in", "horizon"])
+
+
+# -- losses and the ladder by split ------------------------------------------------------------------------
+
+BY_SPLIT_SQL = (
+    matrices_sql(36, 1) + leading_sql(6) + losses_sql("f", 6)
+    + f", sp AS (SELECT o.label, origin, CASE WHEN b.d <= DATE '{TUNED_DATES['train_end']}' THEN 'train' WHEN b.d BETWEEN DATE '{TUNED_DATES['validation_start']}' AND DATE '{TUNED_DATES['validation_end']}' THEN 'validation' WHEN b.d >= DATE '{TUNED_DATES['test_start']}' THEN 'test' ELSE 'purged' END AS split FROM o JOIN (SELECT DISTINCT label, t, d FROM panel) b ON b.label = o.label AND b.t = s + 41)"
+)
+
+
+@query("loss_by_split", BY_SPLIT_SQL + " SELECT l.label, 'frozen' AS forecaster, split, component, count(loss) AS n, round(avg(loss), 6) AS mean, round(quantile_cont(loss, 0.5), 6) AS median, round(quantile_cont(loss, 0.25), 6) AS q25, round(quantile_cont(loss, 0.75), 6) AS q75, round(stddev_samp(loss), 6) AS sd, round(max(loss), 6) AS max FROM losses l JOIN sp ON sp.label = l.label AND sp.origin = l.example GROUP BY l.label, split, component")
+def _loss_by_split(spark, sf):
+    """Losses of the frame that is held still, by split and component; what is purged has its own rows."""
+    panel = panel_of(spark, sf)
+    out = selection.losses_by_split(jobs.flag_losses(panel, 36, 6, 1, ("frozen",)), tuned.split_origins(panel, 36, 6, 1, 6, **TUNED_DATES))
+    return out.select("label", "forecaster", "split", "component", "n", *[r(c) for c in ("mean", "median", "q25", "q75", "sd", "max")])
+
+
+@query("all_losses_by_split")
+def _all_by_split(spark, sf):
+    """The same for every forecaster."""
+    panel = panel_of(spark, sf)
+    return selection.losses_by_split(jobs.flag_losses(panel, 36, 6, 6), tuned.split_origins(panel, 36, 6, 6, 1, **TUNED_DATES))
+
+
+LADDER_SPLIT_SQL = LADDER_SQL + f""",
+ls AS (SELECT o.label, origin, {_CUT.replace("'other'", "'none'")} AS split FROM o JOIN (SELECT DISTINCT label, t, d FROM panel) b ON b.label = o.label AND b.t = s + {T_IN + T_OUT - 1}),
+lv2 AS (SELECT label, entrant, avg(capture_6) FILTER (WHERE split = 'validation') AS v, count(*) FILTER (WHERE split = 'validation') AS nv FROM sh JOIN ls USING (label, origin) WHERE entrant LIKE 'ewma%' GROUP BY ALL),
+lp AS (SELECT label, arg_min(entrant, (-v, CAST(split_part(entrant, '_', 2) AS INTEGER))) AS entrant FROM lv2 GROUP BY ALL),
+lt AS (SELECT sh.label, sh.entrant, origin, sh.capture_6 AS m, fz.capture_6 AS f, sh.capture_6 - fz.capture_6 AS gain FROM sh JOIN lp USING (label, entrant) JOIN (SELECT label, origin, capture_6 FROM sh WHERE entrant = 'frozen') fz USING (label, origin) JOIN ls USING (label, origin) WHERE split = 'test')"""
+
+
+@query("ladder_tuned", LADDER_SPLIT_SQL + ", " + E.intervals_sql("lt", ("label", "entrant"), W.block_length(T_IN, T_OUT, 6), 20260805) + """
+SELECT label, entrant, half_life, n_validation, n, round(validation, 6) AS validation, round(test, 6) AS test, round(frozen, 6) AS frozen, round(mean, 6) AS gain, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, excludes_zero
+FROM iv JOIN (SELECT label, entrant, CAST(split_part(entrant, '_', 2) AS INTEGER) AS half_life, v AS validation, nv AS n_validation FROM lv2) USING (label, entrant) JOIN (SELECT label, entrant, avg(m) AS test, avg(f) AS frozen FROM lt GROUP BY ALL) USING (label, entrant)""")
+def _ladder_tuned(spark, sf):
+    """The EWMA that captures most at the validation origins, against frozen at the test origins."""
+    panel = panel_of(spark, sf)
+    series = jobs.entrants(panel, T_IN, T_OUT, STEP, shrunk=())
+    out = selection.chosen_entrant(series, tuned.split_origins(panel, T_IN, T_OUT, STEP, **TUNED_DATES), W.block_length(T_IN, T_OUT, 6))
+    return out.select("label", "entrant", "half_life", "n_validation", F.col("n").cast("long").alias("n"), *[r(c) for c in ("validation", "test", "frozen", "gain", "ci_low", "ci_high")], "excludes_zero")
+
+
+# -- geometry of neighbouring windows, permutations --------------------------------------------------------
+
+GEOMETRY_SQL = matrices_sql(24, 6) + leading_sql(3) + """,
+nb AS (SELECT a.label, CAST(a.origin AS INTEGER) AS w, a.found AS u, b.found AS v FROM f a JOIN f b ON a.label = b.label AND b.origin = a.origin + 1),
+sq AS (SELECT label, w, any_value(abs(list_dot_product(u[1], v[1]))) AS c1, sum(pow(list_dot_product(u[i], v[j]), 2)) AS s FROM nb, (SELECT unnest(range(1, 4)) AS i) i, (SELECT unnest(range(1, 4)) AS j) j GROUP BY ALL)"""
+
+
+@query("neighbour_geometry", GEOMETRY_SQL + " SELECT label, w, round(s, 6) AS squared_cosines, round(acos(least(1, c1)), 6) AS market_angle, round(acos(least(1, c1)), 6) AS geodesic_length, round(acos(least(1, c1)) / 2, 6) AS midpoint_angle, CAST(0 AS DOUBLE) AS missed FROM sq")
+def _geometry_of_neighbours(spark, sf):
+    """Principal angles of neighbouring windows, and the geodesic between their market directions: its length, the angle at
+    half of it, and how far its end misses the second direction."""
+    states = jobs.spectral_states(panel_of(spark, sf), 24, 6, 3, 6)
+    return jobs.neighbour_geometry(states, 3).select("label", "w", *[r(c) for c in ("squared_cosines", "market_angle", "geodesic_length", "midpoint_angle")], F.abs(F.round("missed", 6)).alias("missed"))
+
+
+@query("least_rotation", distances_sql(24, 6, 3, 6, 48) + " SELECT label, lag, count(*) AS n, round(CASE WHEN quantile_cont(distance, 0.95) > quantile_cont(distance, 0.2) THEN degrees(acos(exp(-3 * (quantile_cont(distance, 0.95) - quantile_cont(distance, 0.2))))) END, 4) AS degrees FROM apart GROUP BY ALL")
+def _least(spark, sf):
+    """The rotation that would stand out of each lag's distances: their 95th less their 20th percentile, in degrees."""
+    pairs = jobs.window_distances(panel_of(spark, sf), 24, 6, 3, 6, 48)
+    gap = F.expr("percentile(distance, 0.95) - percentile(distance, 0.2)")
+    return pairs.groupBy("label", F.col("lag").cast("int").alias("lag")).agg(F.count(F.lit(1)).alias("n"), F.round(F.when(gap > 0, F.degrees(F.acos(F.exp(-3 * gap)))), 4).alias("degrees"))
+
+
+@query("block_exchanges", "WITH " + E.levels_sql(panel_sql("week")) + ", " + E.exchanged_sql(3, 10, 4) + """,
+fo AS (SELECT label, k AS replicate, b, days, sum(days) OVER (PARTITION BY label, k ORDER BY """ + E.draw_sql("7", "label", "k", "b") + """, b) - days AS begin FROM bl, range(1, 4) r(k)),
+fr AS (SELECT label, 'free' AS kind, replicate, CAST(begin + r.k AS BIGINT) AS t, b * 10 + r.k AS source FROM fo, range(0, 10) r(k) WHERE r.k < days)
+SELECT label, kind, CAST(replicate AS INTEGER) AS replicate, CAST(t AS INTEGER) AS t, CAST(source AS INTEGER) AS source FROM mv UNION ALL SELECT label, kind, CAST(replicate AS INTEGER), CAST(t AS INTEGER), CAST(source AS INTEGER) FROM fr""")
+def _exchanges(spark, sf):
+    """Where each day of a replicate comes from: blocks of ten weeks exchanged with the short last one fixed or free, and
+    within strata of volatility."""
+    levels = tables.cut(P.variance_path(panel_of(spark, sf, "week")))
+    grid = levels.select("label").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    out = None
+    for kind, bins, tail in (("calendar", 1, "fixed"), ("free", 1, "free"), ("volatility", 4, "fixed")):
+        one = R.exchanged_days(levels, grid, 10, bins, tail).select("label", F.lit(kind).alias("kind"), "replicate", "t", "source")
+        out = one if out is None else out.unionByName(one)
+    return out

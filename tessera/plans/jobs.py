@@ -207,6 +207,28 @@ def window_distances(panel: DataFrame, t_in: int, step: int, p: int, q: int, max
     return state_distances(spectral_states(panel, t_in, step, p, q), step, p, q, max_lag).drop("mode")
 
 
+def neighbour_geometry(states: DataFrame, p: int, q: int = 6) -> DataFrame:
+    """(label, w, squared_cosines, market_angle, geodesic_length, midpoint_angle, missed) of each window and the next one: the
+    sum of squared principal cosines of their leading p directions, the angle between their first ones, and of the
+    geodesic between these its length, how far its middle is from the start, and how far its end from the second."""
+    later = states.select("label", "mode", (F.col("w") - 1).alias("w"), F.col("vectors").alias("after"))
+    pairs = states.select("label", "mode", "w", "vectors").join(later, ["label", "mode", "w"])
+    names = ["label", "w", "squared_cosines", "market_angle", "geodesic_length", "midpoint_angle", "missed"]
+
+    def run(batches):
+        for frame in batches:
+            rows = []
+            for r in frame.itertuples(index=False):
+                u, v = (np.asarray(f, float).reshape(-1, q) for f in (r.vectors, r.after))
+                way = flags.log(u[:, :1], v[:, :1])
+                middle, end = flags.exp(u[:, :1], way / 2), flags.exp(u[:, :1], way)
+                one = lambda a, b: float(spectra.angles(a, b)[0])
+                rows.append([r.label, r.w, float(np.square(np.cos(spectra.angles(u[:, :p], v[:, :p]))).sum()), one(u[:, :1], v[:, :1]), float(np.linalg.norm(way)), one(u[:, :1], middle), flags.containment(v[:, :1], end)])
+            yield pd.DataFrame(rows, columns=names)
+
+    return pairs.select("label", "w", "vectors", "after").mapInPandas(run, "label string, w int, " + ", ".join(f"{n} double" for n in names[2:]))
+
+
 def state_motions(states: DataFrame, k: int, q: int = 6) -> DataFrame:
     """(label, mode, example, component, cosine, incoming_speed, outgoing_speed): how far the motion of each state's frame
     over the next k windows goes on as the one over the last k came, by mode."""

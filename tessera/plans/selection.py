@@ -77,6 +77,28 @@ def loss_comparisons(losses: DataFrame, block: int, seed: int = 20260803) -> Dat
     return told.withColumn("skill_percent", 100 * F.col("mean") / scale).withColumn("skill_ci_low", 100 * F.col("ci_low") / scale).withColumn("skill_ci_high", 100 * F.col("ci_high") / scale)
 
 
+def losses_by_split(losses: DataFrame, split: DataFrame) -> DataFrame:
+    """(label, forecaster, split, component, n and the loss's distribution): flag losses by the split of their origins
+    (label, origin, split). Rows of forecasters that failed have no loss and do not count."""
+    known = losses.join(split.withColumnRenamed("origin", "example"), ["label", "example"])
+    return S.distribution(known.where("loss is not null"), ["label", "forecaster", "split", "component"], "loss")
+
+
+def chosen_entrant(series: DataFrame, split: DataFrame, block: int, seed: int = 20260805) -> DataFrame:
+    """(label, entrant, half_life, validation, n_validation, test, frozen, n, gain, ci_low, ci_high, excludes_zero): of the EWMA
+    entrants of a ladder (label, origin, entrant, capture_6) the one with the largest mean validation capture, ties to
+    the shorter half-life, held against frozen at the test origins."""
+    known = tables.cut(series.join(split, ["label", "origin"]))
+    tried = known.where("entrant like 'ewma%' and split = 'validation'").groupBy("label", "entrant").agg(F.avg("capture_6").alias("validation"), F.count(F.lit(1)).alias("n_validation")).withColumn("half_life", F.substring_index("entrant", "_", -1).cast("int"))
+    best = tried.groupBy("label").agg(F.min_by("entrant", F.struct(-F.col("validation"), "half_life")).alias("entrant"))
+    choice = tried.join(best, ["label", "entrant"])
+    test = known.where("split = 'test'")
+    pairs = test.join(choice.select("label", "entrant"), ["label", "entrant"]).join(test.where("entrant = 'frozen'").select("label", "origin", F.col("capture_6").alias("f")), ["label", "origin"]).withColumn("gain", F.col("capture_6") - F.col("f"))
+    means = pairs.groupBy("label", "entrant").agg(F.avg("capture_6").alias("test"), F.avg("f").alias("frozen"))
+    told = jobs.intervals(pairs, block, by=("label", "entrant"), seed=seed).withColumnRenamed("mean", "gain")
+    return choice.join(means, ["label", "entrant"]).join(told, ["label", "entrant"])
+
+
 # -- the coupling model ------------------------------------------------------------------------------------
 
 
