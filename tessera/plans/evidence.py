@@ -850,3 +850,16 @@ def _exchanges(spark, sf):
         one = R.exchanged_days(levels, grid, 10, bins, tail).select("label", F.lit(kind).alias("kind"), "replicate", "t", "source")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query("erse_diagnostics", matrices_sql(36, 6) + """, x AS (SELECT label, origin, i, j, v FROM c WHERE i <> j)
+SELECT label, CAST(origin AS INTEGER) AS w, round(avg(CASE WHEN v > 0 THEN 1 ELSE 0 END), 6) AS positive_fraction, round(min(v), 6) AS minimum FROM x GROUP BY label, origin""")
+def _erse_diagnostics(spark, sf):
+    """What the rotation of eigenvectors rests on: how many correlations of a window are positive, and the smallest."""
+    return jobs.erse_states(panel_of(spark, sf), 36, 6).select("label", "w", r("positive_fraction"), r("minimum"))
+
+
+@query("attribution_by_delta")
+def _by_delta(spark, sf):
+    """What the direction to the rotated eigenvectors explains of the motions, for three deltas side by side."""
+    return jobs.attribution_summary(jobs.attribution_of(jobs.erse_states(panel_of(spark, sf), 36, 6, (0.15, 0.25, 0.35)), 1))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import coupling, estimators, flags, inference, spectra
@@ -141,31 +141,71 @@ def flag_losses(panel: DataFrame, t_in: int, horizon: int, step: int, names=tupl
     return triples(panel, t_in, horizon, step).repartition("label", "w").mapInPandas(run, schema)
 
 
-def attribution(panel: DataFrame, t_in: int, horizon: int, step: int) -> DataFrame:
-    """(label, example, component, persistence, attributed, residual_cosine): how far the next motion follows
-    the last one, and what of it the direction to the rotated eigenvectors explains."""
-    schema = "label string, example int, component string, persistence double, attributed double, residual_cosine double"
+def erse_states(panel: DataFrame, t_in: int, step: int, deltas: tuple[float, ...] = (0.25,)) -> DataFrame:
+    """(label, delta, w, frame, target, rotations, positive_fraction, minimum) of rolling windows: the leading frame, that of
+    the rotated eigenvectors whose squared sums are delta or more, how many rotations that took, and of the window's
+    correlations the share that is positive and the smallest. A delta that no rotation reaches has no row. Kept."""
+
+    def kernel(label, origin, names, past, ahead):
+        corr, rows = spectra.covariance(spectra.adjusted(past)), []
+        frame = spectra.eigenpairs(corr, 6)[1]
+        for delta in deltas:
+            try:
+                told = estimators.erse(corr, delta)
+            except (ValueError, ArithmeticError):
+                continue
+            rows.append([label, float(delta), origin, frame.ravel().tolist(), told["vectors"][:, :6].ravel().tolist(), len(told["rotations"]), told["positive_fraction"], told["minimum"]])
+        return rows
+
+    return tables.cut(map_windows(panel, t_in, 0, step, kernel, "label string, delta double, w int, frame array<double>, target array<double>, rotations int, positive_fraction double, minimum double"))
+
+
+def attribution_of(states: DataFrame, k: int) -> DataFrame:
+    """(label, delta, example, component, persistence, attributed, residual_cosine) of erse_states: how far the motion over the
+    next k windows follows the last one, and what of it the direction to the rotated eigenvectors explains."""
+    none = F.lit(None).cast("array<double>")
+    place = lambda shift, **held: F.struct((F.col("w") + shift).alias("example"), *[held.get(c, none).alias(c) for c in ("past", "now", "future", "target")])
+    frame = F.col("frame")
+    sent = states.select("label", "delta", F.explode(F.array(place(k, past=frame), place(0, now=frame, target=F.col("target")), place(-k, future=frame))).alias("p")).select("label", "delta", "p.*")
+    met = sent.groupBy("label", "delta", "example").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("past", "now", "future", "target")]).where("past is not null and now is not null and future is not null")
+    names = ["label", "delta", "example", "component", "persistence", "attributed", "residual_cosine"]
 
     def run(batches):
-        for frame in batches:
+        for batch in batches:
             rows = []
-            for label, w, now, x, past, future in frame[["label", "w", "now", "x", "past", "future"]].itertuples(index=False):
-                past, now, future = map(_frame, (past, now, future))
-                target = estimators.erse_frame(np.asarray(x, float).reshape(len(now), -1))
+            for r in batch.itertuples(index=False):
+                past, now, future, target = map(_frame, (r.past, r.now, r.future, r.target))
                 back, on, to = (flags.component_logs(now, f) for f in (past, future, target))
                 for c in on:
                     d = (on[c].shape[1],)
                     _, share, _ = flags.residual((on[c],), (to[c],), d)
                     a, b = (flags.residual((m,), (to[c],), d)[0][0] for m in (-back[c], on[c]))
-                    rows.append([label, w, c, flags.tangent_cosine(-back[c], on[c]), share, flags.tangent_cosine(a, b)])
+                    rows.append([r.label, r.delta, r.example, c, flags.tangent_cosine(-back[c], on[c]), share, flags.tangent_cosine(a, b)])
                 full = [flags.flag_log(now, f) for f in (past, future, target)]
                 incoming = tuple(-h for h in full[0])
                 _, share, _ = flags.residual(full[1], full[2])
                 a, b = (flags.residual(m, full[2])[0] for m in (incoming, full[1]))
-                rows.append([label, w, "flag_nested", flags.cosine(incoming, full[1]), share, flags.cosine(a, b)])
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+                rows.append([r.label, r.delta, r.example, "flag_nested", flags.cosine(incoming, full[1]), share, flags.cosine(a, b)])
+            yield pd.DataFrame(rows, columns=names)
 
-    return triples(panel, t_in, horizon, step).repartition("label", "w").mapInPandas(run, schema)
+    return met.mapInPandas(run, "label string, delta double, example int, component string, persistence double, attributed double, residual_cosine double")
+
+
+def attribution(panel: DataFrame, t_in: int, horizon: int, step: int) -> DataFrame:
+    """(label, example, component, persistence, attributed, residual_cosine) with a delta of 0.25."""
+    return attribution_of(erse_states(panel, t_in, step), horizon // step).drop("delta")
+
+
+def attribution_summary(rows: DataFrame) -> DataFrame:
+    """(label, delta, component, n, and of persistence, attributed and residual_cosine mean, median and positive share;
+    contrast): deltas side by side. contrast is the mean of what a delta attributes beyond the smallest one at the same
+    example. NaN values do not count."""
+    sound = {c: F.when(~F.isnan(c), F.col(c)) for c in ("persistence", "attributed", "residual_cosine")}
+    clean = rows.select("label", "delta", "example", "component", *[v.alias(c) for c, v in sound.items()])
+    least = F.first("attributed").over(Window.partitionBy("label", "component", "example").orderBy("delta"))
+    clean = clean.withColumn("gap", F.col("attributed") - least)
+    told = [f(c).alias(f"{c}_{n}") for c in sound for n, f in (("mean", F.avg), ("median", lambda x: F.expr(f"percentile({x}, 0.5)")), ("positive", lambda x: F.avg((F.col(x) > 0).cast("double"))))]
+    return clean.groupBy("label", "delta", "component").agg(F.count(F.lit(1)).alias("n"), *told, F.avg("gap").alias("contrast"))
 
 
 MODES = {"standardised": spectra.adjusted, "raw": spectra.unit_variance}

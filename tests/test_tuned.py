@@ -173,3 +173,54 @@ def test_modes_side_by_side(spark, panel):
         a, b = (np.array(told[m]) for m in ("standardised", "raw"))
         r = got[label, "top_3"]
         assert r.n == len(a) and [r.standardised_mean, r.raw_median, r.raw_positive, r.contrast, r.contrast_positive] == pytest.approx([a.mean(), np.median(b), (b > 0).mean(), (a - b).mean(), (a > b).mean()], abs=1e-9)
+
+
+def test_the_entrant_is_chosen_on_validation_alone(spark):
+    from tessera.operators import resampling
+    from tessera.plans import selection
+
+    rng = np.random.default_rng(6)
+    split = {o: "validation" if o < 8 else "test" if o >= 10 else "purged" for o in range(30)}
+    captures = {(label, e, o): float(rng.random()) for label in "pq" for e in ("frozen", "ewma_10", "ewma_21", "oas") for o in split}
+    for o in range(8):  # a tie on validation goes to the shorter half-life; test would choose the other one
+        captures["p", "ewma_10", o] = captures["p", "ewma_21", o] = 0.5
+    for o in range(10, 30):
+        captures["p", "ewma_21", o] = 2.0
+    series = spark.createDataFrame([(label, o, e, v) for (label, e, o), v in captures.items()], "label string, origin int, entrant string, capture_6 double").repartition(3)
+    frame = spark.createDataFrame([(label, o, s) for label in "pq" for o, s in split.items()], "label string, origin int, split string")
+    got = {r.label: r for r in selection.chosen_entrant(series, frame, 4).collect()}
+    for label in "pq":
+        mean = {e: np.mean([captures[label, e, o] for o in range(8)]) for e in ("ewma_10", "ewma_21")}
+        best = min(mean, key=lambda e: (-round(mean[e], 12), int(e[5:])))
+        gains = [captures[label, best, o] - captures[label, "frozen", o] for o in range(10, 30)]
+        r = got[label]
+        assert (r.entrant, r.half_life, r.n_validation, r.n) == (best, int(best[5:]), 8, 20) and [r.validation, r.gain] == pytest.approx([mean[best], np.mean(gains)])
+        pairs = spark.createDataFrame([(label, o, g) for o, g in zip(range(10, 30), gains)], "label string, origin int, gain double")
+        alone = resampling.block_intervals(pairs, "gain", "origin", 4, ["label"]).first()
+        assert [r.ci_low, r.ci_high] == pytest.approx([alone.ci_low, alone.ci_high])
+
+
+def test_attribution_by_delta(spark, panel):
+    states = jobs.erse_states(panel.where("label = 'calm'"), 40, 10, (0.15, 0.3))
+    rows = {(r.delta, r.example, r.component): r for r in jobs.attribution_of(states, 2).collect()}
+    x = WORLDS["calm"]
+    corr = [spectra.covariance(spectra.adjusted(x[:, s : s + 40])) for s in range(0, 201, 10)]
+    now, past, future = (spectra.eigenpairs(corr[i], 6)[1] for i in (7, 5, 9))
+    to = flags.component_logs(now, estimators.erse(corr[7], 0.3)["vectors"][:, :6])["top_3"]
+    on, back = flags.component_logs(now, future)["top_3"], flags.component_logs(now, past)["top_3"]
+    share = np.vdot(on, to) ** 2 / np.vdot(on, on) / np.vdot(to, to)
+    r = rows[0.3, 7, "top_3"]
+    assert r.attributed == pytest.approx(share) and r.persistence == pytest.approx(-np.vdot(back, on) / np.linalg.norm(back) / np.linalg.norm(on))
+    got = {(r.delta, r.component): r for r in jobs.attribution_summary(jobs.attribution_of(states, 2)).collect()}
+    examples = sorted({k[1] for k in rows})
+    a, b = (np.array([rows[d, e, "top_3"].attributed for e in examples]) for d in (0.15, 0.3))
+    assert got[0.3, "top_3"].contrast == pytest.approx((b - a).mean()) and got[0.15, "top_3"].contrast == 0 and got[0.3, "top_3"].attributed_median == pytest.approx(np.median(b)) and got[0.3, "top_3"].n == len(examples)
+
+
+def test_geometry_of_neighbours(panel):
+    states = jobs.spectral_states(panel.where("label = 'wild'"), 40, 40, 3, 6)
+    got = {r.w: r for r in jobs.neighbour_geometry(states, 3).collect()}
+    u, v = (spectra.eigenpairs(spectra.covariance(spectra.adjusted(WORLDS["wild"][:, s : s + 40])))[1] for s in (40, 80))
+    angle = np.arccos(abs(u[:, 0] @ v[:, 0]))
+    assert sorted(got) == [0, 1, 2, 3, 4] and [got[1].squared_cosines, got[1].market_angle, got[1].geodesic_length, got[1].midpoint_angle] == pytest.approx([np.square(u[:, :3].T @ v[:, :3]).sum(), angle, angle, angle / 2])
+    assert abs(got[1].missed) < 1e-9
