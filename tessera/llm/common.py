@@ -43,11 +43,17 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(name, str(rows))
 
 
-def tidy(task):
+MODELS: dict = {}  # what the tasks of one operator keep in a worker from partition to partition
+
+
+def tidy(task, keeps: bool = False):
     """task, for mapInArrow, so that memory it has freed goes back to the system when a partition begins and
-    ends: Python workers live on from stage to stage, and what they hold idly counts against their executor."""
+    ends: Python workers live on from stage to stage, and what they hold idly counts against their executor.
+    A task that does not keep MODELS drops those that another operator has left in its worker."""
 
     def run(batches):
+        if not keeps:
+            _drop_models()
         _trim()
         yield from task(batches)
         _trim()
@@ -55,6 +61,10 @@ def tidy(task):
     return run
 
 
+def _drop_models() -> None:
+    MODELS.clear()  # by a function of this module: a task's own globals are a copy of the driver's
+
+
 def _trim() -> None:
     pa.default_memory_pool().release_unused()
     try:

@@ -267,22 +267,20 @@ class Pieces(Vocabulary):
         return out
 
 
-_decoders: dict[bytes, Vocabulary] = {}
-_encoders: dict[bytes, Encoder] = {}
-
-
 def decoder(model: bytes) -> Vocabulary:
-    """The model's vocabulary, kept while the process lives."""
-    if model not in _decoders:
-        _decoders[model] = Vocabulary(model)
-    return _decoders[model]
+    """The model's vocabulary, kept while the worker decodes or encodes."""
+    return _kept("decoder", model, Vocabulary)
 
 
 def encoder(model: bytes) -> Encoder:
-    """The model's encoder, kept with its words and what it has learnt of its pairs while the process lives."""
-    if model not in _encoders:
-        _encoders[model] = Encoder(Pieces(model))
-    return _encoders[model]
+    """The model's encoder, kept with its words and what it has learnt of its pairs while the worker encodes or decodes."""
+    return _kept("encoder", model, lambda m: Encoder(Pieces(m)))
+
+
+def _kept(kind: str, model: bytes, make):
+    if (kind, model) not in common.MODELS:
+        common.MODELS[kind, model] = make(model)
+    return common.MODELS[kind, model]
 
 
 class Encoder:
@@ -401,7 +399,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, text_col: str = "text", ids
             offsets = np.cumsum(np.concatenate(sizes)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*batch.schema.names, ids_col])
 
-    return docs.mapInArrow(common.tidy(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{ids_col}` array<int>")
+    return docs.mapInArrow(common.tidy(run, keeps=True), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{ids_col}` array<int>")
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -435,7 +433,7 @@ def decode(encoded: DataFrame, model_path: str = MODEL, ids_col: str = "ids", te
                 text = pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, text_col])
 
-    return encoded.mapInArrow(common.tidy(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + f", `{text_col}` string")
+    return encoded.mapInArrow(common.tidy(run, keeps=True), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + f", `{text_col}` string")
 
 
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:

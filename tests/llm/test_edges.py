@@ -5,6 +5,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_operators import SF, components, corpus, frame, words
@@ -168,3 +169,16 @@ def test_keep_first_takes_no_column_of_the_table(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, digest string, _digest_ string")
     got = exact_dedup.keep_first(docs)
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [1, 3, 4]
+
+
+def test_a_worker_keeps_the_models_of_one_operator(spark):
+    def held(keeps):
+        def count(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([len(common.MODELS)] * batch.num_rows, pa.int64())], names=["n"])
+
+        return {r.n for r in spark.range(8, numPartitions=4).mapInArrow(common.tidy(count, keeps=keeps), "n long").collect()}
+
+    docs = spark.createDataFrame([(k, f"some words {k}") for k in range(64)], "doc_id long, text string").repartition(4)
+    assert sentencepieces.encode(docs).count() == 64 and sentencepieces.encode(docs).selectExpr("sum(size(ids))").first()[0] > 64
+    assert held(False) == {0}
