@@ -30,6 +30,16 @@ FORECASTERS = {
 }
 
 
+def pair_covariances(panel: DataFrame, t_in: int, t_out: int, step: int, half_life: float | None = None) -> DataFrame:
+    """(label, origin, i, j, cov) for each pair of names, i <= j, of each estimation window: plain or exponentially weighted."""
+
+    def kernel(label, origin, names, past, ahead):
+        cov = spectra.covariance(past) if half_life is None else estimators.ewma(past, half_life=half_life)
+        return [[label, origin, names[i], names[j], float(cov[i, j])] for i in range(len(names)) for j in range(i, len(names))]
+
+    return map_windows(panel, t_in, t_out, step, kernel, "label string, origin int, i string, j string, cov double")
+
+
 def capture_ladder(panel: DataFrame, t_in: int, t_out: int, step: int) -> DataFrame:
     """Frozen capture, ceiling and floor of each origin. The target is in units of the estimation window only."""
 

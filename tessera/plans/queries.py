@@ -178,26 +178,14 @@ def _scaling(spark, sf):
     return W.estimation_scaling(W.assign_windows(panel_of(spark, sf), T_IN, T_OUT, STEP)).select("label", "origin", "name", r("sigma", 8), r("reference", 8))
 
 
-def pair_moments(windowed: DataFrame, half_life: float | None = None) -> DataFrame:
-    """(label, origin, i, j, cov): plain or exponentially weighted covariance of each pair of names, i <= j."""
-    past = windowed.where("role = 'estimation'").select("label", "origin", "name", "k", "x")
-    left, right = past.withColumnRenamed("name", "i").withColumnRenamed("x", "a"), past.withColumnRenamed("name", "j").withColumnRenamed("x", "b")
-    both = left.join(right, ["label", "origin", "k"]).where("i <= j")
-    if half_life is None:
-        return both.groupBy("label", "origin", "i", "j").agg(F.covar_pop("a", "b").alias("cov"))
-    w = F.pow(F.lit(0.5), -F.col("k") / F.lit(half_life))
-    s = lambda c: F.sum(w * c) / F.sum(w)
-    return both.groupBy("label", "origin", "i", "j").agg((s(F.col("a") * F.col("b")) - s(F.col("a")) * s(F.col("b"))).alias("cov"))
-
-
 @query("sample_covariance", WINDOW_SQL + " SELECT a.label, a.origin, a.name AS i, b.name AS j, round(covar_pop(a.x, b.x), 10) AS cov FROM e a JOIN e b ON a.label = b.label AND a.origin = b.origin AND a.k = b.k AND a.name <= b.name GROUP BY ALL")
 def _cov(spark, sf):
-    return pair_moments(W.assign_windows(panel_of(spark, sf), T_IN, T_OUT, STEP)).select("label", "origin", "i", "j", r("cov", 10))
+    return jobs.pair_covariances(panel_of(spark, sf), T_IN, T_OUT, STEP).select("label", "origin", "i", "j", r("cov", 10))
 
 
 @query("ewma_covariance", WINDOW_SQL + ", w AS (SELECT *, pow(0.5, -k / 21.0) AS w FROM e) SELECT a.label, a.origin, a.name AS i, b.name AS j, round(sum(a.w * a.x * b.x) / sum(a.w) - sum(a.w * a.x) / sum(a.w) * (sum(a.w * b.x) / sum(a.w)), 10) AS cov FROM w a JOIN w b ON a.label = b.label AND a.origin = b.origin AND a.k = b.k AND a.name <= b.name GROUP BY ALL")
 def _ewma(spark, sf):
-    return pair_moments(W.assign_windows(panel_of(spark, sf), T_IN, T_OUT, STEP), 21.0).select("label", "origin", "i", "j", r("cov", 10))
+    return jobs.pair_covariances(panel_of(spark, sf), T_IN, T_OUT, STEP, 21.0).select("label", "origin", "i", "j", r("cov", 10))
 
 
 @query("market_residual", WINDOW_SQL + ", m AS (SELECT label, origin, k, avg(x) AS m FROM e GROUP BY ALL), b AS (SELECT label, origin, name, regr_slope(x, m) AS beta, regr_intercept(x, m) AS alpha FROM e JOIN m USING (label, origin, k) GROUP BY ALL) SELECT label, origin, name, CAST(k AS INTEGER) AS k, round(x - alpha - beta * m, 8) AS residual FROM e JOIN m USING (label, origin, k) JOIN b USING (label, origin, name)")
