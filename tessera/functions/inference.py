@@ -16,39 +16,6 @@ def generator(seed: int, tag: str, replicate: int = 0) -> np.random.Generator:
     return np.random.default_rng([seed, zlib.crc32(tag.encode()), replicate])
 
 
-def block_interval(values, block: int, rng: np.random.Generator, repetitions: int = 2000, quantiles=(0.025, 0.975)) -> tuple[float, float, float]:
-    """(low, high, blocks that fit) of the mean, by circular blocks. With fewer than two blocks the
-    resamples are rotations and the interval has no width: read the third value before the first two."""
-    x = np.asarray(values, float)
-    if x.ndim != 1 or not x.size:
-        raise ValueError("a vector is needed")
-    n = x.size
-    block = int(min(max(1, block), n))
-    start = rng.integers(0, n, (repetitions, -(-n // block)))
-    at = (start[..., None] + np.arange(block)) % n
-    low, high = np.quantile(x[at.reshape(repetitions, -1)[:, :n]].mean(axis=1), quantiles)
-    return float(low), float(high), n / block
-
-
-def block_permutation(n: int, block: int, rng: np.random.Generator, tail: str = "free") -> np.ndarray:
-    """Days with whole blocks exchanged. The short last block moves with the others, or stays ("fixed")."""
-    blocks = np.split(np.arange(n), range(block, n, block))
-    last = [blocks.pop()] if tail == "fixed" and len(blocks[-1]) < block else []
-    return np.concatenate([blocks[k] for k in rng.permutation(len(blocks))] + last)
-
-
-def matched_permutation(panel, block: int, bins: int, rng: np.random.Generator) -> np.ndarray:
-    """Blocks exchanged among those of like volatility: whole blocks, ranked by mean square, cut into bins."""
-    x = np.asarray(panel, float)
-    n = x.shape[1]
-    whole = np.arange(n // block * block).reshape(-1, block)
-    level = np.square(x[:, whole]).mean(axis=(0, 2))
-    source = np.arange(len(whole))
-    for part in np.array_split(np.argsort(level, kind="stable"), bins):
-        source[part] = rng.permutation(part)
-    return np.r_[whole[source].ravel(), np.arange(whole.size, n)]
-
-
 def upper_p(observed: float, null) -> float:
     """(1 + draws at least as large) / (draws + 1); NaN draws are left out."""
     draws = np.asarray(null, float)

@@ -32,48 +32,54 @@ def packed(panel: DataFrame) -> DataFrame:
     return panel.groupBy("label").agg(F.count_distinct("name").alias("n"), cells.alias("cells")).select("label", "n", F.col("cells.x").alias("x"))
 
 
-def replicates(panel: DataFrame, draws: DataFrame | int, kernel: Callable[..., list[dict]], schema: str) -> DataFrame:
+def replicates(panel: DataFrame, draws: DataFrame | int, kernel: Callable[..., list[dict]], schema: str, kind: str | None = None, block: int = 6, bins: int = 3, rounds: int = 200, seed: int = 7) -> DataFrame:
     """Rows of kernel(label, replicate, matrix) for every replicate: 0 to draws, or (label, replicate) rows. Further columns
-    of draws go to the kernel as a dict in a fourth place. schema: label string, replicate int, then the kernel's columns."""
+    of draws go to the kernel as a dict in a fourth place. schema: label string, replicate int, then the kernel's columns.
+
+    By kind, the matrices of replicates above 0 are redrawn: calendar exchanges blocks of days (the short last one with
+    the others), volatility whole blocks within strata of their level, both by resampling.exchanged_days, whose draws are
+    hashes; iaaft makes surrogates by a generator seeded by (seed, label, replicate)."""
     spark = panel.sparkSession
     flat = tables.cut(packed(panel))  # one row a label: read for its labels, its size and its cells
     grid = flat.select("label").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(draws)))) if isinstance(draws, int) else draws
     given = [c for c in grid.columns if c not in ("label", "replicate")]
+    moved = kind in ("calendar", "volatility")
+    if moved:
+        levels = tables.cut(P.variance_path(panel))
+        days = R.exchanged_days(levels, grid.select("label", "replicate").distinct(), block, bins if kind == "volatility" else 1, "fixed" if kind == "volatility" else "free", seed)
+        # a replicate's days in their new order: one list of as many numbers as a label has days
+        orders = days.groupBy("label", "replicate").agg(F.sort_array(F.collect_list(F.struct("t", "source"))).alias("o")).select("label", "replicate", F.col("o.source").alias("_order_"))
+        grid = grid.join(orders, ["label", "replicate"])
     if (flat.agg(F.sum(F.size("x"))).first()[0] or 0) <= BROADCAST_CELLS:
         both = grid.repartition(spark.sparkContext.defaultParallelism * 2, "label", "replicate", *given).join(F.broadcast(flat), "label")
     else:  # each replicate's matrix travels by itself
         both = grid.join(flat, "label").repartition("label", "replicate", *given)
-    names = [c.split()[0] for c in schema.split(", ")]
+    names, order = [c.split()[0] for c in schema.split(", ")], ["_order_"] * moved
 
     def run(batches):
         for frame in batches:
-            for label, k, n, x, *more in frame[["label", "replicate", "n", "x", *given]].itertuples(index=False):
-                rows = kernel(label, int(k), np.asarray(x, float).reshape(int(n), -1), *[dict(zip(given, more))] * bool(given))
+            for label, k, n, x, *more in frame[["label", "replicate", "n", "x", *given, *order]].itertuples(index=False):
+                x = np.asarray(x, float).reshape(int(n), -1)
+                if moved:
+                    x = x[:, np.asarray(more.pop(), int)]
+                elif kind == "iaaft" and k:
+                    x = inference.iaaft_panel(x, inference.generator(seed, f"{label}/iaaft", int(k)), rounds)
+                rows = kernel(label, int(k), x, *[dict(zip(given, more))] * bool(given))
                 yield pd.DataFrame([{"label": label, "replicate": k, **row} for row in rows], columns=names)
 
-    return both.select("label", "replicate", "n", "x", *given).mapInPandas(run, schema)
-
-
-def redrawn(x: np.ndarray, kind: str, label: str, k: int, block: int = 6, bins: int = 3, rounds: int = 200, seed: int = 7) -> np.ndarray:
-    """Replicate k of a matrix: 0 is the matrix; calendar and volatility exchange blocks of days, iaaft makes surrogates."""
-    if not k:
-        return x
-    rng = inference.generator(seed, f"{label}/{kind}", k)
-    if kind == "iaaft":
-        return inference.iaaft_panel(x, rng, rounds)
-    return x[:, inference.block_permutation(x.shape[1], block, rng) if kind == "calendar" else inference.matched_permutation(x, block, bins, rng)]
+    return both.select("label", "replicate", "n", "x", *given, *order).mapInPandas(run, schema)
 
 
 def motions(panel: DataFrame, draws: DataFrame | int, t_in: int, horizon: int, step: int, kind: str = "calendar", market: bool = True, **how) -> DataFrame:
     """(label, replicate, origin, component, cosine, incoming_speed, outgoing_speed) of every replicate."""
-    kernel = lambda label, k, x: inference.motion_rows(redrawn(x, kind, label, k, **how), t_in, horizon, step, market)
-    return replicates(panel, draws, kernel, "label string, replicate int, origin int, component string, " + ", ".join(f"{c} double" for c in MOTION))
+    kernel = lambda label, k, x: inference.motion_rows(x, t_in, horizon, step, market)
+    return replicates(panel, draws, kernel, "label string, replicate int, origin int, component string, " + ", ".join(f"{c} double" for c in MOTION), kind, **how)
 
 
 def deletions(panel: DataFrame, draws: DataFrame | int, t_in: int, horizon: int, step: int, kind: str = "volatility", **how) -> DataFrame:
     """(label, replicate, origin, component, and the columns DELETION) of every replicate."""
-    kernel = lambda label, k, x: inference.deletion_rows(redrawn(x, kind, label, k, **how), t_in, horizon, step)
-    return replicates(panel, draws, kernel, "label string, replicate int, origin int, component string, " + ", ".join(f"{c} double" for c in DELETION))
+    kernel = lambda label, k, x: inference.deletion_rows(x, t_in, horizon, step)
+    return replicates(panel, draws, kernel, "label string, replicate int, origin int, component string, " + ", ".join(f"{c} double" for c in DELETION), kind, **how)
 
 
 def means(series: DataFrame, columns: tuple[str, ...], first: str) -> DataFrame:
@@ -132,8 +138,8 @@ def coherence(panel: DataFrame, draws: int, t_in: int, horizon: int, step: int,
 
 def surrogate_report(panel: DataFrame, draws: int, rounds: int = 200) -> DataFrame:
     """(label, replicate, cross_correlation, original_cross_correlation, spectrum_error, lag1_error) of iaaft surrogates."""
-    kernel = lambda label, k, x: [inference.surrogate_errors(x, redrawn(x, "iaaft", label, k, rounds=rounds))]
-    return replicates(panel, draws, kernel, "label string, replicate int, cross_correlation double, original_cross_correlation double, spectrum_error double, lag1_error double").where("replicate > 0")
+    kernel = lambda label, k, x: [inference.surrogate_errors(x, inference.iaaft_panel(x, inference.generator(7, f"{label}/iaaft", k), rounds))] if k else []
+    return replicates(panel, draws, kernel, "label string, replicate int, cross_correlation double, original_cross_correlation double, spectrum_error double, lag1_error double")
 
 
 def relative_gaps(panel: DataFrame, t_in: int, horizon: int, step: int, market: bool = True) -> DataFrame:
@@ -237,10 +243,10 @@ def resumed_sweep(panel: DataFrame, path: str, cells: DataFrame, draws: int, ste
         schema = "label string, replicate int, t_in int, horizon int, origin int, component string, " + ", ".join(f"{c} double" for c in DELETION)
 
         def kernel(label, k, x, cell):
-            rows = inference.deletion_rows(redrawn(x, kind, label, k, **how), int(cell["t_in"]), int(cell["horizon"]), step)
+            rows = inference.deletion_rows(x, int(cell["t_in"]), int(cell["horizon"]), step)
             return [{**cell, **row} for row in rows]
 
-        made = replicates(panel, left, kernel, schema)
+        made = replicates(panel, left, kernel, schema, kind, **how)
         clean = [F.when(~F.isnan(c), F.col(c)) for c in DELETION]
         summary = made.groupBy(*keys, "component").agg(F.count(clean[0]).alias("n"), *[F.avg(v).alias(f"mean_{c}") for c, v in zip(DELETION, clean)], F.avg((clean[0] > 0).cast("double")).alias("positive_fraction"))
         summary.write.mode("append").partitionBy("t_in", "horizon").parquet(path)

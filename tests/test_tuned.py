@@ -141,14 +141,15 @@ def test_a_killed_sweep_goes_on(spark, panel, tmp_path, monkeypatch):
     path, made = str(tmp_path / "sweep"), []
     real = nulls.replicates
 
-    def watched(panel, draws, *more):
+    def watched(panel, draws, *more, **how):
         made.append(sorted((r.label, r.t_in, r.horizon, r.replicate) for r in draws.collect()))
-        return real(panel, draws, *more)
+        return real(panel, draws, *more, **how)
 
     monkeypatch.setattr(nulls, "replicates", watched)
     nulls.resumed_sweep(panel, path, cells, 1, 6)
-    def killed(kernel_panel, draws, kernel, schema):
-        return real(kernel_panel, draws, lambda label, k, x, cell: 1 / 0, schema)
+
+    def killed(kernel_panel, draws, kernel, schema, *more):
+        return real(kernel_panel, draws, lambda label, k, x, cell: 1 / 0, schema, *more)
 
     monkeypatch.setattr(nulls, "replicates", killed)
     with pytest.raises(Exception, match="division by zero"):
@@ -224,3 +225,16 @@ def test_geometry_of_neighbours(panel):
     angle = np.arccos(abs(u[:, 0] @ v[:, 0]))
     assert sorted(got) == [0, 1, 2, 3, 4] and [got[1].squared_cosines, got[1].market_angle, got[1].geodesic_length, got[1].midpoint_angle] == pytest.approx([np.square(u[:, :3].T @ v[:, :3]).sum(), angle, angle, angle / 2])
     assert abs(got[1].missed) < 1e-9
+
+
+@pytest.mark.parametrize("kind, bins, tail", [("calendar", 1, "free"), ("volatility", 2, "fixed")])
+def test_kernels_get_the_exchanged_days(spark, panel, kind, bins, tail):
+    from tessera.operators import panel as P
+    from tessera.operators import resampling
+
+    kernel = lambda label, k, x: [{"first": float(x[0, t]), "t": t} for t in range(x.shape[1])]
+    got = {(r.label, r.replicate, r.t): r.first for r in nulls.replicates(panel, 2, kernel, "label string, replicate int, first double, t int", kind, block=7, bins=bins).collect()}
+    reps = panel.select("label").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    days = resampling.exchanged_days(P.variance_path(panel), reps, 7, bins, tail, 7).collect()
+    assert len(got) == len(days) == 2 * 3 * 240 and all(got[d.label, d.replicate, d.t] == WORLDS[d.label][0, d.source] for d in days)
+    assert any(d.t != d.source for d in days if d.replicate) and all(d.t == d.source for d in days if not d.replicate)
