@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -863,3 +864,40 @@ def _erse_diagnostics(spark, sf):
 def _by_delta(spark, sf):
     """What the direction to the rotated eigenvectors explains of the motions, for three deltas side by side."""
     return jobs.attribution_summary(jobs.attribution_of(jobs.erse_states(panel_of(spark, sf), 36, 6, (0.15, 0.25, 0.35)), 1))
+
+
+# -- a whole null in SQL: permuted panels, their windows' first vectors, motions, p-values -------------------
+
+_HEAD, _TAIL = matrices_sql(36, 6).split(",\no AS (", 1)
+MARKET_NULL_SQL = (
+    _HEAD
+    + ", lv AS (SELECT label, CAST(t AS BIGINT) AS t, avg(x * x) AS level FROM panel GROUP BY ALL), "
+    + E.exchanged_sql(99, 6, 3)
+    + f""",
+fo AS (SELECT label, k AS replicate, b, days, sum(days) OVER (PARTITION BY label, k ORDER BY {E.draw_sql("7", "label", "k", "b")}, b) - days AS begin FROM bl, range(1, 100) r(k)),
+dy AS (SELECT label, 'calendar' AS kind, replicate, begin + r.k AS t, b * 6 + r.k AS source FROM fo, range(0, 6) r(k) WHERE r.k < days
+       UNION ALL SELECT label, kind, replicate, t, source FROM mv WHERE kind = 'volatility'
+       UNION ALL SELECT label, kind, 0, t, t FROM lv, (VALUES ('calendar'), ('volatility')) q(kind)),
+rp AS (SELECT dy.label || '#' || kind || '#' || replicate AS label, name, CAST(dy.t AS INTEGER) AS t, x FROM dy JOIN panel p ON p.label = dy.label AND p.t = dy.source),
+o AS ("""
+    + re.sub(r"\blv\b", "wl", _TAIL.replace("FROM panel", "FROM rp").replace("JOIN panel", "JOIN rp"))
+    + leading_sql(1)
+    + """,
+v AS (SELECT a.label, a.origin, a.found[1] AS u, p.found[1] AS p, z.found[1] AS z FROM f a JOIN f p ON p.label = a.label AND p.origin = a.origin - 1 JOIN f z ON z.label = a.label AND z.origin = a.origin + 1),
+d AS (SELECT label, origin, u, list_transform(p, lambda a1: a1 * sign(list_dot_product(u, p))) AS p, list_transform(z, lambda a2: a2 * sign(list_dot_product(u, z))) AS z FROM v),
+tn AS (SELECT label, origin, list_transform(p, lambda a3, b3: a3 - u[b3] * list_dot_product(u, p)) AS back, list_transform(z, lambda a4, b4: a4 - u[b4] * list_dot_product(u, z)) AS ahead FROM d),
+ms AS (SELECT split_part(label, '#', 1) AS label, split_part(label, '#', 2) AS kind, CAST(split_part(label, '#', 3) AS INTEGER) AS replicate, count(*) AS n, avg(-list_dot_product(back, ahead) / sqrt(list_dot_product(back, back) * list_dot_product(ahead, ahead))) AS m FROM tn GROUP BY ALL)
+SELECT a.label, a.kind, any_value(a.n) AS n, round(any_value(a.m), 6) AS mean_cosine, round(avg(b.m), 6) AS null_mean, round(quantile_cont(b.m, 0.95), 6) AS null_q95, count(b.m) AS n_null, round((1 + count(*) FILTER (WHERE b.m >= a.m)) / (1 + count(b.m)), 8) AS p
+FROM ms a JOIN ms b ON a.label = b.label AND a.kind = b.kind AND a.replicate = 0 AND b.replicate > 0 GROUP BY a.label, a.kind"""
+)
+
+
+@query("market_motion_null", MARKET_NULL_SQL)
+def _market_motion_null(spark, sf):
+    """Persistence of the market direction's motion against 99 panels with exchanged blocks, of either kind."""
+    panel, out = tables.cut(panel_of(spark, sf)), None
+    for kind in ("calendar", "volatility"):
+        series = nulls.motions(panel, 99, 36, 6, 6, kind).where("component = 'market_1'")
+        told = nulls.held_against(nulls.means(series, nulls.MOTION, "cosine"), "mean_cosine").withColumn("kind", F.lit(kind))
+        out = told if out is None else out.unionByName(told)
+    return out.select("label", "kind", "n", r("mean_cosine"), r("null_mean"), r("null_q95"), "n_null", r("p", 8))
