@@ -26,7 +26,7 @@ from tessera.llm import common, textbytes
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-WORD_BYTES = 32 << 20  # of the words that a worker remembers
+WORD_BYTES = 96 << 20  # of the words that a worker remembers
 PIECE = 1 << 20  # bytes of whole texts that are encoded together
 PAIRS_KEPT = 3 << 16
 DECODE_IDS = 1 << 18
