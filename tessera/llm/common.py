@@ -43,6 +43,7 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(name, str(rows))
 
 
+MARK_WORDS = 17  # log2 of the 64-bit words in the bitmap of without()
 MODELS: dict = {}  # what the tasks of one operator keep in a worker from partition to partition
 
 
@@ -116,6 +117,25 @@ def join_hot(rows: DataFrame, told: DataFrame, keys: list[str], size: str, total
     return spread.unionByName(rows.join(F.broadcast(many.select(*keys)), keys, "left_anti").join(told.where(F.col(size) <= total // hot), keys))
 
 
+def apart(docs: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """docs in two: rows whose id is surely not in the only column of ids (kept; longs), and the others, few
+    more than the rows of these ids. Null is an id as well. The hashes of ids mark a bitmap of fixed size,
+    which is broadcast, so no row of docs is shuffled."""
+    own = ids.columns[0]
+    word = lambda c: F.shiftrightunsigned(F.xxhash64(c.cast("long")), 64 - MARK_WORDS)
+    bit = lambda c: F.xxhash64(c.cast("long")).bitwiseAND(F.lit(63))
+    marks = ids.select(word(ids[own]).alias("word"), bit(ids[own]).alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("bits"))
+    hit = (word(docs[id_col]) == marks["word"]) & (F.getbit(marks["bits"], bit(docs[id_col]).cast("int")) == 1)
+    return docs.join(F.broadcast(marks), hit, "left_anti"), docs.join(F.broadcast(marks), hit, "left_semi")
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows whose id, null or not, is in the only column of gone (kept; longs). Only rows that
+    may go are shuffled and compared by the id itself; the others stay where they are."""
+    stay, unsure = apart(docs, gone, id_col)
+    return stay.union(unsure.join(gone, docs[id_col].eqNullSafe(gone[gone.columns[0]]), "left_anti"))
+
+
 def fold_buckets(rows: DataFrame, size: int, chunks: int = 16) -> np.ndarray:
     """Add up counters that tasks emit as rows (chunk int, counts binary of uint32). Only the sums, of a
     fixed size, come to the driver. Two levels, so that no task reads the parts of all tasks."""

@@ -143,17 +143,19 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = common.keep(groups.select(id_col, "kept"))
     common.free(*read)
     gone = found.where(~F.col("kept")).select(id_col).distinct()
-    left = docs.join(gone, docs[id_col].eqNullSafe(gone[id_col]), "left_anti")
+    left = common.without(docs, gone, id_col)
     again = found.where("kept").groupBy(id_col).count().where("count > 1").select(id_col)
     if again.isEmpty():
         return left
-    same = left[id_col].eqNullSafe(again[id_col])
+    again = common.keep(again)
+    left, repeated = common.apart(left, again, id_col)
+    same = repeated[id_col].eqNullSafe(again[id_col])
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), BLANKS, " ")
     free = "digest"
     while free.lower() in {c.lower() for c in docs.columns}:  # no column of docs may be taken
         free += "_"
-    once = left.join(again, same, "left_semi").withColumn(free, F.sha2(text, 256)).dropDuplicates([free]).drop(free)
-    return left.join(again, same, "left_anti").union(once)
+    once = repeated.join(again, same, "left_semi").withColumn(free, F.sha2(text, 256)).dropDuplicates([free]).drop(free)
+    return left.union(repeated.join(again, same, "left_anti")).union(once)
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:

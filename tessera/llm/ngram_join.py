@@ -291,7 +291,7 @@ def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     found, read = _classes(docs, n, percent, id_col, text_col, 1 << 20, False)
     gone = common.keep(found.where(~F.col("component_id").eqNullSafe(F.col(id_col))).select(id_col).distinct())
     common.free(*read)
-    return docs.join(gone, docs[id_col].eqNullSafe(gone[id_col]), "left_anti")
+    return common.without(docs, gone, id_col)
 
 
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -231,7 +231,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without the rows whose id is predicted toxic; rows of one id (or of the null id) go together."""
     gone = toxicity(docs, labels, id_col, **options).where("predicted = 1").select(F.col(id_col).alias("_gone_")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_"]), "left_anti")
+    return common.without(docs, common.keep(gone), id_col)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:

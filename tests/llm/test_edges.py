@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import SF, components, corpus, frame, words
 
-from tessera.llm import common, epsilon_join, exact_dedup, language_id, ngram_join, pitman_yor, sentencepieces, suffix_dedup, textbytes, url_filter
+from tessera.llm import common, epsilon_join, exact_dedup, language_id, ngram_join, pitman_yor, sentencepieces, suffix_dedup, textbytes, toxicity, url_filter
 
 LONG = "lorem ipsum " * 150_000  # 1.8 MB: more than one piece
 
@@ -182,3 +182,45 @@ def test_a_worker_keeps_the_models_of_one_operator(spark):
     docs = spark.createDataFrame([(k, f"some words {k}") for k in range(64)], "doc_id long, text string").repartition(4)
     assert sentencepieces.encode(docs).count() == 64 and sentencepieces.encode(docs).selectExpr("sum(size(ids))").first()[0] > 64
     assert held(False) == {0}
+
+
+@pytest.mark.parametrize("words_of_marks", [2, 17])
+def test_rows_that_stay_are_not_moved(spark, monkeypatch, words_of_marks):
+    """Each stage shuffles only the rows that may go, whatever the size of its tables; clashing marks, null and
+    repeated ids and clashing columns change no result."""
+    monkeypatch.setattr(common, "MARK_WORDS", words_of_marks)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rng = np.random.default_rng(11)
+        rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 5000, 30))) for k in range(2000)]
+        rows += [(k + 5000, rows[k][1]) for k in range(40)] + [(None, rows[50][1]), (None, None), (7, rows[7][1])]
+        labels = spark.createDataFrame([(k, int(k < 60)) for k in range(2000)], "doc_id long, toxic int")
+        rows = [(i, t if i is None or i >= 60 else f"{t} vile vile") for i, t in rows]
+        docs = common.keep(frame(spark, rows).withColumnRenamed("lang", "_word_").repartition(8))
+        place = docs.select("doc_id", "text", F.spark_partition_id().alias("was")).collect()
+        was = collections.defaultdict(set)
+        for i, t, p in place:
+            was[i, t].add(p)
+        toxic = {r.doc_id for r in toxicity.toxicity(docs, labels).where("predicted = 1").collect()}
+        assert 30 < len(toxic) < 200
+        want = {"toxic": collections.Counter((i, t) for i, t in rows if i not in toxic)}
+        groups = {}
+        for i, t in rows:
+            groups.setdefault(" ".join((t or "").split()), []).append(i)
+        first = {t: min((i for i in own if i is not None), default=None) for t, own in groups.items()}
+        want["exact"] = collections.Counter({(i, t): 1 for i, t in rows if first[" ".join((t or "").split())] == i})
+        left = {"toxic": toxicity.reject_toxic(docs, labels), "exact": exact_dedup.keep_first(docs)}
+        for name, kept in left.items():
+            assert kept.columns == docs.columns
+            got = kept.select("doc_id", "text", F.spark_partition_id().alias("now")).collect()
+            assert collections.Counter((i, t) for i, t, _ in got) == want[name], name
+            stayed = sum(now in was[i, t] for i, t, now in got)
+            assert words_of_marks == 2 or stayed > 0.9 * len(got), (name, stayed)
+        near = ngram_join.keep_one_of_each(docs, 5, 80)
+        component = {r.doc_id: r.component_id for r in ngram_join.jaccard_classes(docs, 5, 80).where("doc_id is not null").collect()}
+        got = near.where("doc_id is not null").select("doc_id", "text", F.spark_partition_id().alias("now")).collect()
+        assert {i for i, _, _ in got} == {i for i, c in component.items() if i == c}
+        assert words_of_marks == 2 or sum(now in was[i, t] for i, t, now in got) > 0.9 * len(got)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
