@@ -35,12 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local[app]}"
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession, rows: int = 2000, read: int = 512) -> None:
     """Send texts to Python workers in batches of fewer rows than the session's default of 10000: a batch
-    is held whole on both sides. A smaller setting of the session stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name, "10000")) > rows or int(spark.conf.get(name, "10000")) <= 0:
-        spark.conf.set(name, str(rows))
+    is held whole on both sides. The Parquet reader's batches get fewer rows than its default of 4096: one
+    of texts is an array of many megabytes, for which the heap grows. Smaller settings of the session stay."""
+    for name, usual, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", rows), ("spark.sql.parquet.columnarReaderBatchSize", "4096", read)):
+        if int(spark.conf.get(name, usual)) > most or int(spark.conf.get(name, usual)) <= 0:
+            spark.conf.set(name, str(most))
 
 
 MARK_WORDS = 17  # log2 of the 64-bit words in the bitmap of without()
@@ -55,9 +56,9 @@ def tidy(task, keeps: bool = False):
     def run(batches):
         if not keeps:
             _drop_models()
-        _trim()
+        trim()
         yield from task(batches)
-        _trim()
+        trim()
 
     return run
 
@@ -66,7 +67,8 @@ def _drop_models() -> None:
     MODELS.clear()  # by a function of this module: a task's own globals are a copy of the driver's
 
 
-def _trim() -> None:
+def trim() -> None:
+    """Give memory that was freed back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -26,8 +26,8 @@ from tessera.llm import common, textbytes
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-WORD_BYTES = 96 << 20  # of the words that a worker remembers
-PIECE = 1 << 20  # bytes of whole texts that are encoded together
+WORD_BYTES = 24 << 20  # of the words that a worker remembers
+PIECE = 1 << 19  # bytes of whole texts that are encoded together
 PAIRS_KEPT = 3 << 16
 DECODE_IDS = 1 << 18
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -284,31 +284,73 @@ def _kept(kind: str, model: bytes, make):
 
 
 class Encoder:
-    """Encodes batches of texts; remembers the words it has seen, up to a bound in bytes."""
+    """Encodes batches of texts; remembers the words it has seen, up to a bound in bytes, in flat arrays:
+    a word's row has its bytes, its marks and its ids, and sorted hashes lead to the rows."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self._forget()
 
     def _forget(self):
-        self.known: dict[str, bytes] = {}
-        self.held = 0
+        self.keys, self.row_of = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.marks, self.word_at, self.id_at = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.bytes, self.ids = np.zeros(0, np.uint8), np.zeros(0, np.int32)
+
+    @property
+    def held(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.row_of, self.marks, self.word_at, self.id_at, self.bytes, self.ids))
 
     @staticmethod
-    def _distinct(data, starts, ends, marks) -> tuple[np.ndarray, np.ndarray]:
-        """(an occurrence of each distinct marked word, each occurrence's word): by hash, and compared byte by byte."""
+    def _distinct(data, starts, ends, marks) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """(an occurrence of each distinct marked word, each occurrence's word, the words' hashes): by hash, and
+        compared byte by byte. No hashes where two words have the same."""
         with np.errstate(over="ignore"):
             keys = textbytes.slice_hash(textbytes.prefix_hash(data), starts, ends) + textbytes.mix(marks.astype(np.uint64))
-        _, at, where = np.unique(keys, return_index=True, return_inverse=True)
+        keys, at, where = np.unique(keys, return_index=True, return_inverse=True)
         like, size = at[where], ends - starts
-        if (size == size[like]).all() and (marks == marks[like]).all():
-            to = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            if np.array_equal(data[to + np.repeat(starts, size)], data[to + np.repeat(starts[like], size)]):
-                return at, where
+        if (size == size[like]).all() and (marks == marks[like]).all() and _alike(data, starts, data, starts[like], size).all():
+            return at, where, keys
         number: dict[tuple[int, bytes], int] = {}  # two words of one hash
         raw = data.tobytes()
         where = np.array([number.setdefault((m, raw[a:b]), len(number)) for m, a, b in zip(marks.tolist(), starts.tolist(), ends.tolist())])
-        return np.unique(where, return_index=True)[1], where
+        return np.unique(where, return_index=True)[1], where, None
+
+    def _rows(self, data, starts, ends, marks, keys) -> np.ndarray:
+        """The rows of distinct marked words; those that are not remembered are encoded first."""
+        rows, size = np.zeros(len(starts), np.int64), ends - starts
+        hit = named = np.zeros(len(starts), bool)  # known by hash and bytes; by hash
+        if keys is not None and len(self.keys):
+            place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            rows, named = self.row_of[place].astype(np.int64), self.keys[place] == keys
+            hit = named & (np.diff(self.word_at)[rows] == size) & (self.marks[rows] == marks)
+            own = np.flatnonzero(hit)
+            hit[own] = _alike(data, starts[own], self.bytes, self.word_at[rows[own]], size[own])
+        new = np.flatnonzero(~hit)
+        if not len(new):
+            return rows
+        raw = data.tobytes()
+        words = [MARK * m + raw[a:b].decode("utf-8", "surrogateescape") for m, a, b in zip(marks[new].tolist(), starts[new].tolist(), ends[new].tolist())]
+        plain = sorted(word for word in words if word[1:2] != MARK)
+        found = dict(zip(plain, self.pieces.encode_sorted(plain)))
+        ids = array("i")
+        sizes = np.zeros(len(new), np.int64)
+        for k, word in enumerate(words):
+            own = found.get(word)
+            if own is None:  # runs of marks have pieces of equal score: merged by definition
+                own = self.pieces.ids(self.pieces.merge(word)) if self.pieces.bpe else self.pieces.encode_sorted([word])[0]
+            ids.extend(own)
+            sizes[k] = len(own)
+        rows[new] = len(self.marks) + np.arange(len(new))
+        self.marks = np.concatenate([self.marks, marks[new].astype(np.int32)])
+        self.bytes = np.concatenate([self.bytes, data[_runs(starts[new], size[new])]])
+        self.ids = np.concatenate([self.ids, np.frombuffer(ids, np.int32)])
+        self.word_at = np.concatenate([self.word_at, self.word_at[-1] + np.cumsum(size[new])])
+        self.id_at = np.concatenate([self.id_at, self.id_at[-1] + np.cumsum(sizes)])
+        if keys is not None:  # a word whose hash is another word's is encoded each time
+            add = new[~named[new]]
+            to = np.searchsorted(self.keys, keys[add])
+            self.keys, self.row_of = np.insert(self.keys, to, keys[add]), np.insert(self.row_of, to, rows[add].astype(np.int32))
+        return rows
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, each text's first index among them, one more at the end)."""
@@ -335,28 +377,25 @@ class Encoder:
         opens = np.concatenate([[True], text_of[1:] != text_of[:-1]]) if len(text_of) else np.zeros(0, bool)
         before = np.where(opens, offsets[text_of], np.concatenate([[0], ends[:-1]]))
         marks = starts - before + (opens if self.pieces.dummy else 0)
-        at, where = self._distinct(data, starts, ends, marks)
+        at, where, keys = self._distinct(data, starts, ends, marks)
         if self.held > WORD_BYTES:
             self._forget()
-        raw = data.tobytes()
-        words = [MARK * m + raw[a:b].decode("utf-8", "surrogateescape") for m, a, b in zip(marks[at].tolist(), starts[at].tolist(), ends[at].tolist())]
-        new = sorted(word for word in words if word not in self.known)
-        plain = [word for word in new if word[1:2] != MARK]
-        found = dict(zip(plain, self.pieces.encode_sorted(plain)))
-        for word in new:
-            ids = found.get(word)
-            if ids is None:  # runs of marks have pieces of equal score: merged by definition
-                ids = self.pieces.ids(self.pieces.merge(word)) if self.pieces.bpe else self.pieces.encode_sorted([word])[0]
-            self.known[word] = array("i", ids).tobytes()
-            self.held += 200 + 2 * len(word) + 4 * len(ids)
-        own = [self.known[word] for word in words]
-        sizes = np.array([len(x) >> 2 for x in own], np.int64)
-        begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        flat = np.frombuffer(b"".join(own), np.int32)
-        size = sizes[where]
+        rows = self._rows(data, starts[at], ends[at], marks[at], keys)[where]
+        size = np.diff(self.id_at)[rows]
         to = np.concatenate([[0], np.cumsum(size)])
-        ids = flat[np.arange(to[-1]) + np.repeat(begin[where] - to[:-1], size)]
-        return ids, to[np.searchsorted(text_of, np.arange(texts + 1))]
+        return self.ids[_runs(self.id_at[rows], size)], to[np.searchsorted(text_of, np.arange(texts + 1))]
+
+
+def _runs(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of runs of these sizes from these starts, end to end."""
+    return np.arange(size.sum()) + np.repeat(starts - np.cumsum(size) + size, size)
+
+
+def _alike(data: np.ndarray, starts: np.ndarray, others: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each slice of data is that of others, of the same size."""
+    differ = np.concatenate([[0], np.cumsum(data[_runs(starts, size)] != others[_runs(at, size)])])
+    end = np.cumsum(size)
+    return differ[end] == differ[end - size]
 
 
 def _batches(column):
@@ -398,6 +437,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, text_col: str = "text", ids
             flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
             offsets = np.cumsum(np.concatenate(sizes)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*batch.schema.names, ids_col])
+            common.trim()
 
     return docs.mapInArrow(common.tidy(run, keeps=True), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{ids_col}` array<int>")
 

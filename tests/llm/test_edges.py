@@ -2,6 +2,7 @@
 
 import collections
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -50,6 +51,49 @@ def test_equal_rules_and_a_hot_empty_key(spark):
     assert len(got) == 41 and got[100] == ("a.b", "/c", "b/c", "allow") and len({got[k] for k in range(40)}) == 1
 
 
+def test_words_that_a_worker_remembers_are_small():
+    """Every Python worker of an executor holds its own: under 100 bytes a word, and the ids are those of a fresh encoder."""
+    with open(sentencepieces.MODEL, "rb") as file:
+        own = sentencepieces.Encoder(sentencepieces.Pieces(file.read()))
+    words = [f"w{k * 7919 % 1000003}" for k in range(60000)]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    own.encode(data[:9].copy(), np.array([0, 9]))
+    tracemalloc.start()
+    ids, first = own.encode(data, np.array([0, len(data)]))
+    own.pieces.pairs.clear(), own.pieces.edges.clear()
+    with_words = tracemalloc.get_traced_memory()[0]
+    own._forget()
+    without = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert with_words - without < 100 * len(words)
+    again, _ = own.encode(data, np.array([0, len(data)]))
+    assert (own.encode(data, np.array([0, len(data)]))[0] == ids).all() and (again == ids).all() and first.tolist() == [0, len(ids)]
+
+
+def test_batches_of_texts_are_small_on_both_sides(spark):
+    read = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(read)
+    try:
+        spark.conf.set(read, "4096")
+        common.small_batches(spark)
+        assert spark.conf.get(read) == "512"
+        spark.conf.set(read, "100")
+        common.small_batches(spark)
+        assert spark.conf.get(read) == "100"
+    finally:
+        spark.conf.set(read, before)
+
+
+def test_a_remembered_word_with_the_hash_of_another_is_told_apart(monkeypatch):
+    with open(sentencepieces.MODEL, "rb") as file:
+        own = sentencepieces.Encoder(sentencepieces.Pieces(file.read()))
+    texts = [np.frombuffer(x, np.uint8) for x in (b"one", b"two", b"three", b"two", b"one", b"six", b"")]
+    want = [own.encode(x, np.array([0, len(x)]))[0].tolist() for x in texts]
+    own._forget()
+    monkeypatch.setattr(textbytes, "slice_hash", lambda prefix, starts, ends: np.zeros(len(starts), np.uint64))
+    assert [own.encode(x, np.array([0, len(x)]))[0].tolist() for x in texts] == want
+
+
 def test_words_of_one_hash_are_told_apart(monkeypatch):
     with open(sentencepieces.MODEL, "rb") as file:
         own = sentencepieces.Encoder(sentencepieces.Pieces(file.read()))
