@@ -5,10 +5,10 @@ words as its parent, whose base is uniform over the training words and one unkno
 Customers are the training tokens; a new table in a context sends one customer to the parent. Seating is
 sampled by Gibbs: a customer leaves and sits down again, at a new table in proportion to (strength +
 discount * tables) * parent probability, else at one of the tables with its dish in proportion to its
-customers less the discount. The customers of a cell (a dish in a restaurant) of up to BLOCK leave and sit
-down together: predictions read only how many tables they take, and that is drawn from its exact law given
-all other cells, the weight of a new table to the power of the tables times a generalised Stirling number.
-In larger cells they go one by one. Predictive probabilities are averaged over the samples.
+customers less the discount. The customers of a cell (a dish in a restaurant) leave and sit down together:
+predictions read only how many tables they take, and that is drawn from its exact law given all other cells,
+the weight of a new table to the power of the tables times a generalised Stirling number, which is tabled
+for up to BLOCK customers and a contour integral for more. Predictive probabilities are averaged over the samples.
 
 Tokens are dealt to buckets by word, so a dish's customers in all contexts meet in one task, packed: each
 flush of a task sends a bucket its distinct words and contexts, then the contexts (and, for scoring, the
@@ -23,7 +23,6 @@ rows; only three sums a round come to the driver.
 from __future__ import annotations
 
 import functools
-import math
 import pickle
 import random
 
@@ -40,7 +39,8 @@ END = np.uint64(0x0E2D0E2D0E2D0E2D)
 START = np.uint64(0x57A2757A2757A275)
 DISCOUNT, STRENGTH = 0.8, 5.0
 SAMPLES, BURN, BETWEEN = 3, 6, 2
-BLOCK = 512  # customers of a cell that are seated together
+BLOCK = 512  # customers of the cells whose law is tabled
+POINTS = 48  # of the contours that give the law of larger cells
 LONE = 48  # fewer cells than this are seated one by one
 BUCKET_TOKENS = 2_000_000
 FLUSH = 1_500_000
@@ -112,7 +112,8 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 class Seating:
-    """The tables of cells and their customers, each seated by itself, for all cells together.
+    """The tables of cells and their customers, each seated by itself, for all cells together: the sampler
+    that draw_tables' law is tested against, for whoever needs the customers' tables. Seats does without.
 
     Cells of one customer have one table; the others keep each customer's table. Customers take turns by
     their place in the cell, all cells at once; where fewer than LONE cells are so long, the rest of each
@@ -243,9 +244,12 @@ def log_stirling(discount: float, limit: int) -> np.ndarray:
 
 
 def draw_tables(customers: np.ndarray, a: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of cells of up to BLOCK customers, given their weights of a new table, from their exact law."""
+    """Tables of cells of customers, given their weights of a new table, from their exact law."""
     law, out, drawn = log_stirling(discount, BLOCK), np.ones(len(customers), np.int64), rng.random(len(customers))
-    order = np.argsort(-customers, kind="stable")
+    large = np.flatnonzero(customers > BLOCK)
+    if len(large):
+        out[large] = _draw_many(customers[large].astype(float), a[large], discount, drawn[large])
+    order = np.argsort(-customers, kind="stable")[len(large) :]
     falling = -customers[order]
     at = 0
     while at < len(order):
@@ -259,53 +263,111 @@ def draw_tables(customers: np.ndarray, a: np.ndarray, discount: float, rng: np.r
     return out
 
 
+def _draw_many(n: np.ndarray, a: np.ndarray, discount: float, drawn: np.ndarray) -> np.ndarray:
+    """draw_tables for cells too large for log_stirling; drawn: where in its law each falls, 0 to 1.
+
+    The Stirling number of n and t is n! / t! times the coefficient of z^n in (F(z) / discount)^t, where
+    F(z) = 1 - (1 - z)^discount. So the law of t is that of Poisson(F(x) a / discount) times the integral of
+    (F(z) / F(x))^t z^(-n-1) along a contour through x, which _contour gives as a sum over some points. Points
+    serve all t of a cell; they are summed as products of steps of one and of many tables."""
+    q, x = _saddles(n, a, discount)
+    reach = -np.expm1(discount * np.log(q))  # F(x), where the mean is n at this many tables:
+    mean = reach * a / discount
+    each = x * discount * q ** (discount - 1) / reach
+    variance = np.maximum(each + x * x * discount * (1 - discount) * q ** (discount - 2) / reach - each * each, 0)
+    half = 9 * np.sqrt(mean * variance / (variance + each * each)) + 20
+    low = np.clip(np.floor(mean - half), 1, n)
+    width = (np.minimum(np.ceil(mean + half), n) - low + 1).astype(np.int64)
+    out = np.zeros(len(n), np.int64)
+    for far in (False, True):
+        cells = np.flatnonzero((q > 0.3) == far)
+        cells = cells[np.argsort(-width[cells], kind="stable")]
+        at = 0
+        while at < len(cells):
+            step = int(np.ceil(np.sqrt(width[cells[at]])))
+            own = cells[at : at + max(1, (1 << 17) // (POINTS * step))]
+            weight, power, shift = _contour(n[own], q[own], x[own], reach[own], variance[own] * np.maximum(low[own], 1), discount, far)
+            coarse = weight[:, None, :] * np.exp(power[:, None, :] * (low[own, None] + step * np.arange(step))[:, :, None])
+            fine = np.exp(power[:, :, None] * np.arange(step))
+            part = (coarse @ fine).real.reshape(len(own), -1)
+            t = low[own, None] + np.arange(step * step)
+            rate = np.log(mean[own]) + shift
+            log = t * rate[:, None] - np.cumsum(np.log(np.maximum(t - (t == low[own, None]) * (t - 1), 1)), axis=1)
+            log[np.arange(step * step) >= width[own, None]] = -np.inf
+            p = (np.exp(log - log.max(axis=1, keepdims=True)) * np.maximum(part, 0)).cumsum(axis=1)
+            out[own] = low[own] + np.minimum((p < drawn[own, None] * p[:, -1:]).sum(axis=1), width[own] - 1)
+            at += len(own)
+    return out
+
+
+def _saddles(n: np.ndarray, a: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """(1 - x, x), where a x (1 - x)^(discount - 1) = n: at x the likeliest tables have n customers."""
+    left, right = np.full(len(n), -600.0), np.full(len(n), 60.0)  # of log((1 - x) / x)
+    for _ in range(70):
+        middle = (left + right) / 2
+        log_x, log_q = -np.logaddexp(0, middle), -np.logaddexp(0, -middle)
+        more = np.log(a) + log_x - (1 - discount) * log_q > np.log(n)
+        left, right = np.where(more, middle, left), np.where(more, right, middle)
+    return np.exp(-np.logaddexp(0, -left)), np.exp(-np.logaddexp(0, left))
+
+
+def _log1p(z: np.ndarray) -> np.ndarray:
+    """numpy's loses the digits of small z."""
+    return 0.5 * np.log1p(z.real * (2 + z.real) + z.imag**2) + 1j * np.arctan2(z.imag, 1 + z.real)
+
+
+def _contour(n, q, x, reach, spread, discount: float, far: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, logarithms of F(z) / F(x'), log F(x') / F(x)) at the points z of a contour through x'.
+
+    z = exp(-s / n). Near the branch point z = 1, s runs on a hyperbola around the negative axis, open so far
+    that neither exp(s) nor F grows along it; x' is at s = 2 at least. Far from it |z| = x, as far as t customers
+    of this spread at the least are told from none: half of the circle at most, the other half is its mirror."""
+    k = np.arange(POINTS) + 0.5
+    if far:
+        start = np.log(x)
+        y = start[:, None] + 1j * k * (np.minimum(np.pi, 9 / np.sqrt(np.maximum(spread, 1e-9))) / POINTS)[:, None]
+        weight = np.exp(-1j * n[:, None] * y.imag)
+    else:
+        open_by = min(np.pi / 8, np.pi / 2 * (1 / discount - 1))
+        s = np.maximum(-n * np.log1p(-q), 2)
+        scale = s / (1 - np.sin(open_by))
+        angle = k * (np.minimum(4.2, 13 / np.sqrt(s)) / POINTS)[:, None]
+        path = scale[:, None] * (1 - np.sin(open_by) * np.cosh(angle) + 1j * np.cos(open_by) * np.sinh(angle))
+        weight = np.exp(path - s[:, None]) * scale[:, None] * (np.cos(open_by) * np.cosh(angle) + 1j * np.sin(open_by) * np.sinh(angle))
+        start, y = -s / n, -path / n[:, None]
+    if far:
+        at = np.log(reach)
+        power = np.log(-np.expm1(discount * _log1p(-np.exp(y))))
+    else:
+        at = np.log(-np.expm1(discount * np.log(-np.expm1(start))))
+        power = _log1p(-np.exp(discount * np.log(-np.expm1(y))))
+    return weight, power - at[:, None], at - np.log(reach)
+
+
 class Seats:
-    """All cells of a bucket: lone customers, cells seated together and cells seated one by one."""
+    """The tables of all cells of a bucket; lone customers have one each."""
 
     def __init__(self, counts: np.ndarray, pull: np.ndarray | None, discount: float, rng: np.random.Generator, state: np.ndarray | None = None):
         """state: what state() gave for these counts; else the customers are seated by pull."""
         self.counts, self.discount, self.rng = counts, discount, rng
         self.many = np.flatnonzero(counts > 1)
-        self.small, self.large = (self.many[x] for x in (counts[self.many] <= BLOCK, counts[self.many] > BLOCK))
+        self.n = state
         if state is None:
-            self.n = draw_tables(counts[self.small], pull[self.small], discount, rng)
-            self.one_by_one = Seating(counts[self.large], pull[self.large], discount, rng)
-        else:
-            self.n = state[: len(self.small)]
-            self.one_by_one = Seating(counts[self.large], None, discount, rng, state[len(self.small) :])
+            self.sweep(pull)
 
     def sweep(self, pull: np.ndarray) -> None:
         """Every customer of every cell leaves and is seated again."""
-        self.n = draw_tables(self.counts[self.small], pull[self.small], self.discount, self.rng)
-        self.one_by_one.sweep(pull[self.large])
+        self.n = draw_tables(self.counts[self.many], pull[self.many], self.discount, self.rng)
 
     def state(self) -> np.ndarray:
-        return np.concatenate([self.n, self.one_by_one.names()])
+        return self.n
 
     def tables(self) -> np.ndarray:
         out = np.minimum(self.counts, 1)
-        out[self.small] = self.n
-        out[self.large] = self.one_by_one.tables()
+        out[self.many] = self.n
         return out
 
 
-def _parents(customers: int, a: float, discount: float, rng: np.random.Generator) -> int:
-    """Tables of one dish after so many customers came one by one, drawn from one new table to the next."""
-    n, at = 1, 1
-    while at < customers:
-        low = discount * n
-        none = lambda j: math.lgamma(j - low) - math.lgamma(at - low) - math.lgamma(a + j - low) + math.lgamma(a + at - low)  # noqa: B023, E731
-        wanted = math.log(max(rng.random(), 1e-300))
-        if none(customers) >= wanted:
-            break
-        left, right = at, customers
-        while right - left > 1:
-            half = (left + right) // 2
-            left, right = (half, right) if none(half) >= wanted else (left, half)
-        n, at = n + 1, right
-    return min(n, customers)
-
-
 class Bucket:
     """The words of a bucket, their cells (word and context) and what is known of contexts' and words' totals."""
 
@@ -379,9 +441,7 @@ class Bucket:
     def _seat_parent(self, parents: float, types: float, rng: np.random.Generator) -> None:
         customers = np.bincount(self.word, self.seats.tables(), len(self.words)).astype(np.int64) * self.single
         base = np.full(len(customers), (STRENGTH + DISCOUNT * parents) / (types + 1))
-        top = Seats(customers, base, DISCOUNT, rng)
-        top.one_by_one.sweep(base[top.large])
-        self.parent = top.tables()
+        self.parent = Seats(customers, base, DISCOUNT, rng).tables()
 
     def sit(self, rng: np.random.Generator) -> None:
         self.seats = Seats(self.counts, None, DISCOUNT, rng, self.seated)
@@ -451,7 +511,7 @@ def _answer(messages, first: bool, base: float, rng: np.random.Generator) -> tup
                 total[at] += g[k]  # a bucket names a key once
             totals.append(total)
         if start:
-            totals.append(np.array([_parents(int(t), base, DISCOUNT, rng) for t in totals[-1]], np.int64))
+            totals.append(Seats(totals[-1], np.full(size, base), DISCOUNT, rng).tables())
             parents, types = int(totals[-1].sum()), int((totals[-2] > 0).sum())
         for at, (source, _) in zip(places, got):
             replies[source] += ([_gaps(at)] if first else []) + [total[at] for total in totals]

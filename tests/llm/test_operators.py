@@ -313,6 +313,25 @@ def test_cells_seated_together_follow_the_law_of_customers_one_by_one():
     assert (again.tables() <= mixed).all() and (again.tables()[:6] >= 1).all()
 
 
+def test_large_cells_are_drawn_from_the_exact_law():
+    """The contour integral and the tabled numbers agree from one table to nearly all, and nothing is kept by customer."""
+    law, t, place = pitman_yor.log_stirling(0.8, 700)[700, 1:], np.arange(1, 701), (np.arange(2000) + 0.5) / 2000
+    laws = []
+    for a in (1e-6, 0.3, 8.0, 90.0, 500.0, 750.0, 3000.0, 1e6):
+        weight = np.exp(law + t * np.log(a) - (law + t * np.log(a)).max())
+        weight /= weight.sum()
+        mean = weight @ t
+        seats = pitman_yor.Seats(np.full(2000, 700), np.full(2000, a), 0.8, np.random.default_rng(4))
+        seats.sweep(np.full(2000, a))
+        assert abs(seats.tables().mean() - mean) <= 5 * math.sqrt(max(weight @ (t - mean) ** 2, 1e-6) / 2000) + 1e-2
+        laws.append((a, weight.cumsum()))
+    for a, below in laws:
+        assert (pitman_yor._draw_many(np.full(2000, 700.0), np.full(2000, a), 0.8, place) == 1 + np.searchsorted(below, place)).all()
+    counts = np.array([1, 40_000, 30_000_000])
+    seats = pitman_yor.Seats(counts, np.array([1.0, 4.0, 900.0]), 0.8, np.random.default_rng(5))
+    assert len(seats.state()) == 2 and seats.tables()[0] == 1 and 1 <= seats.tables()[1] < 30 and 900 < seats.tables()[2] < 1350
+
+
 def test_a_sweep_reseats_every_customer():
     counts = np.array([1] + [50] * 300 + [4000, 700])
     seats = pitman_yor.Seating(counts, np.full(len(counts), 1e-9), 0.8, np.random.default_rng(3))
