@@ -96,13 +96,25 @@ def _sums(gaps: np.ndarray) -> np.ndarray:
     return np.cumsum(gaps.astype(np.uint64), dtype=np.uint64)
 
 
-def _pack(words: np.ndarray, contexts: np.ndarray, last: np.ndarray) -> bytes:
-    """Distinct words (48 bits) and how many tokens each, distinct contexts and each token's, docs or weights."""
-    words = words & LOW48
-    order = np.lexsort((contexts, words))
-    names, counts = np.unique(words, return_counts=True)
-    keys, place = np.unique(contexts[order], return_inverse=True)
-    return _put(_gaps(names), counts, _gaps(keys), place, last[order])
+def _starts(ascending: np.ndarray) -> np.ndarray:
+    """Where runs of equal entries begin."""
+    return np.flatnonzero(np.concatenate([[True], ascending[1:] != ascending[:-1]])) if len(ascending) else np.zeros(0, np.int64)
+
+
+def _pack(words: np.ndarray, contexts: np.ndarray, last: np.ndarray, merge: bool) -> bytes:
+    """Distinct words (48 bits) and how many tokens each, distinct contexts and each token's, docs or weights.
+
+    Tokens are ordered by word, then by the top bits of the context. merge: neighbours of one cell become one
+    with their summed weight; other contexts may stand between some of a cell, these are merged by Bucket.open."""
+    key = (words << np.uint64(16)) | (contexts >> np.uint64(48))
+    order = np.argsort(key, kind="stable")
+    words, contexts, last = key[order] >> np.uint64(16), contexts[order], last[order]
+    if merge:
+        new = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (contexts[1:] != contexts[:-1])]))
+        words, contexts, last = words[new], contexts[new], np.add.reduceat(last, new)
+    first = _starts(words)
+    keys, place = np.unique(contexts, return_inverse=True)
+    return _put(_gaps(words[first]), np.diff(first, append=len(words)), _gaps(keys), place, last)
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -403,12 +415,16 @@ class Bucket:
     def open(self, bodies, rng: np.random.Generator) -> None:
         """Merge the cells that tasks sent and seat their customers by this bucket's own totals."""
         got = [_unpack(x) for x in bodies]
-        words, contexts, weights = _cells(np.concatenate([np.repeat(g[0], g[1]) for g in got]), np.concatenate([g[2][g[3]] for g in got]), np.concatenate([g[4] for g in got]))
-        self.words, self.keys = np.unique(words), np.unique(contexts)
+        self.words, self.keys = (np.unique(np.concatenate([g[k] for g in got])) for k in (0, 2))
+        cells = np.concatenate([(np.repeat(np.searchsorted(self.words, g[0]), g[1]) << 32) | np.searchsorted(self.keys, g[2])[g[3]] for g in got])
+        order = np.argsort(cells, kind="stable")
+        cells = cells[order]
+        first = _starts(cells)
+        weights = np.add.reduceat(np.concatenate([g[4] for g in got])[order], first)
         use = weights > 0  # held-out tokens bring the words and contexts that are asked for later
-        self.counts = weights[use]
-        self.width = np.bincount(np.searchsorted(self.words, words[use]), minlength=len(self.words))
-        self.cell_context = np.searchsorted(self.keys, contexts[use])
+        self.counts, cells = weights[use], cells[first[use]]
+        self.width = np.bincount(cells >> 32, minlength=len(self.words))
+        self.cell_context = cells & 0xFFFFFFFF
         none = np.zeros(0, np.int64)
         self.at = self.c_context = self.t_context = self.w_at = self.c_split = self.t_split = self.p_split = none
         self._index()
@@ -524,14 +540,6 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["bucket", "kind", "source", "body", "tables", "parents", "types"])
 
 
-def _cells(words, contexts, weights):
-    """Sorted distinct (word, context) with summed weights."""
-    key = np.lexsort((contexts, words))
-    words, contexts, weights = words[key], contexts[key], weights[key]
-    new = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (contexts[1:] != contexts[:-1])])) if len(words) else np.zeros(0, np.int64)
-    return words[new], contexts[new], np.add.reduceat(weights, new).astype(np.int64) if len(new) else np.zeros(0, np.int64)
-
-
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held: int = 0, seed: int = 7) -> DataFrame:
     """One row per row of docs: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -572,13 +580,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # the slot is in bits 32 to 47, which the 48 bits kept in a bucket hold
         return sent.value[(words >> np.uint64(32)).astype(np.int64) & 0xFFFF]
 
-    def by_bucket(words, contexts, last, kind, source):
+    def by_bucket(words, contexts, last, source, merge):
         part = textbytes.mix(contexts) % split_of(words).astype(np.uint64)
         bucket = (textbytes.mix(words ^ textbytes.mix(part)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket.astype(np.uint16), kind="stable") if buckets < 65536 else np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         own = [(b, order[edges[b] : edges[b + 1]]) for b in range(buckets) if edges[b + 1] > edges[b]]
-        yield from _rows([(b, kind, source, _pack(words[x], contexts[x], last[x]), None, None, None) for b, x in own]).to_batches()
+        yield from _rows([(b, CHUNK, source, _pack(words[x], contexts[x], last[x], merge), None, None, None) for b, x in own]).to_batches()
 
     def teach(batches):
         words, contexts, weights, waiting = [], [], [], 0
@@ -590,10 +598,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 weights.append(np.repeat(~held[row:end], np.diff(bounds)).astype(np.int64))
                 waiting += len(tokens)
                 if waiting > FLUSH:
-                    yield from by_bucket(*_cells(np.concatenate(words), np.concatenate(contexts), np.concatenate(weights)), CHUNK, 0)
+                    yield from by_bucket(np.concatenate(words), np.concatenate(contexts), np.concatenate(weights), 0, True)
                     words, contexts, weights, waiting = [], [], [], 0
         if waiting:
-            yield from by_bucket(*_cells(np.concatenate(words), np.concatenate(contexts), np.concatenate(weights)), CHUNK, 0)
+            yield from by_bucket(np.concatenate(words), np.concatenate(contexts), np.concatenate(weights), 0, True)
 
     def told_of(bucket, state, first) -> pa.Table:
         asked = state.ask(first)
@@ -657,7 +665,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         def flush():
             """A row for each bucket, and one with the texts' keys: only their places go to the buckets."""
-            yield from by_bucket(np.concatenate(words), np.concatenate(contexts), np.concatenate(docs), CHUNK, number)
+            yield from by_bucket(np.concatenate(words), np.concatenate(contexts), np.concatenate(docs), number, False)
             yield from _rows([(number % buckets, KEYS, number, np.concatenate(keys).tobytes(), None, None, None)]).to_batches()
 
         for batch in batches:
@@ -706,9 +714,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for mass, low, fresh in levels:
                 own = np.where(in_cell, mass[cell_at], 0.0) if len(cell_key) else 0.0
                 p += (own + fresh[context] * low[word]) / (STRENGTH + state.c_context[context])
-            live, own = np.unique(docs, return_inverse=True)
-            n = len(live)
-            return [flush, live.astype(np.uint16).tobytes(), np.bincount(own[count > 0], minlength=n).astype(np.uint32).tobytes(), np.bincount(own, np.log10(count + 0.1), n).tobytes(), np.bincount(own, np.log10(p / SAMPLES), n).tobytes(), None]
+            live = np.flatnonzero(np.bincount(docs))
+            known, base, total = (np.bincount(docs, x)[live] for x in (count > 0, np.log10(count + 0.1), np.log10(p / SAMPLES)))
+            return [flush, live.astype(np.uint16).tobytes(), known.astype(np.uint32).tobytes(), base.tobytes(), total.tobytes(), None]
 
         out = [row(flushes[at], table["body"][at].as_py()) for at, k in enumerate(kinds) if k == CHUNK] + keys
         return pa.table({name: pa.array([r[k] for r in out], pa.binary() if k else pa.int64()) for k, name in enumerate(("flush", "docs", "known", "base", "score", "keys"))})

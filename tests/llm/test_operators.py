@@ -332,6 +332,17 @@ def test_large_cells_are_drawn_from_the_exact_law():
     assert len(seats.state()) == 2 and seats.tables()[0] == 1 and 1 <= seats.tables()[1] < 30 and 900 < seats.tables()[2] < 1350
 
 
+def test_cells_of_flushes_are_merged_whatever_stands_between():
+    """Contexts that begin alike stand between the tokens of a cell; a word that only held-out texts have stays known."""
+    contexts = np.array([5, 6, 5, 6, 5, 7, 1 << 60], np.uint64)
+    words = np.array([9, 9, 9, 9, 9, 2, 3], np.uint64)
+    bodies = [pitman_yor._pack(words, contexts, np.array([1, 1, 1, 1, 0, 0, 1]), True), pitman_yor._pack(words[:2], contexts[:2], np.array([4, 0]), True)]
+    state = pitman_yor.Bucket(lambda w: np.ones(len(w), np.int64), 1)
+    state.open(bodies, np.random.default_rng(0))
+    assert state.words.tolist() == [2, 3, 9] and state.keys.tolist() == [5, 6, 7, 1 << 60] and state.width.tolist() == [0, 1, 2]
+    assert list(zip(state.word.tolist(), state.cell_context.tolist(), state.counts.tolist())) == [(1, 3, 1), (2, 0, 6), (2, 1, 2)]
+
+
 def test_a_sweep_reseats_every_customer():
     counts = np.array([1] + [50] * 300 + [4000, 700])
     seats = pitman_yor.Seating(counts, np.full(len(counts), 1e-9), 0.8, np.random.default_rng(3))
