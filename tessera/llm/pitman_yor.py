@@ -303,8 +303,9 @@ def _draw_many(n: np.ndarray, a: np.ndarray, discount: float, drawn: np.ndarray)
             fine = np.exp(power[:, :, None] * np.arange(step))
             part = (coarse @ fine).real.reshape(len(own), -1)
             t = low[own, None] + np.arange(step * step)
-            rate = np.log(mean[own]) + shift
-            log = t * rate[:, None] - np.cumsum(np.log(np.maximum(t - (t == low[own, None]) * (t - 1), 1)), axis=1)
+            factors = np.log(t)
+            factors[:, 0] = 0  # t! / low! will do
+            log = t * (np.log(mean[own]) + shift)[:, None] - factors.cumsum(axis=1)
             log[np.arange(step * step) >= width[own, None]] = -np.inf
             p = (np.exp(log - log.max(axis=1, keepdims=True)) * np.maximum(part, 0)).cumsum(axis=1)
             out[own] = low[own] + np.minimum((p < drawn[own, None] * p[:, -1:]).sum(axis=1), width[own] - 1)
@@ -324,7 +325,7 @@ def _saddles(n: np.ndarray, a: np.ndarray, discount: float) -> tuple[np.ndarray,
 
 
 def _log1p(z: np.ndarray) -> np.ndarray:
-    """numpy's loses the digits of small z."""
+    """log(1 + z): numpy's loses the digits of small complex z."""
     return 0.5 * np.log1p(z.real * (2 + z.real) + z.imag**2) + 1j * np.arctan2(z.imag, 1 + z.real)
 
 
@@ -332,8 +333,9 @@ def _contour(n, q, x, reach, spread, discount: float, far: bool) -> tuple[np.nda
     """(weights, logarithms of F(z) / F(x'), log F(x') / F(x)) at the points z of a contour through x'.
 
     z = exp(-s / n). Near the branch point z = 1, s runs on a hyperbola around the negative axis, open so far
-    that neither exp(s) nor F grows along it; x' is at s = 2 at least. Far from it |z| = x, as far as t customers
-    of this spread at the least are told from none: half of the circle at most, the other half is its mirror."""
+    that neither exp(s) nor F grows along it; x' is at s = 2 at least. Far from it |z| = x: an arc of 9 standard
+    deviations, by the least variance (spread) of a cell's tables, or the circle. Of both only the upper half is
+    taken, the lower one is its mirror."""
     k = np.arange(POINTS) + 0.5
     if far:
         start = np.log(x)
