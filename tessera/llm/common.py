@@ -175,10 +175,12 @@ def hash_filter(ids: DataFrame, bits: int = 23) -> np.ndarray:
     """A fixed-size bitmap (bool array of 2**bits) of the hashes in the only column of ids: no false negatives."""
 
     def mark(batches):
-        counts = np.zeros(1 << bits, bool)
+        packed = np.zeros(1 << (bits - 3), np.uint8)
         for batch in batches:
-            counts[batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)] = True
-        packed = np.packbits(counts).view(np.uint32)
+            own = np.unique(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            if len(own):
+                edge = np.flatnonzero(np.diff(own >> 3, prepend=-1))
+                packed[own[edge] >> 3] |= np.bitwise_or.reduceat((128 >> (own & 7)).astype(np.uint8), edge)
         yield pa.RecordBatch.from_arrays([pa.array([packed.tobytes()], pa.binary())], names=["bits"])
 
     def join(batches):

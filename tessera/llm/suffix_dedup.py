@@ -1,10 +1,13 @@
 """Suffix-array dedup: shard Burrows-Wheeler transforms merged by iterative interleave refinement.
 
 Every string of LENGTH bytes that occurs in a document with a smaller id is removed. Two equal strings
-hold the same anchor, the least hash of their GRAM-byte slices, so text is cut into segments of strings
-with one anchor, and only anchors that occur twice anywhere are looked at (an anchor of one occurrence
-cannot be in a repeated string). Segments meet by anchor; equal segments become one with its smallest id,
-and anchors with several different segments go on.
+hold the same anchor, the least hash of their GRAM-byte slices, at the same place, and so the same key: the
+anchor with the SIDE bytes on the side that has more of the string. Only strings whose key several texts
+have are looked at. A key tells far more texts apart than an anchor, which much text shares by chance.
+Prints of the keys, whose width follows the input, are dealt by range; bits come back to the group of texts
+that sent them, so no table of the corpus is held anywhere. What is left is cut into segments of strings
+with one anchor. Segments meet by anchor; equal segments become one with its smallest id, and anchors with
+several different segments go on.
 
 In a bucket of anchors, segments are dealt to shards. Each shard has the Burrows-Wheeler transform of its
 segments. The interleave says which shard's row each row of the merged transform is; it starts in shard
@@ -27,17 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import common, ngram_join, textbytes
+from tessera.llm import common, textbytes
 
 LENGTH = 50
 GRAM = 20
 SPAN = LENGTH - GRAM + 1  # starts of one segment at most
+SIDE = (LENGTH - GRAM) // 2  # a string has so many bytes before its anchor, or more than that after it
+PLACE = np.uint64(21)  # bits of a place in a chunk of texts
 END = 0xFF  # no byte of UTF-8
 AFTER_END = np.array([(1 << 64) - (1 << (8 * (7 - k))) for k in range(8)], np.uint64)  # the first k + 1 bytes of eight
 SHARD_BYTES = 1 << 17
 BUCKET_BYTES = 1 << 18
 HEAVY = 200_000  # distinct segments of one anchor that stay together
 FEW_COPIES = 500_000  # 24 bytes each: so many whole copies at most are broadcast
+GROUP_BYTES = 1 << 22  # of texts that send their prints together
+RANGE_BYTES = 1 << 26  # of texts whose prints one task compares, about 6 million
 
 
 def _chunks(data: np.ndarray, offsets: np.ndarray, limit: int = textbytes.PIECE):
@@ -56,11 +63,12 @@ def _chunks(data: np.ndarray, offsets: np.ndarray, limit: int = textbytes.PIECE)
         row += 1
 
 
-def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first start, number of starts) of the segments of texts."""
+def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, key, first start, number of starts) of the stretches of texts whose strings have one key: the
+    anchor is the leftmost of the least hashes, and the key takes the SIDE bytes before it if a string has them."""
     n = len(data) - LENGTH + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     _, down = textbytes.powers(len(data) + 1)
     prefix = textbytes.prefix_hash(data)
     with np.errstate(over="ignore"):
@@ -68,7 +76,8 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-    least, width = h, 1
+    least, width = h >> PLACE << PLACE, 1
+    least |= np.arange(len(h), dtype=np.uint64)
     while width * 2 <= SPAN:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
@@ -80,14 +89,68 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     opens = np.ones(n, bool)
     opens[1:] = (least[1:] != least[:-1]) | (inside[1:] != inside[:-1])
     starts = np.flatnonzero(opens)
-    count = np.diff(np.append(starts, n))
+    ends = np.append(starts[1:], n)
     good = inside[starts]
-    starts, count = starts[good], count[good]
+    starts, ends = starts[good], ends[good]
+    place = (least[starts] & ((np.uint64(1) << PLACE) - np.uint64(1))).astype(np.int64)
+    turn = np.clip(place - SIDE + 1, starts, ends)  # from here on strings have fewer than SIDE bytes before the anchor
+    count = np.stack([turn - starts, ends - turn], axis=1).reshape(-1)
+    some = count > 0
+    starts, place = np.stack([starts, turn], axis=1).reshape(-1)[some], np.repeat(place, 2)[some]
+    begin = (place - np.tile([SIDE, 0], len(turn))[some])
+    # minima crowd at low values: spread them
+    return textbytes.mix(h[place]), textbytes.slice_hash(prefix, begin, begin + SIDE + GRAM), starts, count[some]
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray):
+    """(rows, places in their texts, bytes, anchors, keys, starts in the bytes, numbers of starts) of each chunk."""
+    for row, base, part, bounds in _chunks(data, offsets):
+        anchor, key, start, count = segments(part, bounds)
+        text = np.searchsorted(bounds, start, "right") - 1
+        yield row + text, base + start - bounds[text], part, anchor, key, start, count
+
+
+def prints(key: np.ndarray, row: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(prints, which): the first bits of the keys, sorted, each once or, if several rows have it, twice; and
+    which of them is each key's."""
+    order = np.argsort(key)
+    own, row = key[order] >> np.uint64(64 - bits), row[order]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+    times = 1 + (np.minimum.reduceat(row, first) != np.maximum.reduceat(row, first)) if len(own) else first
+    which = np.empty(len(own), np.int64)
+    which[order] = np.repeat(np.cumsum(times) - times, np.diff(np.append(first, len(own))))
+    return np.repeat(own[first], times), which
+
+
+def _in_range(own: np.ndarray, bits: int) -> np.ndarray:
+    """Where the ranges of prints begin; prints of a range differ in their last 32 bits."""
+    return np.searchsorted(own, np.arange((1 << (bits - 32)) + 1, dtype=np.uint64) << np.uint64(32))
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """Bits for the prints of one range: whether another print equals it."""
+    data, offsets = textbytes.text_buffers(table["prints"])
+    own, offsets = np.frombuffer(data.tobytes(), np.uint32), offsets // 4
+    every = np.sort(own)
+    twice = every[1:][every[1:] == every[:-1]]
+    hit = np.zeros(len(own), bool)
+    if len(twice):
+        hit = twice[np.minimum(np.searchsorted(twice, own), len(twice) - 1)] == own
+    bits = [np.packbits(hit[a:b]).tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+    return pa.table({"g": table["g"], "range": table["range"], "hits": pa.array(bits, pa.binary())})
+
+
+def _joined(anchor: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of one anchor: stretches that follow each other become one, of SPAN starts at most."""
+    opens = np.ones(len(anchor), bool)
+    opens[1:] = (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + count[:-1])
+    first = np.flatnonzero(opens)
+    anchor, start, count = anchor[first], start[first], np.add.reduceat(count, first)
     cuts = -(-count // SPAN)  # texts with a period have long runs of one anchor
-    if len(cuts) and cuts.max() > 1:
+    if cuts.max() > 1:
         inner = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-        starts, count = np.repeat(starts, cuts) + inner * SPAN, np.minimum(np.repeat(count, cuts) - inner * SPAN, SPAN)
-    return textbytes.mix(least[starts]), starts, count  # minima crowd at low values: spread them
+        start, count = np.repeat(start, cuts) + inner * SPAN, np.minimum(np.repeat(count, cuts) - inner * SPAN, SPAN)
+    return np.repeat(anchor, cuts), start, count
 
 
 def _take(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,73 +322,92 @@ def whole_copies(texts: DataFrame) -> DataFrame:
     return common.keep(same.where("first <> last").select("k", "k2", "first"))
 
 
+def shared_segments(texts: DataFrame) -> DataFrame:
+    """(id, k, at, k1, k2, segment): the parts of texts, from byte at on, that may hold strings of other texts.
+    k1 is the anchor, k2 the segment's own hash: together 128 bits."""
+    texts = texts.where(F.octet_length("text") >= LENGTH)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = 32 + (size // RANGE_BYTES).bit_length()
+    # rows that repeat an id and its text are nothing to each other
+    grouped = texts.withColumn("g", F.pmod(F.xxhash64("id", "k"), F.lit(1 + size // GROUP_BYTES))).repartition("g").dropDuplicates(["g", "id", "k"])
+
+    def tell(table):
+        found = [(key, row) for row, _, _, _, key, _, _ in _pieces(*textbytes.text_buffers(table["text"]))]
+        own, _ = prints(*map(np.concatenate, zip(*found)), bits)
+        edges = _in_range(own, bits)
+        ranges = np.flatnonzero(np.diff(edges))
+        low = own.astype(np.uint32)
+        parts = [low[edges[k] : edges[k + 1]].tobytes() for k in ranges]
+        return pa.table({"range": pa.array(ranges, pa.int32()), "g": pa.array(np.full(len(ranges), table["g"][0].as_py())), "prints": pa.array(parts, pa.binary())})
+
+    def cut(table, told):
+        names = ["id", "k", "at", "k1", "k2", "segment"]
+        found = list(_pieces(*textbytes.text_buffers(table["text"])))
+        own, which = prints(np.concatenate([x[4] for x in found]), np.concatenate([x[0] for x in found]), bits)
+        edges = _in_range(own, bits)
+        hits = np.zeros(len(own), bool)
+        for k, part in zip(told["range"].to_pylist(), told["hits"].to_pylist()):
+            hits[edges[k] : edges[k + 1]] = np.unpackbits(np.frombuffer(part, np.uint8), count=int(edges[k + 1] - edges[k]))
+        shared, out = np.split(hits[which], np.cumsum([len(x[0]) for x in found])[:-1]), []
+        for keeps, (row, at, part, anchor, _, start, count) in zip(shared, found):
+            if not keeps.any():
+                continue
+            shift, row = (at - start)[keeps], row[keeps]  # of the text in its chunk
+            begins = start[keeps]
+            anchor, start, count = _joined(anchor[keeps], begins, count[keeps])
+            text = np.searchsorted(begins, start, "right") - 1
+            raw, to = _take(part, start, count + LENGTH - 1)
+            key = textbytes.slice_hash(textbytes.prefix_hash(raw), to[:-1], to[1:])
+            own = pa.array(row[text])
+            segment = pa.BinaryArray.from_buffers(pa.binary(), len(anchor), [None, pa.py_buffer(to.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+            ids = [table[name].take(own).combine_chunks() for name in names[:2]]
+            out.append(pa.table([*ids, pa.array((start + shift[text]).astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(key.view(np.int64)), segment], names=names))
+        empty = pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())], names=names)
+        return pa.concat_tables([empty, *out])
+
+    cells = grouped.groupBy("g").applyInArrow(tell, "range int, g long, prints binary")
+    told = common.keep(cells.groupBy("range").applyInArrow(_compare, "g long, range int, hits binary"))
+    cuts = common.keep(grouped.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(cut, "id long, k long, at int, k1 long, k2 long, segment binary"), "zstd")
+    common.free(told)
+    return cuts
+
+
+def _marks(hashes: DataFrame, count: int) -> np.ndarray:
+    """A packed bitmap of the count hashes in the only column, of four bits a hash or more."""
+    return np.packbits(common.hash_filter(hashes, min(27, max(23, (4 * count).bit_length()))))
+
+
+def _marked(marks: np.ndarray, hashes: pa.Array) -> np.ndarray:
+    """Whether the bitmap may hold the hashes."""
+    bit = hashes.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(65 - (8 * len(marks)).bit_length())
+    return (marks[bit >> np.uint64(3)] << (bit & np.uint64(7)).astype(np.uint8)) & 128 > 0
+
+
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(id, k, spans): runs (start, n) of n starts of strings, in bytes, that also start in a smaller id of texts."""
     spark = texts.sparkSession
     common.small_batches(spark)
-    texts = texts.where(F.col("id").isNotNull()).select("id", "k", "text")
-
-    def anchors(batches):
-        held, waiting = [], 0
-        for batch in batches:
-            data, offsets = textbytes.text_buffers(batch.column(0))
-            for _, _, part, bounds in _chunks(data, offsets):
-                anchor, start, _ = segments(part, bounds)
-                text = np.searchsorted(bounds, start, "right")
-                own = np.lexsort((anchor, text))  # once a text: what one text repeats is nothing to others
-                anchor, text = anchor[own], text[own]
-                once = np.ones(len(anchor), bool)
-                once[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
-                held.append(anchor[once])
-                waiting += len(held[-1])
-            if waiting > ngram_join.FLUSH:
-                ranges, parts = ngram_join.fingerprint_rows(np.concatenate(held))
-                yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(parts, pa.binary())], names=["chunk", "counts"])
-                held, waiting = [], 0
-        ranges, parts = ngram_join.fingerprint_rows(np.concatenate(held)) if held else ([], [])
-        yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(parts, pa.binary())], names=["chunk", "counts"])
-
-    twice = spark.sparkContext.broadcast(ngram_join.seen_twice(texts.select("text").mapInArrow(anchors, "chunk int, counts binary")))
-
-    def cut(batches):
-        for batch in batches:
-            data, offsets = textbytes.text_buffers(batch.column(2))
-            for row, base, part, bounds in _chunks(data, offsets):
-                anchor, start, count = segments(part, bounds)
-                bit = (anchor >> np.uint64(37)).astype(np.int64)
-                shared = (twice.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
-                anchor, start, count = anchor[shared], start[shared], count[shared]
-                if not len(anchor):
-                    continue
-                raw, to = _take(part, start, count + LENGTH - 1)
-                key = textbytes.slice_hash(textbytes.prefix_hash(raw), to[:-1], to[1:])
-                text = np.searchsorted(bounds, start, "right") - 1
-                own = pa.array(row + text)
-                segment = pa.BinaryArray.from_buffers(pa.binary(), len(anchor), [None, pa.py_buffer(to.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array((base + start - bounds[text]).astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(key.view(np.int64)), segment], names=["id", "k", "at", "k1", "k2", "segment"])
-
-    # k1 is the anchor, k2 the segment's own hash: together 128 bits
-    cuts = common.keep(texts.mapInArrow(cut, "id long, k long, at int, k1 long, k2 long, segment binary"), "zstd")
+    cuts = shared_segments(texts.where(F.col("id").isNotNull()).select("id", "k", "text"))
     stats = common.keep(cuts.groupBy("k1").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("k2").alias("a"), F.max("k2").alias("b")).where("low <> high"), "zstd")
     # an anchor whose segments are all equal has nothing to merge: the smallest id has every string of it first
     equal = cuts.select("id", "k", "at", "k1", (F.length("segment") - LENGTH + 1).alias("n")).join(stats.where("a = b").select("k1", "low"), "k1").where("low < id").select("id", "k", F.col("at").alias("start"), "n")
     equal = common.keep(equal, "zstd")
     several = stats.where("a <> b").select("k1")
-    marks = spark.sparkContext.broadcast(np.packbits(common.hash_filter(several)))
+    marks = spark.sparkContext.broadcast(_marks(several, several.count()))
 
     def maybe(batches):
-        bits = np.unpackbits(marks.value).view(bool)
         for batch in batches:
-            yield batch.filter(pa.array(bits[batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(41)]))
+            yield batch.filter(pa.array(_marked(marks.value, batch.column(3))))
 
     mixed = common.keep(cuts.mapInArrow(maybe, "id long, k long, at int, k1 long, k2 long, segment binary").join(several, "k1", "left_semi").select("id", "k", "at", "k1", "k2", "segment"), "zstd")
     common.free(cuts, stats)
     joint = mixed.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("segment").alias("segment"))
     heavy = mixed.groupBy("k1").agg(F.count_distinct("k2").alias("c")).where(F.col("c") > HEAVY).select("k1", F.lit(True).alias("heavy"))
-    told = joint.withColumn("heavy", F.lit(None).cast("boolean")) if heavy.isEmpty() else joint.join(heavy, "k1", "left")
+    none = heavy.isEmpty()
+    told = joint.withColumn("heavy", F.lit(None).cast("boolean")) if none else joint.join(heavy, "k1", "left")
     whole = told.where("heavy is null").select("k1", "k2", F.lit(0).alias("start"), "id", "segment", F.col("k1").alias("place"))
     single = told.where("heavy").withColumn("start", F.explode(F.sequence(F.lit(0), F.length("segment") - LENGTH))).withColumn("segment", F.expr(f"substring(segment, start + 1, {LENGTH})"))
-    together = whole if heavy.isEmpty() else whole.union(single.select("k1", "k2", "start", "id", "segment", F.xxhash64("segment").alias("place")))
+    together = whole if none else whole.union(single.select("k1", "k2", "start", "id", "segment", F.xxhash64("segment").alias("place")))
     size = mixed.agg(F.sum(F.length("segment"))).first()[0] or 0
     buckets = 1 + size // BUCKET_BYTES
     first = together.withColumn("bucket", F.pmod(F.xxhash64("place"), F.lit(buckets))).drop("place").groupBy("bucket").applyInArrow(_bucket, "k1 long, k2 long, start int, n int, first long")
@@ -349,16 +431,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     few = copies.count() <= FEW_COPIES
     marked = texts.join(F.broadcast(copies) if few else copies, ["k", "k2"], "left").withColumn("copy", F.coalesce(F.col("first") < F.col("id"), F.lit(False)))
     spans = repeated_spans(marked.where("not copy"))
-    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(common.hash_filter(spans.select(F.xxhash64("id", "k")))))
+    wanted = docs.sparkSession.sparkContext.broadcast(_marks(spans.select(F.xxhash64("id", "k")), spans.count()))
     schema = "id long, k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
     def part(flagged: bool):
         """Rows that may have spans, with their bytes in kept and no digest; or the others, which are done."""
 
         def run(batches):
-            marks = np.unpackbits(wanted.value).view(bool)
             for batch in batches:
-                hits = marks[batch.column(4).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(41)] & ~batch.column(3).to_numpy(zero_copy_only=False)
+                hits = _marked(wanted.value, batch.column(4)) & ~batch.column(3).to_numpy(zero_copy_only=False)
                 batch = batch.filter(pa.array(hits if flagged else ~hits))
                 data, offsets = textbytes.text_buffers(batch.column(2))
                 sizes = np.diff(offsets)

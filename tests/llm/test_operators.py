@@ -439,6 +439,43 @@ def test_remove_repeats(spark, heavy, monkeypatch):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_texts_that_share_less_than_a_key_are_not_cut(spark, monkeypatch):
+    """Anchors that texts share by chance grow with the square of the corpus; keys hold more bytes than these have."""
+    rng = random.Random(3)
+    make = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    chance, passage, cut, keep = make(30), make(60), [], common.keep
+
+    def kept(df, *how):
+        out = keep(df, *how)
+        if "segment" in df.columns:
+            cut.append({r.id for r in out.select("id").collect()})
+        return out
+
+    monkeypatch.setattr(common, "keep", kept)
+    rows = [(k, make(60) + (passage if k in (7, 31) else chance) + make(60)) for k in range(40)]
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert {k: n for k, n in got.items() if n} == {31: 60} and cut[0] == {7, 31}
+
+
+def test_many_groups_and_ranges_give_the_same_removals(spark, monkeypatch):
+    rng = random.Random(4)
+    parts = ["".join(rng.choice("abé ") for _ in range(rng.randint(20, 90))) for _ in range(30)]
+    rows = [(k, "".join(rng.choice(parts) for _ in range(4))) for k in range(60)]
+    rows += [(60, "ab" * 80), (61, "b" + "ab" * 60), (7, rows[7][1]), (8, rows[9][1])]
+    want = sorted(tuple(r)[:5] for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect())
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 1000)
+    monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", 500)
+    assert sum(r[2] > 0 for r in want) > 20 and sorted(tuple(r)[:5] for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect()) == want
+
+
+def test_prints_of_keys():
+    key = np.array([5, 9, 5, 5, 7, 9], np.uint64) << np.uint64(24)
+    own, which = suffix_dedup.prints(key, np.array([0, 0, 0, 1, 1, 0]), 40)
+    assert list(own) == [5, 5, 7, 9] and list(own[which]) == [5, 9, 5, 5, 7, 9] and list(which) == [0, 3, 0, 0, 2, 3]
+    same = suffix_dedup._compare(pa.table({"g": [1, 2], "range": [0, 0], "prints": pa.array([np.array(x, np.uint32).tobytes() for x in ([1, 1, 4], [2, 4, 9])])}))
+    assert [list(np.unpackbits(np.frombuffer(x, np.uint8))[:3]) for x in same["hits"].to_pylist()] == [[1, 1, 1], [0, 1, 0]]
+
+
 # -- 10 --------------------------------------------------------------------------------------------------
 
 
